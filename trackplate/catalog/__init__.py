@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import fragment_queries, track_queries  # noqa: F401
+    from . import box_queries, fragment_queries, track_queries  # noqa: F401
 
 
 def queries():

@@ -39,19 +39,19 @@ _KIN = ["mean_speed_pxs", "mean_forward_speed_pxs", "mean_backward_speed_pxs", "
 @query("kinematics", "A6", sql("v_track_series", """
 th AS (SELECT video_id, 0.1 * quantile_cont(abs(speed), 0.5) AS th FROM v_track_series GROUP BY 1),
 d AS (SELECT s.*, th, abs(speed) AS a FROM v_track_series s JOIN th USING (video_id))
-SELECT video_id, track_id, count(speed) AS n_speed, round(avg(a), 6) AS mean_speed_pxs,
-  round(CASE WHEN count(speed) > 0 THEN coalesce(avg(speed) FILTER (speed > 0), 0) END, 6) AS mean_forward_speed_pxs,
-  round(CASE WHEN count(speed) > 0 THEN coalesce(avg(-speed) FILTER (speed < 0), 0) END, 6) AS mean_backward_speed_pxs,
-  round(avg(CAST(speed > 0 AS DOUBLE)), 6) AS fraction_forward, round(avg(CAST(speed < 0 AS DOUBLE)), 6) AS fraction_backward,
-  round(avg(CAST(a < th AS DOUBLE)), 6) AS fraction_paused, round(avg(a) FILTER (a >= th), 6) AS mean_speed_when_moving,
-  round(avg(CAST(a >= 1 AS DOUBLE)), 6) AS activity_fraction_above_1pxs, round(avg(CAST(a >= 3 AS DOUBLE)), 6) AS activity_fraction_above_3pxs,
-  round(avg(CAST(a >= 5 AS DOUBLE)), 6) AS activity_fraction_above_5pxs,
-  round(CASE WHEN avg(a) > 0 THEN stddev_pop(a) / avg(a) END, 6) AS speed_cv, round(avg(length), 6) AS mean_length_px,
-  round(CASE WHEN avg(length) > 0 THEN stddev_pop(length) / avg(length) END, 6) AS length_cv,
-  round(avg(width_midbody), 6) AS mean_width_midbody_px FROM d GROUP BY 1, 2"""))
+SELECT video_id, track_id, count(speed) AS n_speed, round(avg(a), 9) AS mean_speed_pxs,
+  round(CASE WHEN count(speed) > 0 THEN coalesce(avg(speed) FILTER (speed > 0), 0) END, 9) AS mean_forward_speed_pxs,
+  round(CASE WHEN count(speed) > 0 THEN coalesce(avg(-speed) FILTER (speed < 0), 0) END, 9) AS mean_backward_speed_pxs,
+  round(avg(CAST(speed > 0 AS DOUBLE)), 9) AS fraction_forward, round(avg(CAST(speed < 0 AS DOUBLE)), 9) AS fraction_backward,
+  round(avg(CAST(a < th AS DOUBLE)), 9) AS fraction_paused, round(avg(a) FILTER (a >= th), 9) AS mean_speed_when_moving,
+  round(avg(CAST(a >= 1 AS DOUBLE)), 9) AS activity_fraction_above_1pxs, round(avg(CAST(a >= 3 AS DOUBLE)), 9) AS activity_fraction_above_3pxs,
+  round(avg(CAST(a >= 5 AS DOUBLE)), 9) AS activity_fraction_above_5pxs,
+  round(CASE WHEN avg(a) > 0 THEN stddev_pop(a) / avg(a) END, 9) AS speed_cv, round(avg(length), 9) AS mean_length_px,
+  round(CASE WHEN avg(length) > 0 THEN stddev_pop(length) / avg(length) END, 9) AS length_cv,
+  round(avg(width_midbody), 9) AS mean_width_midbody_px FROM d GROUP BY 1, 2"""))
 def kinematics(spark, sf):
     s = A.track_series(spark, sf)
-    return _r(T.kinematics(s, T.paused_threshold(s)), _KIN)
+    return _r(T.kinematics(s, T.paused_threshold(s)), _KIN, 9)
 
 
 @query("path_geometry", "A7", sql("v_track_points", """
@@ -287,7 +287,7 @@ def reversals(spark, sf):
 
 
 _DENSE = """
-lp AS (SELECT video_id, track_id, frame, arg_max(x, row_id) AS x, arg_max(y, row_id) AS y FROM v_track_points
+lp AS (SELECT video_id, track_id, frame // 24 AS frame, arg_max(x, row_id) AS x, arg_max(y, row_id) AS y FROM v_track_points
   WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3),
 sp AS (SELECT video_id, track_id, unnest(range(min(frame), max(frame) + 1)) AS frame FROM lp GROUP BY 1, 2),
 de AS (SELECT sp.*, x, y FROM sp LEFT JOIN lp USING (video_id, track_id, frame)),
@@ -303,6 +303,7 @@ hc AS (SELECT d.video_id, d.track_id, d.frame, CASE WHEN hypot0 >= 0.1 AND hypot
 
 def _dense(spark, sf):
     p = A.track_points(spark, sf).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    p = p.withColumn("frame", F.floor(F.col("frame") / 24))
     return axis.densify(axis.last_per_frame(p, KEYS, ["x", "y"]), KEYS, ["x", "y"])
 
 
