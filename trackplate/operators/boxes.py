@@ -329,8 +329,8 @@ def score_bands(dets: DataFrame, edges: Sequence[tuple[str, float, float]], high
     d = dets.withColumn("band", band).where(F.col("band").isNotNull())
     total = dets.agg(F.count(F.lit(1)).alias("_total"))
     g = d.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= high).cast("double")).alias("high_share"))
-    g = g.crossJoin(F.broadcast(total)).join(quantiles(d, ["band"], "score", {"median_score": 0.5}), "band")
-    return g.select("band", "n", (F.lit(100.0) * F.col("n") / F.col("_total")).alias("pct"), "median_score", "high_share")
+    g = g.join(quantiles(d, ["band"], "score", {"median_score": 0.5}), "band")
+    return g.select("band", "n", (F.lit(100.0) * F.col("n") / total.scalar()).alias("pct"), "median_score", "high_share")
 
 
 def clustered_sample(dets: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:

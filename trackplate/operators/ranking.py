@@ -23,7 +23,11 @@ def _scaled(v: Column) -> Column:
 def _binned(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     t = _scaled(F.col(value).cast("double"))
     span = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    d = df.join(span, list(keys)) if keys else df.crossJoin(F.broadcast(span))
+    if keys:
+        d = df.join(span, list(keys))
+    else:
+        ends = span.select(F.struct("_lo", "_hi").alias("s")).scalar()
+        d = df.withColumns({"_lo": ends["_lo"], "_hi": ends["_hi"]})
     frac = F.coalesce(F.try_divide(t - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     bin_no = F.least(F.floor(frac * F.lit(bins)), F.lit(bins - 1)).cast("long")
     return d.withColumn("_bin", bin_no).drop("_lo", "_hi")
