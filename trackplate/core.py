@@ -65,3 +65,11 @@ def null_safe_eq(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Colu
     for c in cols:
         cond = cond & left[c].eqNullSafe(right[c])
     return cond
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, reachable by every executor."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
