@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import assay_queries, box_queries, file_queries, fragment_queries, parse_queries, track_queries  # noqa: F401
+    from . import assay_queries, box_queries, file_queries, fragment_queries, parse_queries, plan_queries, track_queries  # noqa: F401
 
 
 def queries():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..core import rnd
+from ..core import rnd, settle
 from ..operators import fragments as FR
 from ..operators import graph as G
 from .registry import query
@@ -18,6 +18,11 @@ def _frags(spark, sf):
     return FR.fragment_summary(A.fragment_points(spark, sf))
 
 
+def _kept_frags(spark, sf):
+    """Fragment rows that several steps read, computed once."""
+    return settle(_frags(spark, sf))
+
+
 def _adjacent(frags):
     return FR.neighbours(frags, min_gap=0, max_gap=int(5 * FPS), max_dist=50.0)
 
@@ -63,8 +68,8 @@ comp AS (SELECT video_id, node AS track_id, min(other) AS component FROM reach G
 SELECT video_id, track_id, component, dense_rank() OVER (PARTITION BY video_id ORDER BY component) - 1 AS group_id
 FROM comp"""))
 def fragment_components(spark, sf):
-    f = _frags(spark, sf)
-    return G.number_components(G.connected_components(f, _adjacent(f)))
+    f = _kept_frags(spark, sf)
+    return G.number_components(settle(G.connected_components(f, _adjacent(f))))
 
 
 @query("component_class", "G2", sql("v_adjacent", _COMP + """,
@@ -77,8 +82,8 @@ SELECT video_id, component, CASE WHEN bool_and(o <= 1 AND i <= 1) THEN 'chain' E
   CASE WHEN bool_and(o <= 1 AND i <= 1) THEN count(*) - 1 ELSE 0 END AS curl_count, count(*) AS fragment_count
 FROM deg GROUP BY 1, 2"""))
 def component_class(spark, sf):
-    f = _frags(spark, sf)
-    adj = _adjacent(f)
+    f = _kept_frags(spark, sf)
+    adj = settle(_adjacent(f))
     return G.classify_components(f, adj, G.connected_components(f, adj))
 
 
@@ -104,7 +109,7 @@ links AS (SELECT video_id, a, b FROM walk WHERE listed)"""
 @query("successor_links", "G5", sql("v_fragments", _LINK + """
 SELECT video_id, a, b FROM links"""))
 def successor_links(spark, sf):
-    return G.link_fragments(FR.successor_candidates(_frags(spark, sf), FPS), FPS)
+    return G.link_fragments(FR.successor_candidates(_kept_frags(spark, sf), FPS), FPS)
 
 
 @query("linked_groups", "G5 V7", sql("v_fragments", _LINK + """,
@@ -113,7 +118,7 @@ far AS (SELECT video_id, track_id, track_id AS last FROM v_fragments
 SELECT f.video_id, f.track_id, arg_max(last, start_frame) AS group_id FROM far f
 JOIN v_fragments s ON s.video_id = f.video_id AND s.track_id = f.last GROUP BY 1, 2"""))
 def linked_groups(spark, sf):
-    f = _frags(spark, sf)
+    f = _kept_frags(spark, sf)
     links = G.link_fragments(FR.successor_candidates(f, FPS), FPS)
     return G.chain_groups(f, links)
 
@@ -126,7 +131,7 @@ fr AS (SELECT DISTINCT video_id, start_frame AS frame FROM spans)
 SELECT s.video_id, fr.frame, count(*) AS n_alive, CAST(sum(s.n_rows) AS BIGINT) AS rows_alive
 FROM spans s JOIN fr ON fr.video_id = s.video_id AND fr.frame BETWEEN s.start_frame AND s.end_frame GROUP BY 1, 2"""))
 def alive_at_frame(spark, sf):
-    s = _frags(spark, sf)
+    s = _kept_frags(spark, sf)
     fr = s.select("video_id", F.col("start_frame").alias("frame")).distinct()
     return (G.alive_at(s, fr, ["video_id"]).groupBy("video_id", "frame")
             .agg(F.count(F.lit(1)).alias("n_alive"), F.sum("n_rows").alias("rows_alive")))
@@ -138,7 +143,7 @@ n AS (SELECT s.video_id, fr.frame, count(*) AS n FROM spans s JOIN fr ON fr.vide
   AND fr.frame BETWEEN s.start_frame AND s.end_frame GROUP BY 1, 2)
 SELECT video_id, max(n) AS max_concurrent FROM n GROUP BY 1"""))
 def max_concurrent(spark, sf):
-    return G.max_concurrent(_frags(spark, sf), ["video_id"])
+    return G.max_concurrent(_kept_frags(spark, sf), ["video_id"])
 
 
 @query("select_concurrent", "G4", sql("v_fragments", _SPANS + """,
@@ -152,7 +157,7 @@ best AS (SELECT al.video_id, frame, sum(n_rows) AS total FROM al JOIN cap USING
 pick AS (SELECT video_id, arg_max(frame, (total, -frame)) AS frame FROM best GROUP BY 1)
 SELECT al.video_id, al.track_id FROM al JOIN cap USING (video_id) JOIN pick USING (video_id, frame) WHERE rn <= n_keep"""))
 def select_concurrent(spark, sf):
-    s = _frags(spark, sf)
-    cap = G.max_concurrent(s, ["video_id"]).select(
-        "video_id", F.least(F.greatest("max_concurrent", F.lit(1)), F.lit(3)).alias("n_keep"))
+    s = _kept_frags(spark, sf)
+    cap = settle(G.max_concurrent(s, ["video_id"]).select(
+        "video_id", F.least(F.greatest("max_concurrent", F.lit(1)), F.lit(3)).alias("n_keep")))
     return G.select_concurrent(s, ["video_id"], "track_id", cap)

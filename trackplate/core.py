@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 
 def rnd(value: Column | str, digits: int = 6) -> Column:
-    """Round for output; adding 0.0 folds -0.0 into 0.0."""
+    """Round half away from zero for output, on the scaled double; -0.0 becomes 0.0."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.round(c, digits) + F.lit(0.0)
+    c = c.cast("double")
+    scale = F.lit(float(10 ** digits))
+    return F.signum(c) * F.floor(F.abs(c) * scale + F.lit(0.5)) / scale + F.lit(0.0)
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -60,6 +62,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write work that several steps read to a columnar table and read it back.
+
+    Unlike a checkpoint the table keeps column pruning; it lies in the shared folder.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def null_safe_eq(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in cols:

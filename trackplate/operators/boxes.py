@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..core import settle
 from ..functions import boxes as B
-from .ranking import quantiles, with_rank
+from .grouped import map_groups
+from .ranking import quantiles
 
 KEYS = ("image_id",)
 CELL = 256.0
@@ -108,16 +109,13 @@ class Rule:
     only_truncated: bool = False
 
 
-def _walk(pdf, rule: Rule) -> np.ndarray:
+def _walk(box, score, cls, cut, ids, rule: Rule) -> np.ndarray:
     """Kept mask of one group of bounded size."""
-    box = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
     area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    rank = pdf["score"].to_numpy() if rule.order == "score" else area
-    cls = pdf["cls"].to_numpy() if rule.same_class else np.zeros(len(pdf))
-    cut = pdf["truncated"].to_numpy(bool)
-    kept = np.zeros(len(pdf), bool)
-    for i in np.lexsort((pdf["det_id"].to_numpy(), -rank)):
-        k = np.flatnonzero(kept & (cls == cls[i]))
+    rank = score if rule.order == "score" else area
+    kept = np.zeros(len(box), bool)
+    for i in np.lexsort((ids, -rank)):
+        k = np.flatnonzero(kept & (cls == cls[i]) if rule.same_class else kept)
         if len(k) and (cut[i] or not rule.only_truncated):
             w = np.minimum(box[i, 2], box[k, 2]) - np.maximum(box[i, 0], box[k, 0])
             h = np.minimum(box[i, 3], box[k, 3]) - np.maximum(box[i, 1], box[k, 1])
@@ -194,12 +192,19 @@ def suppress(dets: DataFrame, rules: Sequence[Rule] | Rule, keys: Sequence[str]
     rules = [rules] if isinstance(rules, Rule) else list(rules)
     few, many = _route(dets, keys, small)
 
-    def run(pdf):
-        for rule in rules:
-            pdf = pdf[_walk(pdf, rule)]
-        return pdf
-
-    out = few.groupBy(*keys).applyInPandas(run, dets.schema)
+    def run(rows, starts):
+        box = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        score, cls, ids = (rows[c].to_numpy() for c in ("score", "cls", "det_id"))
+        cut = rows["truncated"].to_numpy(bool)
+        alive = []
+        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+            left = np.arange(a, b)
+            for rule in rules:
+                left = left[_walk(box[left], score[left], cls[left], cut[left], ids[left], rule)]
+            alive.append(left)
+        return rows.iloc[np.concatenate(alive)]
+
+    out = map_groups(few, keys, [], run, dets.schema)
     if many is not None:
         for rule in rules:
             many = _suppress_rounds(many, rule, keys, cell, max_rounds).select(*dets.columns)

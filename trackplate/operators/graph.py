@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import settle
+from . import axis
+from .grouped import key_types, map_groups
 from .ranking import with_rank
 
 KEYS = ("video_id",)
@@ -100,7 +102,6 @@ def max_concurrent(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     delta = spans.select(*keys, F.col("start_frame").alias("frame"), F.lit(1).cast("long").alias("d")).unionByName(
         spans.select(*keys, (F.col("end_frame") + 1).alias("frame"), F.lit(-1).cast("long").alias("d")))
-    from . import axis
     per = delta.groupBy(*keys, "frame").agg(F.sum("d").alias("d"))
     run = axis.with_running(per, keys, {"alive": F.col("d")}, order=("frame",))
     return run.groupBy(*keys).agg(F.max("alive").alias("max_concurrent"))
@@ -126,9 +127,8 @@ def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit:
     however many spans overlap. Ties: longer span, then smaller id; then smallest frame.
     """
     keys = list(keys)
-    s = spans.join(limit.select(*keys, "n_keep"), keys)
-    sizes = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
-    s = s.join(sizes, keys)
+    sizes = spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
+    s = settle(spans.join(limit.select(*keys, "n_keep"), keys).join(sizes, keys))
     easy = s.where(F.col("_have") <= F.col("n_keep")).select(*keys, id_col)
     hard = s.where(F.col("_have") > F.col("n_keep"))
     best_first = (F.desc("n_rows"), F.asc(id_col))
@@ -173,23 +173,19 @@ def _choose(d, b, s, ratio, floor_px, window):
     return first
 
 
-def _link_group(pdf: pd.DataFrame, ratio: float, floor_px: float, window: float) -> pd.DataFrame:
-    """Walk the candidate lists of one video in (end frame, id) order."""
-    pdf = pdf.sort_values(["a_end", "a"], kind="stable")
-    claimed, rows = set(), []
-    for a, c in pdf.groupby(["a_end", "a"], sort=True):
-        c = c[~c["b"].isin(claimed)]
-        if len(c) == 0:
+def _link_group(a_end, a, b, start, dist, ratio, floor_px, window):
+    """Walk the candidate lists of one video, sorted by (end frame, id)."""
+    claimed: set = set()
+    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (a_end[1:] != a_end[:-1])])
+    for lo, hi in zip(cut, np.r_[cut[1:], len(a)]):
+        open_ = [i for i in range(lo, hi) if b[i] not in claimed]
+        if not open_:
             continue
-        d, b, s = c["dist"].to_numpy(), c["b"].to_numpy(), c["b_start"].to_numpy()
-        i = _choose(d, b, s, ratio, floor_px, window)
-        if i < 0:
-            rows.append((a[1], None))
-        else:
-            claimed.add(b[i])
-            rows.append((a[1], b[i]))
-    return pd.DataFrame({"a": [r[0] for r in rows],
-                         "b": pd.array([r[1] for r in rows], dtype="Int64")})
+        i = np.array(open_)
+        best = _choose(dist[i], b[i], start[i], ratio, floor_px, window)
+        if best >= 0:
+            claimed.add(b[i[best]])
+        yield a[lo], (b[i[best]] if best >= 0 else None)
 
 
 def link_fragments(candidates: DataFrame, fps: float, keys: Sequence[str] = KEYS,
@@ -207,20 +203,23 @@ def link_fragments(candidates: DataFrame, fps: float, keys: Sequence[str] = KEYS
     c = candidates.select(*keys, "a", "b", "a_end", "b_start", "dist")
     n = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = settle(n.where(F.col("_n") > small).select(*keys))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in c.schema if f.name in keys]
-                       + ["a bigint", "b bigint"])
-
-    def run(key, pdf):
-        out = _link_group(pdf, ratio, floor_px, window)
-        for name, value in zip(keys, key):
-            out.insert(0, name, value)
-        return out[[*keys, "a", "b"]]
+    def run(rows, starts):
+        cols = [rows[x].to_numpy() for x in ("a_end", "a", "b", "b_start", "dist")]
+        owner, src, dst = [], [], []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(rows)]):
+            for x, y in _link_group(*[v[lo:hi] for v in cols], ratio, floor_px, window):
+                owner.append(lo)
+                src.append(x)
+                dst.append(y)
+        return rows[keys].iloc[owner].assign(a=src, b=pd.array(dst, dtype="Int64"))
+
+    def walk(df):
+        return map_groups(df, keys, ["a_end", "a"], run, f"{key_types(df, keys)}, a bigint, b bigint")
 
     if big.isEmpty():
-        return c.groupBy(*keys).applyInPandas(run, schema)
-    routed = c.join(big, keys, "left_anti").groupBy(*keys).applyInPandas(run, schema)
-    return routed.unionByName(_link_rounds(c.join(big, keys, "left_semi"), keys, ratio, floor_px,
-                                           window, max_rounds))
+        return walk(c)
+    rounds = _link_rounds(c.join(big, keys, "left_semi"), keys, ratio, floor_px, window, max_rounds)
+    return walk(c.join(big, keys, "left_anti")).unionByName(rounds)
 
 
 def _link_rounds(open_pairs: DataFrame, keys, ratio, floor_px, window, max_rounds) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import key_types, map_groups
+
 CHUNK = 65536
 
 
@@ -37,7 +39,7 @@ def _records(e: np.ndarray):
     return e[at], np.minimum.reduceat(e, at)
 
 
-def _scan_chunk(order, frame, value, prominence, sign, chunk, out):
+def _scan_chunk(order, frame, value, prominence, sign, chunk, whole, out):
     v = sign * value
     cut = np.flatnonzero(np.diff(v) != 0) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(v)] - 1
@@ -60,10 +62,14 @@ def _scan_chunk(order, frame, value, prominence, sign, chunk, out):
         if (not lo_pass and left_ok[j]) or (not hi_pass and right_ok[j]):
             continue
         done = lo_pass and hi_pass
+        if whole and not done:      # an open side ends at the end of the signal
+            continue
         mid = (first[at[j]] + last[at[j]]) // 2
         out.append((1 + chunk if done else 0, "peak" if done else "open", sign, chunk, int(order[mid]),
                     int(order[mid]), float(e[j]), float(left[j]), float(right[j]), bool(lo_pass), bool(hi_pass),
                     [int(frame[mid])]))
+    if whole:
+        return
     for side, seq in (("right", e), ("left", e[::-1])):
         for i, (top, low) in enumerate(zip(*_records(seq))):
             out.append((0, side, sign, chunk, i, i, float(top), float(low), 0.0, False, False, None))
@@ -123,37 +129,43 @@ def find_peaks(samples: DataFrame, keys: Sequence[str], value: str, prominence:
                chunk: int = CHUNK) -> DataFrame:
     """Peaks of both signs: (keys, sign, ord, frame, height).
 
-    `samples` carries `ord` (1-based position among valid samples of the signal) and
-    `frame`. Plateaus count once, at their middle; end points are never peaks.
+    `samples` carries `ord` (1-based position among valid samples of the signal),
+    `frame` and `n_valid` (signal length). Plateaus count once, at their middle; end
+    points are never peaks.
     """
     keys = list(keys)
-    d = samples.select(*keys, "ord", "frame", F.col(value).cast("double").alias("value"),
+    d = samples.select(*keys, "ord", "frame", "n_valid", F.col(value).cast("double").alias("value"),
                        F.floor(F.col("ord") / F.lit(chunk)).cast("long").alias("chunk"))
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
-
-    def with_keys(key, out):
-        for name, v in reversed(list(zip(keys, key))):
-            out.insert(0, name, v)
-        return out
-
-    def first_pass(key, pdf):
-        pdf = pdf.sort_values("ord")
-        rows = []
-        for sign in (1, -1):
-            _scan_chunk(pdf["ord"].to_numpy(), pdf["frame"].to_numpy(), pdf["value"].to_numpy(),
-                        prominence, sign, int(key[-1]), rows)
-        return with_keys(key[:-1], pd.DataFrame(rows, columns=_COLS))
-
-    def second_pass(key, pdf):
-        if key[-1] > 0:
-            out = [(r.sign, r.lo, r.frames[0], r.sign * r.value) for r in pdf.itertuples()]
-        else:
-            out = [(s, o, f, s * v) for s, g in pdf.groupby("sign") for o, f, v in _finish(g, prominence)]
-        return with_keys(key[:-1], pd.DataFrame(out, columns=["sign", "ord", "frame", "height"]))
 
-    outline = d.groupBy(*keys, "chunk").applyInPandas(first_pass, f"{key_types}, {_TYPES}")
-    return outline.groupBy(*keys, "grp").applyInPandas(
-        second_pass, f"{key_types}, sign int, ord bigint, frame bigint, height double")
+    def first_pass(rows, starts):
+        order, frame, val = (rows[c].to_numpy() for c in ("ord", "frame", "value"))
+        chunks, total = rows["chunk"].to_numpy(), rows["n_valid"].to_numpy()
+        out, owner = [], []
+        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+            for sign in (1, -1):
+                _scan_chunk(order[a:b], frame[a:b], val[a:b], prominence, sign, int(chunks[a]), b - a == total[a], out)
+            owner.extend([a] * (len(out) - len(owner)))
+        found = pd.DataFrame(out, columns=_COLS)
+        return pd.concat([rows[keys].iloc[owner].reset_index(drop=True), found], axis=1)
+
+    def second_pass(rows, starts):
+        done = rows[rows["grp"] > 0]
+        parts = [done[keys].assign(sign=done["sign"], ord=done["lo"], frame=[f[0] for f in done["frames"]],
+                                   height=done["sign"] * done["value"])]
+        grp = rows["grp"].to_numpy()
+        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+            if grp[a] > 0:
+                continue
+            part = rows.iloc[a:b]
+            out = [(s, o, f, s * v) for s, g in part.groupby("sign") for o, f, v in _finish(g, prominence)]
+            if out:
+                found = pd.DataFrame(out, columns=["sign", "ord", "frame", "height"])
+                parts.append(pd.concat([part[keys].iloc[[0] * len(out)].reset_index(drop=True), found], axis=1))
+        return pd.concat(parts, ignore_index=True)
+
+    types = key_types(d, keys)
+    outline = map_groups(d, [*keys, "chunk"], ["ord"], first_pass, f"{types}, {_TYPES}")
+    return map_groups(outline, [*keys, "grp"], [], second_pass, f"{types}, sign int, ord bigint, frame bigint, height double")
 
 
 def spectrum(samples: DataFrame, keys: Sequence[str], value: str, fps: float,
@@ -167,18 +179,19 @@ def spectrum(samples: DataFrame, keys: Sequence[str], value: str, fps: float,
     d = samples.select(*keys, "ord", F.col(value).cast("double").alias("value"))
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"))
     d = d.join(n, keys)
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
-
-    def fft(key, pdf):
-        x = pdf.sort_values("ord")["value"].to_numpy()
-        amp = np.abs(np.fft.rfft(x - x.mean())) * (2.0 / len(x))
-        out = pd.DataFrame({"k": np.arange(len(amp)), "freq": np.arange(len(amp)) * fps / len(x), "amplitude": amp})
-        for name, v in reversed(list(zip(keys, key))):
-            out.insert(0, name, v)
-        return out
-
-    short = d.where(F.col("n") <= small).groupBy(*keys).applyInPandas(
-        fft, f"{key_types}, k bigint, freq double, amplitude double")
+    types = key_types(d, keys)
+
+    def fft(rows, starts):
+        x, parts, owner = rows["value"].to_numpy(), [], []
+        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+            v = x[a:b]
+            amp = np.abs(np.fft.rfft(v - v.mean())) * (2.0 / len(v))
+            k = np.arange(len(amp))
+            parts.append(pd.DataFrame({"k": k, "freq": k * fps / len(v), "amplitude": amp}))
+            owner.extend([a] * len(amp))
+        return pd.concat([rows[keys].iloc[owner].reset_index(drop=True), pd.concat(parts, ignore_index=True)], axis=1)
+
+    short = map_groups(d.where(F.col("n") <= small), keys, ["ord"], fft, f"{types}, k bigint, freq double, amplitude double")
     turn = F.lit(-2 * np.pi) * F.pmod(F.col("k") * (F.col("ord") - 1), F.col("n")) / F.col("n")
     long = (d.where(F.col("n") > small)
             .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core import ratio
 from . import axis
+from .grouped import key_types, map_groups
 from .ranking import quantiles, with_rank
 
 KEYS = ("video_id", "track_id")
@@ -173,9 +174,6 @@ def diameter(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """
     k = list(keys)
     p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*k, "x", "y")
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema)
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema if f.name in k)
-
     def corners(batches):
         for b in batches:
             parts = []
@@ -188,10 +186,14 @@ def diameter(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             if parts:
                 yield pd.concat(parts)[[*k, "x", "y"]]
 
-    def widest(key, g):
-        return pd.DataFrame([[*key, _farthest(_hull(g[["x", "y"]].to_numpy()))]], columns=[*k, "displacement_px"])
+    def widest(rows, starts):
+        xy = rows[["x", "y"]].to_numpy()
+        d = [_farthest(_hull(xy[a:b])) for a, b in zip(starts, np.r_[starts[1:], len(rows)])]
+        return rows[k].iloc[starts].assign(displacement_px=d)
 
-    found = p.mapInPandas(corners, types).groupBy(*k).applyInPandas(widest, f"{key_types}, displacement_px double")
+    types = key_types(p, k)
+    hulls = p.mapInPandas(corners, f"{types}, x double, y double")
+    found = map_groups(hulls, k, [], widest, f"{types}, displacement_px double")
     every = points.select(*k).distinct()
     return every.join(found, k, "left").select(*k, F.coalesce("displacement_px", F.lit(0.0)).alias("displacement_px"))
 
