@@ -85,9 +85,9 @@ def result_rows(spark, sf):
 @query("report_payload", "S9", sql("v_images v_stage_counts", _COND + f""",
 k AS (SELECT co.*, {_cond_sql('condition')} FROM co),
 x AS (SELECT *, CASE WHEN dose IS NULL THEN (SELECT count(DISTINCT dose) FROM k) ELSE (SELECT count(DISTINCT dose) FROM k z WHERE z.dose < k.dose) END AS di, (SELECT count(DISTINCT tp) FROM k z WHERE z.tp < k.tp) AS ti FROM k),
-rp AS (SELECT pl.tp, pl.condition, pl.plate AS unit_id, pl.total FROM pl JOIN co USING (tp, condition) WHERE replicate_unit = 'plate' UNION ALL SELECT im.tp, im.condition, im.image, im.total FROM im JOIN co USING (tp, condition) WHERE replicate_unit <> 'plate'),
-ra2 AS (SELECT tp, condition, string_agg('{{"unit_id":"' || unit_id || '","total":' || total || '}}', ',' ORDER BY unit_id, total) AS reps FROM rp GROUP BY 1, 2)
-SELECT tp, condition, '{{"strain":"' || strain || '","di":' || di || ',"ti":' || ti || ',"n_plates":' || n_plates || ',"replicate_unit":"' || replicate_unit || '","pooled_total":' || pooled_total || ',"reps":[' || reps || ']}}' AS payload FROM x JOIN ra2 USING (tp, condition)"""))
+rp AS (SELECT pl.tp, pl.condition, pl.total FROM pl JOIN co USING (tp, condition) WHERE replicate_unit = 'plate' UNION ALL SELECT im.tp, im.condition, im.total FROM im JOIN co USING (tp, condition) WHERE replicate_unit <> 'plate')
+SELECT 'cond' AS kind, '{{"condition":"' || condition || '","strain":"' || strain || '","di":' || di || ',"ti":' || ti || ',"n_plates":' || n_plates || ',"replicate_unit":"' || replicate_unit || '","pooled_total":' || pooled_total || '}}' AS payload FROM x
+UNION ALL SELECT 'rep', '{{"strain":"' || strain || '","di":' || di || ',"ti":' || ti || ',"total":' || rp.total || '}}' FROM rp JOIN x USING (tp, condition)"""))
 def report_payload(spark, sf):
     img = S.per_image(A.images(spark, sf), A.stage_counts(spark, sf))
     plates = S.per_plate(img)

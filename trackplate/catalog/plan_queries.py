@@ -13,6 +13,7 @@ from ..plans import colonies as CO
 from ..plans import crawling as C
 from ..plans import motility as M
 from ..plans import staging as ST
+from .assay_queries import _CPL, _colonies
 from .box_queries import ALPHA, FLOORS, NAMES, REFS, SIZES, _GATE, _NAME_LIST, _AREA, _best, _walk_sql
 from .registry import query
 from .track_queries import _PEAKS, _r
@@ -232,7 +233,7 @@ tr AS (SELECT s.video_id, s.track_id, s.track_id % 3 AS condition, avg(abs(speed
 kp AS (SELECT *, sp >= 285 AND cv >= 0.7 AS ok FROM tr),
 n AS (SELECT condition, count(*) AS n_total, count(*) FILTER (ok) AS n_kept FROM kp GROUP BY 1),
 lo AS (UNPIVOT (SELECT condition, mean_speed_pxs, mean_length_px, speed_cv FROM kp WHERE ok) ON mean_speed_pxs, mean_length_px, speed_cv INTO NAME metric VALUE v)
-SELECT n.condition, m.metric, n_total, n_kept, count(v) AS n, round(CASE WHEN m.metric <> 'speed_cv' THEN avg(v) END, 6) AS mean, round(CASE WHEN m.metric <> 'speed_cv' THEN stddev_pop(v) END, 6) AS std, round(median(v), 6) AS median
+SELECT n.condition, m.metric, n_total, n_kept, count(v) AS n, round(CASE WHEN m.metric <> 'speed_cv' THEN avg(v) END, 9) AS mean, round(CASE WHEN m.metric <> 'speed_cv' THEN stddev_pop(v) END, 9) AS std, round(median(v), 9) AS median
 FROM n CROSS JOIN (SELECT unnest(['mean_speed_pxs', 'mean_length_px', 'speed_cv']) AS metric) m LEFT JOIN lo ON lo.condition = n.condition AND lo.metric = m.metric GROUP BY n.condition, m.metric, n_total, n_kept"""))
 def condition_aggregate(spark, sf):
     s = A.track_series(spark, sf).join(A.track_points(spark, sf).select("row_id", "has_skeleton"), "row_id")
@@ -241,13 +242,21 @@ def condition_aggregate(spark, sf):
         F.avg(a).alias("mean_speed_pxs"), F.avg("length").alias("mean_length_px"), (F.stddev_pop(a) / F.avg(a)).alias("speed_cv"),
         ((F.max("frame") - F.min("frame") + 1) / F.lit(10.0)).alias("track_duration_s"), F.avg("has_skeleton").alias("skeleton_coverage"))
     d = C.condition_rows(g.withColumn("condition", F.col("track_id") % 3), 285.0, ["mean_speed_pxs", "mean_length_px"], ["speed_cv"])
-    return _r(d, ["mean", "std", "median"])
+    return _r(d, ["mean", "std", "median"], 9)
 
 
-@query("crawling_conditions", "A11")
+_SHOWN = ["mean_speed_pxs", "fraction_paused", "path_length_px", "track_duration_s", "skeleton_coverage", "reversal_count"]
+
+
+@query("crawling_conditions", "A11", sql("v_motion", _CRAWL + """,
+ok AS (SELECT en.video_id AS condition, mean_speed_pxs, fraction_paused, path_length_px, track_duration_s, skeleton_coverage, (CASE WHEN n_speed > 0 THEN coalesce(r, 0) END)::DOUBLE AS reversal_count
+  FROM en JOIN ki USING (video_id, group_id) LEFT JOIN pg USING (video_id, group_id) JOIN co USING (video_id, group_id) LEFT JOIN rv USING (video_id, group_id)),
+nn AS (SELECT condition, count(*) AS n_total, count(*) FILTER (track_duration_s >= 10 AND skeleton_coverage >= 0.7) AS n_kept FROM ok GROUP BY 1),
+lo AS (UNPIVOT (SELECT * FROM ok WHERE track_duration_s >= 10 AND skeleton_coverage >= 0.7) ON mean_speed_pxs, fraction_paused, path_length_px, track_duration_s, skeleton_coverage, reversal_count INTO NAME metric VALUE v)
+SELECT condition, metric, n_total, n_kept, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(median(v), 6) AS median FROM lo JOIN nn USING (condition) GROUP BY 1, 2, 3, 4"""))
 def crawling_conditions(spark, sf):
-    d = _crawl(spark, sf).withColumn("condition", F.col("video_id"))
-    return _r(C.condition_rows(d, 10.0), ["mean", "std", "median"])
+    d = C.condition_rows(_crawl(spark, sf).withColumn("condition", F.col("video_id")), 10.0)
+    return _r(d.where(F.col("metric").isin(_SHOWN)), ["mean", "std", "median"])
 
 
 # --- staging and colonies -------------------------------------------------------------------
@@ -270,8 +279,9 @@ def staging_conditions(spark, sf):
     return s.condition.where("n_plates > 1").select("tp", "condition", "n_plates", "pooled_total", rnd("stage_index_mean").alias("stage_index_mean"))
 
 
-@query("colony_pipeline", "F4 A21")
+@query("colony_pipeline", "F4 A21", "WITH " + _CPL + """
+SELECT condition, count(*) AS n_plates, round(avg(colony_count), 6) AS colony_count_mean, round(stddev_samp(colony_count), 6) AS colony_count_sd, round(avg(mean_area_mm2), 8) AS mean_area_mm2,
+  round(avg(stained_fraction), 6) AS stained_fraction_mean, round(stddev_samp(stained_fraction), 6) AS stained_fraction_sd, count(*) FILTER (stained_fraction > 0.55) AS n_confluent_plates FROM cp GROUP BY 1""")
 def colony_pipeline(spark, sf):
-    from .assay_queries import _colonies
     c = CO.colonies(_colonies(spark, sf).drop("reason"), 40.0, 0.8)
-    return _r(c.condition, ["colony_count_mean", "colony_count_sd", "stained_fraction_mean", "stained_fraction_sd"])
+    return _r(_r(c.condition, ["mean_area_mm2"], 8), ["colony_count_mean", "colony_count_sd", "stained_fraction_mean", "stained_fraction_sd"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core import null_safe_eq
 from ..functions import parse as P
-from .ranking import with_rank
+from .ranking import value_ranks
 
 PLATE = ("tp", "condition", "plate")
 COND = ("tp", "condition")
@@ -152,8 +152,8 @@ def folder_capture_time(names: DataFrame, folder: str = "folder_id", stem: str =
     """Upper median capture stamp, stamped and total counts per folder."""
     d = names.select(folder, F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), P.capture_time(F.col(stem))).alias("_t"))
     n = d.groupBy(folder).agg(F.count(F.lit(1)).alias("n_images"), F.count("_t").alias("n_stamped"))
-    r = with_rank(d.where(F.col("_t").isNotNull()), [folder], "_t")
-    mid = r.where(F.col("rank_no") == F.floor(F.col("rank_n") / 2) + 1).groupBy(folder).agg(F.max("_t").alias("capture_s"))
+    r, at = value_ranks(d, [folder], "_t"), F.floor(F.col("rank_n") / 2)
+    mid = r.where((F.col("rank_from") <= at) & (at < F.col("rank_from") + F.col("c"))).select(folder, F.col("v").alias("capture_s"))
     return n.join(mid, folder, "left")
 
 

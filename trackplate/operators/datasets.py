@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ordered_prefix
+
 
 def training_names(files: DataFrame, stage: str) -> DataFrame:
     """condition/plate/file paths to strain_stage_cohort_pNN_NNNN.png; first file keeps a name.
 
-    The index counts the sorted files of one plate folder, which one plate's images fill.
+    The index counts the sorted files of a plate folder.
     """
     parts = F.split("path", "/")
     words = F.split(F.get(parts, F.lit(0)), r"\s+")
@@ -20,6 +22,6 @@ def training_names(files: DataFrame, stage: str) -> DataFrame:
         F.regexp_replace(F.concat_ws("", F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))), clean, "").alias("strain"),
         F.regexp_extract(F.get(parts, F.lit(1)), r"(\d+)", 1).alias("_n"))
     d = d.where((F.col("strain") != "") & (F.col("cohort") != "") & (F.col("_n") != ""))
-    d = d.withColumn("idx", F.row_number().over(Window.partitionBy("_dir").orderBy("path", "file_id")))
+    d = ordered_prefix(d, ["_dir"], ["path", "file_id"]).withColumn("idx", F.col("rank_no").cast("int"))
     name = F.format_string("%s_%s_%s_p%02d_%04d.png", "strain", F.lit(stage), "cohort", F.col("_n").cast("int"), F.col("idx"))
     return d.withColumn("png", name).groupBy("png").agg(F.min_by("file_id", F.struct("path", "file_id")).alias("file_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..core import settle
 from . import axis
 from .grouped import key_types, map_groups
-from .ranking import with_rank
+from .ranking import value_ranks
 
 KEYS = ("video_id",)
 
@@ -68,8 +68,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
 def number_components(members: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add group_id: 0-based order of the component's smallest member per video."""
     comps = members.select(*keys, "component").distinct()
-    ids = with_rank(comps, keys, "component").select(
-        *keys, "component", (F.col("rank_no") - 1).alias("group_id"))
+    ids = value_ranks(comps, keys, "component").select(
+        *keys, F.col("v").alias("component"), F.col("rank_from").alias("group_id"))
     return members.join(ids, [*keys, "component"])
 
 

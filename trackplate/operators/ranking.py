@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import written
+
 BINS = 8192
 
 
@@ -33,29 +35,49 @@ def _binned(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFr
     return d.withColumn("_bin", bin_no).drop("_lo", "_hi")
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = (),
-              sums: Mapping[str, str] | None = None, bins: int = BINS) -> DataFrame:
-    """Add `rank_no` (1-based) by (value, ties), `rank_n` (group size), and for each
-    entry of `sums` the total of that column over strictly earlier rows."""
-    sums = dict(sums or {})
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
+    """Distinct values with their count and position: keys, v, c, rank_from (0-based), rank_n.
+
+    Equal values are merged before anything is ordered, so a value that fills a third
+    of the rows is one row here.
+    """
     keys = list(keys)
-    b = _binned(df, keys, value, bins)
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
-    per_bin = b.groupBy(*keys, "_bin").agg(*aggs)
+    v = (df.where(F.col(value).isNotNull())
+         .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    b = _binned(v, keys, "v", bins)
+    per_bin = b.groupBy(*keys, "_bin").agg(F.sum("c").alias("_n"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    cols = {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-            "rank_n": F.sum("_n").over(part)}
-    for n in sums:
-        cols[f"_b_{n}"] = F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0))
-    state = per_bin.withColumns(cols).drop("_n", *[f"_s_{n}" for n in sums])
+    state = per_bin.select(*keys, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(part).alias("rank_n"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     d = b.join(state, [*keys, "_bin"])
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value, *ties)
+    d = d.withColumn("rank_from", F.col("_before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return d.drop("_bin", "_before")
+
+
+def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                   sums: Mapping[str, str] | None = None) -> DataFrame:
+    """Add `rank_no` (1-based by `order`, which is unique per key) and, for each entry of
+    `sums`, the total of that column over strictly earlier rows.
+
+    A range partitioning on (keys, order) splits a hot key evenly whatever the column
+    types; the written table pins it, so partition totals and rows always agree.
+    """
+    keys, sums = list(keys), dict(sums or {})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = written(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()), "ordered")
+    per = d.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    state = per.select(*keys, "_pid", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
+                       *[F.coalesce(F.sum(f"_s_{k}").over(upto), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy(*keys, "_pid").orderBy(*order)
+    d = d.join(state, [*keys, "_pid"])
     out = {"rank_no": F.col("_before") + F.row_number().over(inside)}
-    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
-    for n, c in sums.items():
-        out[n] = F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(upto), F.lit(0))
-    return d.withColumns(out).drop("_bin", "_before", *[f"_b_{n}" for n in sums])
+    for k, c in sums.items():
+        out[k] = F.col(f"_b_{k}") + F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumns(out).drop("_pid", "_before", *[f"_b_{k}" for k in sums])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],

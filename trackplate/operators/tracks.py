@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..core import ratio
 from . import axis
 from .grouped import key_types, map_groups
-from .ranking import quantiles, with_rank
+from .ranking import quantiles, value_ranks
 
 KEYS = ("video_id", "track_id")
 PAUSED_SHARE = 0.10
@@ -99,10 +99,12 @@ def track_quality(span: Column, cov: Column, min_span: float = MIN_SPAN_S) -> Co
 
 def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, name: str, trim: float = TRIM) -> DataFrame:
     """Mean after dropping floor(n * trim) values at each end, by distributed rank."""
-    r = with_rank(df.where(F.col(value).isNotNull()), keys, value)
+    r = value_ranks(df, keys, value)
     k = F.floor(F.col("rank_n") * trim)
-    kept = (F.col("rank_n") - 2 * k <= 0) | ((F.col("rank_no") > k) & (F.col("rank_no") <= F.col("rank_n") - k))
-    return r.where(kept).groupBy(*keys).agg(F.avg(value).alias(name))
+    lo, hi = F.greatest(F.col("rank_from"), k), F.least(F.col("rank_from") + F.col("c"), F.col("rank_n") - k)
+    used = F.when(F.col("rank_n") - 2 * k <= 0, F.col("c")).otherwise(F.greatest(hi - lo, F.lit(0)))
+    return r.withColumn("_u", used).groupBy(*keys).agg(
+        (F.sum(F.col("v") * F.col("_u")) / F.sum("_u")).alias(name))
 
 
 def plate_mean_length(tracks: DataFrame, length: str = "mean_length_px", span: str = "track_duration_s",

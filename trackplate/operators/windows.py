@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import axis
+from .grouped import key_types, map_groups
 
 KEYS = ("video_id", "track_id")
 
@@ -193,9 +195,9 @@ def turn_events(dense: DataFrame, fps: float, min_speed: Column, turn_deg: float
                 reversal_deg: float = 140.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Accepted turn / reversal events, at least `gap` frames apart.
 
-    Candidates are local maxima of [i - hold, i + hold). A candidate with no other one
-    in the `gap` frames before it is always accepted, so the sequential rule only has
-    to be walked inside clusters of candidates, each a short array.
+    Candidates are local maxima of [i - hold, i + hold). Acceptance depends on the last
+    accepted event, but only when that is less than `gap` frames away: `spaced` uses
+    this to decide chunks of a track independently.
     """
     w = motion_windows(fps)
     d = axis.halo(dense, "frame", w["step"] + w["look"] + w["hold"])
@@ -203,19 +205,53 @@ def turn_events(dense: DataFrame, fps: float, min_speed: Column, turn_deg: float
     near = Window.partitionBy(*keys, "_chunk").orderBy("frame").rowsBetween(-w["hold"], w["hold"] - 1)
     d = axis.home_rows(d.withColumn("_top", F.max("angle").over(near)))
     c = d.where((F.col("angle") >= turn_deg) & (F.col("angle") >= F.col("_top"))).select(*keys, "frame", "angle")
-    c = axis.with_previous(c, keys, {"_pf": F.col("frame")}, order=("frame",))
-    new = F.col("_pf").isNull() | (F.col("frame") - F.col("_pf") >= w["gap"])
-    c = axis.islands(c, keys, new, "_cluster", order=("frame",))
-    walked = c.groupBy(*keys, "_cluster").agg(
-        F.array_sort(F.collect_list(F.struct("frame", "angle"))).alias("_c"))
-    far = F.lit(w["gap"])
-    kept = F.aggregate(
-        "_c", F.slice("_c", 1, 1),
-        lambda acc, x: F.when(x["frame"] - F.element_at(acc, -1)["frame"] >= far,
-                              F.concat(acc, F.array(x))).otherwise(acc))
-    out = walked.withColumn("_e", F.explode(kept))
-    kind = F.when(F.col("_e.angle") >= reversal_deg, "reversal").otherwise("turn")
-    return out.select(*keys, F.col("_e.frame").alias("frame"), F.col("_e.angle").alias("angle"), kind.alias("event"))
+    out = spaced(c, w["gap"], keys)
+    kind = F.when(F.col("angle") >= reversal_deg, "reversal").otherwise("turn")
+    return out.select(*keys, "frame", "angle", kind.alias("event"))
+
+
+def spaced(cands: DataFrame, gap: int, keys: Sequence[str] = KEYS, width: int = axis.WIDTH) -> DataFrame:
+    """Walk candidates (frame, angle) in order, keep one when >= gap after the last kept.
+
+    A chunk of frames is entered with the last kept event 1..gap-1 frames before it, or
+    none that near (state 0). Each chunk turns every entry state into an exit state; one
+    row per chunk then passes the true state along the track, and each chunk is walked
+    with its own.
+    """
+    width = max(width, gap)
+    start = F.col("_chunk") * F.lit(width)
+    far = F.lit(gap)
+    c = cands.withColumn("_chunk", F.floor(F.col("frame") / F.lit(width)).cast("long"))
+    lists = c.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct("frame", "angle"))).alias("_c"))
+    lists = lists.withColumn("_start", start)
+
+    def entry(state):        # frame of the last kept event before the chunk
+        return F.col("_start") - F.when(state == 0, far).otherwise(state)
+
+    def exit_state(state):
+        last = F.aggregate("_c", entry(state), lambda acc, x: F.when(x["frame"] - acc >= far, x["frame"]).otherwise(acc))
+        ahead = F.col("_start") + F.lit(width) - last
+        return F.when(ahead < far, ahead).otherwise(F.lit(0)).cast("int")
+
+    states = F.sequence(F.lit(0).cast("long"), F.lit(gap - 1).cast("long"))
+    moves = lists.select(*keys, "_chunk", F.transform(states, exit_state).alias("_moves"))
+    k = list(keys)
+
+    def chain(rows, starts):
+        chunk, move = rows["_chunk"].to_numpy(), rows["_moves"].to_numpy()
+        out = np.zeros(len(rows), np.int64)
+        first = set(starts.tolist())
+        for i in range(len(rows)):
+            if i not in first and chunk[i] == chunk[i - 1] + 1:
+                out[i] = move[i - 1][out[i - 1]]
+        return rows[[*k, "_chunk"]].assign(_state=out)
+
+    known = map_groups(moves, k, ["_chunk"], chain, f"{key_types(moves, k)}, _chunk bigint, _state bigint")
+    d = lists.join(known, [*k, "_chunk"])
+    seed = F.struct(entry(F.col("_state")).alias("last"), F.slice("_c", 1, 0).alias("kept"))
+    kept = F.aggregate("_c", seed, lambda acc, x: F.when(
+        x["frame"] - acc["last"] >= far, F.struct(x["frame"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc))["kept"]
+    return d.withColumn("_e", F.explode(kept)).select(*k, F.col("_e.frame").alias("frame"), F.col("_e.angle").alias("angle"))
 
 
 def turn_rates(events: DataFrame, vel: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:

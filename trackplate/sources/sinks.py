@@ -57,8 +57,9 @@ def report_rows(cond: DataFrame) -> DataFrame:
 
 
 def report_payload(cond: DataFrame, points: DataFrame) -> DataFrame:
-    """One JSON document per condition and timepoint, replicate points flat and ordered."""
-    p = points.groupBy("tp", "condition").agg(F.array_sort(F.collect_list(F.struct("unit_id", "total"))).alias("reps"))
-    r = report_rows(cond).join(p, ["tp", "condition"], "left")
-    body = F.struct("strain", "di", "ti", "n_plates", "replicate_unit", "pooled_total", "reps")
-    return r.select("tp", "condition", F.to_json(body).alias("payload"))
+    """JSON lines of a report: one per condition row and one flat one per replicate point."""
+    r = report_rows(cond)
+    c = r.select(F.lit("cond").alias("kind"), F.to_json(F.struct(
+        "condition", "strain", "di", "ti", "n_plates", "replicate_unit", "pooled_total")).alias("payload"))
+    p = points.select("tp", "condition", "total").join(r.select("tp", "condition", "strain", "di", "ti"), ["tp", "condition"])
+    return c.unionByName(p.select(F.lit("rep").alias("kind"), F.to_json(F.struct("strain", "di", "ti", "total")).alias("payload")))
