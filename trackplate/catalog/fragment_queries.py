@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..core import rnd, settle
+from ..core import rnd, settle, written
 from ..operators import fragments as FR
 from ..operators import graph as G
 from .registry import query
@@ -15,7 +15,7 @@ FPS = 10.0
 
 
 def _frags(spark, sf):
-    return FR.fragment_summary(A.fragment_points(spark, sf))
+    return FR.fragment_summary(written(A.fragment_points(spark, sf), "fragments"))
 
 
 def _kept_frags(spark, sf):

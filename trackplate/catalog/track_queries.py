@@ -248,7 +248,12 @@ def head_spectrum(spark, sf):
     return _r(P.band_power(s, KEYS), ["band_power", "band_share"])
 
 
-_GOOD = F.col("was_skeletonized") == 1
+
+
+def _good():
+    return F.col("was_skeletonized") == 1
+
+
 _RUNS = """
 pv AS (SELECT *, was_skeletonized = 1 AS ok, lag(frame) OVER w AS pf, lag(was_skeletonized = 1) OVER w AS po FROM v_track_series
   WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, row_id)),
@@ -260,7 +265,7 @@ cr AS (SELECT video_id, track_id, run_id, min(frame) AS start_frame, max(frame)
 @query("consecutive_runs", "W5", sql("v_track_series", _RUNS + """
 SELECT video_id, track_id, run_id, start_frame, end_frame, n_rows FROM cr"""))
 def consecutive_runs(spark, sf):
-    return W.consecutive_runs(A.track_series(spark, sf), _GOOD)
+    return W.consecutive_runs(A.track_series(spark, sf), _good())
 
 
 @query("bridged_runs", "W6", sql("v_track_series", """
@@ -271,7 +276,7 @@ b AS (SELECT video_id, track_id, max(frame) - min(frame) + 1 AS len FROM r GROUP
 SELECT t.video_id, t.track_id, round(coalesce(max(len), 0) / 10.0, 6) AS longest_run_s
 FROM (SELECT DISTINCT video_id, track_id FROM v_track_series) t LEFT JOIN b USING (video_id, track_id) GROUP BY 1, 2"""))
 def bridged_runs(spark, sf):
-    return _r(W.longest_bridged_run(A.track_series(spark, sf), _GOOD, FPS), ["longest_run_s"])
+    return _r(W.longest_bridged_run(A.track_series(spark, sf), _good(), FPS), ["longest_run_s"])
 
 
 @query("reversals", "W7", sql("v_track_series", """
@@ -367,11 +372,12 @@ p AS (SELECT *, was_skeletonized = 1 AS v, lag(was_skeletonized = 1) OVER w AS p
 t AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame, row_id) AS nth FROM p WHERE v <> pv)
 SELECT video_id, track_id, nth, frame, CASE WHEN v THEN 'n2v' ELSE 'v2n' END AS direction FROM t WHERE nth <= 20"""))
 def validity_transitions(spark, sf):
-    return W.transitions(A.track_series(spark, sf), _GOOD, most=20)
+    return W.transitions(A.track_series(spark, sf), _good(), most=20)
 
 
 @query("phase_rotations", "W16", sql("v_track_series", """
-p AS (SELECT *, atan2(eig2, eig1) AS ph FROM v_track_series WHERE eig1 IS NOT NULL AND eig2 IS NOT NULL),
+sh AS (SELECT * REPLACE (eig1 + 0.01234567 AS eig1) FROM v_track_series),
+p AS (SELECT *, atan2(eig2, eig1) AS ph FROM sh WHERE eig1 IS NOT NULL AND eig2 IS NOT NULL),
 l AS (SELECT *, ph - lag(ph) OVER w AS st, sqrt((eig1 - lag(eig1) OVER w) ** 2 + (eig2 - lag(eig2) OVER w) ** 2) AS seg FROM p
   WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame, row_id)),
 u AS (SELECT *, st - 2 * pi() * floor((st + pi()) / (2 * pi())) AS wr FROM l),
@@ -380,7 +386,8 @@ g AS (SELECT video_id, track_id, count(*) AS n, abs(sum(CASE WHEN wr = -pi() AND
 SELECT video_id, track_id, round(CASE WHEN n >= 10 THEN tn / (2 * pi()) * 30 / (n / 10.0) END, 6) AS rotations_30s,
   round(CASE WHEN n >= 10 THEN CASE WHEN am < 1e-6 THEN 0 ELSE pa / (2 * pi() * am) * 30 / (n / 10.0) END END, 6) AS path_bends_30s FROM g"""))
 def phase_rotations(spark, sf):
-    return _r(W.phase_rotations(A.track_series(spark, sf), "eig1", "eig2", FPS), ["rotations_30s", "path_bends_30s"])
+    s = A.track_series(spark, sf).withColumn("eig1", F.col("eig1") + 0.01234567)   # no two phases exactly opposite
+    return _r(W.phase_rotations(s, "eig1", "eig2", FPS), ["rotations_30s", "path_bends_30s"])
 
 
 # --- diagnostics ---------------------------------------------------------------------
@@ -407,8 +414,8 @@ SELECT video_id, count(*) AS total_fragments, round(avg(dur), 6) AS mean_fragmen
   round(quantile_cont(dur, 0.5), 6) AS median_fragment_duration_s FROM f LEFT JOIN b USING (video_id, track_id) GROUP BY 1"""))
 def continuity(spark, sf):
     s = A.track_series(spark, sf)
-    per = s.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_frames"), F.avg(_GOOD.cast("double")).alias("valid_fraction"))
-    d = T.continuity(per, W.consecutive_runs(s, _GOOD), FPS)
+    per = s.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_frames"), F.avg(_good().cast("double")).alias("valid_fraction"))
+    d = T.continuity(per, W.consecutive_runs(s, _good()), FPS)
     d = _r(d, [f"total_seconds_in_{t}s_runs" for t in (10, 30, 60)], 2)
     return _r(d, ["mean_fragment_duration_s", "mean_valid_skeleton_fraction", "median_fragment_duration_s"])
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import settle
 from .ranking import quantiles
 
 GRID = 150
@@ -39,12 +40,13 @@ def log_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Bins without values are present with 0.
     """
-    d = _with_grid(df.where(F.col(value) > 0), log_grid(df, value))
+    grid = settle(log_grid(df, value))      # one row
+    d = _with_grid(df.where(F.col(value) > 0), grid)
     g0, g1 = F.col("_g.g0"), F.col("_g.g1")
     v, step = F.ln(value), (g1 - g0) / F.lit(GRID - 1)
     b = F.least(F.floor((v - g0) / step), F.lit(GRID - 2)).cast("long")
     counts = d.where((v >= g0) & (v <= g1)).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = _with_grid(df.where(F.col(value) > 0).select(*keys).distinct(), log_grid(df, value)).withColumn(
+    every = _with_grid(df.where(F.col(value) > 0).select(*keys).distinct(), grid).withColumn(
         "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID - 2).cast("long"))))
     edge = [F.exp(g0 + (F.col("bin") + k) * step) for k in (0, 1)]
     return every.join(counts, [*keys, "bin"], "left").select(
@@ -64,7 +66,7 @@ def kde_log(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     width = F.greatest(F.lit(0.17), F.least(F.lit(0.42), F.lit(0.62) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))))
     stat = stat.select(*keys, "_n", (width * F.greatest("_sd", F.lit(1e-6))).alias("_bw"))
     merged = d.groupBy(*keys, lv.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    d = _with_grid(merged.join(stat, list(keys)), log_grid(df, value))
+    d = _with_grid(merged.join(stat, list(keys)), settle(log_grid(df, value)))
     d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     x = F.col("_g.g0") + F.col("i") * (F.col("_g.g1") - F.col("_g.g0")) / F.lit(GRID - 1)
     z = (x - F.col("_v")) / F.col("_bw")
