@@ -48,13 +48,13 @@ RULES = B.merge_rules(0.2, 0.5, 0.3, 0.4)
 
 
 @pytest.mark.parametrize("rule", RULES, ids=["class", "nested", "cross", "seam"])
-def test_rules_both_modes(spark, rule):
+def test_rules_all_modes(spark, rule):
     rows = _boxes(7)
     df = spark.createDataFrame(rows, SCHEMA)
     want = {r[1] for r in brute(rows, rule)}
     assert want != {r[1] for r in rows}
-    for small in (5000, 0):
-        assert {r.det_id for r in B.suppress(df, rule, small=small, cell=64.0).collect()} == want
+    for small, crowd in ((5000, 1), (0, 10**6), (0, 1)):
+        assert {r.det_id for r in B.suppress(df, rule, small=small, crowd=crowd, cell=64.0).collect()} == want
 
 
 def test_rule_order_split_and_merge(spark):

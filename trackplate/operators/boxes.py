@@ -9,13 +9,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import settle
+from ..core import settle, written
 from ..functions import boxes as B
 from .grouped import map_groups
 from .ranking import quantiles
 
 KEYS = ("image_id",)
 CELL = 256.0
+EPS = B.EPS
 
 
 # --- tiles and gates ---------------------------------------------------------------
@@ -120,7 +121,7 @@ def _walk(box, score, cls, cut, ids, rule: Rule) -> np.ndarray:
             w = np.minimum(box[i, 2], box[k, 2]) - np.maximum(box[i, 0], box[k, 0])
             h = np.minimum(box[i, 3], box[k, 3]) - np.maximum(box[i, 1], box[k, 1])
             inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-            base = area[i] + area[k] - inter + B.EPS if rule.measure == "iou" else max(B.EPS, area[i])
+            base = area[i] + area[k] - inter + EPS if rule.measure == "iou" else max(EPS, area[i])
             if (inter / base >= rule.limit).any():
                 continue
         kept[i] = True
@@ -135,17 +136,50 @@ def _rank(rule: Rule, name: str) -> Column:
     return F.struct(first.alias("r"), F.col(f"{name}.det_id").alias("d"))
 
 
-def _blocked(cands: DataFrame, kept: DataFrame, rule: Rule, keys, cell) -> DataFrame:
-    """det_ids of candidates that a kept earlier box suppresses."""
-    a, b = _boxed(_cells(cands, cell), "a", keys), _boxed(_cells(kept, cell), "b", keys)
+def _blocks(cands: DataFrame, others: DataFrame, rule: Rule, keys, cell) -> DataFrame:
+    """(loser, winner) pairs: an earlier box overlaps a candidate enough."""
+    a, b = _boxed(_cells(cands, cell), "a", keys), _boxed(_cells(others, cell), "b", keys)
     measure = B.iou("a", "b") if rule.measure == "iou" else B.covered_fraction("a", "b")
     hit = (_rank(rule, "b") < _rank(rule, "a")) & (measure >= rule.limit)
     return (a.join(b, [*keys, "_cx", "_cy"]).where(hit)
-            .select(*keys, F.col("a.det_id").alias("det_id")).distinct())
+            .select(*keys, F.col("a.det_id").alias("loser"), F.col("b.det_id").alias("winner")).distinct())
+
+
+def _blocked(cands: DataFrame, kept: DataFrame, rule: Rule, keys, cell) -> DataFrame:
+    """det_ids of candidates that a kept earlier box suppresses."""
+    return _blocks(cands, kept, rule, keys, cell).select(*keys, F.col("loser").alias("det_id")).distinct()
+
+
+def _crowded(dets: DataFrame, keys, cell: float, limit: int) -> bool:
+    """Whether some grid cell holds more boxes than pairs may be listed for."""
+    n = _cells(dets, cell).groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    return not n.where(F.col("_n") > limit).isEmpty()
+
+
+def _suppress_edges(dets: DataFrame, rule: Rule, keys, cell, max_rounds: int) -> DataFrame:
+    """Large images of ordinary density: write who blocks whom once, then settle it.
+
+    A blocker that nobody can drop is kept and its losers go; a dropped box blocks
+    nobody. The number of rounds is the longest chain of conflicts, not the box count.
+    """
+    k = [*keys, "cls"] if rule.same_class else list(keys)
+    cands = dets.where("truncated") if rule.only_truncated else dets
+    e = written(_blocks(cands, dets, rule, k, cell), "blocks")
+    dropped = None
+    for _ in range(max_rounds):
+        if e.isEmpty():
+            return dets if dropped is None else dets.join(dropped, [*k, "det_id"], "left_anti")
+        loser = e.select(*k, F.col("loser").alias("winner")).distinct()
+        kept = e.select(*k, "winner").distinct().join(loser, [*k, "winner"], "left_anti")
+        gone = settle(e.join(kept, [*k, "winner"]).select(*k, F.col("loser").alias("det_id")).distinct())
+        dropped = gone if dropped is None else settle(dropped.unionByName(gone))
+        e = settle(e.join(gone.withColumnRenamed("det_id", "loser"), [*k, "loser"], "left_anti")
+                   .join(gone.withColumnRenamed("det_id", "winner"), [*k, "winner"], "left_anti"))
+    raise RuntimeError("suppression did not settle; raise max_rounds")
 
 
-def _suppress_rounds(dets: DataFrame, rule: Rule, keys, cell, max_rounds: int) -> DataFrame:
-    """Same answer for a group of any size.
+def _suppress_leads(dets: DataFrame, rule: Rule, keys, cell, max_rounds: int) -> DataFrame:
+    """Large images with crowded cells, where even listing conflicts is too much.
 
     Each round keeps the boxes that lead every grid cell they touch (nothing earlier
     can overlap them) and drops what they suppress. At most one box per cell is new,
@@ -182,12 +216,13 @@ def _route(dets: DataFrame, keys, small: int):
     return dets.join(big, list(keys), "left_anti"), dets.join(big, list(keys), "left_semi")
 
 
-def suppress(dets: DataFrame, rules: Sequence[Rule] | Rule, keys: Sequence[str] = KEYS, small: int = 5000,
-             cell: float = CELL, max_rounds: int = 10_000) -> DataFrame:
+def suppress(dets: DataFrame, rules: Sequence[Rule] | Rule, keys: Sequence[str] = KEYS, small: int = 50_000,
+             cell: float = CELL, crowd: int = 2000, max_rounds: int = 10_000) -> DataFrame:
     """Apply suppression rules in order, per image.
 
-    Images up to `small` boxes take one Arrow group each for all rules; larger images
-    run the rounds. Both give the same boxes.
+    Images up to `small` boxes are walked as Arrow groups for all rules. Larger images
+    settle a table of conflicts, or, when a grid cell holds more than `crowd` boxes,
+    keep cell leaders round by round. All three give the same boxes.
     """
     rules = [rules] if isinstance(rules, Rule) else list(rules)
     few, many = _route(dets, keys, small)
@@ -207,7 +242,8 @@ def suppress(dets: DataFrame, rules: Sequence[Rule] | Rule, keys: Sequence[str]
     out = map_groups(few, keys, [], run, dets.schema)
     if many is not None:
         for rule in rules:
-            many = _suppress_rounds(many, rule, keys, cell, max_rounds).select(*dets.columns)
+            step = _suppress_leads if _crowded(many, keys, cell, crowd) else _suppress_edges
+            many = step(many, rule, keys, cell, max_rounds).select(*dets.columns)
         out = out.unionByName(many)
     return out
 
@@ -249,7 +285,7 @@ def relabel_cached(rows: DataFrame, names, refs, alpha: float, excluded=()) -> D
 
 
 def merge_detections(dets: DataFrame, floors, sizes, names, refs, alpha=0.0, excluded=(), rules=None,
-                     keys: Sequence[str] = KEYS, small: int = 5000) -> DataFrame:
+                     keys: Sequence[str] = KEYS, small: int = 50_000) -> DataFrame:
     """Gates, suppression passes and relabelling in their fixed order."""
     gated = detection_gate(dets, floors, sizes, excluded)
     kept = suppress(gated, rules if rules is not None else merge_rules(), keys, small)

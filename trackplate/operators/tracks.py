@@ -142,23 +142,46 @@ def interval_cv(peaks: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> Dat
 
 # --- diameter --------------------------------------------------------------------
 
-def _hull(xy: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull (monotone chain)."""
-    p = np.unique(xy, axis=0)
-    if len(p) < 3:
-        return p
+def _corners(xy: np.ndarray) -> np.ndarray:
+    """Row numbers of the convex hull corners (monotone chain).
 
-    def half(points):
+    Points strictly inside the polygon of eight extreme points cannot be corners and
+    are left out first.
+    """
+    rows = np.arange(len(xy))
+    if len(xy) > 32:
+        turn = np.arange(8) * (np.pi / 4)
+        far = np.argmax(xy @ np.vstack([np.cos(turn), np.sin(turn)]), axis=0)
+        inside = np.ones(len(xy), bool)
+        for a, b in zip(xy[far], xy[np.roll(far, -1)]):
+            if (a != b).any():
+                inside &= (b[0] - a[0]) * (xy[:, 1] - a[1]) - (b[1] - a[1]) * (xy[:, 0] - a[0]) > 0
+        rows = np.unique(np.r_[rows[~inside], far])
+    rows = rows[np.lexsort((xy[rows, 1], xy[rows, 0]))].tolist()
+    if len(rows) < 3:
+        return np.array(rows)
+    x, y = xy[:, 0], xy[:, 1]
+
+    def half(order):
         out: list = []
-        for q in points:
-            while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (q[1] - out[-2][1])
-                                    - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0])) <= 0:
+        for q in order:
+            while len(out) > 1 and ((x[out[-1]] - x[out[-2]]) * (y[q] - y[out[-2]])
+                                    - (y[out[-1]] - y[out[-2]]) * (x[q] - x[out[-2]])) <= 0:
                 out.pop()
             out.append(q)
-        return out[:-1]
+        return out
+
+    return np.unique(half(rows) + half(rows[::-1]))
 
-    pts = p.tolist()
-    return np.array(half(pts) + half(pts[::-1]))
+
+def _corner_rows(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Only the hull corners of every group in the batch."""
+    group = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+    order = np.argsort(group, kind="stable")
+    xy = pdf[["x", "y"]].to_numpy()[order]
+    cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    kept = [a + _corners(xy[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(xy)])]
+    return pdf.iloc[order[np.concatenate(kept)]]
 
 
 def _farthest(h: np.ndarray) -> float:
@@ -169,28 +192,31 @@ def _farthest(h: np.ndarray) -> float:
     return best
 
 
-def diameter(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def diameter(points: DataFrame, keys: Sequence[str] = KEYS, pool: int = 200_000) -> DataFrame:
     """Largest distance between two points of a group, exactly (0 below 2 points).
 
-    Hulls merge: each Arrow batch is reduced to its corner points before any shuffle.
+    Hulls merge: a task reduces its batches to corner points before any shuffle and
+    hands on one hull per group (more often only when it holds very many groups).
     """
     k = list(keys)
     p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*k, "x", "y")
+
     def corners(batches):
+        held: list[pd.DataFrame] = []
         for b in batches:
-            parts = []
-            for key, g in b.groupby(k, sort=False):
-                h = _hull(g[["x", "y"]].to_numpy())
-                part = pd.DataFrame(h, columns=["x", "y"])
-                for name, v in zip(k, key):
-                    part[name] = v
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts)[[*k, "x", "y"]]
+            if len(b) == 0:
+                continue
+            held.append(_corner_rows(b, k))
+            if sum(map(len, held)) > pool:
+                held = [_corner_rows(pd.concat(held, ignore_index=True), k)]
+                if len(held[0]) > pool // 2:
+                    yield held.pop()
+        if held:
+            yield _corner_rows(pd.concat(held, ignore_index=True), k)
 
     def widest(rows, starts):
         xy = rows[["x", "y"]].to_numpy()
-        d = [_farthest(_hull(xy[a:b])) for a, b in zip(starts, np.r_[starts[1:], len(rows)])]
+        d = [_farthest(xy[a:b][_corners(xy[a:b])]) for a, b in zip(starts, np.r_[starts[1:], len(rows)])]
         return rows[k].iloc[starts].assign(displacement_px=d)
 
     types = key_types(p, k)
