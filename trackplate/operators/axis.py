@@ -5,7 +5,7 @@ not safe. Two building blocks replace it:
 
 * carry: cut the axis into buckets of fixed frame width, summarise every bucket
   with one (map-side combined) aggregate, hand the summary of the earlier buckets
-  to the next one, and run the window inside the bucket only;
+  to the next one as a marker row, and run the window inside the bucket only;
 * halo: cut the axis into chunks and copy the few rows near a chunk edge to the
   neighbour, so a bounded look-around window stays inside its chunk.
 
@@ -27,13 +27,27 @@ def _bucketed(df: DataFrame, pos: str, width: int) -> DataFrame:
     return df.withColumn("_bucket", F.floor(F.col(pos) / F.lit(width)).cast("long"))
 
 
-def _carry(df, keys, summary, carried, order, width):
-    """Join per-bucket `summary` aggregates of earlier buckets onto each row."""
+def _with_carried(df, keys, summary, carried, order, width, side):
+    """Rows plus one marker row per bucket that holds what the other buckets hand on.
+
+    The marker sorts before (side -1) or after (side 1) the rows of its bucket, so the
+    window inside the bucket meets it like a neighbour and no join is needed: one
+    exchange and one sort of the rows.
+    """
     b = _bucketed(df, order[0], width)
     per_bucket = b.groupBy(*keys, "_bucket").agg(*summary)
     over = Window.partitionBy(*keys).orderBy("_bucket")
     state = per_bucket.select(*keys, "_bucket", *[e(over).alias(n) for n, e in carried.items()])
-    return b.join(state, [*keys, "_bucket"])
+    state = state.where(F.coalesce(*[F.col(n).isNotNull() for n in carried])).withColumn("_side", F.lit(side))
+    return b.withColumn("_side", F.lit(0)).unionByName(state, allowMissingColumns=True)
+
+
+def _own_rows(d: DataFrame, *drop: str) -> DataFrame:
+    return d.where(F.col("_side") == 0).drop("_side", "_bucket", *drop)
+
+
+def _inside(keys, order):
+    return Window.partitionBy(*keys, "_bucket").orderBy("_side", *order)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column],
@@ -41,11 +55,10 @@ def with_previous(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]
     """Add, per name, the value the column expression had on the preceding row."""
     row = F.struct(*[c.alias(n) for n, c in cols.items()])
     summary = [F.max_by(row, F.struct(*order)).alias("_tail")]
-    d = _carry(df, keys, summary, {"_head": lambda o: F.lag("_tail").over(o)}, order, width)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    d = d.withColumn("_prev", F.coalesce(F.lag(row).over(w), F.col("_head")))
-    d = d.withColumns({n: F.col("_prev")[n] for n in cols})
-    return d.drop("_prev", "_head", "_bucket")
+    d = _with_carried(df, keys, summary, {"_far": lambda o: F.lag("_tail").over(o)}, order, width, -1)
+    seen = F.when(F.col("_side") == 0, row).otherwise(F.col("_far"))
+    d = d.withColumn("_prev", F.lag(seen).over(_inside(keys, order)))
+    return _own_rows(d.withColumns({n: F.col("_prev")[n] for n in cols}), "_prev", "_far")
 
 
 def with_next(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column],
@@ -53,11 +66,10 @@ def with_next(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column],
     """Add, per name, the value the column expression has on the following row."""
     row = F.struct(*[c.alias(n) for n, c in cols.items()])
     summary = [F.min_by(row, F.struct(*order)).alias("_first")]
-    d = _carry(df, keys, summary, {"_after": lambda o: F.lead("_first").over(o)}, order, width)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    d = d.withColumn("_next", F.coalesce(F.lead(row).over(w), F.col("_after")))
-    d = d.withColumns({n: F.col("_next")[n] for n in cols})
-    return d.drop("_next", "_after", "_bucket")
+    d = _with_carried(df, keys, summary, {"_far": lambda o: F.lead("_first").over(o)}, order, width, 1)
+    seen = F.when(F.col("_side") == 0, row).otherwise(F.col("_far"))
+    d = d.withColumn("_next", F.lead(seen).over(_inside(keys, order)))
+    return _own_rows(d.withColumns({n: F.col("_next")[n] for n in cols}), "_next", "_far")
 
 
 def with_running(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
@@ -70,12 +82,11 @@ def with_running(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
         return lambda o: F.coalesce(
             F.sum(f"_t_{n}").over(o.rowsBetween(Window.unboundedPreceding, -1)), zero)
 
-    d = _carry(df, keys, summary, {f"_p_{n}": before(n) for n in sums}, order, width)
-    w = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumns({n: F.col(f"_p_{n}") + F.coalesce(F.sum(c).over(w), zero)
+    d = _with_carried(df, keys, summary, {f"_p_{n}": before(n) for n in sums}, order, width, -1)
+    w = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({n: F.coalesce(F.sum(F.when(F.col("_side") == 0, c).otherwise(F.col(f"_p_{n}"))).over(w), zero)
                        for n, c in sums.items()})
-    return d.drop("_bucket", *[f"_p_{n}" for n in sums])
+    return _own_rows(d, *[f"_p_{n}" for n in sums])
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], name: str = "ord",
