@@ -1,0 +1,19 @@
+"""One registered query per operator, each over its whole table."""
+
+from __future__ import annotations
+
+from . import bpe
+from .common import table
+from .registry import query
+
+
+def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op10_bpe")
+def op10_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_digests(docs, vocabulary_file()).drop("text")
