@@ -4,7 +4,7 @@ from .registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import queries as _  # noqa: F401
+    from . import catalog  # noqa: F401
 
 
 def queries():
