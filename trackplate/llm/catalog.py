@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
-from .common import table
+from pyspark.sql import functions as F
+
+from . import bpe, langid, linecrf
+from .common import id_remainder, table
 from .registry import query
 
 
@@ -13,6 +15,23 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(id_remainder("doc_id", 4) != 2))
+    return langid.identify(docs.drop("lang"), model).select(
+        "doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_line_quality")
+def op9_line_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = id_remainder("doc_id", 3) != 1
+    chain = linecrf.train(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    return linecrf.quality(docs, chain).select(
+        "doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
