@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linecrf
+from . import bpe, langid, linecrf, secrets
 from .common import id_remainder, table
 from .registry import query
 
@@ -15,6 +15,21 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_secrets")
+def op1_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE]
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(told(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
