@@ -23,9 +23,11 @@ def op1_secrets(spark, sf_dir):
     def told(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
+    def n_of(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id",
-        *(F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        "doc_id", *map(n_of, base),
         F.sha2(told(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"))
 
