@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linecrf, secrets
+from . import bpe, hostrules, langid, linecrf, mixing, secrets
 from .common import id_remainder, table
 from .registry import query
 
@@ -32,6 +32,40 @@ def op1_secrets(spark, sf_dir):
         told(F.col("spans")).alias("spans"))
 
 
+WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+HOST_SQL = f"""
+with d as (select doc_id, source, coalesce(text, '') as text, {WORDS_SQL} as w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+win as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n
+        from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+rep as (select doc_id, count(distinct i + k) as n from win, (values (0), (1), (2)) as t(k) where n > 1 group by doc_id),
+c as (select d.doc_id, source, len(w)::bigint as n_words, len(array_to_string(w, ''))::bigint as word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines,
+        (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+      from d left join rep using (doc_id)),
+f as (select source, rule, count(*) as docs, sum(failed::int) as failed from (
+        unpivot (select source, {", ".join(f"({r}) as {n}" for n, r in hostrules.RULES.items())} from c)
+        on {", ".join(hostrules.RULES)} into name rule value failed) group by source, rule),
+m as (select rule, avg(failed / docs) as mean, var_pop(failed / docs) as var from f group by rule),
+b as (select f.source, f.rule, (failed + mean * s) / (docs + s) > {hostrules.HOST_LIMIT} as binds from f join
+        (select *, case when var > 0 then least({hostrules.MOST_STRENGTH}, greatest({hostrules.LEAST_STRENGTH}, mean * (1 - mean) / var - 1))
+                   else {hostrules.MOST_STRENGTH} end as s from m) m on f.rule = m.rule),
+h as (select source, {", ".join(f"bool_or(binds and rule = '{n}') as binds_{n}" for n in hostrules.RULES)} from b group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (
+    {" or ".join(f"(binds_{n} and ({r}))" for n, r in hostrules.RULES.items())}) as kept
+from c join h on c.source is not distinct from h.source
+"""
+
+
+@query("op3_host_rules", HOST_SQL)
+def op3_host_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return hostrules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -40,6 +74,35 @@ def op7_language_id(spark, sf_dir):
         "doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+MIX_SQL = f"""
+with d as (select doc_id, source, size, -ln((('0x' || substr(md5(doc_id::varchar), 1, 12))::bigint + 0.5) / 281474976710656.0)
+             / (1 - least(1.0, coalesce(symbols::double / nullif(size, 0), 1.0)) / 2) as key
+           from (select doc_id, source, len({WORDS_SQL})::bigint as size,
+                   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) as symbols from documents)),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, (array[3, 1, 2])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from s),
+q as (select *, {mixing.SHARE} * sum(source_size) over () - 2 * coalesce(sum(source_size) over (
+        order by source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as rest,
+        sum(w) over (order by source_size / w, source nulls last rows between current row and unbounded following) as open from w),
+v as (select source, source_size, w, rest, open, rest * w <= 2 * source_size * open as fits,
+        row_number() over (order by source_size / w, source nulls last) as k from q),
+l as (select arg_min(rest, k) as rest, arg_min(open, k) as open, min(k) as k from v where fits),
+t as (select source, source_size, case when v.k >= l.k then w * l.rest::double / l.open::double else 2.0 * source_size end as target from v, l),
+e as (select *, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as epochs from t)
+select doc_id, size, source_size, target,
+  (epochs * size + greatest(0, least(size, floor(target)::bigint - epochs * source_size - before)))::bigint as taken
+from (select d.*, source_size, target, epochs, coalesce(sum(size) over (partition by d.source order by key, doc_id::varchar
+        rows between unbounded preceding and 1 preceding), 0) as before
+      from d join e on d.source is not distinct from e.source)
+"""
+
+
+@query("op8_source_mix", MIX_SQL)
+def op8_source_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op9_line_quality")
 def op9_line_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
