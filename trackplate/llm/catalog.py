@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, langid, linecrf, mixing, secrets
+from . import bpe, hostrules, jaccard, langid, linecrf, mixing, secrets
 from .common import id_remainder, table
 from .registry import query
 
@@ -66,6 +66,11 @@ def op3_host_rules(spark, sf_dir):
     return hostrules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
