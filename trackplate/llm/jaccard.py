@@ -271,7 +271,8 @@ def fetch_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
     """
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << BITMAP_BITS))
-    marks = (wanted.select((slot + 1).alias("slot"))               # positions of these functions start at 1.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    # the bitmap functions count positions from 1
+    marks = (wanted.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect())
     bits = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
     for bucket, own in marks:                                    # 4 KB each, 2^BITMAP_BITS bits in all
