@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, jaccard, langid, linecrf, mixing, secrets
+from . import bpe, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets
 from .common import id_remainder, table
 from .registry import query
 
@@ -34,6 +34,27 @@ def op1_secrets(spark, sf_dir):
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+LINES_SQL = f"""
+with l as (select doc_id, i - 1 as line, {WORDS_SQL.replace("text", "lower(x[i])")} as w from (
+             select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split(text, chr(10)) as x from documents))),
+s as (select doc_id, line, list_sort(list_distinct(w)) as w from l where len(w) > 0),
+c as (select w, min(struct_pack(d := doc_id, l := line)) as pos, len(w) as n from s group by w),
+t as (select pos, n, unnest(w) as token from c),
+gone as (select distinct y.pos from t x join t y on x.token = y.token and x.pos < y.pos and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+         group by x.pos, y.pos, x.n, y.n having 9 * count(*) >= 4 * (x.n + y.n)),
+k as (select pos.d as doc_id, count(*) as kept from c where pos not in (select pos from gone) group by 1),
+n as (select doc_id, count(*) as n_lines from s group by doc_id)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, (coalesce(n_lines, 0) - coalesce(kept, 0))::bigint as n_removed
+from documents left join n using (doc_id) left join k using (doc_id)
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2_line_dedup(spark, sf_dir):
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
+
+
 HOST_SQL = f"""
 with d as (select doc_id, source, coalesce(text, '') as text, {WORDS_SQL} as w,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
