@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets
+from . import bpe, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets, vectordup, warc
 from .common import id_remainder, table
 from .registry import query
 
@@ -87,11 +87,30 @@ def op3_host_rules(spark, sf_dir):
     return hostrules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op4_sorted_projections")
+def op4_sorted_projections(spark, sf_dir):
+    return vectordup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+WARC_SQL = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) else page_id end as kept from p)
+select page_id, payload_bytes, payload_digest, case when page_id = kept then 'response' else 'revisit' end as record_type,
+  case when page_id <> kept then kept end as refers_to from m
+"""
+
+
+@query("op6_warc_merge", WARC_SQL)
+def op6_warc_merge(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
