@@ -14,12 +14,13 @@ per member; then members that are still in different components are compared pai
 so no link between components is lost, and no pair inside one is spent.
 
 Shingles travel as packed arrays per hash partition; keys that are frequent are dealt to
-several partitions. Only a bounded table of frequent keys, a bitmap of fixed size and a few
-totals pass through the driver.
+several partitions. Only a count table and a bitmap, both of fixed size, and a few totals pass
+through the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,12 @@ from ..core import written
 from ..operators.graph import connected_components
 
 WORDS = 5
-FREQUENT = 1 << 20            #: keys that are ordered by frequency; all others count as rare
+SLOT_BITS = 24                #: of the count table that the order comes from: 16 MB
 SALT_ROWS = 4096              #: expected members of one piece of a frequent key's list
 BITMAP_BITS = 26
-SPLIT = 1 << 31               #: marks, beside the set size, entries of a split list
+SPLIT = 1 << 15               #: marks, beside the size step, entries of a split list
+STEPS = 512                   #: size steps per doubling
+REACH = 214                   #: steps between sizes that may match: 512 * log2(4/3) and rounding
 SMALL_MOST = 256              #: sizes that may be called small
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -58,53 +61,62 @@ class WordHash(dict):
         return value
 
 
+FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
+
+
 def shingle_set(text: str | None, memo: WordHash) -> np.ndarray:
     """Ascending distinct 64-bit shingles; fewer than WORDS words are one shingle of their own kind."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.zeros(0, U)
-    w = np.fromiter((memo[x] for x in words), U, len(words))
-    if len(w) < WORDS:
-        h = U(len(w))
-        for x in w.reshape(-1, 1):
-            h = mix(x + h * U(0x100000001B3), 1)
-        return h
-    n = len(w) - WORDS + 1
-    h = w[:n]
-    for k in range(1, WORDS):
-        h = mix(h + w[k:k + n] * U(2 * k + 1))
-    return np.unique(h)
+    w = np.fromiter(map(memo.__getitem__, words), U, len(words))
+    n = max(1, len(w) - WORDS + 1)
+    h = np.full(n, len(w) if len(w) < WORDS else 0, U)
+    for k, f in enumerate(FACTORS[:len(w)]):
+        h += w[k:k + n] * f
+    h = mix(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit sums that name a set."""
-    a, b = mix(s, 2).sum(dtype=U), mix(s, 3).sum(dtype=U)
-    return tuple(int(x) for x in mix(np.array([a, b]) + U(len(s)), 4).view(np.int64))
+    sums = np.array([s.sum(dtype=U), (s * (s >> U(32) | U(1))).sum(dtype=U)])
+    return tuple(mix(sums + U(len(s)), 4).view(np.int64).tolist())
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of shingles falls on i; a power of two of bits, as many as shingles or more.
+
+    Folding halves onto each other gives the shorter form, and the bits in which two forms
+    differ are at most the shingles in which their sets do.
+    """
+    m = max(512, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
 class Order:
-    """The common order: rare keys by hash, then the frequent ones by count and hash."""
+    """The common order: by how many sets hold a key in hash order's prefix, then by hash.
+
+    Counts are kept by hash slot, as 8 * log2, in a table of fixed size.
+    """
 
-    def __init__(self, bits: int, frequent: np.ndarray, counts: np.ndarray):
-        self.bits, self.frequent, self.counts = bits, frequent, counts          # sorted reduced keys, their counts
+    def __init__(self, bits: int, levels: np.ndarray):
+        self.bits, self.levels = bits, levels
 
-    def reduced(self, s: np.ndarray, tag: int = 5) -> np.ndarray:
+    def reduced(self, s: np.ndarray) -> np.ndarray:
         """Partition (high bits) and 32 key bits; clashes only make candidates that fail."""
-        return mix(s, tag) >> U(32 - self.bits)
+        return s & U((1 << 32 + self.bits) - 1)
 
-    def count(self, r: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(r), np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, r), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == r, self.counts[at], 0)
+    def slot(self, r: np.ndarray) -> np.ndarray:
+        return (r >> U(32 + self.bits - SLOT_BITS)).astype(np.int64)
 
-    def prefix(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First n - ceil(3n/4) + k shingles with their reduced keys and counts."""
-        r = self.reduced(s)
-        c = self.count(r)
-        p = len(s) // 4 + k
-        first = np.lexsort((s, c))[:p]
-        return s[first], r[first], c[first]
+    def prefix(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """First n - ceil(3n/4) + k shingles, in no order, with the estimated counts of their keys."""
+        level = self.levels[self.slot(self.reduced(s))]
+        p = min(len(s), len(s) // 4 + k)
+        first = np.argpartition(level.astype(U) << U(56) | s >> U(8), p - 1)[:p]
+        return s[first], np.exp2(level[first] / 8.0)
 
 
 def _pack(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +132,7 @@ def described(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
     """Documents (id, n, d1, d2) and, as rows with `part`, counted prefix keys in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(bits, np.zeros(0, U), np.zeros(0, np.int64))
+        order = Order(bits, np.zeros(0, np.uint8))
         for b in batches:
             memo, ids, rows, keys = WordHash(), b.column(0), [], []
             for t in b.column(1).to_pylist():
@@ -138,10 +150,15 @@ def described(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
                 ["part", "key", "count", "doc", "n", "d1", "d2"])
             if keys:
                 r, c = np.unique(np.concatenate(keys), return_counts=True)
-                for p in _pack((r >> U(32)).astype(np.int32), [(r & U(0xFFFFFFFF)).astype(np.uint32), c.astype(np.uint32)], ["key", "count"]):
-                    m = p.num_rows
-                    yield pa.RecordBatch.from_arrays([*p.columns, *(pa.nulls(m, pa.int64()) for _ in range(4))],
-                                                     ["part", "key", "count", "doc", "n", "d1", "d2"])
+                once = c == 1
+                key = (r & U(0xFFFFFFFF)).astype(np.uint32)
+                part = (r >> U(32)).astype(np.int32)
+                for own, blobs, names in ((once, [key], ["key"]), (~once, [key, c.astype(np.uint32)], ["key", "count"])):
+                    for p in _pack(part[own], [x[own] for x in blobs], names):
+                        m = p.num_rows
+                        yield pa.RecordBatch.from_arrays(
+                            [*p.columns, *([pa.nulls(m, pa.binary())] if len(names) == 1 else []), *(pa.nulls(m, pa.int64()) for _ in range(4))],
+                            ["part", "key", "count", "doc", "n", "d1", "d2"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "part int, key binary, count binary, doc long, n long, d1 long, d2 long")
@@ -151,36 +168,39 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def key_counts(blobs: DataFrame, most: int) -> DataFrame:
-    """(keys, entries, squares, top): per partition, totals and its most frequent repeated keys."""
+def key_counts(blobs: DataFrame, bits: int) -> DataFrame:
+    """(part, keys, entries, levels): per partition, its totals and its stretch of the count table."""
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        k, c = _joined(t.column("key"), np.uint32), _joined(t.column("count"), np.uint32).astype(np.int64)
-        u, at = np.unique(k, return_inverse=True)
-        n = np.bincount(at, weights=c).astype(np.int64)
-        top = np.argsort(-n, kind="stable")[:most]
-        top = top[n[top] > 1]
-        keys = (U(part) << U(32)) | u[top].astype(U)
-        return pa.table({"keys": [len(u)], "entries": [int(n.sum())], "squares": [float((n.astype(float) ** 2).sum())],
-                         "top_key": [keys.view(np.int64).tolist()], "top_count": [n[top].tolist()]},
-                        schema=pa.schema([("keys", pa.int64()), ("entries", pa.int64()), ("squares", pa.float64()),
-                                          ("top_key", pa.list_(pa.int64())), ("top_count", pa.list_(pa.int64()))]))
+        keys, counts = [], []
+        for k, c in zip(t.column("key").to_pylist(), t.column("count").to_pylist()):
+            keys.append(np.frombuffer(k, np.uint32))
+            counts.append(np.ones(len(keys[-1]), np.uint32) if c is None else np.frombuffer(c, np.uint32))
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        width = 1 << SLOT_BITS - bits
+        n = np.bincount((key >> np.uint32(32 - (SLOT_BITS - bits))).astype(np.int64), weights=count, minlength=width)
+        levels = np.minimum(np.round(8 * np.log2(1 + n)), 255).astype(np.uint8)
+        return pa.table({"part": pa.array([part], pa.int32()), "keys": [len(np.unique(key))], "entries": [int(count.sum())],
+                         "levels": pa.array([levels.tobytes()], pa.binary())})
 
-    return blobs.groupBy("part").applyInArrow(
-        run, "keys long, entries long, squares double, top_key array<long>, top_count array<long>")
+    return blobs.groupBy("part").applyInArrow(run, "part int, keys long, entries long, levels binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float) -> int:
-    """Largest size called small: the one with the least subsets to make plus list entries to scan."""
+    """Largest size called small: the one with the least subsets to make, prefix keys to make and list entries to scan."""
     def cost(x: int) -> float:
         subsets = sum(c * (n // 4 + 2) * (n // 4 + 1) / 2 for n, c in sizes.items() if 2 <= n <= x)
-        scans = sum(c * (n // 4 + 1) for n, c in sizes.items() if 4 * n > 3 * x)
-        return subsets + scans * list_length
+        prefixes = sum(c * (n // 4 + 1) for n, c in sizes.items() if 4 * n > 3 * x)
+        return subsets + prefixes * (1 + list_length)
 
     return min(range(SMALL_MOST + 1), key=cost)
 
 
+def size_step(n: int) -> int:
+    return min(SPLIT - 1, round(STEPS * math.log2(n)))
+
+
 def list_entries(docs: DataFrame, doc_id: str, text: str, order, small: int) -> DataFrame:
     """Packed (key, set digest, set size) of subset keys of small sets and prefix keys of the others."""
 
@@ -198,24 +218,23 @@ def list_entries(docs: DataFrame, doc_id: str, text: str, order, small: int) ->
                 seen.add(d)
                 n, made = len(s), []
                 if 4 * n > 3 * small:
-                    _, r, c = o.prefix(s, 1)
-                    pieces = (c + SALT_ROWS - 1) // SALT_ROWS
-                    piece = 1 + U(d & 0xFFFFFFFFFFFFFFFF) % np.maximum(pieces, 1).astype(U)
+                    own, count = o.prefix(s, 1)
+                    r = o.reduced(own)
+                    pieces = np.ceil(count / SALT_ROWS)
+                    split = pieces > 1
+                    piece = 1 + U(d & 0xFFFFFFFFFFFFFFFF) % pieces.astype(U)
                     moved = ((r >> U(32)) + piece) % U(1 << o.bits) << U(32) | r & U(0xFFFFFFFF)
-                    split = np.where(pieces > 1, SPLIT, 0).astype(np.uint32)
-                    r = np.where(pieces > 1, moved, r)
-                    made.append((r, split))
+                    made.append((np.where(split, moved, r), split))
                 if 2 <= n <= small:
-                    p, _, _ = o.prefix(s, 2)
-                    i, j = np.triu_indices(len(p), 1)
-                    low, high = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-                    r = o.reduced(mix(low) + high, 7)
-                    made.append((r, np.zeros(len(r), np.uint32)))
+                    own, _ = o.prefix(s, 2)
+                    i, j = np.triu_indices(len(own), 1)
+                    r = o.reduced(mix(np.minimum(own[i], own[j]) + mix(np.maximum(own[i], own[j])), 7))
+                    made.append((r, np.zeros(len(r), bool)))
                 for r, split in made:
                     parts.append((r >> U(32)).astype(np.int32))
                     keys.append((r & U(0xFFFFFFFF)).astype(np.uint32))
                     sets.append(np.full(len(r), d, np.int64))
-                    sizes.append(split | np.uint32(n))
+                    sizes.append(np.uint16(size_step(n)) | (split * SPLIT).astype(np.uint16))
             if parts:
                 yield from _pack(np.concatenate(parts), [np.concatenate(x) for x in (keys, sets, sizes)], ["key", "d", "n"])
 
@@ -230,9 +249,9 @@ def scan_lists(entries: DataFrame) -> DataFrame:
     """
 
     def run(t: pa.Table) -> pa.Table:
-        key, d, n = _joined(t.column("key"), np.uint32), _joined(t.column("d"), np.int64), _joined(t.column("n"), np.uint32)
-        name = key.astype(U) | (n & np.uint32(SPLIT)).astype(U) << U(1)
-        n = (n & np.uint32(SPLIT - 1)).astype(np.int64)
+        key, d, n = _joined(t.column("key"), np.uint32), _joined(t.column("d"), np.int64), _joined(t.column("n"), np.uint16).astype(np.int64)
+        name = key.astype(U) | (n & SPLIT).astype(U) << U(17)
+        n &= SPLIT - 1
         order = np.lexsort((d, n, name))
         name, d, n = name[order], d[order], n[order]
         new = np.concatenate([[True], (name[1:] != name[:-1]) | (d[1:] != d[:-1])])
@@ -247,7 +266,7 @@ def scan_lists(entries: DataFrame) -> DataFrame:
         while len(left):
             first = np.concatenate([[True], which[left][1:] != which[left][:-1]])
             lead = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-            near = 4 * n[lead] >= 3 * n[left]
+            near = n[left] - n[lead] <= REACH
             own = near & ~first
             leads.append(d[lead[own]])
             members.append(d[left[own]])
@@ -265,9 +284,10 @@ def scan_lists(entries: DataFrame) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(d, s): packed sets of the documents named in wanted (doc, d).
+    """(d, p, n, s): name, parities, size and packed set of the documents named in wanted (doc).
 
-    A bitmap of hashed ids lets the shingling pass skip other documents; an exact join follows.
+    A bitmap of hashed ids lets the shingling pass skip other documents. Those that pass by a
+    clash, and rows that repeat an id, only give sets that nobody asks for or that are equal.
     """
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << BITMAP_BITS))
@@ -290,12 +310,23 @@ def fetch_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
             sets = [shingle_set(t, memo) for t in own.column(2).to_pylist()]
             keep = [k for k, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [own.column(0).take(pa.array(keep, pa.int64())), pa.array([digest(sets[k])[0] for k in keep], pa.int64()),
-                 pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["doc", "d", "s"])
+                [pa.array([digest(sets[k])[0] for k in keep], pa.int64()), pa.array([parities(sets[k]) for k in keep], pa.binary()),
+                 pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["d", "p", "n", "s"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).where("doc is not null")
-    made = rows.select("doc", slot.alias("slot"), "t").mapInArrow(run, "doc long, d long, s binary")
-    return made.join(wanted, ["doc", "d"], "left_semi").select("d", "s").dropDuplicates(["d"])
+    return rows.select("doc", slot.alias("slot"), "t").mapInArrow(run, "d long, p binary, n long, s binary")
+
+
+def may_be_similar(a: pd.Series, b: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+    """False where the parities of two sets of m and n shingles differ in more than (m + n) / 7 bits."""
+
+    def one(x: bytes, y: bytes, total: int) -> bool:
+        u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+        while len(v) > len(u):
+            v = v[:len(v) // 2] ^ v[len(v) // 2:]
+        return 7 * int(np.bitwise_count(u ^ v).sum()) <= total
+
+    return pd.Series([one(*row) for row in zip(a, b, m + n)], dtype=bool)
 
 
 def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -309,11 +340,13 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 3/4 or more."""
-    left = sets.select(F.col("d").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))
-    alike = F.pandas_udf(similar, "boolean")
-    return pairs.join(right, "b").join(left, "a").where(alike("sa", "sb")).select("a", "b")
+    """The pairs (a, b) whose sets have a Jaccard similarity of 3/4 or more; parities sort most others out first."""
+    side = lambda k, *cols: sets.select(F.col("d").alias(k), *(F.col(c).alias(c + k) for c in cols))
+    near = (pairs.join(side("b", "p", "n"), "b").join(side("a", "p", "n"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+            .where(F.pandas_udf(may_be_similar, "boolean")("pa", "pb", "na", "nb")).select("a", "b").distinct())
+    near = written(near, "jaccard-near")
+    return (near.join(side("b", "s"), "b").join(side("a", "s"), "a").where(F.pandas_udf(similar, "boolean")("sa", "sb"))
+            .select("a", "b"))
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -329,19 +362,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    bits = max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
+    bits = min(SLOT_BITS - 8, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
     made = written(described(docs, "doc_id", "text", bits), "jaccard-described")
     told = made.where("part is null").select("doc", "n", "d1", "d2")
-    counted = written(key_counts(made.where("part is not null").select("part", "key", "count"), max(1, 4 * FREQUENT >> bits)), "jaccard-counts")
-    total = counted.agg(F.sum("entries"), F.sum("squares")).first()
-    top = (counted.select(F.explode(F.arrays_zip("top_key", "top_count")).alias("t")).select("t.*")
-           .orderBy(F.desc("top_count")).limit(FREQUENT).toArrow())
-    keys, counts = top.column(0).to_numpy().view(U), top.column(1).to_numpy()
-    at = np.argsort(keys)
-    order = spark.sparkContext.broadcast(Order(bits, keys[at], counts[at]))
+    counted = written(key_counts(made.where("part is not null").select("part", "key", "count"), bits), "jaccard-counts")
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    width = 1 << SLOT_BITS - bits
+    keys, entries = 0, 0
+    for r in counted.toLocalIterator():                          # 2^SLOT_BITS bytes in all
+        levels[r["part"] * width:(r["part"] + 1) * width] = np.frombuffer(bytes(r["levels"]), np.uint8)
+        keys, entries = keys + r["keys"], entries + r["entries"]
+    order = spark.sparkContext.broadcast(Order(bits, levels))
     sizes = {r["n"]: r["c"] for r in told.where(F.col("n") > 0).groupBy(F.least("n", F.lit(2 * SMALL_MOST)).alias("n"))
              .agg(F.count(F.lit(1)).alias("c")).collect()}
-    small = boundary(sizes, (total[1] / total[0]) if total[0] else 1.0)
+    small = boundary(sizes, entries / max(1, keys))
 
     classes = written(told.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "jaccard-classes")
     found = written(scan_lists(list_entries(docs.where("doc_id is not null"), "doc_id", "text", order, small)), "jaccard-lists")
@@ -358,14 +392,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     open_lists = _open(lists, groups)
     per = open_lists.groupBy("list", "c").agg(F.min(F.struct("n", "d")).alias("m"))
     lead = per.groupBy("list").agg(F.min("m").alias("lead"))
-    more = (per.join(lead, "list").where(F.col("m.d") != F.col("lead.d")).where(4 * F.col("lead.n") >= 3 * F.col("m.n"))
+    more = (per.join(lead, "list").where(F.col("m.d") != F.col("lead.d")).where(F.col("m.n") - F.col("lead.n") <= REACH)
             .select(F.col("lead.d").alias("a"), F.col("m.d").alias("b")).distinct())
     edges = edges.union(written(verified(more, sets), "jaccard-links"))
     groups = _components(nodes, edges)
     # then every remaining pair across components
     rest = _open(lists, groups)
     x, y = rest.select("list", *(F.col(k).alias(f"x_{k}") for k in "dnc")), rest.select("list", *(F.col(k).alias(f"y_{k}") for k in "dnc"))
-    across = (x.join(y, "list").where("x_c <> y_c and (x_n < y_n or x_n = y_n and x_d < y_d) and 4 * x_n >= 3 * y_n")
+    across = (x.join(y, "list").where(f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_d < y_d) and y_n - x_n <= {REACH}")
               .select(F.col("x_d").alias("a"), F.col("y_d").alias("b")).distinct())
     edges = edges.union(written(verified(across, sets), "jaccard-links"))
 
