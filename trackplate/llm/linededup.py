@@ -4,11 +4,12 @@ A line's tokens are its distinct lower-cased words. A line is removed if an earl
 (by document id, then line number) has a Jaccard similarity of JACCARD or more with it;
 blank lines stay. Equal sets are one class, placed at its first line. Classes meet on the
 rarest tokens of their sets (prefix filter); pairs that fail the length, positional or
-bitmap bound are not formed, the others are verified on the whole sets.
+parity bound are not formed, the others are verified on the whole sets, whose texts are
+read again.
 
-Every list of classes that share a prefix token is first held against its earliest class:
-a group of near copies goes with one comparison per member. Only what remains is compared
-pair by pair.
+Classes that share a prefix token are first held against the earliest class of their piece
+of the token's list: a group of near copies goes with one comparison per member. Only what
+remains is compared pair by pair.
 
 Rarity comes from word counts of the whole corpus in a table of fixed size, indexed by
 hash; any common order keeps the join exact, a better one only makes lists shorter.
@@ -16,7 +17,7 @@ hash; any common order keeps the join exact, a better one only makes lists short
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import written
@@ -24,11 +25,13 @@ from .common import SPACES, fresh, words
 
 ABOVE, BELOW = 4, 5           #: JACCARD = 4/5
 TABLE_BITS, ROW_BITS = 22, 11  #: of the count table: 4M counters in 2,048 rows
+FILTER_BITS = 20              #: of the bitmap of documents whose lines are compared
+PIECES = 16                   #: of a token's list, each with a first class of its own
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, line, h): the \\n-split lines that have a word, numbered from 0, as hashes of their distinct lower-cased words."""
-    hashes = F.transform(F.split(F.lower(F.col(text)), "\n"), lambda t: F.transform(F.array_distinct(words(t)), lambda w: F.xxhash64(w)))
+    hashes = F.transform(F.split(F.lower(F.col(text)), "\n"), lambda t: F.array_distinct(F.transform(words(t), lambda w: F.xxhash64(w))))
     return docs.select(F.col(doc_id).alias("doc"), F.posexplode(hashes).alias("line", "h")).where(F.size("h") > 0)
 
 
@@ -59,55 +62,66 @@ def token_sets(lines: DataFrame, levels: Column) -> DataFrame:
 
 
 def line_classes(sets: DataFrame) -> DataFrame:
-    """(s, s2, at, codes): one row per distinct set with its first line; `s` names it in the lists."""
-    return (sets.withColumns({"s": F.xxhash64("codes"), "s2": F.hash("codes")}).groupBy("s", "s2")
-            .agg(F.min(F.struct("doc", "line")).alias("at"), F.first("codes").alias("codes")))
-
-
-def prefix_lists(classes: DataFrame) -> DataFrame:
-    """(token, s, doc, line, n, k, b0, b1): the prefix tokens of every class, with what the filters need."""
+    """(doc, line, n, p, b): a row per distinct set, at its first line, with its prefix tokens and parity bits."""
     n = F.size("codes")
-    prefix = n - F.ceil(F.lit(ABOVE) * n / F.lit(BELOW)) + 1
-
-    def parity(high: int) -> Column:
-        return F.expr(f"aggregate(codes, 0L, (a, x) -> a ^ shiftleft(if((x & 64) = {64 * high}, 1L, 0L), cast(x & 63 as int)))")
-
-    return (classes.where(F.col("at").isNotNull())
-            .select("s", "at", n.alias("n"), F.slice("codes", F.lit(1), prefix.cast("int")).alias("p"), parity(0).alias("b0"), parity(1).alias("b1"))
-            .select(F.posexplode("p").alias("k", "token"), "s", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"), "n", "b0", "b1"))
+    prefix = (n - F.ceil(F.lit(ABOVE) * n / F.lit(BELOW)) + 1).cast("int")
+    parity = F.expr("aggregate(codes, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
+    return (sets.select("doc", "line", n.alias("n"), F.xxhash64("codes").alias("s"), F.hash("codes").alias("s2"),
+                        parity.alias("b"), F.slice("codes", F.lit(1), prefix).alias("p"))
+            .groupBy("s", "s2", "n", "b").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("p").alias("p"))
+            .select("at.doc", "at.line", "n", "b", "p"))
 
 
 def _may_match(x: str, y: str) -> str:
-    """Length, positional and bitmap bounds on the overlap of two sets that share a token at k."""
+    """Length, positional and parity bounds on the overlap of two sets that share a token at k."""
     both = f"({x}.n + {y}.n)"
     return (f"{BELOW} * least({x}.n, {y}.n) >= {ABOVE} * greatest({x}.n, {y}.n)"
-            f" and {ABOVE + BELOW} * (least({x}.n - {x}.k, {y}.n - {y}.k)) >= {ABOVE} * {both}"
-            f" and {ABOVE + BELOW} * ({both} - bit_count({x}.b0 ^ {y}.b0) - bit_count({x}.b1 ^ {y}.b1)) >= {2 * ABOVE} * {both}")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Names of later classes `b` that reach the similarity with their `a`."""
-    side = lambda k: classes.where(F.col("at").isNotNull()).select(F.col("s").alias(k), F.col("codes").alias(f"c{k}"))
-    near = F.expr(f"{ABOVE + BELOW} * size(array_intersect(ca, cb)) >= {ABOVE} * (size(ca) + size(cb))")
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("b").distinct()
+            f" and {ABOVE + BELOW} * least({x}.n - {x}.k, {y}.n - {y}.k) >= {ABOVE} * {both}"
+            f" and {ABOVE + BELOW} * ({both} - bit_count({x}.b ^ {y}.b)) >= {2 * ABOVE} * {both}")
+
+
+def _wanted_only(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
+    """`docs` without most documents that are not in wanted (doc): a bitmap of hashed ids, 64 bits a word."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bits = (wanted.select(slot(F.col("doc")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("row"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")))
+    dense = docs.sparkSession.range(1 << FILTER_BITS - 6).withColumnRenamed("id", "row").join(bits, "row", "left")
+    table = written(dense.agg(F.sort_array(F.collect_list(F.struct("row", F.coalesce("v", F.lit(0)).alias("v"))))["v"].alias("bits")), "line-filter")
+    at = slot(F.col(doc_id))
+    word = table.scalar()[F.shiftright(at, 6).cast("int")]
+    return docs.where(F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, line) of the later lines of `pairs` (y_doc, y_line, doc, line) that reach the similarity; their texts are read again."""
+    wanted = written(pairs.select("doc", "line").union(pairs.select("y_doc", "y_line")).distinct(), "line-wanted")
+    some = _wanted_only(docs, doc_id, wanted.select("doc").distinct())
+    sets = written(line_rows(some, doc_id, text).alias("l").join(wanted.alias("w"), F.expr("l.doc <=> w.doc and l.line = w.line"), "left_semi"),
+                   "line-sets")
+    x, y = sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("h").alias("hx")), sets.select(
+        F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("h").alias("hy"))
+    near = F.expr(f"{ABOVE + BELOW} * size(array_intersect(hx, hy)) >= {ABOVE} * (size(hx) + size(hy))")
+    return (pairs.join(x, F.expr("doc <=> xd and line = xl")).join(y, F.expr("y_doc <=> yd and y_line = yl")).where(near)
+            .select("doc", "line").distinct())
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line) of every line with a word that stays."""
     lines = line_rows(docs, doc_id, text)
     levels = written(rarity_levels(lines), "line-levels")
-    classes = line_classes(token_sets(lines, levels.scalar()))
-    lists = prefix_lists(classes)
-    first = lists.groupBy("token").agg(F.min(F.struct("doc", "line", "s", "n", "k", "b0", "b1")).alias("y"))
-    led = (lists.alias("x").join(first, "token").where(F.expr("x.s <> y.s and " + _may_match("x", "y")))
-           .select(F.col("y.s").alias("a"), F.col("x.s").alias("b")).distinct())
-    gone = written(_verified(led, classes), "line-gone")
-    pairs = (lists.alias("y").join(lists.alias("x"), "token")
-             .where(F.expr("struct(y.doc, y.line) < struct(x.doc, x.line) and " + _may_match("x", "y")))
-             .select(F.col("y.s").alias("a"), F.col("x.s").alias("b")).distinct())
-    more = _verified(pairs.join(gone, "b", "left_anti"), classes)
-    return (classes.join(gone.withColumnRenamed("b", "s"), "s", "left_anti").join(more.withColumnRenamed("b", "s"), "s", "left_anti")
-            .select("at.doc", "at.line"))
+    classes = written(line_classes(token_sets(lines, levels.scalar())), "line-classes")
+    lists = classes.select(F.posexplode("p").alias("k", "token"), "doc", "line", "n", "b")
+    # pieces of a token's list, so that no list is one task's
+    led = Window.partitionBy("token", F.pmod(F.xxhash64("doc", "line"), F.lit(PIECES))).orderBy(F.col("doc").asc_nulls_first(), "line")
+    lead = (lists.withColumn("y", F.first(F.struct("doc", "line", "n", "k", "b")).over(led)).alias("x")
+            .where(F.expr("(x.doc, x.line) > (x.y.doc, x.y.line) and " + _may_match("x", "x.y")))
+            .select(F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line"), "doc", "line").distinct())
+    gone = written(_verified(written(lead, "line-led"), docs, doc_id, text), "line-gone")
+    pairs = (lists.alias("y").join(lists.alias("x"), "token").where(F.expr("(y.doc, y.line) < (x.doc, x.line) and " + _may_match("x", "y")))
+             .select(F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line"), F.col("x.doc").alias("doc"), F.col("x.line").alias("line")).distinct())
+    rest = written(pairs.alias("p").join(gone.alias("g"), F.expr("p.doc <=> g.doc and p.line = g.line"), "left_anti"), "line-pairs")
+    gone = gone.union(_verified(rest, docs, doc_id, text))
+    return classes.select("doc", "line").alias("c").join(gone.alias("g"), F.expr("c.doc <=> g.doc and c.line = g.line"), "left_anti")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
