@@ -32,6 +32,8 @@ LEXICON_MIN_COUNT = 2          #: rarer words are merged when they are met
 SHORT = 48                     #: up to this length a scan for the best pair beats a heap
 FLUSH = 1 << 20                #: distinct words that a counting task keeps before it hands them on
 
+NO_MERGE = (1 << 31, -1)
+
 #: White space in the vocabulary's sense; str.split would also cut at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -62,13 +64,19 @@ class Vocabulary:
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        while len(ids) > 1:
-            best = min(((m, k) for k, p in enumerate(zip(ids, ids[1:])) if (m := get(p))), default=None)
-            if best is None:
+        get, n = self.merges.get, len(ids) - 1
+        found = [get((ids[k], ids[k + 1]), NO_MERGE) for k in range(n)]       # of each pair: rank, joint id
+        while found:
+            best = min(found)
+            if best is NO_MERGE:
                 break
-            (_, new), k = best
-            ids[k:k + 2] = [new]
+            k = found.index(best)
+            ids[k:k + 2] = [best[1]]
+            del found[k]
+            if k:
+                found[k - 1] = get((ids[k - 1], ids[k]), NO_MERGE)
+            if k < len(found):
+                found[k] = get((ids[k], ids[k + 1]), NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -214,8 +222,8 @@ def _shared(docs: DataFrame, path: str, text: str, size: int):
     return spark.sparkContext.broadcast(vocab), name
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
-    """Add `token_ids` (array<int>) and `decoded` to every row; the vocabulary file bounds the broadcast.
+def encode(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS, decoded: bool = True) -> DataFrame:
+    """Add `token_ids` (array<int>) and, if asked, `decoded` to every row; the vocabulary file bounds the broadcast.
 
     NULL and blank texts have no ids and decode to an empty text. Rows are independent, so
     repeated rows and ids stay; an existing column of either name is replaced.
@@ -230,12 +238,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_W
             for t in s:
                 own = [i for c in chunks(t or "") for i in memo[c]]
                 ids.append(own)
-                back.append(enc.decode(own))
+                back.append(enc.decode(own) if decoded else None)
             yield pd.DataFrame({"token_ids": ids, "decoded": back})
 
     tmp = fresh(docs, "bpe")
     made = docs.withColumn(tmp, run(F.col(text).cast("string")))
-    return made.withColumns({"token_ids": F.col(tmp)["token_ids"], "decoded": F.col(tmp)["decoded"]}).drop(tmp)
+    return made.withColumns({c: F.col(tmp)[c] for c in ("token_ids", *(["decoded"] if decoded else []))}).drop(tmp)
 
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
