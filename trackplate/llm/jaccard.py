@@ -33,7 +33,7 @@ from ..core import written
 from ..operators.graph import connected_components
 
 WORDS = 5
-SLOT_BITS = 24                #: of the count table that the order comes from: 16 MB
+SLOT_BITS, PART_BITS = 20, 14  #: of the count table that the order comes from, and of its stretches
 SALT_ROWS = 4096              #: expected members of one piece of a frequent key's list
 BITMAP_BITS = 26
 SPLIT = 1 << 15               #: marks, beside the size step, entries of a split list
@@ -95,10 +95,14 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
+def slots(s: np.ndarray) -> np.ndarray:
+    return (s >> U(20) & U((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
 class Order:
-    """The common order: by how many sets hold a key in hash order's prefix, then by hash.
+    """The common order: by how often a shingle's slot occurs in all documents, then by hash.
 
-    Counts are kept by hash slot, as 8 * log2, in a table of fixed size.
+    Counts are kept as 8 * log2 in a table of fixed size.
     """
 
     def __init__(self, bits: int, levels: np.ndarray):
@@ -108,12 +112,9 @@ class Order:
         """Partition (high bits) and 32 key bits; clashes only make candidates that fail."""
         return s & U((1 << 32 + self.bits) - 1)
 
-    def slot(self, r: np.ndarray) -> np.ndarray:
-        return (r >> U(32 + self.bits - SLOT_BITS)).astype(np.int64)
-
     def prefix(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First n - ceil(3n/4) + k shingles, in no order, with the estimated counts of their keys."""
-        level = self.levels[self.slot(self.reduced(s))]
+        level = self.levels[slots(s)]
         p = min(len(s), len(s) // 4 + k)
         first = np.argpartition(level.astype(U) << U(56) | s >> U(8), p - 1)[:p]
         return s[first], np.exp2(level[first] / 8.0)
@@ -128,63 +129,51 @@ def _pack(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), *blobs], ["part", *names])
 
 
-def described(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
-    """Documents (id, n, d1, d2) and, as rows with `part`, counted prefix keys in hash order."""
+def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Documents (doc, n, d1, d2) and, as rows with `part`, each task's counts of all shingles by slot."""
+    parts = 1 << SLOT_BITS - PART_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(bits, np.zeros(0, np.uint8))
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
         for b in batches:
-            memo, ids, rows, keys = WordHash(), b.column(0), [], []
+            memo, ids, rows = WordHash(), b.column(0), []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, memo)
                 rows.append((len(s), *(digest(s) if len(s) else (None, None))))
-                if len(s):
-                    keys.append(order.reduced(s[:len(s) // 4 + 1]))
-            if not rows:
-                continue
+                np.add.at(total, slots(s), np.uint32(1))
             n = len(rows)
-            none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), none, none, ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
+                [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
-                ["part", "key", "count", "doc", "n", "d1", "d2"])
-            if keys:
-                r, c = np.unique(np.concatenate(keys), return_counts=True)
-                once = c == 1
-                key = (r & U(0xFFFFFFFF)).astype(np.uint32)
-                part = (r >> U(32)).astype(np.int32)
-                for own, blobs, names in ((once, [key], ["key"]), (~once, [key, c.astype(np.uint32)], ["key", "count"])):
-                    for p in _pack(part[own], [x[own] for x in blobs], names):
-                        m = p.num_rows
-                        yield pa.RecordBatch.from_arrays(
-                            [*p.columns, *([pa.nulls(m, pa.binary())] if len(names) == 1 else []), *(pa.nulls(m, pa.int64()) for _ in range(4))],
-                            ["part", "key", "count", "doc", "n", "d1", "d2"])
+                ["part", "counts", "doc", "n", "d1", "d2"])
+        if total.any():
+            blobs = pa.array([c.tobytes() for c in total.reshape(parts, -1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), blobs, *(pa.nulls(parts, pa.int64()) for _ in range(4))],
+                                             ["part", "counts", "doc", "n", "d1", "d2"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "part int, key binary, count binary, doc long, n long, d1 long, d2 long")
+        run, "part int, counts binary, doc long, n long, d1 long, d2 long")
 
 
 def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def key_counts(blobs: DataFrame, bits: int) -> DataFrame:
-    """(part, keys, entries, levels): per partition, its totals and its stretch of the count table."""
+def slot_levels(blobs: DataFrame) -> DataFrame:
+    """(part, levels): per stretch of slots, 8 * log2 of the counts."""
 
-    def run(t: pa.Table) -> pa.Table:
-        part = t.column("part")[0].as_py()
-        keys, counts = [], []
-        for k, c in zip(t.column("key").to_pylist(), t.column("count").to_pylist()):
-            keys.append(np.frombuffer(k, np.uint32))
-            counts.append(np.ones(len(keys[-1]), np.uint32) if c is None else np.frombuffer(c, np.uint32))
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        width = 1 << SLOT_BITS - bits
-        n = np.bincount((key >> np.uint32(32 - (SLOT_BITS - bits))).astype(np.int64), weights=count, minlength=width)
-        levels = np.minimum(np.round(8 * np.log2(1 + n)), 255).astype(np.uint8)
-        return pa.table({"part": pa.array([part], pa.int32()), "keys": [len(np.unique(key))], "entries": [int(count.sum())],
-                         "levels": pa.array([levels.tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = np.frombuffer(c, np.uint32)
+                sums[part] = sums[part] + own if part in sums else own.astype(np.uint64)
+        for part, c in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([np.minimum(np.round(8 * np.log2(1.0 + c)), 255).astype(np.uint8).tobytes()], pa.binary())],
+                ["part", "levels"])
 
-    return blobs.groupBy("part").applyInArrow(run, "part int, keys long, entries long, levels binary")
+    return blobs.repartition("part").mapInArrow(run, "part int, levels binary")
 
 
 def boundary(sizes: dict[int, int], list_length: float) -> int:
@@ -362,22 +351,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    bits = min(SLOT_BITS - 8, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
-    made = written(described(docs, "doc_id", "text", bits), "jaccard-described")
+    bits = min(24, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    made = written(described(docs, "doc_id", "text"), "jaccard-described")
     told = made.where("part is null").select("doc", "n", "d1", "d2")
-    counted = written(key_counts(made.where("part is not null").select("part", "key", "count"), bits), "jaccard-counts")
-    levels = np.zeros(1 << SLOT_BITS, np.uint8)
-    width = 1 << SLOT_BITS - bits
-    keys, entries = 0, 0
-    for r in counted.toLocalIterator():                          # 2^SLOT_BITS bytes in all
-        levels[r["part"] * width:(r["part"] + 1) * width] = np.frombuffer(bytes(r["levels"]), np.uint8)
-        keys, entries = keys + r["keys"], entries + r["entries"]
-    order = spark.sparkContext.broadcast(Order(bits, levels))
-    sizes = {r["n"]: r["c"] for r in told.where(F.col("n") > 0).groupBy(F.least("n", F.lit(2 * SMALL_MOST)).alias("n"))
-             .agg(F.count(F.lit(1)).alias("c")).collect()}
-    small = boundary(sizes, entries / max(1, keys))
-
-    classes = written(told.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "jaccard-classes")
+    levels = np.zeros((1 << SLOT_BITS - PART_BITS, 1 << PART_BITS), np.uint8)
+    for r in slot_levels(made.where("part is not null").select("part", "counts")).collect():         # 2^SLOT_BITS bytes in all
+        levels[r["part"]] = np.frombuffer(bytes(r["levels"]), np.uint8)
+    order = spark.sparkContext.broadcast(Order(bits, levels.ravel()))
+    classes = written(told.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(
+        F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")), "jaccard-classes")
+    sizes = {r["n"]: r["c"] for r in classes.groupBy(F.least("n", F.lit(2 * SMALL_MOST)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    mass = classes.agg(F.sum(F.col("n") * F.col("copies")), F.sum("n")).first()
+    small = boundary(sizes, mass[0] / mass[1] if mass[1] else 1.0)          # the sets a list entry stands for, on average
+
     found = written(scan_lists(list_entries(docs.where("doc_id is not null"), "doc_id", "text", order, small)), "jaccard-lists")
     pairs = found.where("list is null").select("a", "b").distinct()
     lists = found.where("list is not null").select("list", F.col("a").alias("d"), F.col("b").alias("n")).distinct()
