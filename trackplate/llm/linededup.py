@@ -7,9 +7,9 @@ rarest tokens of their sets (prefix filter); pairs that fail the length, positio
 parity bound are not formed, the others are verified on the whole sets, whose texts are
 read again.
 
-Classes that share a prefix token are first held against the earliest class of their piece
-of the token's list: a group of near copies goes with one comparison per member. Only what
-remains is compared pair by pair.
+Classes that share a frequent prefix token are first held against the earliest class of
+their piece of the token's list: a group of near copies goes with one comparison per member.
+Only what remains is compared pair by pair.
 
 Rarity comes from word counts of the whole corpus in a table of fixed size, indexed by
 hash; any common order keeps the join exact, a better one only makes lists shorter.
@@ -26,6 +26,7 @@ from .common import SPACES, fresh, words
 ABOVE, BELOW = 4, 5           #: JACCARD = 4/5
 TABLE_BITS, ROW_BITS = 22, 11  #: of the count table: 4M counters in 2,048 rows
 FILTER_BITS = 20              #: of the bitmap of documents whose lines are compared
+ONCE, LONG = 16, 128          #: levels of one occurrence, and of 255: lists from there on are held against their first class
 PIECES = 16                   #: of a token's list, each with a first class of its own
 
 
@@ -76,10 +77,30 @@ def _may_match(x: str, y: str) -> str:
     """Length, positional and parity bounds on the overlap of two sets that share a token at k."""
     both = f"({x}.n + {y}.n)"
     return (f"{BELOW} * least({x}.n, {y}.n) >= {ABOVE} * greatest({x}.n, {y}.n)"
-            f" and {ABOVE + BELOW} * least({x}.n - {x}.k, {y}.n - {y}.k) >= {ABOVE} * {both}"
+            f" and {ABOVE + BELOW} * least({x}.left, {y}.left) >= {ABOVE} * {both}"
             f" and {ABOVE + BELOW} * ({both} - bit_count({x}.b ^ {y}.b)) >= {2 * ABOVE} * {both}")
 
 
+def _level(token: str) -> Column:
+    return F.shiftright(token, 53)
+
+
+def _sided(lists: DataFrame, k: str) -> DataFrame:
+    return lists.select("token", *(F.col(c).alias(f"{k}_{c}") for c in lists.columns[1:]))
+
+
+def _whole(k: str) -> Column:
+    """The packed columns of one side as a struct; packed, a shuffled row has one word less."""
+    packed = F.col(f"{k}_line_n")
+    return F.struct(F.col(f"{k}_doc").alias("doc"), F.shiftright(packed, 32).cast("int").alias("line"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"),
+                    F.col(f"{k}_b").alias("b"), F.col(f"{k}_left").alias("left")).alias(k)
+
+
+def _opened(lists: DataFrame) -> DataFrame:
+    packed = F.col("line_n")
+    return lists.select("token", "doc", F.shiftright(packed, 32).cast("int").alias("line"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"), "b", "left")
+
+
 def _wanted_only(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
     """`docs` without most documents that are not in wanted (doc): a bitmap of hashed ids, 64 bits a word."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
@@ -110,14 +131,18 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     lines = line_rows(docs, doc_id, text)
     levels = written(rarity_levels(lines), "line-levels")
     classes = written(line_classes(token_sets(lines, levels.scalar())), "line-classes")
-    lists = classes.select(F.posexplode("p").alias("k", "token"), "doc", "line", "n", "b")
+    # `left` counts a class's tokens from k on; tokens whose slot has one occurrence have no partner
+    lists = (classes.select(F.posexplode("p").alias("k", "token"), "doc", "line", "n", "b")
+             .select("token", "doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n")).alias("line_n"), "b", (F.col("n") - F.col("k")).alias("left"))
+             .where(_level("token") > ONCE))
     # pieces of a token's list, so that no list is one task's
     led = Window.partitionBy("token", F.pmod(F.xxhash64("doc", "line"), F.lit(PIECES))).orderBy(F.col("doc").asc_nulls_first(), "line")
-    lead = (lists.withColumn("y", F.first(F.struct("doc", "line", "n", "k", "b")).over(led)).alias("x")
+    lead = (_opened(lists.where(_level("token") >= LONG)).withColumn("y", F.first(F.struct("doc", "line", "n", "left", "b")).over(led)).alias("x")
             .where(F.expr("(x.doc, x.line) > (x.y.doc, x.y.line) and " + _may_match("x", "x.y")))
             .select(F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line"), "doc", "line").distinct())
     gone = written(_verified(written(lead, "line-led"), docs, doc_id, text), "line-gone")
-    pairs = (lists.alias("y").join(lists.alias("x"), "token").where(F.expr("(y.doc, y.line) < (x.doc, x.line) and " + _may_match("x", "y")))
+    pairs = (_sided(lists, "y").join(_sided(lists, "x"), "token").select(_whole("y"), _whole("x"))
+             .where(F.expr("(y.doc, y.line) < (x.doc, x.line) and " + _may_match("x", "y")))
              .select(F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line"), F.col("x.doc").alias("doc"), F.col("x.line").alias("line")).distinct())
     rest = written(pairs.alias("p").join(gone.alias("g"), F.expr("p.doc <=> g.doc and p.line = g.line"), "left_anti"), "line-pairs")
     gone = gone.union(_verified(rest, docs, doc_id, text))
