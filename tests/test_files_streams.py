@@ -24,14 +24,13 @@ def test_reuse_cases(spark):
     assert got == {("f", "a"): 1, ("f", "b"): None, ("f", "new"): None, ("g", "a"): None}
 
 
-def test_digest_ignores_prose_and_alpha():
-    base = {"_README": "x", "tiling": {"_c": 1, "overlap": 0.3}, "rescore": {"alpha": 0.0, "refs": {"a": 0.5}}}
-    other = {"_README": "y", "tiling": {"overlap": 0.3}, "rescore": {"alpha": 1.0, "refs": {"a": 0.5}}}
-    d = files.settings_digest(base, {"a": 0.4}, ["Egg "])
-    assert d == files.settings_digest(other, {"a": 0.4}, ["egg"])
-    other["rescore"]["refs"]["a"] = 0.6
-    assert d != files.settings_digest(other, {"a": 0.4}, ["egg"])
-    assert d != files.settings_digest({**base, "new": 1}, {"a": 0.4}, ["egg"])
+def test_digest_ignores_prose_and_alpha(spark):
+    def of(settings, tag="a"):
+        return spark.createDataFrame([(settings,)], "m map<string,string>").select(files.row_digest(F.col("m"), tag)).first()[0]
+
+    base = {"_README": "x", "overlap": "0.3", "rescore_alpha": "0.0", "ref": "0.5"}
+    assert of(base) == of({**base, "_README": "y", "rescore_alpha": "1.0", "overlap": "0.30000000001"})
+    assert len({of(base), of({**base, "ref": "0.6"}), of({**base, "new": "1"}), of(base, "b")}) == 4
 
 
 def test_retention_tiers(spark):
@@ -42,6 +41,8 @@ def test_retention_tiers(spark):
     for target, want in ((0, {"old"}), (101, {"old", "t1"}), (151, {"old", "t1", "t2"}), (201, {"old", "t1", "t2", "k1"}), (10**9, {"old", "t1", "t2", "k1", "k2"})):
         assert {r.relative_path for r in files.retention_list(df, now, 0, target).collect()} == want
     assert {r.relative_path for r in files.expired_trash(df, now, 2.5).collect()} == {"t1"}
+    young = df.where("relative_path <> 'old'")
+    assert files.retention_list(young, now, 500, 10**9, minimum=500).count() == 0 and files.retention_list(young, now, 499, 10**9, minimum=500).count() == 4
 
 
 def test_names_and_reusability(spark):
@@ -118,13 +119,13 @@ def test_stream_counts_equal_batch_and_latest(spark, tmp_path):
     schema = "condition string, path string, sha256 string, n long, ts timestamp"
     rows = [("c1", "a", "1", 2, "2024-01-01 00:00:00"), ("c1", "b", "2", 3, "2024-01-01 01:00:00"), ("c2", "a", "9", 5, "2024-01-01 02:00:00")]
     src, out = tmp_path / "s", str(tmp_path / "o")
-    for i, part in enumerate([rows[:2], [rows[1], rows[2]], [rows[0]]]):
+    for i, part in enumerate([rows[:2], [rows[1], rows[2]], [rows[0], ("c1", "late", "3", 7, "2019-01-01 00:00:00")]]):
         d = spark.createDataFrame(part, "condition string, path string, sha256 string, n long, ts string").withColumn("ts", F.to_timestamp("ts"))
         d.coalesce(1).write.parquet(str(src / str(i)))
         s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
         jobs.finish(jobs.streaming_counts(s, f"{out}/t", f"{out}/_state"))
     got = {r.condition: (r.n_images, r.n_animals) for r in jobs.latest_counts(spark, f"{out}/t").collect()}
-    assert got == {"c1": (2, 5), "c2": (1, 5)}
+    assert got == {"c1": (3, 12), "c2": (1, 5)}
 
     src, out = tmp_path / "d", str(tmp_path / "e")
     for i, part in enumerate([[("x", 1, "p"), ("x", 3, "q")], [("x", 2, "late"), ("y", 1, "r")], [("x", 3, "again")]]):
@@ -132,3 +133,27 @@ def test_stream_counts_equal_batch_and_latest(spark, tmp_path):
         s = spark.readStream.schema("device string, seq long, item string").option("recursiveFileLookup", "true").parquet(str(src))
         jobs.finish(jobs.latest_per_device(s, f"{out}/m", f"{out}/_state"))
     assert sorted((r.device, r.seq, r.item) for r in spark.read.parquet(f"{out}/m").collect()) == [("x", 3, "q"), ("y", 1, "r")]
+
+
+def test_csv_rows_do_not_depend_on_the_columns_read(spark, tmp_path):
+    from trackplate.sources.scores import read_soft_scores
+
+    (tmp_path / "s.csv").write_text('folder,timepoint_h,image,hard_call,raw_a\nf,24,i1,egg,0.5\nf,24,"i,2",egg\nf,24,"i,3",egg,0.25\nf,24,i4,egg,0.1,extra\n')
+    d = read_soft_scores(spark, str(tmp_path / "s.csv"))
+    want = ["i,3", "i1", "i4"]
+    assert d.count() == 3 and sorted(r.image for r in d.select("image").collect()) == want and sorted(r.image for r in d.collect()) == want
+
+
+def test_rows_without_a_number_get_their_place(spark, tmp_path):
+    from trackplate.sources.tracks import attach_by_row, clean_tracks, read_tracks
+
+    rows = [(1, 1, 1, 2.0, 3.0)] * 3
+    cols = "video_id long, track_id long, frame long, x double, y double"
+    for k in range(2):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    d = read_tracks(spark, str(tmp_path / "t"))
+    assert sorted(r.row_id for r in d.collect()) == [0, 1, 2, 3, 4, 5]
+    extra = d.select("video_id", "row_id").withColumn("v", F.lit(1))
+    assert attach_by_row(d, extra.union(extra), ["v"]).count() == 6
+    with pytest.raises(ValueError):
+        clean_tracks(spark.createDataFrame(rows, cols), cols.replace(" long", "").replace(" double", "").split(", "), {"row_id": "bigint"})

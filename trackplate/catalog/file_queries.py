@@ -247,14 +247,14 @@ def image_resolver(spark, sf):
 
 
 @query("training_names", "X24", sql("v_paths", """
-d AS (SELECT file_id, path, string_split(label, ' ') AS pt, regexp_extract(string_split(path, '/')[2], '(\\d+)', 1) AS pn, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS dir FROM v_paths WHERE file_id % 3 = 2 AND regexp_matches(lower(name), '\\.(tif|png)$')),
-r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path, file_id) AS idx, regexp_replace(pt[-1], '[^A-Za-z0-9]', '', 'g') AS cohort, regexp_replace(array_to_string(pt[:-2], ''), '[^A-Za-z0-9]', '', 'g') AS strain FROM d),
-n AS (SELECT *, strain || '_L1_' || cohort || '_p' || lpad(pn, 2, '0') || '_' || lpad(CAST(idx AS VARCHAR), 4, '0') || '.png' AS png FROM r WHERE strain <> '' AND cohort <> '')
+d AS (SELECT file_id, path, regexp_split_to_array(string_split(path, '/')[1], '\\s+') AS pt, regexp_extract(string_split(path, '/')[2], '(\\d+)', 1) AS pn, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS dir FROM v_paths WHERE regexp_matches(lower(path), '\\.(tif|tiff|png|jpg|jpeg)$')),
+q AS (SELECT *, regexp_replace(pt[-1], '[^A-Za-z0-9]', '', 'g') AS cohort, regexp_replace(array_to_string(pt[:-2], ''), '[^A-Za-z0-9]', '', 'g') AS strain FROM d WHERE pn <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path, file_id) AS idx FROM q WHERE strain <> '' AND cohort <> ''),
+n AS (SELECT *, strain || '_L1_' || cohort || '_p' || lpad(pn, 2, '0') || '_' || lpad(CAST(idx AS VARCHAR), 4, '0') || '.png' AS png FROM r)
 SELECT png, arg_min(file_id, (path, file_id)) AS file_id FROM n GROUP BY 1"""))
 def training_names(spark, sf):
     from ..operators.datasets import training_names as build
-    p = A.image_paths(spark, sf).where((F.col("file_id") % 3 == 2) & F.lower("name").rlike(r"\.(tif|png)$"))
-    return build(p.select("file_id", "path"), "L1").select("png", "file_id")
+    return build(A.image_paths(spark, sf).select("file_id", "path"), "L1").select("png", "file_id")
 
 
 # --- retention ---------------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def _retention_files(spark, sf):
 
 @query("retention_list", "W14", sql("v_files", _RET + "SELECT relative_path, tier FROM rl"))
 def retention_list(spark, sf):
-    return FI.retention_list(_retention_files(spark, sf), NOW, 1000, 700000, 25.0)
+    return FI.retention_list(_retention_files(spark, sf), NOW, 1000, 700000, 25.0, minimum=500000)
 
 
 @query("retention_sweep", "T4", sql("v_files", _RET + f"""
@@ -282,15 +282,22 @@ UNION ALL SELECT relative_path, tier FROM rl WHERE relative_path NOT IN (SELECT
 def retention_sweep(spark, sf):
     f = _retention_files(spark, sf)
     old = FI.expired_trash(f, NOW).select("relative_path", F.lit(-1).alias("tier"))
-    rest = FI.retention_list(f, NOW, 1000, 700000, 25.0).join(old.select("relative_path"), "relative_path", "left_anti")
+    rest = FI.retention_list(f, NOW, 1000, 700000, 25.0, minimum=500000).join(old.select("relative_path"), "relative_path", "left_anti")
     return old.unionByName(rest)
 
 
 # --- streams -------------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):
-    schema = A.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream of ten files, two to a micro-batch; every fifth row comes again in a later one."""
+    d = A.table(spark, sf, name)
+    part = F.pmod(F.xxhash64(d.columns[0]), F.lit(9))
+    again = d.where(F.pmod(F.xxhash64(d.columns[0], F.lit(1)), F.lit(5)) == 0)
+    folder = scratch_folder(spark, f"{name}-feed")
+    for k in range(9):
+        d.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    again.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
 @query("ingest_stream", "T1", sql("", """
@@ -323,5 +330,5 @@ def streaming_counts(spark, sf):
         F.col("event_type").alias("condition"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("path"), F.sha2(F.col("user_id").cast("string"), 256).alias("sha256"),
         (F.col("user_id") % 7 + 1).alias("n"), F.col("ts").cast("timestamp").alias("ts"))
     out = scratch_folder(spark, "counts")
-    jobs.finish(jobs.streaming_counts(src, f"{out}/totals", f"{out}/_state", "60 days"))
+    jobs.finish(jobs.streaming_counts(src, f"{out}/totals", f"{out}/_state"))
     return jobs.latest_counts(spark, f"{out}/totals")

@@ -170,11 +170,11 @@ def sort_keys(spark, sf):
 
 
 @query("settings_digest", "X23", sql("", """
-SELECT p_partkey, sha256('{"brand":"' || p_brand || '","conf":"' || p_size || '","type":"' || p_type || '"}') AS digest FROM part"""))
+SELECT p_partkey, sha256('{"brand":"' || p_brand || '","conf":"' || p_size || '.123457","pipeline":"assay-2","type":"' || p_type || '"}') AS digest FROM part"""))
 def settings_digest(spark, sf):
     m = F.create_map(F.lit("type"), F.col("p_type"), F.lit("_note"), F.col("p_name"), F.lit("rescore_alpha"), F.col("p_retailprice").cast("string"),
-                     F.lit("conf"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))
-    return A.table(spark, sf, "part").select("p_partkey", FI.row_digest(m).alias("digest"))
+                     F.lit("conf"), F.concat(F.col("p_size").cast("string"), F.lit(".1234567")), F.lit("brand"), F.col("p_brand"))
+    return A.table(spark, sf, "part").select("p_partkey", FI.row_digest(m, "assay-2").alias("digest"))
 
 
 @query("scan_files", "S2 F6", sql("v_paths v_files", """

@@ -17,7 +17,7 @@ SELECT video_id, track_id, frame, row_id, CASE WHEN row_id % 11 <> 0 THEN v - 50
   (v - 50) / 50 AS eig1, (k - 50) / 50 AS eig2, 0.5::DOUBLE + (row_id % 50) / 100.0::DOUBLE AS solidity,
   CAST(row_id % 7 <> 0 AS INT) AS was_skeletonized FROM v_events""",
     "v_fragment_points": """
-SELECT video_id, track_id * 100000 + seg AS track_id, frame, x, y, row_id, has_skeleton FROM (
+SELECT video_id, dense_rank() OVER (PARTITION BY video_id ORDER BY track_id, seg) - 1 AS track_id, frame, x, y, row_id, has_skeleton FROM (
   SELECT *, sum(CAST(step > 30 AS BIGINT)) OVER (PARTITION BY video_id, track_id ORDER BY frame, row_id
     ROWS UNBOUNDED PRECEDING)::BIGINT AS seg
   FROM (SELECT *, frame - coalesce(lag(frame) OVER (PARTITION BY video_id, track_id ORDER BY frame, row_id), frame)

@@ -167,6 +167,9 @@ def threshold_scale(sensitivity: Column) -> Column:
 
 # fixed values: length bins in um, first match wins
 LENGTH_BINS = [("L1", 200, 300), ("L2", 300, 430), ("L3", 430, 600), ("L4", 600, 820), ("adult", 820, 1500)]
+# fixed values: egg size in um and roundness, longest animal in um, compact debris, share of a bin that is near its edge
+EGG_SIZE, EGG_ROUNDNESS, LONGEST = 70, 0.6, 1500
+DEBRIS_SOLIDITY, DEBRIS_ROUNDNESS, EDGE_SHARE = 0.85, 0.75, 0.10
 
 
 def ribbon_length(area: Column, perimeter: Column) -> Column:
@@ -176,18 +179,18 @@ def ribbon_length(area: Column, perimeter: Column) -> Column:
 
 def size_class(length: Column, equiv_diameter: Column, circularity: Column, solidity: Column) -> Column:
     """Struct (cls, near_edge): egg, debris, clump rules, then length bins."""
-    round_ = circularity >= 0.6
+    round_ = circularity >= EGG_ROUNDNESS
     binned = F.struct(F.lit("?").alias("cls"), F.lit(True).alias("near_edge"))
     for name, lo, hi in reversed(LENGTH_BINS):
-        edge = 0.10 * (hi - lo)
+        edge = EDGE_SHARE * (hi - lo)
         near = (F.abs(length - lo) < edge) | (F.abs(length - hi) < edge)
         binned = F.when((length >= lo) & (length < hi), F.struct(F.lit(name).alias("cls"), near.alias("near_edge"))).otherwise(binned)
 
     def named(n):
         return F.struct(F.lit(n).alias("cls"), F.lit(False).alias("near_edge"))
 
-    compact = F.coalesce((solidity >= 0.85) & (circularity >= 0.75), F.lit(False))
-    return (F.when(length.isNull() & F.coalesce((equiv_diameter <= 70) & round_, F.lit(False)), named("egg"))
+    compact = F.coalesce((solidity >= DEBRIS_SOLIDITY) & (circularity >= DEBRIS_ROUNDNESS), F.lit(False))
+    return (F.when(length.isNull() & F.coalesce((equiv_diameter <= EGG_SIZE) & round_, F.lit(False)), named("egg"))
             .when(length.isNull(), named("debris"))
-            .when((length <= 70) & round_, named("egg"))
-            .when((length > 1500) | compact, named("debris")).otherwise(binned))
+            .when((length <= EGG_SIZE) & round_, named("egg"))
+            .when((length > LONGEST) | compact, named("debris")).otherwise(binned))

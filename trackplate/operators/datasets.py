@@ -11,8 +11,9 @@ from .ranking import ordered_prefix
 def training_names(files: DataFrame, stage: str) -> DataFrame:
     """condition/plate/file paths to strain_stage_cohort_pNN_NNNN.png; first file keeps a name.
 
-    The index counts the sorted files of a plate folder.
+    The index counts the sorted image files of a plate folder; other paths get no name.
     """
+    files = files.where(F.lower("path").rlike(r"\.(tif|tiff|png|jpg|jpeg)$"))
     parts = F.split("path", "/")
     words = F.split(F.get(parts, F.lit(0)), r"\s+")
     clean = "[^A-Za-z0-9]"

@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import axis
+from .ranking import ordered_prefix
 
 KEYS = ("video_id",)
 
 
 def split_tracks(points: DataFrame, keys: Sequence[str] = KEYS, track: str = "track_id",
                  max_step: int = 30) -> DataFrame:
-    """Cut a track wherever the frame axis jumps by more than `max_step`."""
+    """Cut a track wherever the frame axis jumps by more than `max_step`.
+
+    Pieces are numbered through all tracks of a unit, in order of track and place, so no
+    number of pieces makes two of them one.
+    """
     k = [*keys, track]
     d = axis.with_previous(points, k, {"_pf": F.col("frame")})
     new = F.col("frame") - F.coalesce(F.col("_pf"), F.col("frame")) > max_step
     d = axis.islands(d, k, new, "_seg")
-    return d.withColumn(track, F.col(track) * 100000 + F.col("_seg")).drop("_seg", "_pf")
+    pieces = d.groupBy(*k).agg((F.max("_seg") + 1).alias("_pieces"))
+    before = ordered_prefix(pieces, list(keys), [track], {"_earlier": "_pieces"}).select(*k, "_earlier")
+    return d.join(before, k).withColumn(track, F.col("_earlier") + F.col("_seg")).drop("_seg", "_pf", "_earlier")
 
 
 def fragment_summary(points: DataFrame, keys: Sequence[str] = KEYS, track: str = "track_id",

@@ -25,15 +25,23 @@ def soft_scores(rows: DataFrame) -> DataFrame | None:
 
 
 def split_lines(lines: DataFrame, header: Sequence[str], text: str = "value") -> DataFrame:
-    """Rows of a headed text file; rows shorter than the header are dropped."""
-    parts = F.split(F.col(text), ",")
-    d = lines.withColumn("_p", parts).where(F.size("_p") >= len(header))
-    return d.select(*[F.get("_p", F.lit(i)).alias(h) for i, h in enumerate(header)])
+    """Rows of a headed text file, one record per line, quoted separators included.
+
+    Lines with fewer fields than the header are dropped, further fields of longer ones are
+    not read. The choice depends on the line alone, not on the columns that are used.
+    """
+    fields = F.size(F.split(F.regexp_replace(F.col(text), '"([^"]|"")*"', ""), ",", -1))
+    names = [f"c{i}" for i in range(len(header))]
+    parsed = F.from_csv(F.col(text), ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""})
+    d = lines.where(fields >= len(header)).withColumn("_p", parsed)
+    return d.select(*[F.col("_p")[n].alias(h) for n, h in zip(names, header)])
 
 
 def read_soft_scores(spark: SparkSession, path: str) -> DataFrame | None:
-    rows = spark.read.option("header", "true").option("mode", "DROPMALFORMED").csv(path)
-    return soft_scores(rows)
+    header = spark.read.option("header", "true").csv(path).columns
+    lines = spark.read.text(path)
+    first = F.col("value").startswith(header[0]) & (F.regexp_replace("value", '"', "") == ",".join(header))
+    return soft_scores(split_lines(lines.where(~first & (F.trim("value") != "")), header))
 
 
 def merge_score_parts(parts: Sequence[tuple[DataFrame, DataFrame | None, Column, Column]]) -> DataFrame:

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows written by batches before this one."""
-    try:
-        d = spark.read.schema(schema + ", batch_id bigint").parquet(path)
-        return d.where(F.col("batch_id") < batch_id)
-    except AnalysisException:
-        return spark.createDataFrame([], schema + ", batch_id bigint")
+PREFIXES = 256                #: slices of a job's history; a batch reads those it has keys in
+
+
+def _slice(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PREFIXES)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _earlier(batch: DataFrame, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows that batches before this one wrote in the slices of the keys that `batch` holds.
+
+    Files are partitioned by slice, so history is read in proportion to the batch's keys. A
+    missing folder is an empty history; any other fault is an error.
+    """
+    spark, full = batch.sparkSession, schema + ", batch_id bigint, slice int"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], full)
+    own = [r[0] for r in batch.select("slice").distinct().collect()]       # PREFIXES at most
+    return spark.read.schema(full).parquet(path).where((F.col("batch_id") < batch_id) & F.col("slice").isin(own))
 
 
 def _put(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    write = df.write.mode("overwrite")
+    (write.partitionBy("slice") if "slice" in df.columns else write).parquet(f"{path}/batch_id={batch_id}")
 
 
 def ingest_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -26,18 +42,21 @@ def ingest_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 
     files: (relative_path, sha256, content, size_bytes). Mismatches are refused and
     recorded; a (path, hash) that landed before is skipped, so retries change nothing.
-    Acknowledgements are written after the content.
+    Acknowledgements are written after the content. Content is hashed once per batch.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        key = ["relative_path", "sha256"]
-        d = df.where(F.col("sha256").isNotNull()).withColumn("_ok", F.sha2(F.col("content"), 256) == F.lower("sha256"))
-        done = _earlier(spark, f"{out}/acks", batch_id, "relative_path string, sha256 string")
-        new = d.where("_ok").join(done.select(*key), key, "left_anti").dropDuplicates(key).drop("_ok")
-        _put(new, f"{out}/landed", batch_id)
-        landed = spark.read.parquet(f"{out}/landed/batch_id={batch_id}")
-        _put(landed.select(*key), f"{out}/acks", batch_id)
-        _put(d.where(~F.col("_ok")).select(*key), f"{out}/refused", batch_id)
+        spark, key = df.sparkSession, ["relative_path", "sha256"]
+        d = (df.where(F.col("sha256").isNotNull()).withColumn("_ok", F.sha2(F.col("content"), 256) == F.lower("sha256"))
+             .withColumn("slice", _slice(*key)).persist())
+        try:
+            done = _earlier(d, f"{out}/acks", batch_id, "relative_path string, sha256 string")
+            new = d.where("_ok").join(done.select(*key), key, "left_anti").dropDuplicates(key).drop("_ok", "slice")
+            _put(new, f"{out}/landed", batch_id)
+            landed = spark.read.schema(new.schema).parquet(f"{out}/landed/batch_id={batch_id}")
+            _put(landed.select(*key, _slice(*key).alias("slice")), f"{out}/acks", batch_id)
+            _put(d.where(~F.col("_ok")).select(*key), f"{out}/refused", batch_id)
+        finally:
+            d.unpersist()
 
     return (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -53,30 +72,36 @@ def latest_per_device(items: DataFrame, out: str, checkpoint: str) -> StreamingQ
     row = F.struct("seq", *[c for c in cols if c != "seq"])
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        newest = df.groupBy("device").agg(F.max_by(row, F.col("seq")).alias("_r")).select("device", "_r.*")
-        past = _earlier(df.sparkSession, out, batch_id, "device string, seq bigint").groupBy("device").agg(F.max("seq").alias("_s"))
+        newest = df.groupBy("device").agg(F.max_by(row, F.col("seq")).alias("_r")).select("device", "_r.*").withColumn("slice", _slice("device"))
+        past = _earlier(newest, out, batch_id, "device string, seq bigint").groupBy("device").agg(F.max("seq").alias("_s"))
         d = newest.join(past, "device", "left").where(F.col("_s").isNull() | (F.col("seq") > F.col("_s"))).drop("_s")
         _put(d, out, batch_id)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def streaming_counts(images: DataFrame, out: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
-    """Running totals per condition; a repeated (path, sha256) counts once.
+def streaming_counts(images: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running totals per condition; a repeated (path, sha256) counts once, however late it comes.
 
-    images: (condition, path, sha256, n, ts). The watermark bounds the de-duplication
-    state: a copy is recognised while it arrives within `delay` of the first one.
+    images: (condition, path, sha256, n). What has been counted is kept by slices of the key's
+    hash; a batch adds its new images and their sums, so no image is too late to count.
     """
-    d = images.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path", "sha256"])
-    g = d.groupBy("condition").agg(F.count(F.lit(1)).alias("n_images"), F.sum("n").alias("n_animals"))
-    return (g.writeStream.outputMode("update").foreachBatch(lambda df, i: _put(df, out, i))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def batch(df: DataFrame, batch_id: int) -> None:
+        key = ["path", "sha256"]
+        d = df.dropDuplicates(key).withColumn("slice", _slice(*key))
+        seen = _earlier(d, f"{out}/seen", batch_id, "path string, sha256 string")
+        _put(d.join(seen.select(*key), key, "left_anti").select(*key, "condition", "n", "slice"), f"{out}/seen", batch_id)
+        new = df.sparkSession.read.schema("condition string, n bigint").parquet(f"{out}/seen/batch_id={batch_id}")
+        _put(new.groupBy("condition").agg(F.count(F.lit(1)).alias("n_images"), F.sum("n").alias("n_animals")), f"{out}/sums", batch_id)
+
+    d = images.withColumns({"condition": F.col("condition").cast("string"), "n": F.col("n").cast("bigint")})
+    return d.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
-    """Last written total per condition."""
-    d = spark.read.parquet(out)
-    return d.groupBy("condition").agg(F.max_by(F.struct("n_images", "n_animals"), F.col("batch_id")).alias("_r")).select("condition", "_r.*")
+    """Total per condition over all batches."""
+    d = spark.read.schema("condition string, n_images bigint, n_animals bigint, batch_id bigint").parquet(f"{out}/sums")
+    return d.groupBy("condition").agg(F.sum("n_images").alias("n_images"), F.sum("n_animals").alias("n_animals"))
 
 
 def finish(query: StreamingQuery) -> None:
