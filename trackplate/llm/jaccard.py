@@ -338,8 +338,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return written(connected_components(nodes, edges, keys=(), node="node", src="a", dst="b"), "jaccard-components")
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after the components that `links` join are one: a graph of components, not of sets."""
+    at = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    between = links.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = connected_components(between.select(F.col("a").alias("node")).union(between.select("b")), between, keys=(), node="node", src="a", dst="b")
+    new = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return written(groups.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "jaccard-components")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,31 +376,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     wanted = classes.join(members, "d1", "left_semi").groupBy(F.col("d1").alias("d")).agg(F.min("rep").alias("doc"))
     sets = written(fetch_sets(docs, "doc_id", "text", written(wanted, "jaccard-wanted")), "jaccard-sets")
 
-    edges = written(verified(pairs, sets), "jaccard-links")
-    nodes = members.select(F.col("d1").alias("node"))
-    groups = _components(nodes, edges)
+    alone = members.select(F.col("d1").alias("node"), F.col("d1").alias("component"))
+    groups = _merged(alone, written(verified(pairs, sets), "jaccard-links"))
     # lists that still join several components: first one member of each against the smallest
     open_lists = _open(lists, groups)
     per = open_lists.groupBy("list", "c").agg(F.min(F.struct("n", "d")).alias("m"))
     lead = per.groupBy("list").agg(F.min("m").alias("lead"))
     more = (per.join(lead, "list").where(F.col("m.d") != F.col("lead.d")).where(F.col("m.n") - F.col("lead.n") <= REACH)
             .select(F.col("lead.d").alias("a"), F.col("m.d").alias("b")).distinct())
-    edges = edges.union(written(verified(more, sets), "jaccard-links"))
-    groups = _components(nodes, edges)
+    groups = _merged(groups, written(verified(more, sets), "jaccard-links"))
     # then every remaining pair across components
-    rest = _open(lists, groups)
+    rest = _open(open_lists.drop("c"), groups)
     x, y = rest.select("list", *(F.col(k).alias(f"x_{k}") for k in "dnc")), rest.select("list", *(F.col(k).alias(f"y_{k}") for k in "dnc"))
     across = (x.join(y, "list").where(f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_d < y_d) and y_n - x_n <= {REACH}")
               .select(F.col("x_d").alias("a"), F.col("y_d").alias("b")).distinct())
-    edges = edges.union(written(verified(across, sets), "jaccard-links"))
+    groups = _merged(groups, written(verified(across, sets), "jaccard-links"))
 
-    rep = lambda side: classes.groupBy(F.col("d1").alias(side)).agg(F.min("rep").alias(f"r{side}"))
-    linked = edges.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    final = connected_components(classes.select(F.col("rep").alias("node")), linked, keys=(), node="node", src="a", dst="b")
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep").select("d1", "d2", "component")
+    # a component is named by the smallest document of its sets; sets in no list are alone
+    placed = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "d1"), "d1", "left").withColumn("c", F.coalesce("component", "d1"))
+    first = placed.groupBy("c").agg(F.min("rep").alias("first"))
+    of_class = placed.join(first, "c").select("d1", "d2", "first")
     return (told.join(of_class, ["d1", "d2"], "left")
             .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id")))
+                    F.when(F.col("doc").isNotNull(), F.coalesce("first", "doc")).alias("component_id")))
 
 
 def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
