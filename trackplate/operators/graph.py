@@ -26,7 +26,7 @@ def _signature(edges: DataFrame):
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS,
                          node: str = "track_id", src: str = "a", dst: str = "b",
-                         max_rounds: int = 60) -> DataFrame:
+                         max_rounds: int | None = None) -> DataFrame:
     """(keys, node, component): component is the smallest member id.
 
     Alternating large-star / small-star rounds on the edge table. Each half round is
@@ -38,7 +38,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
          .where(F.col("u") != F.col("v")).distinct())
     e = settle(e)
     sig = _signature(e)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds or 20 + 4 * int(sig[0]).bit_length()):
         if sig[0] == 0:
             break
         both = e.select(*keys, F.col("u").alias("c"), F.col("v").alias("o")).unionByName(
@@ -118,11 +118,11 @@ def alive_at(spans: DataFrame, frames: DataFrame, keys: Sequence[str], width: in
 
 
 def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit: DataFrame,
-                      width: int = 1024, most: int = 3) -> DataFrame:
+                      width: int = 1024) -> DataFrame:
     """Keep the N spans that share a frame and have the largest total length.
 
-    `limit` carries `n_keep` (1..most) per key. A span that covers a whole time
-    bucket can only matter there if it is among the `most` longest that do, so the
+    `limit` carries `n_keep` per key. A span that covers a whole time
+    bucket can only matter there if it is among the `n_keep` longest that do, so the
     others are left out of that bucket before the range join: the join stays linear
     however many spans overlap. Ties: longer span, then smaller id; then smallest frame.
     """
@@ -138,7 +138,7 @@ def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit:
     cut = hard.withColumn("_b", F.explode(F.sequence(lo, hi)))
     whole = ((F.col("start_frame") <= F.col("_b") * w) & (F.col("end_frame") >= (F.col("_b") + 1) * w - 1))
     full = cut.where(whole).withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*keys, "_b").orderBy(*best_first))).where(F.col("_rn") <= most).drop("_rn")
+        Window.partitionBy(*keys, "_b").orderBy(*best_first))).where(F.col("_rn") <= F.col("n_keep")).drop("_rn")
     part = cut.where(~whole)
     frames = (hard.select(*keys, F.col("start_frame").alias("frame")).unionByName(
         hard.select(*keys, F.col("end_frame").alias("frame"))).distinct()
@@ -155,7 +155,7 @@ def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit:
     chosen = best.select(*keys, F.explode("_ids").alias(id_col))
     no_frame = hard.join(best.select(*keys), keys, "left_anti").withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first)))
-    rest = no_frame.where(F.col("_rn") <= most).where(F.col("_rn") <= F.col("n_keep")).select(*keys, id_col)
+    rest = no_frame.where(F.col("_rn") <= F.col("n_keep")).select(*keys, id_col)
     return easy.unionByName(chosen).unionByName(rest)
 
 

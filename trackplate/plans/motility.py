@@ -78,7 +78,7 @@ def motility(frames: DataFrame, s: Settings = Settings()) -> Motility:
     gk = [*v, "group_id"]
     keep = graph.max_concurrent(crowd, gk).select(
         *gk, F.least(F.greatest("max_concurrent", F.lit(1)), F.lit(s.most_tracks)).alias("n_keep"))
-    chosen = settle(graph.select_concurrent(crowd, gk, "sub", keep, most=s.most_tracks).join(
+    chosen = settle(graph.select_concurrent(crowd, gk, "sub", keep).join(
         crowd.select(*gk, "sub", "n_rows"), [*gk, "sub"]))
     long_enough = F.col("n_rows") / F.lit(fps) >= s.min_obs_s
     crowd_units = chosen.where(long_enough).select(
