@@ -33,9 +33,10 @@ from ..core import written
 from ..operators.graph import connected_components
 
 WORDS = 5
-SLOT_BITS, PART_BITS = 20, 14  #: of the count table that the order comes from, and of its stretches
+SLOT_BITS, PART_BITS = 22, 16  #: of the count table that the order comes from, and of its stretches
 SALT_ROWS = 4096              #: expected members of one piece of a frequent key's list
 BITMAP_BITS = 26
+ROUNDS = ((64, False), (4, True), (1, False))      #: blocks of a list, and whether one member of a component stands for it
 SPLIT = 1 << 15               #: marks, beside the size step, entries of a split list
 STEPS = 512                   #: size steps per doubling
 REACH = 214                   #: steps between sizes that may match: 512 * log2(4/3) and rounding
@@ -146,8 +147,10 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), ids.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
                 ["part", "counts", "doc", "n", "d1", "d2"])
-        if total.any():
-            blobs = pa.array([c.tobytes() for c in total.reshape(parts, -1)], pa.binary())
+        while total.any():                                        # two bytes a slot; what is over goes into a further row
+            now = np.minimum(total, 65535)
+            total -= now
+            blobs = pa.array([c.astype(np.uint16).tobytes() for c in now.reshape(parts, -1)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), blobs, *(pa.nulls(parts, pa.int64()) for _ in range(4))],
                                              ["part", "counts", "doc", "n", "d1", "d2"])
 
@@ -166,7 +169,7 @@ def slot_levels(blobs: DataFrame) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.frombuffer(c, np.uint32)
+                own = np.frombuffer(c, np.uint16)
                 sums[part] = sums[part] + own if part in sums else own.astype(np.uint64)
         for part, c in sums.items():
             yield pa.RecordBatch.from_arrays(
@@ -385,12 +388,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     more = (per.join(lead, "list").where(F.col("m.d") != F.col("lead.d")).where(F.col("m.n") - F.col("lead.n") <= REACH)
             .select(F.col("lead.d").alias("a"), F.col("m.d").alias("b")).distinct())
     groups = _merged(groups, written(verified(more, sets), "jaccard-links"))
-    # then every remaining pair across components
-    rest = _open(open_lists.drop("c"), groups)
-    x, y = rest.select("list", *(F.col(k).alias(f"x_{k}") for k in "dnc")), rest.select("list", *(F.col(k).alias(f"y_{k}") for k in "dnc"))
-    across = (x.join(y, "list").where(f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_d < y_d) and y_n - x_n <= {REACH}")
-              .select(F.col("x_d").alias("a"), F.col("y_d").alias("b")).distinct())
-    groups = _merged(groups, written(verified(across, sets), "jaccard-links"))
+    # then every remaining pair across components: pairs within small blocks of a list first, then
+    # one member of each component, so that few pairs are left for the last round, which takes all
+    rest = open_lists.drop("c")
+    for blocks, one_each in ROUNDS:
+        rest = written(_open(rest, groups), "jaccard-open")
+        now = rest.groupBy("list", "c").agg(F.min_by(F.struct("d", "n"), F.xxhash64("d")).alias("m")).select("list", "c", "m.*") if one_each else rest
+        now = now.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks)))
+        x, y = (now.select("list", "block", *(F.col(k).alias(f"{side}_{k}") for k in "dnc")) for side in "xy")
+        across = (x.join(y, ["list", "block"]).where(f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_d < y_d) and y_n - x_n <= {REACH}")
+                  .select(F.col("x_d").alias("a"), F.col("y_d").alias("b")).distinct())
+        groups = _merged(groups, written(verified(across, sets), "jaccard-links"))
+        rest = rest.drop("c")
 
     # a component is named by the smallest document of its sets; sets in no list are alone
     placed = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "d1"), "d1", "left").withColumn("c", F.coalesce("component", "d1"))
