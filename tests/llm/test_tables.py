@@ -184,6 +184,32 @@ def test_near_vector_recall_in_a_large_group(spark):
     assert 0.95 * truth <= found <= truth
 
 
+def test_near_vector_recall_does_not_hang_on_the_partitions(spark):
+    """Many more partitions than rows need; strips shorter than the table."""
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.normal(size=32) + rnd.normal(size=(50, 32)) * 0.12, rnd.normal(size=(450, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links = plain_links({k: v.tolist() for k, v in enumerate(x)})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        found = vectordup.near_vectors(df).selectExpr("sum(n_links) as n").first()["n"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(links) > 1000 and 0.98 * 2 * len(links) <= found <= 2 * len(links)
+
+
+def test_near_vectors_meet_across_strips(spark, monkeypatch):
+    """Neighbours on two sides of a strip's border are compared once, copies not with each other."""
+    monkeypatch.setattr(vectordup, "STRIP", 8)
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=16) + rnd.normal(size=(40, 16)) * 0.01
+    classes = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "c long, v array<double>, m long")
+    rows = spark.createDataFrame([(16, k // 20, k, k % 20, k) for k in range(40)], "dim int, pass int, code long, c long, pos long")
+    pairs = sorted((r["a"], r["b"]) for r in vectordup.window_pairs(rows, classes, window=5).collect())
+    assert pairs == [(a, b) for a in range(20) for b in range(a + 1, min(a + 6, 20))]
+
+
 def test_loser_tree_merges_runs():
     rnd = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 16, 33):

@@ -1,8 +1,8 @@
 """Embedding near-duplicates: sorted passes over random projections, bounded windows.
 
 Equal vectors are one class. In each pass every class gets the signs of CODE_BITS random
-projections as one code; classes are range-partitioned and sorted by it, and each is
-compared with the next WINDOW. Verified pairs of all passes are united. The number of passes follows from
+projections as one code; classes are range-partitioned, sorted and numbered by it, and each
+is compared with the next WINDOW, across all borders of partitions. Verified pairs of all passes are united. The number of passes follows from
 the number of classes: a pair at the limit agrees on as many leading bits as separate two
 neighbours more than a window apart with a known probability, and enough passes are made
 to find it with probability RECALL. Windows bound what one vector can cost or emit, so a
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import written
@@ -28,6 +28,7 @@ CODE_BITS = 62
 WINDOW = 384
 RECALL = 0.99
 BLOCK = 256
+STRIP = 4096                  #: places of the order compared by one task
 
 
 def passes_for(classes: int, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -53,7 +54,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def coded(classes: DataFrame, passes: int, seed: int = 7) -> DataFrame:
-    """(dim, pass, code, c, u): a row per class and pass, `u` the packed unit vector."""
+    """(dim, pass, code, c): a row per class and pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -65,34 +66,54 @@ def coded(classes: DataFrame, passes: int, seed: int = 7) -> DataFrame:
                 x = _matrix(own.column(1))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * CODE_BITS))
-                units = pa.array([r.tobytes() for r in x], pa.binary())
                 for p in range(passes):
                     bits = x @ planes[dim][:, p * CODE_BITS:(p + 1) * CODE_BITS] > 0
                     n = len(x)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(bits @ weights), own.column(0), units],
-                        ["dim", "pass", "code", "c", "u"])
+                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(bits @ weights), own.column(0)],
+                        ["dim", "pass", "code", "c"])
 
-    return classes.select("c", "v").mapInArrow(run, "dim int, pass int, code long, c long, u binary")
+    return classes.select("c", "v").mapInArrow(run, "dim int, pass int, code long, c long")
 
 
-def window_pairs(rows: DataFrame, window: int = WINDOW, least: float = LEAST_COSINE) -> DataFrame:
-    """(a, b), a < b, of classes at most `window` places apart in a pass whose cosine is `least` or more."""
+def _partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ordered(codes: DataFrame) -> DataFrame:
+    """Add `pos`, the place in the order of dim, pass, code and c: ranges are counted, rows numbered within theirs."""
+    order = ("dim", "pass", "code", "c")
+    rows = written(codes.repartitionByRange(_partitions(codes), *order).sortWithinPartitions(*order)
+                   .withColumn("at", F.monotonically_increasing_id()), "vector-order")
+    part = F.shiftright("at", 33)                                            # Spark's number of the partition; the rest counts its rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("part", part).join(ranges, "part").select(*order, (F.col("start") + within).alias("pos"))
+
+
+def window_pairs(rows: DataFrame, classes: DataFrame, window: int = WINDOW, least: float = LEAST_COSINE) -> DataFrame:
+    """(a, b), a < b, of classes at most `window` places apart in a pass whose cosine is `least` or more.
+
+    Places are cut into strips of STRIP; the last `window` rows of a strip are copied to the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, x = None, np.zeros(0, np.int64), None                    # the last rows before this batch
         for b in batches:
-            dims, pas = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((dims[1:] != dims[:-1]) | (pas[1:] != pas[:-1])) + 1).tolist(), b.num_rows]
+            keys = np.stack([b.column(k).to_numpy() for k in range(3)], 1)   # strip, dim, pass
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                new = np.frombuffer(b"".join(b.column(4).slice(lo, hi - lo).to_pylist()), np.float64).reshape(hi - lo, int(dims[lo]))
-                if group != (dims[lo], pas[lo]):
-                    group, ids, x = (dims[lo], pas[lo]), np.zeros(0, np.int64), new[:0]
-                before = len(ids)
-                ids, x = np.concatenate([ids, b.column(3).slice(lo, hi - lo).to_numpy()]), np.concatenate([x, new])
-                left, right = [], []
+                new = _matrix(b.column(6).slice(lo, hi - lo))
+                if group != tuple(keys[lo]):
+                    group, ids, x = tuple(keys[lo]), np.zeros(0, np.int64), new[:0]
+                halo = int((~b.column(4).slice(lo, hi - lo).to_numpy(zero_copy_only=False)).sum())
+                before = len(ids) + halo                                     # copies come first and are not compared with each other
+                ids, x = np.concatenate([ids, b.column(5).slice(lo, hi - lo).to_numpy()]), np.concatenate([x, new])
+                left, right = [ids[:0]], [ids[:0]]
                 for at in range(before, len(ids), BLOCK):
                     end, start = min(at + BLOCK, len(ids)), max(0, at - window)
                     i, j = np.nonzero(x[at:end] @ x[start:end].T >= least)
@@ -105,8 +126,13 @@ def window_pairs(rows: DataFrame, window: int = WINDOW, least: float = LEAST_COS
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)[ok]), pa.array(np.maximum(a, c)[ok])], ["a", "b"])
                 ids, x = ids[-window:], x[-window:]
 
-    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = rows.repartitionByRange(int(n), "dim", "pass", "code", "c").sortWithinPartitions("dim", "pass", "code", "c")
+    size = max(STRIP, window)
+    own = F.floor(F.col("pos") / size)
+    near = F.col("pos") % size >= size - window
+    strips = (rows.withColumn("strip", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))))
+              .select("strip", "dim", "pass", "pos", (F.col("strip") == own).alias("own"), "c"))
+    placed = (strips.join(classes.select("c", "v"), "c").select("strip", "dim", "pass", "pos", "own", "c", "v")
+              .repartition(_partitions(rows), "strip").sortWithinPartitions("strip", "pos"))
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -119,7 +145,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """
     classes = written(vector_classes(vectors, vec_id, embedding), "vector-classes")
     passes = passes or passes_for(classes.count())
-    pairs = written(window_pairs(coded(classes, passes)), "vector-pairs")
+    pairs = written(window_pairs(ordered(coded(classes, passes)), classes), "vector-pairs")
     size = classes.select("c", "m")
     both = pairs.union(pairs.select("b", "a"))
     linked = both.join(size.select(F.col("c").alias("b"), "m"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("m").alias("others"))
