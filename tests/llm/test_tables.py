@@ -204,12 +204,46 @@ def test_near_vectors_meet_across_strips(spark, monkeypatch):
     monkeypatch.setattr(vectordup, "STRIP", 8)
     rnd = np.random.default_rng(6)
     x = rnd.normal(size=16) + rnd.normal(size=(40, 16)) * 0.01
-    classes = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "c long, v array<double>, m long")
+    classes = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "c long, v array<double>, m long").selectExpr("*", "array(-1L, -1L) as runs")
     rows = spark.createDataFrame([(16, k // 20, k, k % 20, k) for k in range(40)], "dim int, pass int, code long, c long, pos long")
     pairs = sorted((r["a"], r["b"]) for r in vectordup.window_pairs(rows, classes, window=5).collect())
     assert pairs == [(a, b) for a in range(20) for b in range(a + 1, min(a + 6, 20))]
 
 
+def test_near_vector_recall_in_a_group_of_thousands(spark):
+    """A group many times the window, some rows of it twice, is linked as a whole."""
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.normal(size=32) + rnd.normal(size=(3000, 32)) * 0.12, rnd.normal(size=(5000, 32))]).astype(np.float32)
+    x = np.concatenate([x, x[:40]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    got = vectordup.near_vectors(df).collect()
+    assert all(r["n_links"] <= links[r["vec_id"]] for r in got)
+    assert sum(r["n_links"] for r in got) >= 0.99 * links.sum()
+    assert {r["component_id"] for r in got if r["vec_id"] < 3000 and links[r["vec_id"]]} == {0}
+
+
+def test_links_of_blocks_count_once():
+    """Every pair of a run in one block pair, and in the first pass whose run it shares."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(6, 12))[rnd.integers(0, 6, 700)] + rnd.normal(size=(700, 12)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, m = rnd.permutation(700).astype(np.int64), rnd.integers(1, 4, 700)
+    runs = np.stack([rnd.integers(-1, 2, 700), np.zeros(700, int)], 1)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    near &= ~((runs[:, :1] == runs[:, 0]) & (runs[:, :1] >= 0))
+    cut, got, edges = [np.arange(0, 300), np.arange(300, 700)], Counter(), []
+    for p, q in ((0, 0), (0, 1), (1, 1)):
+        for c, root, others in zip(*vectordup.block_links(ids, m, x, runs, 1, cut[p], cut[q])):
+            got[c] += others
+            edges.append((c, root))
+    want = near @ m
+    assert got == Counter({ids[k]: n for k, n in enumerate(want) if n})
+    assert components(ids, edges) == components(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near))])
+
+
 def test_loser_tree_merges_runs():
     rnd = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 16, 33):
