@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from tests.llm.helpers import odd_documents, words
+from trackplate.llm import mixing
 
 
 def test_stages_keep_columns_and_whole_texts(spark):
@@ -25,6 +26,21 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted(ids, key=lambda i: i or -1) == [None, 1, 3, 4, 5, 6, 7, 10, 12, 13, 14, 15]
 
 
+def test_mixture_keeps_texts_whole(spark):
+    """Every copy has the document's own text; each source's words are within half a document of its target."""
+    docs = odd_documents(spark)
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["source"], set()).add((r["doc_id"], r["text"]))
+    target = {r["source"]: r["target"] for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    got = dict.fromkeys(target, 0)
+    for r in corpus_pipeline.mixture(spark, docs, "").collect():
+        assert (r["doc_id"], r["text"]) in texts[r["source"]]
+        got[r["source"]] += len(words(r["text"]))
+    for s, n in got.items():
+        assert abs(n - target[s]) <= max(len(words(t)) for _, t in texts[s]) / 2 + 1
+
+
 def test_empty_table(spark):
     docs = odd_documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -129,6 +129,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return shares(rows, mixing_plan(written(rows.select("_m.*"), "mix-sizes")))
 
 
+def whole(mixed: DataFrame) -> DataFrame:
+    """`taken` of each row of `mix` as whole copies: the document at the cut counts in full or not, whichever is nearer to the target."""
+    copies = F.expr("(2 * taken + size) div (2 * greatest(size, 1))")
+    return mixed.withColumn("taken", copies * F.col("size"))
+
+
 def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
     """Each row of `mix` as often as it is taken; the last copy of a row at the cut keeps the words taken."""
     whole = F.expr("taken div greatest(size, 1)")
