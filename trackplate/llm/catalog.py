@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets, vectordup, warc
+from . import bpe, hardneg, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets, variants, vectordup, warc
 from .common import id_remainder, table
 from .registry import query
 
@@ -161,3 +161,65 @@ def op9_line_quality(spark, sf_dir):
 def op10_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_digests(docs, vocabulary_file()).drop("text")
+
+
+#: crc32 of the UTF-8 bytes of `keyed`, from the table of its polynomial.
+CRC_SQL = """
+tab as (select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i:
+          case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as crc_of),
+crc as (select keyed, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(strlen(keyed)), lambda i:
+          ('0x' || substr(hex(encode(keyed)), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, crc_of[xor(c & 255, b) + 1]))) as h from k, tab)
+"""
+
+VARIANT_SQL = f"""
+with recursive r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run from documents),
+d as (select coalesce(doc_id::varchar, '') || ':' || run as keyed, run, count(*) as n from r group by 1, 2),
+k as (select keyed from d),
+{CRC_SQL},
+o as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+      from d join crc using (keyed)),
+v as (select word, sum(n)::bigint as n from o where length(word) >= 5 group by word having sum(n) >= 3),
+c as (select word, n, i, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) as gap, substr(word, 1, i - 1) || substr(word, i + 1) as less
+      from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+e as (select a.word, b.word as other, b.n from c a join c b on a.gap = b.gap and a.word <> b.word
+      union select c.word, v.word, v.n from c join v on c.less = v.word
+      union select v.word, c.word, c.n from c join v on c.less = v.word),
+b as (select word, count(*) as n_near, arg_min(struct_pack(other := other, n := n), struct_pack(a := -n, b := other)) as best from e group by word),
+f as (select v.word, v.n, case when best.n >= 2 * v.n then best.other end as form, case when best.n >= 2 * v.n then best.n end as form_n,
+        coalesce(n_near, 0)::bigint as n_near from v left join b on v.word = b.word),
+p(word, step) as (select word, word from f union all select p.word, f.form from p join f on f.word = p.step where f.form is not null)
+select f.word, f.n, f.form, f.form_n::bigint as form_n, f.n_near, p.step as root
+from f join p on p.word = f.word join f ends on ends.word = p.step and ends.form is null
+"""
+
+
+@query("op11_spelling_variants", VARIANT_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    found = variants.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc").cast("string"), F.lit("")), F.lit(":"), "run"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    typed = F.when(F.col("h") % 97 == 0, F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))).otherwise(F.col("run"))
+    return variants.group_variants(found.withColumn("h", h).select(typed.alias("word")))
+
+
+NEGATIVE_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+           from embeddings where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s as (select a.vec_id as anchor_id, v.vec_id as id, a.label = v.label as same, list_dot_product(a.q, v.q)::bigint as score
+      from v a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+  id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 100 * score between 30 * positive_score and 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVE_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hardneg.whole_numbers(rows.withColumn("label", label), "embedding", 256)
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0, vector="embedding").select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
