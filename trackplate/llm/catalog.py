@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, hardneg, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets, variants, vectordup, warc
+from . import bpe, brown, hardneg, hostrules, jaccard, langid, linecrf, linededup, mixing, secrets, variants, vectordup, warc
 from .common import id_remainder, table
 from .registry import query
 
@@ -202,6 +202,14 @@ def op11_spelling_variants(spark, sf_dir):
     return variants.group_variants(found.withColumn("h", h).select(typed.alias("word")))
 
 
+@query("op12_brown_lm")
+def op12_brown_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 7) == 2
+    return brown.class_scores(docs, ~held_out).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 NEGATIVE_SQL = """
 with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
            from embeddings where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
