@@ -34,7 +34,8 @@ CLASSES = 64                  #: exchanged classes
 ROUNDS = 9                    #: each moves a third of the core
 PULL = 50.0                   #: pseudo-tokens of the class frequencies in each transition row
 HELD = 500_000                #: distinct words that a task counts before it passes them on
-BLOCK = 1 << 25               #: bytes of text in a block, about
+BLOCK = 1 << 24               #: bytes of text in a block, about
+SLICE = 1 << 19               #: tokens handled at once
 GROUP = 64                    #: first words of bigrams that lie in one row
 
 END, OTHER = CLASSES, CLASSES + 1            #: classes of the end of a text, and of a word outside the core or unknown
@@ -92,7 +93,7 @@ def encode(docs: DataFrame, learn: Column, doc_id: str, text: str, core: list[by
     shared, n = docs.sparkSession.sparkContext.broadcast(core), len(core)
     kind = docs.schema[doc_id].dataType
 
-    class Numbers(dict):
+    class Numbering(dict):
         def __missing__(self, word):
             self[word] = number = len(self)
             return number
@@ -100,7 +101,7 @@ def encode(docs: DataFrame, learn: Column, doc_id: str, text: str, core: list[by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = {w: k for k, w in enumerate(shared.value)}
         part, seq = TaskContext.get().partitionId(), 0
-        numbers, ids, learned, pieces, size = Numbers(first), [], [], [], 0
+        numbers, ids, learned, pieces, size = Numbering(first), [], [], [], 0
 
         def out():
             all_ = np.concatenate(pieces)
@@ -121,7 +122,7 @@ def encode(docs: DataFrame, learn: Column, doc_id: str, text: str, core: list[by
                 if size >= BLOCK:
                     yield out()
                     seq += 1
-                    numbers, ids, learned, pieces, size = Numbers(first), [], [], [], 0
+                    numbers, ids, learned, pieces, size = Numbering(first), [], [], [], 0
         if ids:
             yield out()
 
@@ -131,11 +132,24 @@ def encode(docs: DataFrame, learn: Column, doc_id: str, text: str, core: list[by
 
 def opened(stream: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a block and where its documents begin."""
-    s = np.frombuffer(stream, np.uint16).astype(np.int64)
+    s = np.frombuffer(stream, np.uint16)
     ends = np.flatnonzero(s == end)
     return s, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
 
 
+def sliced(starts: np.ndarray, n: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(tokens, documents, where in the slice these begin): a block in slices, which may cut documents."""
+    for a in range(0, n, SLICE):
+        b = min(n, a + SLICE)
+        docs = slice(int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b, "left")))
+        yield slice(a, b), docs, np.maximum(starts[docs] - a, 0)
+
+
+def after_end(numbers: np.ndarray, tokens: slice, end: int) -> np.ndarray:
+    """What stands before each token of the slice, as long numbers; the end before the first of all."""
+    return np.concatenate([[end if tokens.start == 0 else int(numbers[tokens.start - 1])], numbers[tokens.start:tokens.stop - 1]]).astype(np.int64)
+
+
 def of_tokens(per_document, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.asarray(per_document), np.diff(np.append(starts, n)))
 
@@ -148,8 +162,11 @@ def core_bigrams(blocks: DataFrame, n_core: int) -> DataFrame:
         for b in batches:
             for stream, learned in zip(b.column(0), b.column(1).to_pylist()):
                 s, starts = opened(stream.as_py(), n_core + 1)
-                before = np.concatenate([[n_core + 1], s[:-1]])
-                codes, counts = np.unique((before * wide + s)[of_tokens(learned, starts, len(s))], return_counts=True)
+                on, found = of_tokens(learned, starts, len(s)), []
+                for at, _, _ in sliced(starts, len(s)):
+                    found.append(np.unique((after_end(s, at, n_core + 1) * wide + s[at])[on[at]], return_counts=True))
+                codes, same = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                counts = np.bincount(same, np.concatenate([f[1] for f in found]), len(codes))
                 groups, at = np.unique(codes // (GROUP * wide), return_index=True)
                 cut = [*zip(at, np.append(at[1:], len(codes)))]
                 yield pa.RecordBatch.from_arrays([
@@ -378,21 +395,29 @@ def sequences(blocks: DataFrame, others: DataFrame, classes: np.ndarray, core_n:
         for b in batches:
             for ids, learned, stream, other, dictionary in zip(*(b.column(k) for k in range(5))):
                 s, starts = opened(stream.as_py(), n_core + 1)
-                cls = np.append(classes[:n_core], [OTHER, END if texts else OTHER])[s]
-                n = np.concatenate([core_n, [0, texts]]).astype(np.int64)[s]
-                at = np.flatnonzero(s == n_core)
-                if len(at):
+                # the block's own numbering: core words, the mark, the end, then its dictionary
+                of = np.append(classes[:n_core], [OTHER, END if texts else OTHER]).astype(np.uint8)
+                n = np.concatenate([core_n, [0, texts]]).astype(np.int64)
+                if dictionary.is_valid:
                     number, d_cls, d_n = (dictionary.values.field(k).to_numpy() for k in range(3))
-                    of, count = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-                    of[number], count[number] = d_cls, d_n
-                    k = np.frombuffer(other.as_py(), np.int32)
-                    cls[at], n[at] = of[k], count[k]
-                emitted = np.where(n > 0, np.log10(np.maximum(n - discount, 1e-300) / np.maximum(1, size[cls])), 0.0)
-                sums = [np.add.reduceat(v, starts) for v in ((n > 0).astype(np.int64), np.log10((n + 1) / room), emitted)]
+                    order = np.argsort(number)
+                    of, n = np.concatenate([of, d_cls[order].astype(np.uint8)]), np.concatenate([n, d_n[order]])
+                emit = np.where(n > 0, np.log10(np.maximum(n - discount, 1e-300) / np.maximum(1, size[of])), 0.0)
+                base, k = np.log10((n + 1) / room), np.frombuffer(other.as_py(), np.int32)
+                seq, used = np.empty(len(s), np.uint8), 0
+                sums = np.zeros(len(starts), np.int64), np.zeros(len(starts)), np.zeros(len(starts))
+                for at, docs, begin in sliced(starts, len(s)):
+                    w = s[at].astype(np.int64)
+                    mark = np.flatnonzero(w == n_core)
+                    w[mark] = k[used:used + len(mark)] + n_core + 2
+                    used += len(mark)
+                    seq[at] = of[w]
+                    for total, v in zip(sums, ((n[w] > 0).astype(np.int64), base[w], emit[w])):
+                        total[docs] += np.add.reduceat(v, begin)
                 lengths = np.diff(np.append(starts, len(s)))
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays([0, len(starts)], ids.values), pa.ListArray.from_arrays([0, len(starts)], learned.values),
-                    pa.array([cls.astype(np.uint8).tobytes()], pa.binary()), *(pa.ListArray.from_arrays([0, len(starts)], pa.array(v)) for v in (lengths, *sums))],
+                    pa.array([seq.tobytes()], pa.binary()), *(pa.ListArray.from_arrays([0, len(starts)], pa.array(v)) for v in (lengths, *sums))],
                     ["ids", "learned", "seq", "n_tokens", "n_known", "base", "emitted"])
 
     found = others.groupBy("block").agg(F.collect_list(F.struct("number", "cls", "n")).alias("dictionary"))
@@ -408,9 +433,10 @@ def class_bigrams(seqs: DataFrame) -> np.ndarray:
         sums = np.zeros(WIDE * WIDE, np.int64)
         for b in batches:
             for seq, learned, lengths in zip(*(b.column(k) for k in range(3))):
-                c = np.frombuffer(seq.as_py(), np.uint8).astype(np.int64)
-                on = np.repeat(np.array(learned.as_py(), bool), np.array(lengths.as_py()))
-                sums += np.bincount((np.concatenate([[END], c[:-1]]) * WIDE + c)[on], minlength=WIDE * WIDE)
+                c, n = np.frombuffer(seq.as_py(), np.uint8), lengths.values.to_numpy()
+                on = np.repeat(np.array(learned.as_py(), bool), n)
+                for at, _, _ in sliced(np.cumsum(n) - n, len(c)):
+                    sums += np.bincount((after_end(c, at, END) * WIDE + c[at])[on[at]], minlength=WIDE * WIDE)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
 
@@ -458,10 +484,9 @@ def class_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: s
         t = shared.value.ravel()
         for b in batches:
             for ids, learned, seq, lengths, n_known, base, emitted in zip(*(b.column(k) for k in range(7))):
-                c = np.frombuffer(seq.as_py(), np.uint8).astype(np.int64)
-                n = lengths.values.to_numpy()
-                way = t[np.concatenate([[END], c[:-1]]) * WIDE + c]
-                total = np.add.reduceat(way, np.cumsum(n) - n) + emitted.values.to_numpy()
+                c, n, total = np.frombuffer(seq.as_py(), np.uint8), lengths.values.to_numpy(), emitted.values.to_numpy().copy()
+                for at, docs, begin in sliced(np.cumsum(n) - n, len(c)):
+                    total[docs] += np.add.reduceat(t[after_end(c, at, END) * WIDE + c[at]], begin)
                 columns = [ids.values, learned.values, lengths.values, n_known.values, base.values, pa.array(total if known else np.zeros(len(n)))]
                 for k in range(0, len(n), 10_000):
                     yield pa.RecordBatch.from_arrays([v.slice(k, 10_000) for v in columns], ["doc_id", "learned", "n_tokens", "n_known", "base_score", "score"])
