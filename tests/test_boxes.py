@@ -1,4 +1,4 @@
-"""Suppression in both modes, overlap joins and relabelling."""
+"""Suppression at all sizes, overlap joins and relabelling."""
 
 import numpy as np
 import pytest
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackplate.functions import boxes as FB
 from trackplate.operators import boxes as B
+from trackplate.operators import suppression as S
 
 SCHEMA = "image_id long, det_id long, x1 double, y1 double, x2 double, y2 double, score double, cls string, truncated boolean"
 
@@ -47,25 +48,90 @@ def brute(rows, rule):
 RULES = B.merge_rules(0.2, 0.5, 0.3, 0.4)
 
 
+@pytest.fixture(params=[(2048, 8192), (10, 12)], ids=["whole", "pieces"])
+def sizes(request, monkeypatch):
+    """Regions of an ordinary size, and of a few boxes with walks of a few heads: both settle the same boxes."""
+    monkeypatch.setattr(S, "REGION", request.param[0])
+    monkeypatch.setattr(S, "HEADS", request.param[1])
+
+
 @pytest.mark.parametrize("rule", RULES, ids=["class", "nested", "cross", "seam"])
-def test_rules_all_modes(spark, rule):
+def test_rules_at_all_sizes(spark, sizes, rule):
     rows = _boxes(7)
     df = spark.createDataFrame(rows, SCHEMA)
     want = {r[1] for r in brute(rows, rule)}
     assert want != {r[1] for r in rows}
-    for small, crowd in ((5000, 1), (0, 10**6), (0, 1)):
-        assert {r.det_id for r in B.suppress(df, rule, small=small, crowd=crowd, cell=64.0).collect()} == want
+    assert {r.det_id for r in B.suppress(df, rule).collect()} == want
 
 
-def test_rule_order_split_and_merge(spark):
+def test_rule_order_split_and_merge(spark, sizes):
     rows = _boxes(8)
     left = rows
     for rule in RULES:
         left = brute(left, rule)
     df = spark.createDataFrame(rows, SCHEMA)
-    want = {r[1] for r in left}
-    assert {r.det_id for r in B.suppress(df, RULES).collect()} == want
-    assert {r.det_id for r in B.suppress(df, RULES, small=39).collect()} == want
+    assert {r.det_id for r in B.suppress(df, RULES).collect()} == {r[1] for r in left}
+
+
+def fast(rows, rule):
+    """brute() for one image, in numpy."""
+    b = np.array([r[2:6] for r in rows])
+    area, cls, cut = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]), np.array([r[7] for r in rows]), np.array([r[8] for r in rows])
+    rank = np.array([r[6] for r in rows]) if rule.order == "score" else area
+    kept = []
+    for i in np.lexsort((np.array([r[1] for r in rows]), -rank)):
+        k = np.array([j for j in kept if cls[j] == cls[i] or not rule.same_class], int)
+        w = np.clip(np.minimum(b[i, 2], b[k, 2]) - np.maximum(b[i, 0], b[k, 0]), 0, None)
+        inter = w * np.clip(np.minimum(b[i, 3], b[k, 3]) - np.maximum(b[i, 1], b[k, 1]), 0, None)
+        part = inter / (area[i] + area[k] - inter + 1e-9) if rule.measure == "iou" else inter / max(1e-9, area[i])
+        if not ((cut[i] or not rule.only_truncated) and (part >= rule.limit).any()):
+            kept.append(i)
+    return [rows[i] for i in kept]
+
+
+def test_thousands_of_boxes_on_one_spot(spark, monkeypatch):
+    """A crowd inside one cell, far more than a region walks at once, with a few boxes elsewhere."""
+    monkeypatch.setattr(S, "REGION", 500)
+    monkeypatch.setattr(S, "HEADS", 600)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(4000):
+        x, y = rng.normal(1000, 9, 2) if i % 100 else rng.uniform(0, 5000, 2)
+        w, h = rng.uniform(18, 40, 2)
+        rows.append((0, i, float(x), float(y), float(x + w), float(y + h), float(np.round(rng.uniform(), 3)), str(rng.choice(["a", "b"])), bool(rng.uniform() < 0.3)))
+    left = rows
+    for rule in B.merge_rules():
+        left = fast(left, rule)
+    got = [r.det_id for r in B.suppress(spark.createDataFrame(rows, SCHEMA), B.merge_rules()).collect()]
+    assert sorted(got) == sorted(r[1] for r in left) and len(got) < 400
+
+
+def test_one_large_image_with_chains_and_mixed_sizes(spark, monkeypatch):
+    """Rows of boxes that each hang on the one before, over many regions; and boxes of very different sizes."""
+    monkeypatch.setattr(S, "REGION", 300)
+    rows, rng = [], np.random.default_rng(6)
+    for i in range(1200):                                                         # a chain: every other box goes
+        rows.append((0, i, 4.0 * i, 0.0, 4.0 * i + 10, 10.0, 1 - i / 1e4, "a", True))
+    for i in range(1200, 4000):
+        x, y = rng.uniform(0, 4800), rng.uniform(20, 900)
+        w, h = 2.0 ** rng.uniform(1, 9, 2)
+        rows.append((0, i, float(x), float(y), float(x + w), float(y + h), float(np.round(rng.uniform(), 2)), str(rng.choice(["a", "b"])), bool(rng.uniform() < 0.5)))
+    rules = B.merge_rules(0.4, 0.75, 0.7, 0.6)
+    left = rows
+    for rule in rules:
+        left = fast(left, rule)
+    got = [r.det_id for r in B.suppress(spark.createDataFrame(rows, SCHEMA), rules).collect()]
+    assert sorted(got) == sorted(r[1] for r in left)
+
+
+def test_boxes_without_a_side_or_score_stay(spark):
+    rows = [(0, 1, 0.0, 0.0, 10.0, 10.0, 0.9, "a", True), (0, 2, 0.0, 0.0, 10.0, 10.0, 0.8, "a", True), (0, 3, None, 0.0, 10.0, 10.0, 0.8, "a", True),
+            (0, 4, 0.0, 0.0, 10.0, 10.0, None, "a", None), (None, 5, 0.0, 0.0, 10.0, 10.0, 0.9, "a", True), (0, 6, 0.0, 0.0, 10.0, 10.0, 0.7, None, None),
+            (0, 7, 3.0, 3.0, 3.0, 3.0, 0.1, "a", True), (1, 1, 0.0, 0.0, 10.0, 10.0, 0.9, "a", True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.image_id if r.image_id is not None else -1, r.det_id) for r in B.suppress(df, B.Rule("iou", 0.5, same_class=True)).collect())
+    assert got == [(-1, 5), (0, 1), (0, 3), (0, 4), (0, 6), (0, 7), (1, 1)]
+    assert B.suppress(df.limit(0), B.merge_rules()).count() == 0 and B.suppress(df, []).count() == len(rows)
 
 
 def test_overlap_pairs(spark):

@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import settle, written
 from ..functions import boxes as B
-from .grouped import map_groups
 from .ranking import quantiles
+from .suppression import Rule, suppress
 
 KEYS = ("image_id",)
 CELL = 256.0
-EPS = B.EPS
 
 
 # --- tiles and gates ---------------------------------------------------------------
@@ -97,156 +93,7 @@ def overlaps(dets: DataFrame, keys: Sequence[str] = KEYS, min_iou: float | None
     return j.where(F.col("overlap") >= min_cover)
 
 
-# --- greedy suppression ------------------------------------------------------------------
-
-@dataclass(frozen=True)
-class Rule:
-    """Walk boxes in `order`; drop one when a kept earlier box overlaps it enough."""
-
-    measure: str            # "iou" or "cover" (share of the later box inside the kept one)
-    limit: float
-    order: str = "score"    # "score" or "area", descending; ties by det_id
-    same_class: bool = False
-    only_truncated: bool = False
-
-
-def _walk(box, score, cls, cut, ids, rule: Rule) -> np.ndarray:
-    """Kept mask of one group of bounded size."""
-    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    rank = score if rule.order == "score" else area
-    kept = np.zeros(len(box), bool)
-    for i in np.lexsort((ids, -rank)):
-        k = np.flatnonzero(kept & (cls == cls[i]) if rule.same_class else kept)
-        if len(k) and (cut[i] or not rule.only_truncated):
-            w = np.minimum(box[i, 2], box[k, 2]) - np.maximum(box[i, 0], box[k, 0])
-            h = np.minimum(box[i, 3], box[k, 3]) - np.maximum(box[i, 1], box[k, 1])
-            inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-            base = area[i] + area[k] - inter + EPS if rule.measure == "iou" else max(EPS, area[i])
-            if (inter / base >= rule.limit).any():
-                continue
-        kept[i] = True
-    return kept
-
-
-def _rank(rule: Rule, name: str) -> Column:
-    if rule.order == "score":
-        first = -F.col(f"{name}.score")
-    else:
-        first = -((F.col(f"{name}.x2") - F.col(f"{name}.x1")) * (F.col(f"{name}.y2") - F.col(f"{name}.y1")))
-    return F.struct(first.alias("r"), F.col(f"{name}.det_id").alias("d"))
-
-
-def _blocks(cands: DataFrame, others: DataFrame, rule: Rule, keys, cell) -> DataFrame:
-    """(loser, winner) pairs: an earlier box overlaps a candidate enough."""
-    a, b = _boxed(_cells(cands, cell), "a", keys), _boxed(_cells(others, cell), "b", keys)
-    measure = B.iou("a", "b") if rule.measure == "iou" else B.covered_fraction("a", "b")
-    hit = (_rank(rule, "b") < _rank(rule, "a")) & (measure >= rule.limit)
-    return (a.join(b, [*keys, "_cx", "_cy"]).where(hit)
-            .select(*keys, F.col("a.det_id").alias("loser"), F.col("b.det_id").alias("winner")).distinct())
-
-
-def _blocked(cands: DataFrame, kept: DataFrame, rule: Rule, keys, cell) -> DataFrame:
-    """det_ids of candidates that a kept earlier box suppresses."""
-    return _blocks(cands, kept, rule, keys, cell).select(*keys, F.col("loser").alias("det_id")).distinct()
-
-
-def _crowded(dets: DataFrame, keys, cell: float, limit: int) -> bool:
-    """Whether some grid cell holds more boxes than pairs may be listed for."""
-    n = _cells(dets, cell).groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
-    return not n.where(F.col("_n") > limit).isEmpty()
-
-
-def _suppress_edges(dets: DataFrame, rule: Rule, keys, cell, max_rounds: int) -> DataFrame:
-    """Large images of ordinary density: write who blocks whom once, then settle it.
-
-    A blocker that nobody can drop is kept and its losers go; a dropped box blocks
-    nobody. The number of rounds is the longest chain of conflicts, not the box count.
-    """
-    k = [*keys, "cls"] if rule.same_class else list(keys)
-    cands = dets.where("truncated") if rule.only_truncated else dets
-    e = written(_blocks(cands, dets, rule, k, cell), "blocks")
-    dropped = None
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            return dets if dropped is None else dets.join(dropped, [*k, "det_id"], "left_anti")
-        loser = e.select(*k, F.col("loser").alias("winner")).distinct()
-        kept = e.select(*k, "winner").distinct().join(loser, [*k, "winner"], "left_anti")
-        gone = settle(e.join(kept, [*k, "winner"]).select(*k, F.col("loser").alias("det_id")).distinct())
-        dropped = gone if dropped is None else settle(dropped.unionByName(gone))
-        e = settle(e.join(gone.withColumnRenamed("det_id", "loser"), [*k, "loser"], "left_anti")
-                   .join(gone.withColumnRenamed("det_id", "winner"), [*k, "winner"], "left_anti"))
-    raise RuntimeError("suppression did not settle; raise max_rounds")
-
-
-def _suppress_leads(dets: DataFrame, rule: Rule, keys, cell, max_rounds: int) -> DataFrame:
-    """Large images with crowded cells, where even listing conflicts is too much.
-
-    Each round keeps the boxes that lead every grid cell they touch (nothing earlier
-    can overlap them) and drops what they suppress. At most one box per cell is new,
-    so a round joins a box with a handful of others however crowded the image is.
-    """
-    keys = [*keys, "cls"] if rule.same_class else list(keys)
-    if rule.only_truncated:
-        kept = settle(dets.where(~F.col("truncated")))
-        todo = dets.where("truncated")
-        todo = settle(todo.join(_blocked(todo, kept, rule, keys, cell), [*keys, "det_id"], "left_anti"))
-    else:
-        kept, todo = None, settle(dets)
-    for _ in range(max_rounds):
-        if todo.isEmpty():
-            return kept if kept is not None else todo
-        cells = _boxed(_cells(todo, cell), "a", keys).withColumn("_r", _rank(rule, "a"))
-        lead = cells.groupBy(*keys, "_cx", "_cy").agg(F.min("_r").alias("_lead"))
-        free = (cells.join(lead, [*keys, "_cx", "_cy"])
-                .groupBy(*keys, F.col("a.det_id").alias("det_id"))
-                .agg(F.bool_and(F.col("_r") == F.col("_lead")).alias("_free")).where("_free").drop("_free"))
-        new = settle(todo.join(free, [*keys, "det_id"], "left_semi"))
-        kept = new if kept is None else settle(kept.unionByName(new))
-        rest = todo.join(new.select(*keys, "det_id"), [*keys, "det_id"], "left_anti")
-        todo = settle(rest.join(_blocked(rest, new, rule, keys, cell), [*keys, "det_id"], "left_anti"))
-    raise RuntimeError("suppression did not settle; raise max_rounds")
-
-
-def _route(dets: DataFrame, keys, small: int):
-    """(rows of groups up to `small`, rows of larger groups or None)."""
-    n = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = settle(n.where(F.col("_n") > small).select(*keys))
-    if big.isEmpty():
-        return dets, None
-    return dets.join(big, list(keys), "left_anti"), dets.join(big, list(keys), "left_semi")
-
-
-def suppress(dets: DataFrame, rules: Sequence[Rule] | Rule, keys: Sequence[str] = KEYS, small: int = 50_000,
-             cell: float = CELL, crowd: int = 2000, max_rounds: int = 10_000) -> DataFrame:
-    """Apply suppression rules in order, per image.
-
-    Images up to `small` boxes are walked as Arrow groups for all rules. Larger images
-    settle a table of conflicts, or, when a grid cell holds more than `crowd` boxes,
-    keep cell leaders round by round. All three give the same boxes.
-    """
-    rules = [rules] if isinstance(rules, Rule) else list(rules)
-    few, many = _route(dets, keys, small)
-
-    def run(rows, starts):
-        box = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        score, cls, ids = (rows[c].to_numpy() for c in ("score", "cls", "det_id"))
-        cut = rows["truncated"].to_numpy(bool)
-        alive = []
-        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
-            left = np.arange(a, b)
-            for rule in rules:
-                left = left[_walk(box[left], score[left], cls[left], cut[left], ids[left], rule)]
-            alive.append(left)
-        return rows.iloc[np.concatenate(alive)]
-
-    out = map_groups(few, keys, [], run, dets.schema)
-    if many is not None:
-        for rule in rules:
-            step = _suppress_leads if _crowded(many, keys, cell, crowd) else _suppress_edges
-            many = step(many, rule, keys, cell, max_rounds).select(*dets.columns)
-        out = out.unionByName(many)
-    return out
-
+# --- suppression -----------------------------------------------------------------------
 
 def merge_rules(iou: float = 0.45, nested: float | None = 0.75, cross: float | None = None,
                 seam: float | None = 0.6) -> list[Rule]:
@@ -285,10 +132,10 @@ def relabel_cached(rows: DataFrame, names, refs, alpha: float, excluded=()) -> D
 
 
 def merge_detections(dets: DataFrame, floors, sizes, names, refs, alpha=0.0, excluded=(), rules=None,
-                     keys: Sequence[str] = KEYS, small: int = 50_000) -> DataFrame:
+                     keys: Sequence[str] = KEYS) -> DataFrame:
     """Gates, suppression passes and relabelling in their fixed order."""
     gated = detection_gate(dets, floors, sizes, excluded)
-    kept = suppress(gated, rules if rules is not None else merge_rules(), keys, small)
+    kept = suppress(gated, rules if rules is not None else merge_rules(), keys)
     return rescore(kept, names, refs, alpha, excluded)
 
 
