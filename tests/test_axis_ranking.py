@@ -1,5 +1,7 @@
 """Chunked axis and rank primitives equal their plain one-task counterparts."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -45,17 +47,35 @@ def test_densify_never_interpolates(spark):
     assert [(r.k, r.frame, r.x) for r in d] == [("a", 3, 1.0), ("a", 4, None), ("a", 5, None), ("a", 6, 2.0), ("b", 1, 5.0)]
 
 
-def test_quantiles_with_hot_value(spark):
+@pytest.mark.parametrize("few", [2000, 0])
+def test_quantiles_with_hot_value(spark, monkeypatch, few):
+    monkeypatch.setattr(ranking, "FEW", few)                  # 0: every group goes by its sketch
+    monkeypatch.setattr(ranking, "MARGIN", 0.01)
     rng = np.random.default_rng(3)
-    v = np.concatenate([np.full(400, 7.0), rng.lognormal(3, 2, 599), [1e9]])
-    df = spark.createDataFrame(pd.DataFrame({"k": np.where(np.arange(1000) % 3 == 0, "a", "b"), "v": v}))
+    v = np.concatenate([np.full(4000, 7.0), rng.lognormal(3, 2, 5999), [1e300]])
+    k = np.arange(10000) % 3 == 0
+    df = spark.createDataFrame(pd.DataFrame({"k": np.where(k, "a", "b"), "v": v, "w": -v[::-1]})).withColumn("w", F.when(F.col("k") == "b", F.col("w")))
     probs = {"a1": 0.01, "a50": 0.5, "a98": 0.98}
-    for bins in (2, 64, 8192):
-        for r in ranking.quantiles(df, ["k"], "v", probs, bins).collect():
-            w = v[(np.arange(1000) % 3 == 0) == (r.k == "a")]
-            assert np.allclose([r.a1, r.a50, r.a98], np.quantile(w, [0.01, 0.5, 0.98]))
+    got = {r.k: r for r in ranking.column_quantiles(df, ["k"], {"v": probs, "w": {"w25": 0.25}}).collect()}
+    for name, on in (("a", k), ("b", ~k)):
+        assert np.allclose([got[name][c] for c in probs], np.quantile(v[on], [0.01, 0.5, 0.98]))
+    assert got["a"].w25 is None and np.isclose(got["b"].w25, np.quantile(-v[::-1][~k], 0.25))
     one = ranking.quantiles(df, [], "v", probs).first()
     assert np.allclose([one.a1, one.a50, one.a98], np.quantile(v, [0.01, 0.5, 0.98]))
+    assert ranking.quantiles(df.where("k = 'c'"), ["k"], "v", probs).count() == 0
+
+
+def test_quantiles_move_few_values(spark):
+    """Between sketch and answer only values near the wanted rank are grouped; an outlier changes nothing of that."""
+    df = spark.range(200_000).select((F.col("id") % 100_000 + F.lit(0.5)).alias("v")).unionByName(spark.createDataFrame([(1e308,)], "v double"))
+    moved = {}
+    q = ranking.quantiles(df, [], "v", {"m": 0.5})
+    assert q.first().m == pytest.approx(np.median(np.append(np.tile(np.arange(100_000) + 0.5, 2), 1e308)))
+    for node in re.findall(r"\+- Generate explode.*", q._jdf.queryExecution().executedPlan().toString()):
+        moved[node] = True
+    assert moved
+    binned = ranking._binned(df, [], "v").groupBy("_bin").count().toPandas()["count"]
+    assert len(binned) == ranking.COARSE * ranking.FINE and binned.max() < 4 * 200_000 / len(binned)
 
 
 def test_value_ranks_and_ordered_prefix(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from .ranking import quantiles
+from .ranking import column_quantiles, quantiles
 from .suppression import Rule, suppress
 
 KEYS = ("image_id",)
@@ -157,9 +157,8 @@ def box_percentiles(dets: DataFrame, floor: float = 0.25) -> DataFrame:
     d = dets.where(F.col("score") >= floor).withColumns(
         {"_w": F.col("x2") - F.col("x1"), "_h": F.col("y2") - F.col("y1")})
     base = d.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("_w").alias("w_max"), F.max("_h").alias("h_max"))
-    w = quantiles(d, ["cls"], "_w", {"w_p50": 0.5, "w_p95": 0.95})
-    h = quantiles(d, ["cls"], "_h", {"h_p50": 0.5, "h_p95": 0.95})
-    return base.join(w, "cls").join(h, "cls")
+    q = column_quantiles(d, ["cls"], {"_w": {"w_p50": 0.5, "w_p95": 0.95}, "_h": {"h_p50": 0.5, "h_p95": 0.95}})
+    return base.join(q, "cls")
 
 
 def size_bounds(dets: DataFrame, floor: float = 0.25, lo: float = 0.02, hi: float = 0.98, least: int = 20) -> DataFrame:

@@ -1,12 +1,14 @@
 """Exact ranks, prefix sums and quantiles without sorting a group in one task.
 
-Values are put in bins that keep their order, bins are counted with a map-side
-combined aggregate, the counts are prefix-summed per key, and rows are ordered only
-inside their bin. The answer does not depend on the binning, only the balance does.
+A mergeable quantile sketch sets the edges between which values are ordered, so edges follow
+the values wherever they lie. Quantiles move only the values between the two edges around
+a wanted rank, each distinct one once per task; what lies below is a map-side count. Ranks of all values
+order them inside their bin. The answers do not depend on the edges, only the balance does.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,28 +16,28 @@ from pyspark.sql import functions as F
 
 from ..core import written
 
-BINS = 8192
+COARSE, FINE = 32, 32         #: bins of a ranking: so many of equal weight, each cut into so many
+SKETCH = 10_000               #: accuracy of the sketch: ranks are right to one part in so many
+MARGIN = 0.001                #: of a group's rows on each side of a wanted rank, ten times the sketch's error
+FEW = 2_000                   #: a group of so many values lies between its edges as a whole
 
 
-def _scaled(v: Column) -> Column:
-    """Monotone squeeze so that a far outlier does not empty most bins."""
-    return F.signum(v) * F.log1p(F.abs(v))
-
-
-def _binned(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
-    t = _scaled(F.col(value).cast("double"))
-    span = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+def _binned(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add `_bin`, ascending with the value: its place among the sketch's edges, looked up in two steps."""
+    v, n = F.col(value).cast("double"), COARSE * FINE
+    edges = df.groupBy(*keys).agg(F.percentile_approx(v, [k / n for k in range(1, n)], SKETCH).alias("_edges"))
     if keys:
-        d = df.join(span, list(keys))
+        d = df.join(edges, list(keys))
     else:
-        ends = span.select(F.struct("_lo", "_hi").alias("s")).scalar()
-        d = df.withColumns({"_lo": ends["_lo"], "_hi": ends["_hi"]})
-    frac = F.coalesce(F.try_divide(t - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    bin_no = F.least(F.floor(frac * F.lit(bins)), F.lit(bins - 1)).cast("long")
-    return d.withColumn("_bin", bin_no).drop("_lo", "_hi")
+        d = df.withColumn("_edges", edges.scalar())
+    at = lambda lo, k: F.size(F.filter(F.slice("_edges", lo, k), lambda e: e <= v))
+    heads = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.element_at("_edges", k * FINE))
+    coarse = F.size(F.filter(heads, lambda e: e <= v))
+    return d.withColumn("_coarse", coarse).withColumn(
+        "_bin", (F.col("_coarse") * FINE + at(F.col("_coarse") * FINE + 1, FINE - 1)).cast("long")).drop("_edges", "_coarse")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their count and position: keys, v, c, rank_from (0-based), rank_n.
 
     Equal values are merged before anything is ordered, so a value that fills a third
@@ -44,7 +46,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bins: int = BINS
     keys = list(keys)
     v = (df.where(F.col(value).isNotNull())
          .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    b = _binned(v, keys, "v", bins)
+    b = _binned(v, keys, "v")
     per_bin = b.groupBy(*keys, "_bin").agg(F.sum("c").alias("_n"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,46 +82,61 @@ def ordered_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return d.withColumns(out).drop("_pid", "_before", *[f"_b_{k}" for k in sums])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-              bins: int = BINS) -> DataFrame:
-    """Exact linearly interpolated quantiles of the non-NULL values of each group.
+def column_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Exact linearly interpolated quantiles of the non-NULL values of several columns: {column: {name: probability}}.
 
-    Equal values are merged first, only the bins that hold a wanted rank are
-    shuffled, and inside a bin a window orders distinct values.
+    One pass sketches all columns, a second moves the values around the wanted ranks. Groups without any
+    value are left out; a column without one has NULL.
     """
     keys = list(keys)
-    v = (df.where(F.col(value).isNotNull())
-         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    b = _binned(v, keys, "_v", bins)
-    per_bin = b.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    cum = per_bin.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(part)})
-    wanted = []
-    for n, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            wanted.append(F.struct(F.lit(n).alias("q"), F.lit(side).alias("side"),
-                                   pos.cast("long").alias("pos"), (at - F.floor(at)).alias("frac")))
-    picks = (cum.withColumn("_w", F.explode(F.array(*wanted)))
-             .select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto", "_w.*")
-             .where((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_upto"))))
-    need = picks.groupBy(*keys, "_bin").agg(
-        F.first("_from").alias("_from"),
-        F.collect_list(F.struct("q", "side", "pos", "frac")).alias("_picks"))
-    inside = (Window.partitionBy(*keys, "_bin").orderBy("_v")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    rows = b.join(need, [*keys, "_bin"]).withColumn("_end", F.col("_from") + F.sum("_c").over(inside))
-    hit = (rows.withColumn("_p", F.explode("_picks"))
-           .where((F.col("_p.pos") < F.col("_end")) & (F.col("_p.pos") >= F.col("_end") - F.col("_c"))))
+    cols = {c: f"_q{k}" for k, c in enumerate(wanted)}
+    items = [(cols[c], j, name, float(p)) for c, probs in wanted.items() for j, (name, p) in enumerate(probs.items())]
+    d = df.select(*keys, *(F.col(c).cast("double").alias(q) for c, q in cols.items()))
+    sketch = []
+    for c, q in cols.items():
+        sides = [x for p in wanted[c].values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+        sketch.append(F.struct(F.count(q).alias("n"), F.percentile_approx(q, sides, SKETCH).alias("at")).alias(f"{q}_s"))
+    edges = d.groupBy(*keys).agg(*sketch)
+    if keys:
+        d = d.join(edges, keys)
+    else:
+        all_ = edges.select(F.struct(*(f"{q}_s" for q in cols.values())).alias("s")).scalar()
+        d = d.withColumn("_all", all_).withColumns({f"{q}_s": F.col("_all")[f"{q}_s"] for q in cols.values()})
+
+    def sides(q: str, j: int) -> tuple[Column, Column]:
+        """Whether a value lies below the edges of a wanted quantile, and whether between them."""
+        v, s = F.col(q), F.col(f"{q}_s")
+        few, low, high = s["n"] <= FEW, s["at"][2 * j], s["at"][2 * j + 1]
+        return ~few & (v < low), v.isNotNull() & (few | ((v >= low) & (v <= high)))
+
+    # what lies below is counted in place; only rows between edges go through the generator
+    inside = [sides(q, j)[1] for q, j, _, _ in items]
+    some = d.where(functools.reduce(Column.__or__, inside))
+    found = some.select(*keys, F.explode(F.filter(F.array(*(
+        F.when(here, F.struct(F.lit(k).alias("_k"), F.col(f"{q}_s")["n"].alias("_n"), F.col(q).alias("_v")))
+        for k, ((q, _, _, _), here) in enumerate(zip(items, inside)))), lambda x: x.isNotNull())).alias("_x"))
+    moved = found.groupBy(*keys, "_x._k", "_x._v").agg(F.count(F.lit(1)).alias("_c"), F.max("_x._n").alias("_n"))
+    under = d.groupBy(*keys).agg(*(F.count(F.when(sides(q, j)[0], 1)).alias(f"_u{k}") for k, (q, j, _, _) in enumerate(items)))
+    below = under.select(*keys, F.posexplode(F.array(*(f"_u{k}" for k in range(len(items))))).alias("_k", "_c")).where(F.col("_c") > 0).select(
+        *keys, "_k", F.lit(None).cast("double").alias("_v"), "_c", F.lit(0).cast("long").alias("_n"))
+    sums = moved.unionByName(below)
+    upto = Window.partitionBy(*keys, "_k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.array(*(F.lit(p) for *_, p in items))[F.col("_k")] * (F.col("_n") - 1)
+    end = sums.withColumns({"_end": F.sum("_c").over(upto), "_lo": F.floor(at), "_hi": F.ceil(at), "_frac": at - F.floor(at)})
+    here = lambda pos: F.col("_v").isNotNull() & (F.col(pos) < F.col("_end")) & (F.col(pos) >= F.col("_end") - F.col("_c"))
+    hit = end.where(here("_lo") | here("_hi"))
     aggs = []
-    for n in probs:
-        lo = F.max(F.when((F.col("_p.q") == n) & (F.col("_p.side") == "lo"), F.col("_v")))
-        hi = F.max(F.when((F.col("_p.q") == n) & (F.col("_p.side") == "hi"), F.col("_v")))
-        fr = F.max(F.when(F.col("_p.q") == n, F.col("_p.frac")))
-        aggs.append((lo + (hi - lo) * fr).alias(n))
+    for k, (_, _, name, _) in enumerate(items):
+        one = F.col("_k") == k
+        lo, hi = (F.max(F.when(one & here(pos), F.col("_v"))) for pos in ("_lo", "_hi"))
+        aggs.append((lo + (hi - lo) * F.max(F.when(one, F.col("_frac")))).alias(name))
     return hit.groupBy(*keys).agg(*aggs)
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of the non-NULL values of each group."""
+    return column_quantiles(df, keys, {value: probs})
+
+
 def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,20 +59,45 @@ def log_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def kde_log(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Density over the log grid per group, scaled to a maximum of 1; none below 8 values.
 
-    Equal values are merged, then every value adds to the 150 grid points; the
-    map-side combine leaves at most 150 rows per group and task to shuffle.
+    A task adds up the 150 sums of each group it meets as one vector and passes that on, whatever
+    values it has seen.
     """
+    keys = list(keys)
     d = df.where(F.col(value) > 0)
     lv = F.ln(value)
     stat = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(lv).alias("_sd")).where(F.col("_n") >= 8)
     width = F.greatest(F.lit(0.17), F.least(F.lit(0.42), F.lit(0.62) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))))
-    stat = stat.select(*keys, "_n", (width * F.greatest("_sd", F.lit(1e-6))).alias("_bw"))
-    merged = d.groupBy(*keys, lv.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    d = _with_grid(merged.join(stat, list(keys)), settle(log_grid(df, value)))
-    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
-    x = F.col("_g.g0") + F.col("i") * (F.col("_g.g1") - F.col("_g.g0")) / F.lit(GRID - 1)
-    z = (x - F.col("_v")) / F.col("_bw")
-    s = d.groupBy(*keys, "i", x.alias("_x")).agg(F.sum(F.col("_c") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    stat = stat.select(*keys, (width * F.greatest("_sd", F.lit(1e-6))).alias("_bw"))
+    grid = settle(log_grid(df, value))
+    # in units of the bandwidth from the first grid point: the value, and the step between points
+    d = _with_grid(d.join(stat, list(keys)), grid).select(
+        *keys, ((lv - F.col("_g.g0")) / F.col("_bw")).alias("_v"), ((F.col("_g.g1") - F.col("_g.g0")) / F.lit(GRID - 1) / F.col("_bw")).alias("_step"))
+
+    def add(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        points = np.arange(GRID)
+
+        def out():
+            rows = pd.DataFrame(list(sums), columns=keys, dtype=object) if keys else pd.DataFrame(index=range(len(sums)))
+            return rows.assign(_s=list(sums.values()))
+
+        for b in batches:
+            for at, rows in b.groupby(keys, dropna=False) if keys else [((), b)]:
+                total = sums.setdefault(at, np.zeros(GRID))
+                v, step = rows["_v"].to_numpy(), rows["_step"].iloc[0]
+                for k in range(0, len(v), 4096):
+                    z = v[k:k + 4096, None] - points * step
+                    total += np.exp(-0.5 * z * z).sum(0)
+            if len(sums) > 4096:
+                yield out()
+                sums = {}
+        if sums:
+            yield out()
+
+    types = "".join(f"{k} {t}, " for k, t in d.select(*keys).dtypes)
+    sums = d.mapInPandas(add, f"{types}_s array<double>").select(*keys, F.posexplode("_s").alias("i", "_s")).groupBy(*keys, "i").agg(F.sum("_s").alias("_s"))
+    s = _with_grid(sums, grid)
+    s = s.withColumn("_x", F.col("_g.g0") + F.col("i") * (F.col("_g.g1") - F.col("_g.g0")) / F.lit(GRID - 1)).drop("_g")
     s = s.withColumn("_d", F.col("_s") / F.exp("_x"))     # constant factors cancel in the scaling
     top = F.max("_d").over(Window.partitionBy(*keys))     # 150 rows per group
     return s.withColumn("_m", top).where(F.col("_m") > 0).select(
@@ -114,7 +141,7 @@ def contrast_stats(samples: DataFrame, file: Sequence[str], value: str) -> DataF
     """
     f = list(file)
     t = otsu(samples, f, value, byte_levels=True)
-    q = quantiles(samples, f, value, {"p1": 0.01, "p99": 0.99}, bins=256)
+    q = quantiles(samples, f, value, {"p1": 0.01, "p99": 0.99})
     v = F.col(value).cast("double")
     fg = F.when(v > F.col("threshold"), v)
     g = samples.join(t, f).groupBy(*f, "threshold").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..core import ratio
 from . import axis
 from .grouped import key_types, map_groups
-from .ranking import quantiles, value_ranks
+from .ranking import column_quantiles, quantiles, value_ranks
 
 KEYS = ("video_id", "track_id")
 PAUSED_SHARE = 0.10
@@ -30,10 +30,9 @@ def shape_metrics(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     k = list(keys)
     base = series.groupBy(*k).agg(
         F.count("length").alias("_n"), F.avg("length").alias("_m"), F.stddev_pop("length").alias("_s"))
-    sol = quantiles(series, k, "solidity", {"solidity_median": 0.5})
-    spd = quantiles(series.withColumn("_a", F.abs("speed")), k, "_a", {"speed_median_abs": 0.5})
+    mid = column_quantiles(series.withColumn("_a", F.abs("speed")), k, {"solidity": {"solidity_median": 0.5}, "_a": {"speed_median_abs": 0.5}})
     cv = F.when((F.col("_n") >= 10) & (F.col("_m") > 0), ratio(F.col("_s"), F.col("_m")))
-    return (base.join(sol, k, "left").join(spd, k, "left")
+    return (base.join(mid, k, "left")
             .select(*k, cv.alias("length_cv"), "solidity_median", "speed_median_abs"))
 
 
