@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -157,3 +158,29 @@ def test_rows_without_a_number_get_their_place(spark, tmp_path):
     assert attach_by_row(d, extra.union(extra), ["v"]).count() == 6
     with pytest.raises(ValueError):
         clean_tracks(spark.createDataFrame(rows, cols), cols.replace(" long", "").replace(" double", "").split(", "), {"row_id": "bigint"})
+
+
+def test_streams_over_many_batches_with_late_and_repeated_items(spark, tmp_path):
+    """Twelve batches in one run: each item comes up to three times, in any order."""
+    rng = np.random.default_rng(9)
+    items = [(f"d{i % 7}", int(i), f"p{i % 50}", f"h{i % 90}", int(i % 5)) for i in range(300)]
+    feed = [items[i] for i in rng.permutation(np.repeat(np.arange(300), 3))[:700]]
+    src, schema = str(tmp_path / "s"), "device string, seq long, path string, sha256 string, n long"
+    for i in range(12):
+        spark.createDataFrame(feed[i::12], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    query = jobs.latest_per_device(stream.select("device", "seq", "n"), str(tmp_path / "l"), str(tmp_path / "ls"))
+    jobs.finish(query)
+    got = spark.read.parquet(str(tmp_path / "l"))
+    assert len(query.recentProgress) >= 12 and got.count() == got.select("device", "seq").distinct().count()
+    newest = {}
+    for d, q, _, _, n in feed:
+        newest[d] = max(newest.get(d, (-1, 0)), (q, n))
+    assert {r.device: (r.seq, r.n) for r in got.groupBy("device").agg(F.max("seq").alias("seq"), F.max_by("n", "seq").alias("n")).collect()} == newest
+
+    jobs.finish(jobs.streaming_counts(stream.select(F.lit("c").alias("condition"), "path", "sha256", F.lit(2).alias("n")), str(tmp_path / "c"), str(tmp_path / "cs")))
+    keys = {(p, h) for _, _, p, h, _ in feed}
+    r = jobs.latest_counts(spark, str(tmp_path / "c")).first()
+    assert (r.n_images, r.n_animals) == (len(keys), 2 * len(keys))
+    assert not any(p.name == "seen" for p in tmp_path.rglob("*"))

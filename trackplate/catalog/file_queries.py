@@ -288,16 +288,14 @@ def retention_sweep(spark, sf):
 
 # --- streams -------------------------------------------------------------------------------------
 
-def _stream(spark, sf, name):
-    """The table as a stream of ten files, two to a micro-batch; every fifth row comes again in a later one."""
+def _stream(spark, sf, name, per_file=1_000_000):
+    """The table as a stream of eight files or more, four to a micro-batch; every fifth row comes again in a later one."""
     d = A.table(spark, sf, name)
-    part = F.pmod(F.xxhash64(d.columns[0]), F.lit(9))
     again = d.where(F.pmod(F.xxhash64(d.columns[0], F.lit(1)), F.lit(5)) == 0)
     folder = scratch_folder(spark, f"{name}-feed")
-    for k in range(9):
-        d.where(part == k).coalesce(1).write.mode("append").parquet(folder)
-    again.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    for rows, files in ((d, 8), (again, 2)):
+        rows.repartition(files, d.columns[0]).write.mode("append").option("maxRecordsPerFile", per_file).parquet(folder)
+    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
 
 @query("ingest_stream", "T1", sql("", """

@@ -1,40 +1,38 @@
-"""Continuous jobs. Every batch writes its own folder, so a repeated batch replaces itself."""
+"""Continuous jobs on Spark's keyed state.
+
+What has landed, been emitted or been counted is state of the streaming query itself, by key and in
+RocksDB, so a batch touches the keys it holds and no earlier output is listed or read. There is no
+watermark: nothing comes too late. Every batch writes its own folder, so a repeated batch
+replaces itself and, its state being that of the batch before, holds the same rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-PREFIXES = 256                #: slices of a job's history; a batch reads those it has keys in
-
-
-def _slice(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(PREFIXES)).cast("int")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def _earlier(batch: DataFrame, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows that batches before this one wrote in the slices of the keys that `batch` holds.
 
-    Files are partitioned by slice, so history is read in proportion to the batch's keys. A
-    missing folder is an empty history; any other fault is an error.
-    """
-    spark, full = batch.sparkSession, schema + ", batch_id bigint, slice int"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], full)
-    own = [r[0] for r in batch.select("slice").distinct().collect()]       # PREFIXES at most
-    return spark.read.schema(full).parquet(path).where((F.col("batch_id") < batch_id) & F.col("slice").isin(own))
+def _put(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
-    write = df.write.mode("overwrite")
-    (write.partitionBy("slice") if "slice" in df.columns else write).parquet(f"{path}/batch_id={batch_id}")
+def _start(stream: DataFrame, mode: str, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run what has arrived in batches; state lies in RocksDB unless the session names a provider of its own."""
+    conf = stream.sparkSession.conf
+    before, named = conf.get(PROVIDER), conf.get("spark.trackplate.keepStateProvider", "false") == "true"
+    if not named:
+        conf.set(PROVIDER, ROCKS)
+    try:
+        return (stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    finally:
+        conf.set(PROVIDER, before)
 
 
 def ingest_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -44,58 +42,51 @@ def ingest_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     recorded; a (path, hash) that landed before is skipped, so retries change nothing.
     Acknowledgements are written after the content. Content is hashed once per batch.
     """
+    key = ["relative_path", "sha256"]
+    checked = files.where(F.col("sha256").isNotNull()).withColumn("_ok", F.sha2(F.col("content"), 256) == F.lower("sha256"))
+    first = checked.withColumn("_ok", F.coalesce("_ok", F.lit(False))).dropDuplicates([*key, "_ok"])
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark, key = df.sparkSession, ["relative_path", "sha256"]
-        d = (df.where(F.col("sha256").isNotNull()).withColumn("_ok", F.sha2(F.col("content"), 256) == F.lower("sha256"))
-             .withColumn("slice", _slice(*key)).persist())
+        d = df.persist()                       # one run of the state for the three tables
         try:
-            done = _earlier(d, f"{out}/acks", batch_id, "relative_path string, sha256 string")
-            new = d.where("_ok").join(done.select(*key), key, "left_anti").dropDuplicates(key).drop("_ok", "slice")
-            _put(new, f"{out}/landed", batch_id)
-            landed = spark.read.schema(new.schema).parquet(f"{out}/landed/batch_id={batch_id}")
-            _put(landed.select(*key, _slice(*key).alias("slice")), f"{out}/acks", batch_id)
-            _put(d.where(~F.col("_ok")).select(*key), f"{out}/refused", batch_id)
+            _put(d.where("_ok").drop("_ok"), f"{out}/landed", batch_id)
+            _put(d.where("_ok").select(*key), f"{out}/acks", batch_id)
+            _put(d.where("NOT _ok").select(*key), f"{out}/refused", batch_id)
         finally:
             d.unpersist()
 
-    return (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return _start(first, "append", batch, checkpoint)
 
 
 def latest_per_device(items: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Newest item per device; a newer one replaces a waiting one, each is emitted once.
 
-    items: (device, seq, ...). A batch is reduced to one row per device before any
-    shuffle, then compared with the last emitted number of the device.
+    items: (device, seq, ...). State is one row per device: its newest item and the batch that brought
+    it. A device is emitted when that is the present batch; of equal numbers the first to come stays.
     """
     cols = [c for c in items.columns if c != "device"]
-    row = F.struct("seq", *[c for c in cols if c != "seq"])
+    d = items.withColumn("_came", F.unix_micros(F.current_timestamp()))          # one instant per batch, the same if it is repeated
+    row = F.struct(*(F.col(c) for c in ("seq", "_came", *(c for c in cols if c != "seq"))))
+    newest = d.groupBy("device").agg(F.max_by(row, F.struct("seq", -F.col("_came"))).alias("_r"), F.max("_came").alias("_now"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        newest = df.groupBy("device").agg(F.max_by(row, F.col("seq")).alias("_r")).select("device", "_r.*").withColumn("slice", _slice("device"))
-        past = _earlier(newest, out, batch_id, "device string, seq bigint").groupBy("device").agg(F.max("seq").alias("_s"))
-        d = newest.join(past, "device", "left").where(F.col("_s").isNull() | (F.col("seq") > F.col("_s"))).drop("_s")
-        _put(d, out, batch_id)
+        _put(df.where(F.col("_r._came") == F.col("_now")).select("device", "_r.*").drop("_came"), out, batch_id)
 
-    return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(newest, "update", batch, checkpoint)
 
 
 def streaming_counts(images: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Running totals per condition; a repeated (path, sha256) counts once, however late it comes.
 
-    images: (condition, path, sha256, n). What has been counted is kept by slices of the key's
-    hash; a batch adds its new images and their sums, so no image is too late to count.
+    images: (condition, path, sha256, n). State holds the keys counted so far; a batch adds
+    the sums of its new images.
     """
+    d = images.withColumns({"condition": F.col("condition").cast("string"), "n": F.col("n").cast("bigint")})
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        key = ["path", "sha256"]
-        d = df.dropDuplicates(key).withColumn("slice", _slice(*key))
-        seen = _earlier(d, f"{out}/seen", batch_id, "path string, sha256 string")
-        _put(d.join(seen.select(*key), key, "left_anti").select(*key, "condition", "n", "slice"), f"{out}/seen", batch_id)
-        new = df.sparkSession.read.schema("condition string, n bigint").parquet(f"{out}/seen/batch_id={batch_id}")
-        _put(new.groupBy("condition").agg(F.count(F.lit(1)).alias("n_images"), F.sum("n").alias("n_animals")), f"{out}/sums", batch_id)
+        _put(df.groupBy("condition").agg(F.count(F.lit(1)).alias("n_images"), F.sum("n").alias("n_animals")), f"{out}/sums", batch_id)
 
-    d = images.withColumns({"condition": F.col("condition").cast("string"), "n": F.col("n").cast("bigint")})
-    return d.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(d.dropDuplicates(["path", "sha256"]), "append", batch, checkpoint)
 
 
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
