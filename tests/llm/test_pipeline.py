@@ -1,7 +1,7 @@
 """The corpus pipeline's stages on a table with odd rows."""
 
 import corpus_pipeline
-from tests.llm.helpers import odd_documents, words
+from tests.llm.helpers import odd_documents, prose, words
 from trackplate.llm import mixing
 
 
@@ -26,6 +26,15 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted(ids, key=lambda i: i or -1) == [None, 1, 3, 4, 5, 6, 7, 10, 12, 13, 14, 15]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """Only near copies go, whatever ids they share; of equal rows one stays."""
+    base = prose(50, 200)
+    rows = [(1, base), (7, base + " word"), (7, prose(51, 200)), (7, prose(51, 200)), (None, base + " other"), (None, prose(52, 200)), (None, None), (4, prose(52, 200) + " tail"), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(repr((r["doc_id"], r["text"])) for r in corpus_pipeline.near_copies(spark, df, "").collect())
+    assert got == sorted(map(repr, [(1, base), (7, prose(51, 200)), (4, prose(52, 200) + " tail"), (None, None), (9, "")]))
+
+
 def test_mixture_keeps_texts_whole(spark):
     """Every copy has the document's own text; each source's words are within half a document of its target."""
     docs = odd_documents(spark)

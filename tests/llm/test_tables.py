@@ -9,6 +9,7 @@ import pytest
 
 from tests.llm.helpers import components, odd_documents, prose, words
 from trackplate.llm import hostrules, jaccard, linededup, mixing, vectordup, warc
+from trackplate.llm.common import with_twin
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -80,6 +81,25 @@ def test_line_dedup_equals_definition(spark):
     assert {tuple(r) for r in linededup.kept_lines(df).collect()} == plain_dedup(rows)
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Rows of one id, or of none, keep each their own lines: nothing found once is lost, nothing found twice stays."""
+    lone = "found nowhere else at all"
+    rows = [(1, prose(40, 60)), (7, prose(40, 60) + "\n" + prose(41, 50)), (7, lone), (7, lone), (7, ""), (7, None), (None, prose(42, 60)), (None, prose(41, 50) + "\nown line of a nameless row"),
+            (None, None), (None, "line of a row without a name"), (3, prose(42, 60).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = {}
+    for r in with_twin(df, "doc_id", "text", "twin").collect():
+        named.setdefault((r["doc_id"] is not None, r["doc_id"] or 0, r["twin"]), r["text"])
+    texts = [named[k] for k in sorted(named)]
+    keep = plain_dedup(list(enumerate(texts)))
+    want = {t: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) in keep or not x.strip()) for i, t in enumerate(texts)}
+    got = linededup.dedup_lines(df).collect()
+    by_id = sorted(repr((r["doc_id"], r["text"])) for r in got)
+    assert by_id == sorted(repr((i, want[t])) for i, t in rows)
+    assert sum(r["n_removed"] for r in got) > 5 and [r["text"] for r in got if r["doc_id"] == 7].count(lone) == 2
+
+
+
 def test_line_dedup_of_odd_documents(spark):
     df = odd_documents(spark)
     out = linededup.dedup_lines(df)

@@ -43,16 +43,21 @@ t as (select pos, n, unnest(w) as token from c),
 gone as (select distinct y.pos from t x join t y on x.token = y.token and x.pos < y.pos and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
          group by x.pos, y.pos, x.n, y.n having 9 * count(*) >= 4 * (x.n + y.n)),
 k as (select pos.d as doc_id, count(*) as kept from c where pos not in (select pos from gone) group by 1),
-n as (select doc_id, count(*) as n_lines from s group by doc_id)
-select doc_id, coalesce(n_lines, 0)::bigint as n_lines, (coalesce(n_lines, 0) - coalesce(kept, 0))::bigint as n_removed
-from documents left join n using (doc_id) left join k using (doc_id)
+n as (select doc_id, count(*) as n_lines from s group by doc_id),
+x as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(0, len(string_split(text, chr(10))))) as line from documents),
+stay as (select pos.d as d, pos.l as l from c where pos not in (select pos from gone)),
+r as (select doc_id, sha256(string_agg(x, chr(10) order by line)) as text_sha256 from x left join stay on d = doc_id and l = line
+      where d is not null or not regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by 1)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, (coalesce(n_lines, 0) - coalesce(kept, 0))::bigint as n_removed,
+  case when text is not null then coalesce(text_sha256, sha256('')) end as text_sha256
+from documents left join n using (doc_id) left join k using (doc_id) left join r using (doc_id)
 """
 
 
 @query("op2_line_dedup", LINES_SQL)
 def op2_line_dedup(spark, sf_dir):
     done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
+    return done.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.sha2("text", 256).alias("text_sha256"))
 
 
 HOST_SQL = f"""

@@ -34,6 +34,20 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def twins(docs: DataFrame, doc_id: str) -> DataFrame:
+    """(id): the ids of more than one row, NULL among them if it is there at all."""
+    return docs.groupBy(F.col(doc_id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).select("id")
+
+
+def with_twin(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
+    """Add a hash of the text where an id names several rows (or is NULL), 0 elsewhere: with the id it names one text."""
+    at = fresh(docs, "twin")
+    named = twins(docs, doc_id).select(F.col("id").alias(at), F.lit(True).alias(f"{at}_is"))
+    return (docs.join(named, F.col(doc_id).eqNullSafe(F.col(at)), "left")
+            .withColumn(name, F.when(F.col(f"{at}_is"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())).otherwise(F.lit(0).cast("long")))
+            .drop(at, f"{at}_is"))
+
+
 def put_file(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one small driver-made file to a folder of any store that Spark reaches."""
     jvm = spark._jvm

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import written
-from .common import SPACES, fresh, words
+from .common import SPACES, fresh, with_twin, words
 
 ABOVE, BELOW = 4, 5           #: JACCARD = 4/5
 TABLE_BITS, ROW_BITS = 22, 11  #: of the count table: 4M counters in 2,048 rows
@@ -127,7 +127,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line) of every line with a word that stays."""
+    """(doc, line) of every line with a word that stays; doc is the id."""
+    named, doc = _named(docs, doc_id, text)
+    return _kept_lines(named, doc, text).select(F.col("doc.id").alias("doc"), "line")
+
+
+def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """`docs` with a column that names its texts: the id, and a hash of the text where rows share an id."""
+    doc, twin = fresh(docs, "doc"), fresh(docs, "named")
+    return with_twin(docs, doc_id, text, twin).withColumn(doc, F.struct(F.col(doc_id).alias("id"), F.col(twin).alias("twin"))).drop(twin), doc
+
+
+def _kept_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, line) of the lines that stay; `doc_id` names one text."""
     lines = line_rows(docs, doc_id, text)
     levels = written(rarity_levels(lines), "line-levels")
     classes = written(line_classes(token_sets(lines, levels.scalar())), "line-classes")
@@ -152,17 +164,19 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of `docs` with `n_lines` (with a word), `n_removed` and its text without the removed lines.
 
-    NULL stays NULL with 0 lines; rows of one id (NULL is one) are taken as one document, so
-    repeated rows are judged alike. An empty table gives no rows; all columns are kept, the
-    two new names replaced.
+    NULL stays NULL with 0 lines. Rows of one id (NULL is one) with different texts are documents of
+    their own, in the order of a hash of the text; equal rows are one document and judged alike. An empty
+    table gives no rows; all columns are kept, the two new names replaced.
     """
-    doc, kept = fresh(docs, "doc"), fresh(docs, "kept")
-    stay = written(kept_lines(docs, doc_id, text).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(kept)), "line-kept")
+    kept = fresh(docs, "kept")
+    docs, doc = _named(docs, doc_id, text)
+    key = f"{doc}_key"
+    stay = written(_kept_lines(docs, doc, text).groupBy(F.col("doc").alias(key)).agg(F.collect_set("line").alias(kept)), "line-kept")
     lines = F.split(F.col(text), "\n")
     blank = lambda x: F.btrim(x, F.lit(SPACES)) == ""
     has = F.coalesce(F.col(kept), F.array().cast("array<int>"))
-    out = (docs.join(stay, F.col(doc_id).eqNullSafe(F.col(doc)), "left")
+    out = (docs.join(stay, F.col(doc) == F.col(key), "left")
            .withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: ~blank(x))), F.lit(0)))
            .withColumn(text, F.array_join(F.filter(lines, lambda x, i: blank(x) | F.array_contains(has, i)), "\n")))
     left = F.coalesce(F.size(F.filter(F.split(F.col(text), "\n"), lambda x: ~blank(x))), F.lit(0))
-    return out.withColumn("n_removed", F.col("n_lines") - left).drop(doc, kept)
+    return out.withColumn("n_removed", F.col("n_lines") - left).drop(doc, key, kept)
