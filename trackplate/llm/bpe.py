@@ -3,7 +3,7 @@
 The corpus is counted once; its most frequent words are compiled into a shared-suffix
 transducer (`lexicon`) whose outputs are their ids, written to the shared folder, fetched
 by every executor and memory-mapped there. A batch resolves each of its distinct
-space-free chunks once: special tokens are cut out, the rest is normalised and split into
+space-free chunks once and remembers it: special tokens are cut out, the rest is normalised and split into
 words, each word is looked up in the transducer and, where it is unknown, merged exactly.
 """
 
@@ -14,23 +14,25 @@ import json
 import re
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import scratch_folder
-from .common import fresh, put_file
+from ..core import scratch_folder, written
+from .common import fresh, most_frequent, put_file
 from .lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 1 << 17        #: words that the transducer holds at most
 LEXICON_MIN_COUNT = 2          #: rarer words are merged when they are met
 SHORT = 48                     #: up to this length a scan for the best pair beats a heap
-FLUSH = 1 << 20                #: distinct words that a counting task keeps before it hands them on
+FLUSH = 1 << 18                #: distinct words that a counting task keeps before it hands them on
+MEMO = 1 << 17                 #: distinct chunks that an encoding task remembers
 
 NO_MERGE = (1 << 31, -1)
 
@@ -167,14 +169,13 @@ def word_counts(docs: DataFrame, splitter_of, text: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, vocab: Vocabulary, text: str = "text", size: int = LEXICON_WORDS,
                   min_count: int = LEXICON_MIN_COUNT) -> bytes:
-    """Transducer image over the `size` most frequent words; ties go to the smaller word.
+    """Transducer image over the most frequent words, at most `size`.
 
     At most `size` words reach the driver, however large the corpus is.
     """
     pattern, special = vocab.pattern, vocab.special
-    top = (word_counts(docs, lambda: Splitter(pattern, special), text).where(F.col("n") >= min_count)
-           .orderBy(F.desc("n"), "word").limit(size).select("word").collect())
-    words = sorted(r["word"].encode() for r in top)
+    counts = word_counts(docs, lambda: Splitter(pattern, special), text).where(F.col("n") >= min_count)
+    words = sorted(w.encode() for w, _ in most_frequent(written(counts, "bpe-words"), size))
     return compile_lexicon((w, vocab.merge(w)) for w in words)
 
 
@@ -202,12 +203,14 @@ class Encoder:
 
 
 class Memo(dict):
-    """What a batch needs of each distinct chunk, made when it is first met."""
+    """What a task needs of each distinct chunk, made when it is first met; emptied when it holds MEMO of them."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, chunk: str):
+        if len(self) >= MEMO:
+            self.clear()
         value = self[chunk] = self.make(chunk)
         return value
 
@@ -230,16 +233,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_W
     """
     shared, name = _shared(docs, path, text, size)
 
-    @F.pandas_udf("token_ids array<int>, decoded string")
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("token_ids array<int>, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(shared.value, Lexicon.mapped(SparkFiles.get(name)))
-        for s in series:
-            memo, ids, back = Memo(enc.ids), [], []
-            for t in s:
-                own = [i for c in chunks(t or "") for i in memo[c]]
-                ids.append(own)
-                back.append(enc.decode(own) if decoded else None)
-            yield pd.DataFrame({"token_ids": ids, "decoded": back})
+        memo = Memo(lambda c: array("i", enc.ids(c)))
+        for texts in batches:
+            flat, ends, back = array("i"), array("i", [0]), []           # four bytes an id
+            for t in texts:
+                start = len(flat)
+                for c in chunks(t.as_py() or ""):
+                    flat.extend(memo[c])
+                ends.append(len(flat))
+                back.append(enc.decode(flat[start:]) if decoded else None)
+            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], ["token_ids", "decoded"])
 
     tmp = fresh(docs, "bpe")
     made = docs.withColumn(tmp, run(F.col(text).cast("string")))
@@ -252,22 +259,24 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", size: int = L
 
     shared, name = _shared(docs, path, text, size)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(shared.value, Lexicon.mapped(SparkFiles.get(name)))
 
         def make(chunk: str) -> tuple[int, str, str]:
             ids = enc.ids(chunk)
             return len(ids), " ".join(map(str, ids)), enc.decode(ids)
 
-        for s in series:
-            memo, rows = Memo(make), []
-            for t in s:
-                own = [m for c in chunks(t or "") if (m := memo[c])[0]]
-                rows.append((sum(m[0] for m in own),
-                             hashlib.sha256(" ".join([m[1] for m in own]).encode()).hexdigest(),
-                             hashlib.sha256(" ".join([m[2] for m in own]).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        memo = Memo(make)
+        for texts in batches:
+            columns = [], [], []
+            for t in texts:
+                own = [m for c in chunks(t.as_py() or "") if (m := memo[c])[0]]
+                columns[0].append(sum(m[0] for m in own))
+                for k in (1, 2):
+                    columns[k].append(hashlib.sha256(" ".join([m[k] for m in own]).encode()).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))],
+                                             ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     tmp = fresh(docs, "bpe")
     made = docs.withColumn(tmp, run(F.col(text).cast("string")))

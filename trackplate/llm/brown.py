@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import written
+from .common import most_frequent
 
 CORE = 1 << 13                #: most words that are exchanged round by round, and broadcast
 CLASSES = 64                  #: exchanged classes
 ROUNDS = 9                    #: each moves a third of the core
 PULL = 50.0                   #: pseudo-tokens of the class frequencies in each transition row
-HELD = 500_000                #: distinct words that a task counts before it passes them on
+HELD = 300_000                #: distinct words that a task counts before it passes them on
 BLOCK = 1 << 24               #: bytes of text in a block, about
 SLICE = 1 << 19               #: tokens handled at once
 GROUP = 64                    #: first words of bigrams that lie in one row
@@ -58,8 +59,8 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                sums.update(tokens(t))
+            for t in b.column(0):
+                sums.update(tokens(t.as_py()))
                 sums[END_WORD] += 1
                 if len(sums) > HELD:
                     yield out()
@@ -69,22 +70,6 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def core_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """(word, n) of the most frequent words, at most CORE of them; words of about the same count stand or fall together."""
-    level = F.floor(F.log2("n") * 64)
-    words = counts.where(F.length("word") > 0).withColumn("level", level)
-    least, room = None, CORE
-    for r in sorted(words.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["level"]
-    if least is None:
-        return []
-    found = words.where(F.col("level") >= least).select("word", "n").collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda r: (-r[1], r[0]))
-
-
 def encode(docs: DataFrame, learn: Column, doc_id: str, text: str, core: list[bytes]) -> DataFrame:
     """(block, ids, learned, stream, others, words): documents as core numbers (2 bytes), each closed by the end's number.
 
@@ -113,7 +98,8 @@ def encode(docs: DataFrame, learn: Column, doc_id: str, text: str, core: list[by
 
         for b in batches:
             id_type = b.column(0).type
-            for i, t, x in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for i, t, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                t = t.as_py()                            # one text at a time
                 w = tokens(t)
                 pieces += [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)), np.array([-1], np.int32)]
                 ids.append(i)
@@ -457,7 +443,7 @@ class Fit:
         ending = F.length("word") == 0
         totals = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"), F.sum(F.when(ending, F.col("n"))).alias("texts"),
                             F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
-        core = core_words(counts)
+        core = [(bytes(w), n) for w, n in most_frequent(counts.where(~ending), CORE)]
         core_n = np.array([n for _, n in core], np.int64)
         blocks = written(encode(docs, learn, doc_id, text, [w for w, _ in core]), "brown-blocks")
         classes, matrix = exchange(written(core_bigrams(blocks, len(core)), "brown-bigrams"), len(core))

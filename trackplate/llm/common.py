@@ -41,13 +41,31 @@ def twins(docs: DataFrame, doc_id: str) -> DataFrame:
 
 def with_twin(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
     """Add a hash of the text where an id names several rows (or is NULL), 0 elsewhere: with the id it names one text."""
-    at = fresh(docs, "twin")
+    at = fresh(docs, f"several_{name}")
     named = twins(docs, doc_id).select(F.col("id").alias(at), F.lit(True).alias(f"{at}_is"))
     return (docs.join(named, F.col(doc_id).eqNullSafe(F.col(at)), "left")
             .withColumn(name, F.when(F.col(f"{at}_is"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())).otherwise(F.lit(0).cast("long")))
             .drop(at, f"{at}_is"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple]:
+    """(word, n) of the most frequent words of (word, n), at most `most`, by count downwards, then word.
+
+    A histogram of counts, of some thousand steps at most, gives the threshold; words of about the same
+    count stand or fall together, so only what is returned reaches the driver.
+    """
+    words = counts.withColumn("level", F.floor(F.log2("n") * 64))
+    least, room = None, most
+    for r in sorted(words.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return sorted(((r["word"], r["n"]) for r in words.where(F.col("level") >= least).select("word", "n").collect()), key=lambda r: (-r[1], r[0]))
+
+
 def put_file(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one small driver-made file to a folder of any store that Spark reaches."""
     jvm = spark._jvm
