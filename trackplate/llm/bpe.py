@@ -32,7 +32,7 @@ LEXICON_WORDS = 1 << 17        #: words that the transducer holds at most
 LEXICON_MIN_COUNT = 2          #: rarer words are merged when they are met
 SHORT = 48                     #: up to this length a scan for the best pair beats a heap
 FLUSH = 1 << 18                #: distinct words that a counting task keeps before it hands them on
-MEMO = 1 << 17                 #: distinct chunks that an encoding task remembers
+MEMO = 1 << 19                 #: distinct chunks that an encoding task remembers
 
 NO_MERGE = (1 << 31, -1)
 

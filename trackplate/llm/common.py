@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import written
+
 SPACES = " \t\n\x0b\f\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -42,7 +44,10 @@ def twins(docs: DataFrame, doc_id: str) -> DataFrame:
 def with_twin(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
     """Add a hash of the text where an id names several rows (or is NULL), 0 elsewhere: with the id it names one text."""
     at = fresh(docs, f"several_{name}")
-    named = twins(docs, doc_id).select(F.col("id").alias(at), F.lit(True).alias(f"{at}_is"))
+    several = written(twins(docs, doc_id), "twins")
+    if several.isEmpty():                                  # no join, so that no text moves
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    named = several.select(F.col("id").alias(at), F.lit(True).alias(f"{at}_is"))
     return (docs.join(named, F.col(doc_id).eqNullSafe(F.col(at)), "left")
             .withColumn(name, F.when(F.col(f"{at}_is"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())).otherwise(F.lit(0).cast("long")))
             .drop(at, f"{at}_is"))
