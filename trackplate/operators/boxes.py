@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -188,8 +188,8 @@ def first_cover(dets: DataFrame, cover: float, floor: float = 0.25, keys: Sequen
     """Per box, the best-scoring better box that covers it: (keys, det_id, by_id)."""
     d = dets.where(F.col("score") >= floor)
     j = overlaps(d, keys, min_cover=cover, cell=cell)
-    rule = Rule("cover", cover)
-    j = j.where(_rank(rule, "b") < _rank(rule, "a"))
+    rank = lambda side: F.struct((-F.col(f"{side}.score")).alias("r"), F.col(f"{side}.det_id").alias("d"))
+    j = j.where(rank("b") < rank("a"))
     return j.groupBy(*keys, F.col("a.det_id").alias("det_id")).agg(
         F.min(F.struct((-F.col("b.score")).alias("s"), F.col("b.det_id").alias("i"))).alias("_b")).select(
         *keys, "det_id", F.col("_b.i").alias("by_id"))
