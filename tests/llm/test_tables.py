@@ -137,6 +137,55 @@ def test_bad_hosts_bind_their_documents(spark):
     assert not got[1] and got[0] and got[300] and got[100]
 
 
+def plain_verdicts(rows):
+    """{doc_id: kept} of (doc_id, text, source), by the rules as they are written."""
+    def failed(t):
+        w, lines = words(t), [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\f\r")]
+        chars, rep = sum(map(len, w)), plain_repeats(w)
+        return {"symbols": 10 * sum(c in "#*$%&|<>" for c in t or "") > len(w), "word_length": chars < 3 * len(w) or chars > 12 * len(w),
+                "dup_lines": 10 * (len(lines) - len(set(lines))) > 3 * len(lines), "repeats": 100 * rep > 30 * len(w),
+                "base": len(w) < 50 or 100 * rep > 50 * len(w)}
+    fails = {i: failed(t) for i, t, _ in rows}
+    hosts, binds = {s for _, _, s in rows}, {}
+    for name in hostrules.RATED:
+        n = {h: [fails[i][name] for i, _, s in rows if s == h] for h in hosts}
+        rates = [sum(v) / len(v) for v in n.values()]
+        mean, var = np.mean(rates), np.var(rates)
+        strength = min(1000, max(2, mean * (1 - mean) / var - 1)) if var > 0 else 1000
+        limit = min(hostrules.HOST_LIMIT, mean + hostrules.HOST_SPREADS * np.sqrt(mean * (1 - mean) / (strength + 1)))
+        for h, v in n.items():
+            binds[h, name] = (sum(v) + mean * strength) / (len(v) + strength) > limit
+    return {i: not fails[i]["base"] and not any(fails[i][r] and (binds[s, r] or binds[s, "base"]) for r in hostrules.RULES) for i, _, s in rows}
+
+
+def test_mixed_hosts_equal_brute_force(spark):
+    signs = lambda k, n: " ".join(f"w{k}x{j}$$" for j in range(n))
+    longish = lambda k, n: " ".join(f"averylongword{k}x{j}" for j in range(n))
+    rows = []
+    for h in range(12):
+        for j in range(40):
+            k = 1000 * h + j
+            text = prose(k, 90)
+            if j < (14 if h == 0 else 1 + h % 2):
+                text = signs(k, 80)                      # host 0 fails the rule of symbols far more often than the rest
+            elif j < (30 if h == 1 else 2):
+                text = prose(k, 20)                      # host 1 fails the base rules
+            elif j == 39:
+                text = longish(k, 70)                    # one soft failure on every host
+            rows.append((k, text, None if h == 11 else f"host{h}"))
+    got = {r["doc_id"]: r["kept"] for r in hostrules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == plain_verdicts(rows)
+    assert not got[0] and got[39]                        # on host 0 the symbols bind, the long words do not
+    assert not got[1039] and got[1035]                   # host 1 is bad as a whole: its soft failures go, its clean texts stay
+    assert got[2000] and got[2039]                       # elsewhere a soft failure alone decides nothing
+
+
+def test_repeated_windows_of_a_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(200_000)) + " w5 w6 w7"
+    row = hostrules.document_counts(spark.createDataFrame([(text,)], "text string")).first()
+    assert row["n_words"] == 200_003 and row["n_repeat_words"] == 6
+
+
 def plain_targets(sizes, weights=(3, 1, 2)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}

@@ -71,17 +71,17 @@ c as (select d.doc_id, source, len(w)::bigint as n_words, len(array_to_string(w,
         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
       from d left join rep using (doc_id)),
 f as (select source, rule, count(*) as docs, sum(failed::int) as failed from (
-        unpivot (select source, {", ".join(f"({r}) as {n}" for n, r in hostrules.RULES.items())} from c)
-        on {", ".join(hostrules.RULES)} into name rule value failed) group by source, rule),
+        unpivot (select source, {", ".join(f"({r}) as {n}" for n, r in hostrules.RATED.items())} from c)
+        on {", ".join(hostrules.RATED)} into name rule value failed) group by source, rule),
 m as (select rule, avg(failed / docs) as mean, var_pop(failed / docs) as var from f group by rule),
-b as (select f.source, f.rule, (failed + mean * s) / (docs + s) > {hostrules.HOST_LIMIT} as binds from f join
+b as (select f.source, f.rule, (failed + mean * s) / (docs + s) > least({hostrules.HOST_LIMIT}::double, mean + {hostrules.HOST_SPREADS}::double * sqrt(mean * (1 - mean) / (s + 1))) as binds from f join
         (select *, case when var > 0 then least({hostrules.MOST_STRENGTH}, greatest({hostrules.LEAST_STRENGTH}, mean * (1 - mean) / var - 1))
                    else {hostrules.MOST_STRENGTH} end as s from m) m on f.rule = m.rule),
-h as (select source, {", ".join(f"bool_or(binds and rule = '{n}') as binds_{n}" for n in hostrules.RULES)} from b group by source)
+h as (select source, {", ".join(f"bool_or(binds and rule = '{n}') as binds_{n}" for n in hostrules.RATED)} from b group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (
-    {" or ".join(f"(binds_{n} and ({r}))" for n, r in hostrules.RULES.items())}) as kept
+    {" or ".join(f"((binds_{n} or binds_base) and ({r}))" for n, r in hostrules.RULES.items())}) as kept
 from c join h on c.source is not distinct from h.source
 """
 
