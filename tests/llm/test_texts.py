@@ -131,6 +131,53 @@ def test_language_of_odd_documents(spark):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def plain_language(train, text, width):
+    """(language, posterior) by counting grams one at a time."""
+    import math
+
+    import numpy as np
+
+    def grams_of(t):
+        t = langid.fold(t)
+        return [int(langid.buckets(np.array([ord(c) for c in t[k:k + n]], np.uint32), n)[0]) % width
+                for n in langid.ORDERS for k in range(len(t) - n + 1)]
+
+    counts, docs = {}, {}
+    for t, lang in train:
+        if lang is not None and langid.fold(t):
+            docs[lang] = docs.get(lang, 0) + 1
+            c = counts.setdefault(lang, [0] * width)
+            for g in grams_of(t):
+                c[g] += 1
+    if not langid.fold(text):
+        return "und", 0.0
+    found = grams_of(text)
+    score = {x: math.log(docs[x] / sum(docs.values())) + sum(math.log((c[g] + langid.ALPHA) / (sum(c) + langid.ALPHA * width)) for g in found)
+             for x, c in counts.items()}
+    best = max(score.values())
+    return min(x for x, v in score.items() if v > best - 1e-3), 1 / sum(math.exp(v - best) for v in score.values())
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 4 * 4096])
+def test_languages_equal_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rows = [(k, prose(k % 3 + 1, 40) + f" {'xyz'[k % 3] * 4}", ["fr", "en", None, "de"][k % 4]) for k in range(16)] + [(16, None, "en"), (17, "12", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.weights.shape[1] - 1 == langid.width_for(3) <= cells // 3
+    for r in langid.identify(df, model).collect():
+        lang, p = plain_language([x[1:] for x in rows], r["text"], langid.width_for(3))
+        assert r["lang_pred"] == lang and abs(r["score"] - p) < 1e-2
+
+
+def test_three_hundred_languages(spark):
+    rows = [(k, f"{chr(0x4e00 + k % 300) * 3} {chr(0x5e00 + k % 300) * 2}", f"l{k % 300:03}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.names) == 300 and model.weights.shape == (300, langid.BUCKETS // 2 + 1)
+    assert langid.identify(df, model).where("lang_pred = lang").count() == 600
+
+
 @given
 def test_language_on_held_out_documents(spark):
     from trackplate import llm
@@ -169,6 +216,16 @@ def test_quality_of_odd_documents(spark):
     assert {r["score"] for r in linecrf.quality(df, linecrf.train(df, labels.limit(0))).collect()} == {0.5}
 
 
+def test_fit_takes_one_row_of_a_repeated_id(spark):
+    import numpy as np
+
+    rows = [(1, "b"), (1, "a good line"), (1, "b"), (2, "x $$ %%"), (None, "y")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    some = linecrf.train(spark.createDataFrame(rows * 50, "doc_id long, text string"), labels)
+    once = linecrf.train(spark.createDataFrame([(1, "a good line"), (2, "x $$ %%")], "doc_id long, text string"), labels)
+    assert np.allclose(some.weights, once.weights) and np.allclose(some.moves, once.moves)
+
+
 @given
 def test_quality_on_held_out_documents(spark):
     from trackplate import llm

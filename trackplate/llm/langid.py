@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import written
 from .common import fresh
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 ALPHA = 0.1
-MAX_LANGS = 256               #: bounds the matrix: 256 x 32,768 float32 are 34 MB
+CELLS = 1 << 23               #: of the matrix (34 MB as float32); beyond 256 languages buckets are halved to stay below
 PIECE = 1 << 20               #: characters handled at once; longer texts go in pieces
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -118,16 +119,22 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class Model:
-    """Language names in code-point order, log priors, log probabilities per bucket."""
+    """Language names in code-point order, log priors, log probabilities per bucket.
+
+    A row of `weights` has a power of two of buckets, and a zero for positions without an n-gram.
+    """
 
     def __init__(self, names: list[str], prior: np.ndarray, weights: np.ndarray):
         self.names, self.prior, self.weights = names, prior, weights
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        width = self.weights.shape[1] - 1
         total = np.tile(self.prior, (len(texts), 1))
         for codes, starts, limits, rows in slices(texts):
             for n in ORDERS:
                 h = grams(codes, starts, limits, n)
+                if width < BUCKETS:
+                    h = np.where(h == BUCKETS, width, h % width)
                 for k, w in enumerate(self.weights):
                     np.add.at(total[:, k], rows, np.add.reduceat(w[h], starts, dtype=np.float64))
         return total
@@ -143,23 +150,31 @@ class Model:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, p, 0.0)
 
 
+def width_for(langs: int) -> int:
+    """Buckets of a model of so many languages: BUCKETS, halved while the matrix has more than CELLS."""
+    width = BUCKETS
+    while width > 1 and langs * width > CELLS:
+        width //= 2
+    return width
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Model of all rows with a language and a letter; at most MAX_LANGS x BUCKETS counts reach the driver."""
-    counts = gram_counts(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), text, lang)
-    found = (counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
-             .orderBy("lang").limit(MAX_LANGS + 1).collect())
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    names, docs_of, rows = [], [], []
-    for r in sorted(found, key=lambda r: r["lang"]):
-        c = np.zeros(BUCKETS + 1)
+    """Model of all rows with a language and a letter; about CELLS counts reach the driver however many languages there are."""
+    counts = written(gram_counts(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), text, lang), "grams")
+    docs_of = {r["lang"]: r["n"] for r in counts.where("bucket = -1").collect()}
+    width = width_for(len(docs_of))
+    folded = counts.withColumn("bucket", F.when(F.col("bucket") >= 0, F.col("bucket") % width).otherwise(F.col("bucket")))
+    found = (folded.where("bucket >= 0").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+             .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))).collect()
+    rows = {}
+    for r in found:
+        c = np.zeros(width)
         for b, n in r["c"]:
             c[b] = n
-        names.append(r["lang"])
-        docs_of.append(c[-1])
-        rows.append(np.append(np.log((c[:-1] + ALPHA) / (c[:-1].sum() + ALPHA * BUCKETS)), 0.0))
-    prior = np.log(np.array(docs_of) / sum(docs_of)) if names else np.zeros(0)
-    return Model(names, prior, np.array(rows, np.float32).reshape(len(names), BUCKETS + 1))
+        rows[r["lang"]] = np.append(np.log((c + ALPHA) / (c.sum() + ALPHA * width)), 0.0).astype(np.float32)
+    names = sorted(docs_of)
+    prior = np.log(np.array([docs_of[x] for x in names]) / sum(docs_of.values())) if names else np.zeros(0)
+    return Model(names, prior, np.array([rows[x] for x in names], np.float32).reshape(len(names), width + 1))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

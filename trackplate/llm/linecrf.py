@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
           sample: int = SAMPLE_DOCS) -> Chain:
     """Chain fitted on at most `sample` labelled documents, drawn by a hash of their id.
 
-    Rows of one id that disagree on the label are left out, and so are NULL ids and labels.
+    Rows of one id that disagree on the label are left out, and so are NULL ids and labels. Of the
+    texts of one id the smallest is taken, so at most `sample` rows reach the driver.
     Without both labels the chain says 0.5 everywhere.
     """
     agreed = (labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id"))
@@ -161,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     short = F.length(F.regexp_replace(F.col(text), "[^\n]+", "")) < SAMPLE_LINES
     rows = (docs.where(F.col(text).isNotNull() & short).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-            .join(F.broadcast(drawn), "_id").select(F.col("_id").cast("string"), "_y", "_t")      # `drawn` has `sample` rows at most
+            .join(F.broadcast(drawn), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))    # `drawn` has `sample` rows at most
+            .select(F.col("_id").cast("string"), "_y", "_t")
             .mapInArrow(extract, "i string, y int, x binary").collect())
     rows = sorted(rows, key=lambda r: (r["i"], bytes(r["x"])))
     width = line_features([""])[0].shape[1]
