@@ -1,6 +1,7 @@
 """Fragment graph operators against brute force on random inputs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,12 +79,42 @@ def brute_links(rows, fps, dmax):
     return out
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_links_both_modes(spark, small):
+@pytest.mark.parametrize("region_rows", [1, 7, 10**6])
+def test_links_do_not_depend_on_regions(spark, region_rows):
     rows = _frags(3, 40)
     cand = fragments.successor_candidates(spark.createDataFrame(rows, SCHEMA), 4.0, max_dist=60.0)
-    got = {(r.video_id, r.a): r.b for r in graph.link_fragments(cand, 4.0, small=small).collect()}
+    got = {(r.video_id, r.a): r.b for r in graph.link_fragments(cand, 4.0, region_rows=region_rows).collect()}
     assert got == brute_links(rows, 4.0, 60.0) and any(v is not None for v in got.values())
+    assert graph.link_fragments(cand.limit(0), 4.0).count() == 0
+
+
+def walked(pairs, fps):
+    """Links of (a, b, a_end, b_start, dist) of one video, one fragment after the other."""
+    lists, claimed, out = {}, set(), {}
+    for a, b, end, start, dist in pairs:
+        lists.setdefault((end, a), []).append((dist, b, start))
+    for (_, a), c in sorted(lists.items()):
+        c = sorted(x for x in c if x[1] not in claimed)
+        if not c:
+            continue
+        second = next((x[0] for x in c[1:] if abs(x[2] - c[0][2]) <= fps), np.inf)
+        refused = not (c[0][0] < 3 and second < 3) and second < 2 * c[0][0]
+        out[a] = None if refused else c[0][1]
+        if not refused:
+            claimed.add(c[0][1])
+    return out
+
+
+def test_links_of_one_long_video(spark):
+    rnd = np.random.default_rng(5)
+    a = np.repeat(np.arange(200_000), 5)                      # a million candidates, five a fragment
+    end = a // 10
+    gap = rnd.integers(1, 9, len(a))
+    b = np.unique(np.c_[a, (end + gap) * 10 + rnd.integers(0, 10, len(a))], axis=0)
+    pairs = [(int(x), int(y), int(x // 10), int(y // 10), float(d)) for (x, y), d in zip(b, rnd.integers(1, 400, len(b)) / 4)]
+    cand = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b", "a_end", "b_start", "dist"])).withColumn("video_id", F.lit("v"))
+    got = {r.a: r.b for r in graph.link_fragments(cand, 4.0).collect()}
+    assert len(pairs) > 900_000 and got == walked(pairs, 4)
 
 
 def test_chain_groups(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import settle
+from ..core import settle, written
 from . import axis
 from .grouped import key_types, map_groups
-from .ranking import value_ranks
+from .ranking import ordered_prefix, value_ranks
 
 KEYS = ("video_id",)
+REGION_ROWS = 1 << 17         #: candidate pairs that one task walks in order
 
 
 def _signature(edges: DataFrame):
@@ -173,14 +175,21 @@ def _choose(d, b, s, ratio, floor_px, window):
     return first
 
 
-def _link_group(a_end, a, b, start, dist, ratio, floor_px, window):
-    """Walk the candidate lists of one video, sorted by (end frame, id)."""
-    claimed: set = set()
+def _link_region(a_end, a, b, start, dist, blocked, ratio, floor_px, window):
+    """Walk one region's candidate lists, sorted by (end frame, id): (a, accepted b or None) of what can be decided.
+
+    A pair is blocked while a fragment of an earlier region may still claim its b. An undecided
+    fragment holds all its open candidates, so later lists with one of them wait as well.
+    """
+    claimed, held = set(), set()
     cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (a_end[1:] != a_end[:-1])])
     for lo, hi in zip(cut, np.r_[cut[1:], len(a)]):
         open_ = [i for i in range(lo, hi) if b[i] not in claimed]
         if not open_:
             continue
+        if any(blocked[i] or b[i] in held for i in open_):
+            held.update(b[i] for i in open_)
+            continue
         i = np.array(open_)
         best = _choose(dist[i], b[i], start[i], ratio, floor_px, window)
         if best >= 0:
@@ -190,64 +199,46 @@ def _link_group(a_end, a, b, start, dist, ratio, floor_px, window):
 
 def link_fragments(candidates: DataFrame, fps: float, keys: Sequence[str] = KEYS,
                    ratio: float = 2.0, floor_px: float = 3.0, window_s: float = 1.0,
-                   small: int = 200_000, max_rounds: int = 10_000) -> DataFrame:
+                   region_rows: int = REGION_ROWS) -> DataFrame:
     """Decision per fragment with unclaimed candidates: (keys, a, b); b NULL = refused.
 
-    Videos with at most `small` candidate pairs are walked by one Arrow group each.
-    A larger video is decided in rounds: a fragment is ready once no earlier
-    undecided fragment shares one of its open candidates, because its list can no
-    longer change. Both give the same links.
+    Fragments are cut by (end frame, id) into regions of about `region_rows` candidate pairs,
+    whatever the video. A wave walks all regions at once and decides each fragment whose
+    list no earlier undecided one can change; claimed candidates then leave the other lists. A
+    candidate is shared only by fragments that end within the search time, so a region waits for little beyond
+    its border; the first open region of a video never waits, so the waves end. The links do
+    not depend on the regions.
     """
     keys = list(keys)
     window = window_s * fps
-    c = candidates.select(*keys, "a", "b", "a_end", "b_start", "dist")
-    n = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = settle(n.where(F.col("_n") > small).select(*keys))
+    c = written(candidates.select(*keys, "a", "b", "a_end", "b_start", "dist"), "candidates")
+    own = c.groupBy(*keys, "a_end", "a").agg(F.count(F.lit(1)).alias("_n"))
+    place = ordered_prefix(own, keys, ["a_end", "a"], {"_earlier": "_n"})
+    region = place.select(*keys, "a_end", "a", F.floor(F.col("_earlier") / F.lit(region_rows)).cast("long").alias("_region"))
+    open_pairs = written(c.join(region, [*keys, "a_end", "a"]), "pairs")
+    unit = [*keys, "_region"]
+
     def run(rows, starts):
-        cols = [rows[x].to_numpy() for x in ("a_end", "a", "b", "b_start", "dist")]
+        cols = [rows[x].to_numpy() for x in ("a_end", "a", "b", "b_start", "dist", "_blocked")]
         owner, src, dst = [], [], []
         for lo, hi in zip(starts, np.r_[starts[1:], len(rows)]):
-            for x, y in _link_group(*[v[lo:hi] for v in cols], ratio, floor_px, window):
+            for x, y in _link_region(*[v[lo:hi] for v in cols], ratio, floor_px, window):
                 owner.append(lo)
                 src.append(x)
                 dst.append(y)
         return rows[keys].iloc[owner].assign(a=src, b=pd.array(dst, dtype="Int64"))
 
-    def walk(df):
-        return map_groups(df, keys, ["a_end", "a"], run, f"{key_types(df, keys)}, a bigint, b bigint")
-
-    if big.isEmpty():
-        return walk(c)
-    rounds = _link_rounds(c.join(big, keys, "left_semi"), keys, ratio, floor_px, window, max_rounds)
-    return walk(c.join(big, keys, "left_anti")).unionByName(rounds)
-
-
-def _link_rounds(open_pairs: DataFrame, keys, ratio, floor_px, window, max_rounds) -> DataFrame:
-    rank = F.struct("a_end", "a")
-    open_pairs, done = settle(open_pairs), None
-    for _ in range(max_rounds):
-        if open_pairs.isEmpty():
-            return done
-        first = open_pairs.groupBy(*keys, "b").agg(F.min(rank).alias("_f"))
-        ready = (open_pairs.join(first, [*keys, "b"])
-                 .groupBy(*keys, "a").agg(F.bool_and(F.col("_f.a") == F.col("a")).alias("_ready"))
-                 .where("_ready").select(*keys, "a"))
-        mine = open_pairs.join(ready, [*keys, "a"])
-        best = mine.groupBy(*keys, "a").agg(F.min(F.struct("dist", "b", "b_start")).alias("_best"))
-        rival = (mine.join(best, [*keys, "a"])
-                 .where((F.col("b") != F.col("_best.b"))
-                        & (F.abs(F.col("b_start") - F.col("_best.b_start")) <= window))
-                 .groupBy(*keys, "a").agg(F.min("dist").alias("_second")))
-        d1, d2 = F.col("_best.dist"), F.coalesce("_second", F.lit(float("inf")))
-        noise = (d1 < floor_px) & (d2 < floor_px)
-        refused = ~noise & (d2 < F.lit(ratio) * d1)
-        decided = settle(best.join(rival, [*keys, "a"], "left").select(
-            *keys, "a", F.when(~refused, F.col("_best.b")).alias("b")))
-        done = decided if done is None else settle(done.unionByName(decided))
+    waves = []
+    while True:
+        first = open_pairs.groupBy(*keys, "b").agg(F.min("_region").alias("_first"))
+        asked = open_pairs.join(first, [*keys, "b"]).withColumn("_blocked", F.col("_region") > F.col("_first")).drop("_first")
+        decided = written(map_groups(asked, unit, ["a_end", "a"], run, f"{key_types(c, keys)}, a bigint, b bigint"), "links")
+        waves.append(decided)
         taken = decided.where(F.col("b").isNotNull()).select(*keys, "b")
-        open_pairs = settle(open_pairs.join(decided.select(*keys, "a"), [*keys, "a"], "left_anti")
-                            .join(taken, [*keys, "b"], "left_anti"))
-    raise RuntimeError("linking did not settle; raise max_rounds")
+        open_pairs = written(open_pairs.join(decided.select(*keys, "a"), [*keys, "a"], "left_anti")
+                             .join(taken, [*keys, "b"], "left_anti"), "pairs")
+        if open_pairs.isEmpty():
+            return functools.reduce(DataFrame.unionByName, waves)
 
 
 def chain_groups(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS,
