@@ -94,6 +94,28 @@ def test_tracks_and_sinks(spark, tmp_path):
         sinks.write_results({"per": rows}, str(tmp_path / "runs"), "r1")
 
 
+def test_result_sets_keep_order_and_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("hot" if k % 3 else "c", (k * 7919) % 5000, k) for k in range(5000)], "condition string, v long, k long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # so that a small table has several files
+    try:
+        out = sinks.write_results({"per": rows, "other": rows.limit(0)}, str(tmp_path / "runs"), "r2", {"reused": "3"}, {"per": ["condition"]}, {"per": [F.desc("v")]})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(f"{out}/per").where("condition = 'hot'").select("v", F.input_file_name().alias("f")).toPandas()
+    assert back.f.nunique() > 1 and sorted(back.v) == sorted((k * 7919) % 5000 for k in range(5000) if k % 3)
+    spans = sorted((g.v.min(), g.v.max(), g.v.is_monotonic_decreasing) for _, g in back.groupby("f"))
+    assert all(d for *_, d in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert {(r.name, r.n_rows, r.settings["reused"]) for r in sinks.provenance(spark, out).collect()} == {("per", 5000, "3"), ("other", 0, "3")}
+
+
+def test_sheet_names_of_repeats(spark):
+    names = ["a/b", "a:b", None, "x" * 40, "x" * 31 + "tail", "", "a_b"] + ["x" * 35] * 10
+    d = spark.createDataFrame(list(enumerate(names)), "i long, name string")
+    got = {r.i: r.sheet for r in files.sheet_names(d, "name", ["i"]).collect()}
+    assert [got[k] for k in range(7)] == ["a_b", "a_b_2", None, "x" * 31, "x" * 29 + "_2", "", "a_b_3"]
+    assert got[16] == "x" * 28 + "_12" and files.sheet_names(d.limit(0), "name", ["i"]).count() == 0
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     src, out = tmp_path / "src", str(tmp_path / "out")
     schema = "relative_path string, sha256 string, content string, size_bytes long"

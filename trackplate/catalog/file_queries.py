@@ -82,6 +82,28 @@ def result_rows(spark, sf):
     return d.select("run_id", "tp", "condition", "n_plates", "stage_index_mean", "survival_pct_mean")
 
 
+@query("result_sets", "S7", sql("v_images v_stage_counts", _COND + f""",
+inv AS (SELECT count(*) AS n FROM orders), ru AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 3 = 0)
+SELECT 'run-2' AS run_id, name, n_rows, (SELECT n FROM ru)::VARCHAR AS images_reused, (SELECT n FROM inv)::VARCHAR AS images FROM (
+  SELECT 'per_condition' AS name, count(*) AS n_rows FROM co UNION ALL SELECT 'per_plate', count(*) FROM pl UNION ALL SELECT 'per_image', count(*) FROM im
+  UNION ALL SELECT 'motility', count(*) FROM v_track_rows UNION ALL SELECT 'counting', count(*) FROM (SELECT DISTINCT tp, condition FROM im))"""
+  .replace("v_track_rows", "(SELECT DISTINCT event_type, user_id % 20 AS t FROM events)")))
+def result_sets(spark, sf):
+    """A run of several result sets, partitioned by condition, and its provenance with counts and reuse."""
+    img = S.per_image(A.images(spark, sf), A.stage_counts(spark, sf))
+    plates = S.per_plate(img)
+    cond = S.per_condition(img, plates)
+    motility = A.track_points(spark, sf).groupBy("video_id", "track_id").agg(F.count(F.lit(1)).alias("frames"))
+    counting = img.groupBy("tp", "condition").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("n_images"))
+    rows = A.table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderkey") % 3 == 0).alias("reused")).first()
+    out = sinks.write_results(
+        {"per_condition": cond, "per_plate": plates, "per_image": img, "motility": motility, "counting": counting}, scratch_folder(spark, "results"), "run-2",
+        {"images": str(rows["n"]), "images_reused": str(rows["reused"])},
+        {"per_condition": ["condition"], "per_plate": ["condition"], "per_image": ["condition"], "motility": ["video_id"], "counting": ["condition"]},
+        {"per_condition": ["tp"], "per_plate": ["tp", "plate"], "per_image": ["tp", "image"], "motility": [F.desc("frames"), "track_id"], "counting": ["tp"]})
+    return sinks.provenance(spark, out).select("run_id", "name", "n_rows", F.col("settings")["images_reused"].alias("images_reused"), F.col("settings")["images"].alias("images"))
+
+
 @query("report_payload", "S9", sql("v_images v_stage_counts", _COND + f""",
 k AS (SELECT co.*, {_cond_sql('condition')} FROM co),
 x AS (SELECT *, CASE WHEN dose IS NULL THEN (SELECT count(DISTINCT dose) FROM k) ELSE (SELECT count(DISTINCT dose) FROM k z WHERE z.dose < k.dose) END AS di, (SELECT count(DISTINCT tp) FROM k z WHERE z.tp < k.tp) AS ti FROM k),

@@ -88,12 +88,12 @@ def stage_category(spark, sf):
 @query("skeleton_length", "X13 J3", sql("v_skeletons", """
 s AS (SELECT skeleton_id, CASE WHEN len(list_filter(px, lambda z: z IS NULL)) = 0 AND len(list_filter(py, lambda z: z IS NULL)) = 0 THEN
   list_sum(list_transform(range(2, 50), lambda i: sqrt((px[i] - px[i-1]) ** 2 + (py[i] - py[i-1]) ** 2))) END AS len FROM v_skeletons),
-r AS (SELECT event_id AS row_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id % 700 END AS sid FROM events)
+r AS (SELECT event_id AS row_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id - event_id // 5 - 1 END AS sid FROM events)
 SELECT row_id, round(len, 6) AS skeleton_length FROM r LEFT JOIN s ON s.skeleton_id = r.sid"""))
 def skeleton_length(spark, sf):
     s = A.skeletons(spark, sf).select("skeleton_id", S.skeleton_length(F.col("skeleton")).alias("len"))
     i = F.col("event_id")
-    r = A.table(spark, sf, "events").select(i.alias("row_id"), F.when(i % 5 == 0, -1).otherwise(i % 700).alias("skeleton_id"))
+    r = A.table(spark, sf, "events").select(i.alias("row_id"), F.when(i % 5 == 0, -1).otherwise(i - F.floor(i / 5) - 1).alias("skeleton_id"))
     return r.join(s, "skeleton_id", "left").select("row_id", rnd("len").alias("skeleton_length"))
 
 
@@ -148,11 +148,13 @@ def size_class(spark, sf):
 
 
 @query("safe_name", "X21", sql("", """
-t AS (SELECT page_id, trim(translate(url, '\\/:*?"<>|', '_________'), '. ')[:200] AS s FROM pages)
-SELECT page_id, CASE WHEN s = '' THEN '_' ELSE s END AS folder, regexp_replace(url, '[\\[\\]:*?/\\\\]', '_', 'g')[:31] AS sheet
-FROM t JOIN pages USING (page_id)""".replace("t AS (", "WITH t AS (", 1).strip()))
+t AS (SELECT page_id, trim(translate(url, '\\/:*?"<>|', '_________'), '. ')[:200] AS s FROM pages),
+n AS (SELECT page_id, sh, row_number() OVER (PARTITION BY sh ORDER BY page_id) AS k FROM (SELECT page_id, regexp_replace(url, '[\\[\\]:*?/\\\\]', '_', 'g')[:31] AS sh FROM pages))
+SELECT page_id, CASE WHEN s = '' THEN '_' ELSE s END AS folder, CASE WHEN k = 1 THEN sh ELSE sh[:30 - length(k::VARCHAR)] || '_' || k END AS sheet
+FROM t JOIN n USING (page_id)""".replace("t AS (", "WITH t AS (", 1).strip()))
 def safe_name(spark, sf):
-    return A.table(spark, sf, "pages").select("page_id", P.safe_name(F.col("url")).alias("folder"), P.sheet_name(F.col("url")).alias("sheet"))
+    p = A.table(spark, sf, "pages").select("page_id", P.safe_name(F.col("url")).alias("folder"), "url")
+    return FI.sheet_names(p, "url", ["page_id"]).drop("url")
 
 
 @query("sort_keys", "X22", sql("v_paths", """

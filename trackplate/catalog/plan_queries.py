@@ -114,17 +114,29 @@ def _agg_sql(fn, c, d=2):
     return f"round({fn}({c}) FILTER (is_long), {d})"
 
 
+# a failed video without rows beside each, and one that failed after it left some
+_VIDEO_SQL = """SELECT DISTINCT video_id, CASE WHEN video_id = (SELECT min(video_id) FROM v_motion) THEN 'tracker stopped' END AS error FROM v_motion
+  UNION ALL SELECT DISTINCT video_id || ' copy', 'unreadable' FROM v_motion"""
+
+
+def _videos(d):
+    v = d.select("video_id").distinct()
+    first = v.agg(F.min("video_id")).scalar()
+    return v.withColumn("error", F.when(F.col("video_id") == first, "tracker stopped")).unionByName(
+        v.select(F.concat("video_id", F.lit(" copy")).alias("video_id"), F.lit("unreadable").alias("error")))
+
+
 @query("motility_summary", "A10 U1", sql("v_motion", _MOTILITY + f"""
 SELECT v.video_id, count(k.video_id) AS n_fragments_total, count(*) FILTER (is_long) AS n_fragments_long, {_agg_sql('avg', 'bpm')} AS bpm_mean_long, {_agg_sql('stddev_pop', 'bpm')} AS bpm_std_long,
   {_agg_sql('min', 'bpm')} AS bpm_min_long, {_agg_sql('max', 'bpm')} AS bpm_max_long, {_agg_sql('avg', 'bend_interval_cv', 4)} AS bend_cv_mean_long,
   count(*) FILTER (is_long AND classification = 'chain') AS n_curl_long, count(*) FILTER (is_long AND classification = 'collision') AS n_collision_long,
   {_agg_sql('avg', 'valid_frac', 3)} AS mean_valid_frac_long, {_agg_sql('avg', 'fragment_count', 2)} AS mean_fragment_count_long, {_agg_sql('median', 'bpm')} AS bpm_median_long,
   {_agg_sql('median', 'bend_interval_cv', 4)} AS bend_cv_median_long, {_agg_sql('median', 'length_cv', 4)} AS length_cv_median_long, {_agg_sql('median', 'solidity_median', 4)} AS solidity_median_long,
-  {_agg_sql('median', 'speed_median_abs', 4)} AS speed_median_abs_median_long
-FROM (SELECT DISTINCT video_id FROM v_motion) v LEFT JOIN kp k ON k.video_id = v.video_id GROUP BY 1"""))
+  {_agg_sql('median', 'speed_median_abs', 4)} AS speed_median_abs_median_long, any_value(v.error) AS error
+FROM ({_VIDEO_SQL}) v LEFT JOIN kp k ON k.video_id = v.video_id AND v.error IS NULL GROUP BY 1"""))
 def motility_summary(spark, sf):
     d = _motion(spark, sf)
-    return M.video_summary(M.kept(M.motility(d, SET)), d.select("video_id").distinct())
+    return M.video_summary(M.kept(M.motility(d, SET)), _videos(d))
 
 
 @query("drop_funnel", "A12 F3", sql("v_motion", _MOTILITY + """,
@@ -163,6 +175,23 @@ def pipeline_metrics(spark, sf):
     return _r(M.pipeline_metrics(M.motility(d, SET), d.select("video_id").distinct()), ["bpm_mean_surviving", "bpm_median_surviving"])
 
 
+@query("sweep_comparison", "A29 U1", sql("v_motion", _MOTILITY + f""",
+fs AS (SELECT video_id, track_id, count(*) FILTER (bad) AS n FROM mk GROUP BY 1, 2),
+fv AS (SELECT video_id, CAST(sum(n) AS BIGINT) AS total_flicker_frames, count(*) FILTER (n > 0) AS tracks_with_any_flicker, count(*) AS c FROM fs GROUP BY 1),
+vr AS (SELECT 'run-1' AS run_id, 'baseline' AS param_changed, '' AS param_value, video_id, NULL::VARCHAR AS error FROM (SELECT DISTINCT video_id FROM v_motion)
+  UNION ALL SELECT 'run-2', 'attempt', '2', video_id, error FROM ({_VIDEO_SQL}))
+SELECT vr.*, total_flicker_frames, tracks_with_any_flicker, round(tracks_with_any_flicker / c, 4) AS tracks_with_any_flicker_frac,
+  CASE WHEN vr.error IS NULL THEN (SELECT count(*) FROM kp WHERE kp.video_id = vr.video_id) END AS pipeline_surviving_tracks,
+  round((SELECT avg(bpm) FROM kp WHERE kp.video_id = fv.video_id), 6) AS bpm_mean_surviving, round((SELECT median(bpm) FROM kp WHERE kp.video_id = fv.video_id), 6) AS bpm_median_surviving
+FROM vr LEFT JOIN fv ON fv.video_id = vr.video_id AND vr.error IS NULL"""))
+def sweep_comparison(spark, sf):
+    d = _motion(spark, sf)
+    m = M.motility(d, SET)
+    sound = d.select("video_id").distinct().withColumn("error", F.lit(None).cast("string"))
+    runs = [M.Run("run-1", "baseline", "", m, sound), M.Run("run-2", "attempt", "2", m, _videos(d))]
+    return _r(M.sweep_comparison(runs), ["bpm_mean_surviving", "bpm_median_surviving"])
+
+
 @query("debris_filter", "F2", sql("v_track_series", """
 g AS (SELECT video_id, track_id, stddev_pop(length) / avg(length) * 0.9 AS cv, quantile_cont(solidity, 0.5) AS sol, quantile_cont(abs(speed), 0.5) AS spd, max(speed) - min(speed) AS disp, avg(motion_mode) AS bpm FROM v_track_series GROUP BY 1, 2)
 SELECT video_id, track_id, CASE WHEN disp < 150 AND bpm < 0.05 THEN 'rule1' WHEN cv > 0.09 AND sol > 0.7 AND spd < 40 THEN 'rule2' END AS debris_rule FROM g"""))

@@ -124,8 +124,11 @@ def safe_name(text: Column, longest: int = 200) -> Column:
     return F.when(t == "", "_").otherwise(t)
 
 
+SHEET_CHARS = 31              # fixed value: longest name of a sheet
+
+
 def sheet_name(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, r"[\[\]:*?/\\]", "_"), 1, 31)
+    return F.substring(F.regexp_replace(text, r"[\[\]:*?/\\]", "_"), 1, SHEET_CHARS)
 
 
 def strain_key(name: Column) -> Column:

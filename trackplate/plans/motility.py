@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -153,7 +155,12 @@ def member_map(m: Motility) -> DataFrame:
 
 
 def video_summary(rows: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row per video over its long animals; videos without any keep NULL metrics and their status."""
+    """One row per video over its long animals; videos without any keep NULL metrics and their status.
+
+    `videos` may carry an `error`: rows of a failed video, if it left any, do not count.
+    """
+    if "error" in videos.columns:
+        rows = rows.join(videos.where(F.col("error").isNotNull()).select("video_id"), "video_id", "left_anti")
     v = ["video_id"]
     long = F.col("is_long")
 
@@ -202,12 +209,33 @@ def funnel(m: Motility) -> DataFrame:
 
 
 def pipeline_metrics(m: Motility, videos: DataFrame) -> DataFrame:
-    """Sweep comparison row per video: flicker share, survivors and their bends; error passes through."""
+    """Sweep comparison row per video: flicker share, survivors and their bends; all NULL where `videos` carries an `error`."""
     v = ["video_id"]
     fl = m.flicker.groupBy(*v).agg(F.count(F.lit(1)).alias("_n"), F.sum("flicker_frames").alias("total_flicker_frames"),
                                    F.sum((F.col("flicker_frames") > 0).cast("long")).alias("tracks_with_any_flicker"))
     k = kept(m)
     s = k.groupBy(*v).agg(F.count(F.lit(1)).alias("_k"), F.avg("bpm").alias("bpm_mean_surviving"))
     d = videos.join(fl, v, "left").join(s, v, "left").join(quantiles(k, v, "bpm", {"bpm_median_surviving": 0.5}), v, "left")
-    return d.withColumns({"tracks_with_any_flicker_frac": rnd(ratio(F.col("tracks_with_any_flicker"), F.greatest("_n", F.lit(1))), 4),
+    d = d.withColumns({"tracks_with_any_flicker_frac": rnd(ratio(F.col("tracks_with_any_flicker"), F.greatest("_n", F.lit(1))), 4),
                           "pipeline_surviving_tracks": F.coalesce("_k", F.lit(0))}).drop("_n", "_k")
+    if "error" not in d.columns:
+        return d
+    return d.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in d.columns if c not in (*videos.columns,)})
+
+
+@dataclass(frozen=True)
+class Run:
+    """One setting of a sweep: what changed, its results, and its videos with their `error`."""
+
+    run_id: str
+    param: str
+    value: str
+    result: Motility
+    videos: DataFrame
+
+
+def sweep_comparison(runs: Sequence[Run]) -> DataFrame:
+    """One row per (run, video): run_id, param_changed, param_value, the metrics and `error`."""
+    rows = [pipeline_metrics(r.result, r.videos).withColumns({
+        "run_id": F.lit(r.run_id), "param_changed": F.lit(r.param), "param_value": F.lit(r.value)}) for r in runs]
+    return functools.reduce(DataFrame.unionByName, rows)

@@ -19,26 +19,36 @@ def round_numbers(df: DataFrame, digits: int = 4) -> DataFrame:
 def write_results(tables: Mapping[str, DataFrame], root: str, run_id: str, settings: Mapping[str, str] | None = None,
                   partition: Mapping[str, Sequence[str]] | None = None, order: Mapping[str, Sequence] | None = None,
                   fmt: str = "parquet") -> str:
-    """Write every table under root/run_id; fails if the run folder already has it."""
+    """Write every table under root/run_id; fails if the run folder already has it.
+
+    A partitioned table is cut into ranges of (partition, order), so one value that holds most rows
+    has several files, each in order and following on the one before. The provenance row (run_info) has the settings and
+    the rows of every table, counted on what was written.
+    """
     out = f"{root.rstrip('/')}/{run_id}"
     for name, df in tables.items():
         d = round_numbers(df).withColumn("run_id", F.lit(run_id))
         cols = list((partition or {}).get(name, ()))
-        if cols:
-            d = d.repartition(*cols)
-        if (order or {}).get(name):
-            d = d.sortWithinPartitions(*cols, *order[name])
+        by = [*cols, *(order or {}).get(name, ())]
+        if by:
+            d = d.repartitionByRange(*by).sortWithinPartitions(*by)
         w = d.write.mode("errorifexists").format(fmt)
         if fmt == "csv":
             w = w.option("header", "true")
         (w.partitionBy(*cols) if cols else w).save(f"{out}/{name}")
-    first = next(iter(tables.values()))
-    info = first.sparkSession.createDataFrame([(run_id, sorted(tables), dict(settings or {}))],
-                                              "run_id string, tables array<string>, settings map<string,string>")
+    spark = next(iter(tables.values())).sparkSession
+    counts = {n: spark.read.schema(df.schema).format(fmt).option("header", fmt == "csv").load(f"{out}/{n}").count() for n, df in sorted(tables.items())}
+    info = spark.createDataFrame([(run_id, counts, dict(settings or {}))], "run_id string, tables map<string,bigint>, settings map<string,string>")
     info.write.mode("errorifexists").json(f"{out}/run_info")
     return out
 
 
+def provenance(spark, out: str) -> DataFrame:
+    """(run_id, name, n_rows, settings) of a written run, a row per table."""
+    info = spark.read.schema("run_id string, tables map<string,bigint>, settings map<string,string>").json(f"{out}/run_info")
+    return info.select("run_id", F.explode("tables").alias("name", "n_rows"), "settings")
+
+
 def pivot_counts(long: DataFrame, keys: Sequence[str], stages: Sequence[str]) -> DataFrame:
     """Wide stage columns for a sheet; the stage list is explicit, so no extra pass."""
     return long.groupBy(*keys).pivot("stage", list(stages)).agg(F.sum("n")).na.fill(0)
