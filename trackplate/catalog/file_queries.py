@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..core import rnd, scratch_folder
+from ..core import rnd, scratch_folder, written
 from ..functions import parse as P
 from ..operators import assay as S
 from ..operators import files as FI
 from ..sources import scores, sessions, sinks, tracks
 from ..streaming import jobs
-from .assay_queries import _COND, _cond
+from .assay_queries import _COND, _IMG, _QC, _cond
 from .parse_queries import _cond_sql
 from .registry import query
 from .views import sql
@@ -104,17 +104,41 @@ def result_sets(spark, sf):
     return sinks.provenance(spark, out).select("run_id", "name", "n_rows", F.col("settings")["images_reused"].alias("images_reused"), F.col("settings")["images"].alias("images"))
 
 
-@query("report_payload", "S9", sql("v_images v_stage_counts", _COND + f""",
-k AS (SELECT co.*, {_cond_sql('condition')} FROM co),
-x AS (SELECT *, CASE WHEN dose IS NULL THEN (SELECT count(DISTINCT dose) FROM k) ELSE (SELECT count(DISTINCT dose) FROM k z WHERE z.dose < k.dose) END AS di, (SELECT count(DISTINCT tp) FROM k z WHERE z.tp < k.tp) AS ti FROM k),
-rp AS (SELECT pl.tp, pl.condition, pl.total FROM pl JOIN co USING (tp, condition) WHERE replicate_unit = 'plate' UNION ALL SELECT im.tp, im.condition, im.total FROM im JOIN co USING (tp, condition) WHERE replicate_unit <> 'plate')
-SELECT 'cond' AS kind, '{{"condition":"' || condition || '","strain":"' || strain || '","di":' || di || ',"ti":' || ti || ',"n_plates":' || n_plates || ',"replicate_unit":"' || replicate_unit || '","pooled_total":' || pooled_total || '}}' AS payload FROM x
-UNION ALL SELECT 'rep', '{{"strain":"' || strain || '","di":' || di || ',"ti":' || ti || ',"total":' || rp.total || '}}' FROM rp JOIN x USING (tp, condition)"""))
+_STAGES = ["L1", "L2", "L3", "L4", "young adult", "adult", "egg", "dauer"]
+_AT = """
+kk AS (SELECT co.*, {cond} FROM co),
+xx AS (SELECT *, CASE WHEN dose IS NULL THEN (SELECT count(DISTINCT dose) FROM kk) ELSE (SELECT count(DISTINCT dose) FROM kk z WHERE z.dose < kk.dose) END AS di, (SELECT count(DISTINCT tp) FROM kk z WHERE z.tp < kk.tp) AS ti FROM kk)"""
+
+
+def _stage_struct(value):
+    return "json_object(" + ", ".join(f"'{s}', {value.format(s)}" for s in _STAGES) + ")"
+
+
+@query("report_payload", "S9", sql("v_images v_stage_counts", _QC + ", " + _COND[len(_IMG) + 1:] + "," + _AT.format(cond=_cond_sql("condition")) + f""",
+cn AS (SELECT tp, condition, stage, sum(n)::BIGINT AS n FROM v_stage_counts JOIN v_images USING (image_id) WHERE NOT has_error GROUP BY 1, 2, 3),
+cp AS (SELECT *, 100.0::DOUBLE * n / nullif(sum(n) OVER (PARTITION BY tp, condition), 0) AS pct FROM cn),
+st AS (SELECT tp, condition, map(list(stage), list(n)) AS mn, map(list(stage), list(pct)) AS mp FROM cp GROUP BY 1, 2),
+rp AS (SELECT pl.tp, pl.condition, pl.stage_index, pl.total FROM pl JOIN co USING (tp, condition) WHERE replicate_unit = 'plate'
+  UNION ALL SELECT im.tp, im.condition, im.stage_index, im.total FROM im JOIN co USING (tp, condition) WHERE replicate_unit <> 'plate')
+SELECT 'cond' AS kind, json_object('condition', condition, 'strain', strain, 'di', di, 'ti', ti, 'n_plates', n_plates, 'n_images', n_images, 'replicate_unit', replicate_unit, 'n_replicates', n_replicates,
+  'si_mean', round(stage_index_mean, 4), 'si_sd', round(stage_index_sd, 4), 'pooled_total', pooled_total, 'n', {_stage_struct("coalesce(mn['{0}'], 0)")},
+  'pct', {_stage_struct("round(coalesce(mp['{0}'], CASE WHEN pooled_total > 0 THEN 0.0::DOUBLE END), 3)")})::VARCHAR AS payload FROM xx LEFT JOIN st USING (tp, condition)
+UNION ALL SELECT 'rep', json_object('strain', strain, 'di', di, 'ti', ti, 'stage_index', round(rp.stage_index, 4), 'total', rp.total)::VARCHAR FROM rp JOIN xx USING (tp, condition)
+UNION ALL SELECT 'qc', json_object('strain', xx.strain, 'di', di, 'ti', ti, 'n_plates', k.n_plates, 'n_animals_total', n_animals_total, 'animals_per_plate_mean', round(m, 2), 'animals_per_plate_sd', round(s, 2),
+  'animals_per_plate_min', lo, 'animals_per_plate_max', hi, 'pct_of_control', round(100 * m / nullif(control, 0), 2), 'quadrant_cv_pct_mean', round(cm, 2), 'quadrant_cv_pct_max', round(cx, 2), 'n_image_errors', coalesce(e, 0))::VARCHAR
+  FROM k LEFT JOIN ct ON ct.tp = k.tp AND ct.strain = k.strain LEFT JOIN cw ON cw.tp = k.tp AND cw.condition = k.condition LEFT JOIN er ON er.tp = k.tp AND er.condition = k.condition JOIN xx ON xx.tp = k.tp AND xx.condition = k.condition
+UNION ALL SELECT 'gap', json_object('condition', c.condition, 'tp', t.tp)::VARCHAR FROM (SELECT DISTINCT condition FROM co) c CROSS JOIN (SELECT DISTINCT tp FROM co) t
+  WHERE NOT EXISTS (SELECT 1 FROM co z WHERE z.condition = c.condition AND z.tp = t.tp)
+UNION ALL SELECT 'meta', json_object('strains', list(DISTINCT strain ORDER BY strain), 'doses', list_concat(list(DISTINCT dose ORDER BY dose) FILTER (dose IS NOT NULL), CASE WHEN bool_or(dose IS NULL) THEN [NULL] ELSE [] END),
+  'tps', list(DISTINCT tp ORDER BY tp), 'stages', {_STAGES}, 'unit', max(unit) FILTER (unit <> ''), 'replicate_units', list(DISTINCT replicate_unit ORDER BY replicate_unit), 'n_detections', sum(pooled_total)::BIGINT,
+  'n_plates', sum(n_plates)::BIGINT, 'n_images', sum(n_images)::BIGINT, 'n_errors', (SELECT count(*) FROM v_images WHERE has_error), 'alpha', 0.0::DOUBLE)::VARCHAR FROM xx"""))
 def report_payload(spark, sf):
-    img = S.per_image(A.images(spark, sf), A.stage_counts(spark, sf))
-    plates = S.per_plate(img)
-    cond = S.with_parts(S.per_condition(img, plates))
-    return sinks.report_payload(cond, S.replicate_points(img, plates, cond))
+    i, counts = A.images(spark, sf), A.stage_counts(spark, sf)
+    img = written(S.per_image(i, counts), "report-images")
+    plates = written(S.per_plate(img), "report-plates")
+    cond = written(S.with_parts(S.per_condition(img, plates)), "report-conditions")
+    shares = S.composition(counts.join(img.select("image_id", "tp", "condition"), "image_id"), ["tp", "condition"])
+    return sinks.report_payload(cond, S.replicate_points(img, plates, cond), shares, _STAGES, S.qc(i, img, plates), S.gaps(cond), i)
 
 
 # --- manifest and sync -------------------------------------------------------------------

@@ -290,22 +290,93 @@ def crawling_conditions(spark, sf):
 
 # --- staging and colonies -------------------------------------------------------------------
 
-@query("staging_conditions", "G10 A16 A17", sql("v_detections", "RECURSIVE " + f"g0 AS (SELECT * FROM v_detections WHERE ({_GATE}) IS NULL),"
-       + _walk_sql("g0", "g1", "iou", 0.1, "image_id, cls", "score DESC") + "," + _walk_sql("g1", "g2", "cover", 0.3, "image_id, cls", _AREA) + ","
-       + _walk_sql("g2", "g4", "cover", 0.2, "image_id", "score DESC", "n.truncated") + f""",
+_MERGED = ("RECURSIVE " + f"g0 AS (SELECT * FROM v_detections WHERE ({_GATE}) IS NULL),"
+           + _walk_sql("g0", "g1", "iou", 0.1, "image_id, cls", "score DESC") + "," + _walk_sql("g1", "g2", "cover", 0.3, "image_id, cls", _AREA) + ","
+           + _walk_sql("g2", "g4", "cover", 0.2, "image_id", "score DESC", "n.truncated"))
+_STAGED_IMAGES = "SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 'N2 0J' ELSE 'N2 20J' END AS condition, (image_id % 3) * 24.0::DOUBLE AS tp, 'p' || (image_id // 6 % 2) AS plate FROM v_detections"
+_STAGED_INDEX = "sum(CASE stage WHEN 'L1' THEN 1 WHEN 'L2' THEN 2 WHEN 'L3' THEN 3 WHEN 'L4' THEN 4 WHEN 'adult' THEN 5 END)"
+
+
+@query("staging_conditions", "G10 A16 A17", sql("v_detections", _MERGED + f""",
 w AS (SELECT image_id, {_best(ALPHA)} AS ws FROM g4),
 c AS (SELECT image_id, ({_NAME_LIST})[list_position(ws, list_max(ws))] AS stage FROM w),
-i AS (SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 'N2 0J' ELSE 'N2 20J' END AS condition, (image_id % 3) * 24.0::DOUBLE AS tp, 'p' || (image_id // 6 % 2) AS plate FROM v_detections),
-p AS (SELECT i.tp, i.condition, i.plate, count(c.stage) AS total, sum(CASE stage WHEN 'L1' THEN 1 WHEN 'L2' THEN 2 WHEN 'L3' THEN 3 WHEN 'L4' THEN 4 WHEN 'adult' THEN 5 END) / nullif(count(c.stage), 0)::DOUBLE AS si FROM i LEFT JOIN c USING (image_id) GROUP BY 1, 2, 3)
+i AS ({_STAGED_IMAGES}),
+p AS (SELECT i.tp, i.condition, i.plate, count(c.stage) AS total, {_STAGED_INDEX} / nullif(count(c.stage), 0)::DOUBLE AS si FROM i LEFT JOIN c USING (image_id) GROUP BY 1, 2, 3)
 SELECT tp, condition, count(*) AS n_plates, CAST(sum(total) AS BIGINT) AS pooled_total, round(avg(si), 6) AS stage_index_mean FROM p GROUP BY 1, 2 HAVING count(*) > 1"""))
 def staging_conditions(spark, sf):
     raw = A.detections(spark, sf)
+    s = ST.staging(_staged_images(raw), raw, FLOORS, SIZES, NAMES, REFS, ALPHA, ["egg"], B.merge_rules(0.1, 0.3, None, 0.2))
+    return s.condition.where("n_plates > 1").select("tp", "condition", "n_plates", "pooled_total", rnd("stage_index_mean").alias("stage_index_mean"))
+
+
+def _staged_images(raw):
     k = F.col("image_id")
-    images = raw.select("image_id").distinct().select(
+    return raw.select("image_id").distinct().select(
         "image_id", F.concat(F.lit("im"), k.cast("string")).alias("image"), F.when(k % 2 == 0, "N2 0J").otherwise("N2 20J").alias("condition"),
         ((k % 3) * F.lit(24.0)).alias("tp"), F.concat(F.lit("p"), (F.floor(k / 6) % 2).cast("string")).alias("plate"), F.lit(False).alias("has_error"))
-    s = ST.staging(images, raw, FLOORS, SIZES, NAMES, REFS, ALPHA, ["egg"], B.merge_rules(0.1, 0.3, None, 0.2))
-    return s.condition.where("n_plates > 1").select("tp", "condition", "n_plates", "pooled_total", rnd("stage_index_mean").alias("stage_index_mean"))
+
+
+def _staged_again(spark, sf):
+    """A run over folders of which two earlier runs cover parts; their stored rows lack every fifth box, so what is reused shows.
+
+    Images with an id divisible by 7 changed since. One image name in 13 occurs on several plates. The raw rows of
+    images that can be reused are not handed in.
+    """
+    k = F.col("image_id")
+    every = A.detections(spark, sf)
+    rules = B.merge_rules(0.1, 0.3, None, 0.2)
+    images = _staged_images(every).withColumns({
+        "image": F.when(k % 13 == 0, "twice").otherwise(F.col("image")), "folder": F.concat(F.lit("f"), (k % 4).cast("string")),
+        "rel": F.concat(F.lit("im"), k.cast("string"))})
+    inventory = images.select("folder", "rel", k.alias("size"), F.lit(1.0).alias("mtime"))
+    runs = images.withColumn("run_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    manifests = runs.where((F.col("run_id") == 1) | (k % 4 == 1)).where("folder <> 'f3'").select(
+        "folder", "rel", "run_id", (F.col("run_id") * 100).alias("written"), F.lit("d").alias("digest"), F.lit(True).alias("reusable"), F.lit(True).alias("has_covered"),
+        F.when(k % 7 == 0, k + 1).otherwise(k).alias("size"), F.lit(1.0).alias("mtime"), ((F.col("run_id") == 1) | (k % 3 != 0)).alias("covered"), F.lit(False).alias("errored"))
+    old = B.merge_detections(every, FLOORS, SIZES, NAMES, REFS, 0.0, ["egg"], rules).where("det_id % 5 <> 0")
+    stored = old.join(runs.select("image_id", "folder", "rel", "run_id"), "image_id").drop("image_id")
+    again = (k % 4 == 3) | (k % 7 == 0) | ((k % 4 == 1) & (k % 3 == 0))
+    return ST.staging(images, every.where(again), FLOORS, SIZES, NAMES, REFS, ALPHA, ["egg"], rules, inventory, manifests, "d", stored)
+
+
+_AGAIN = _MERGED + f""",
+i AS (SELECT *, 'f' || (image_id % 4) AS folder, CASE WHEN image_id % 13 = 0 THEN 'twice' ELSE 'im' || image_id END AS image,
+  CASE WHEN image_id % 4 = 3 OR image_id % 7 = 0 OR (image_id % 4 = 1 AND image_id % 3 = 0) THEN NULL WHEN image_id % 4 = 1 THEN 2 ELSE 1 END AS run_id FROM ({_STAGED_IMAGES})),
+d AS (SELECT g4.*, i.* EXCLUDE (image_id), {_best(ALPHA)} AS ws FROM g4 JOIN i USING (image_id) WHERE run_id IS NULL OR det_id % 5 <> 0),
+c AS (SELECT *, ({_NAME_LIST})[list_position(ws, list_max(ws))] AS stage, sqrt((x2 - x1) * (y2 - y1)) AS size_px FROM d)"""
+
+
+@query("staging_reuse", "J10 A16 U3", sql("v_detections", _AGAIN + f""",
+p AS (SELECT i.tp, i.condition, i.plate, count(c.stage) AS total, {_STAGED_INDEX} / nullif(count(c.stage), 0)::DOUBLE AS si FROM i LEFT JOIN c USING (image_id) GROUP BY 1, 2, 3)
+SELECT 'condition' AS kind, condition || ' ' || tp AS name, CAST(sum(total) AS BIGINT) AS n_total, count(*) AS n_part, round(avg(si), 6) AS value FROM p GROUP BY tp, condition HAVING count(*) > 1
+UNION ALL SELECT 'folder', folder || coalesce(' run ' || max(run_id), ''), count(*), count(run_id), NULL FROM i GROUP BY folder"""))
+def staging_reuse(spark, sf):
+    """Conditions of a run that reuses stored rows, and what it reuses by folder."""
+    s = _staged_again(spark, sf)
+    c = s.condition.where("n_plates > 1").select(
+        F.lit("condition").alias("kind"), F.concat_ws(" ", "condition", F.col("tp").cast("string")).alias("name"), F.col("pooled_total").alias("n_total"),
+        F.col("n_plates").alias("n_part"), rnd("stage_index_mean").alias("value"))
+    run = F.concat(F.lit(" run "), F.col("run_id").cast("string"))
+    return c.unionByName(s.reuse.select(
+        F.lit("folder").alias("kind"), F.concat("folder", F.coalesce(run, F.lit(""))).alias("name"), F.col("n_images").alias("n_total"),
+        F.col("n_reused").alias("n_part"), F.lit(None).cast("double").alias("value")))
+
+
+@query("staging_sizes", "J7 A18 A17 J11", sql("v_detections", _AGAIN + f""",
+lk AS (SELECT tp, image, count(DISTINCT (condition, plate)) AS places FROM i GROUP BY 1, 2),
+j AS (SELECT c.*, places FROM c JOIN lk USING (tp, image)),
+pl AS (SELECT i.tp, i.condition, i.plate, count(c.stage) AS total FROM i LEFT JOIN c USING (image_id) GROUP BY 1, 2, 3),
+q AS (SELECT tp, condition, count(*) AS n, quantile_cont(size_px, 0.5) AS p50 FROM j WHERE places = 1 AND size_px > 0 GROUP BY 1, 2)
+SELECT 'join' AS kind, CASE WHEN places > 1 THEN 'ambiguous' ELSE 'joined' END AS name, count(*) AS n, NULL::DOUBLE AS value FROM j GROUP BY 2
+UNION ALL SELECT 'size', condition || ' ' || tp, n, round(p50, 6) FROM q
+UNION ALL SELECT 'qc', condition || ' ' || tp, sum(total)::BIGINT, round(avg(total), 6) FROM pl GROUP BY tp, condition"""))
+def staging_sizes(spark, sf):
+    """How boxes met their image rows, the sizes of those that met one, and animals per plate, of the same run."""
+    s = _staged_again(spark, sf)
+    name = F.concat_ws(" ", "condition", F.col("tp").cast("string")).alias("name")
+    return (s.size_joins.select(F.lit("join").alias("kind"), F.col("status").alias("name"), "n", F.lit(None).cast("double").alias("value"))
+            .unionByName(s.size_summary.select(F.lit("size").alias("kind"), name, "n", rnd("p50").alias("value")))
+            .unionByName(s.qc.select(F.lit("qc").alias("kind"), name, F.col("n_animals_total").alias("n"), rnd("animals_per_plate_mean").alias("value"))))
 
 
 @query("colony_pipeline", "F4 A21", "WITH " + _CPL + """
