@@ -47,6 +47,26 @@ def test_densify_never_interpolates(spark):
     assert [(r.k, r.frame, r.x) for r in d] == [("a", 3, 1.0), ("a", 4, None), ("a", 5, None), ("a", 6, 2.0), ("b", 1, 5.0)]
 
 
+def test_long_gaps(spark):
+    """A gap of 10^9 frames gives only the frames in reach; gaps shorter than twice the reach are whole."""
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 10**9, 2.0), ("a", 10**9 + 5, 3.0), ("b", 7, 4.0)], "k string, frame long, x double")
+    got = [(r.k, r.frame, r.x) for r in axis.densify(df, ["k"], ["x"], reach=3).orderBy("k", "frame").collect()]
+    e = 10**9
+    want = [("a", 0, 1.0), *[("a", i, None) for i in (1, 2, 3, e - 3, e - 2, e - 1)], ("a", e, 2.0), *[("a", e + i, None) for i in range(1, 5)], ("a", e + 5, 3.0), ("b", 7, 4.0)]
+    assert got == want
+
+
+def test_motion_frames_give_the_same_events(spark):
+    rng = np.random.default_rng(8)
+    f = np.unique(np.r_[rng.integers(0, 300, 180), 5000 + rng.integers(0, 60, 55), 9000])
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "frame": f, "x": rng.normal(size=len(f)).cumsum(), "y": rng.normal(size=len(f)).cumsum()}))
+    out = []
+    for d in (axis.densify(df, ["k"], ["x", "y"]), windows.motion_frames(df, 10.0, keys=["k"])):
+        e = windows.turn_events(d, 10.0, F.lit(0.1), keys=["k"])
+        out.append((sorted(tuple(r) for r in e.collect()), d.count(), [tuple(r) for r in windows.turn_rates(e, windows.velocity(d, 10.0, ["k"]), 10.0, ["k"]).collect()]))
+    assert out[0][0] == out[1][0] and len(out[0][0]) > 5 and out[0][2] == out[1][2] and out[1][1] < 500 < out[0][1]
+
+
 @pytest.mark.parametrize("few", [2000, 0])
 def test_quantiles_with_hot_value(spark, monkeypatch, few):
     monkeypatch.setattr(ranking, "FEW", few)                  # 0: every group goes by its sketch

@@ -124,9 +124,9 @@ def test_chain_groups(spark):
     assert got == {0: 8, 3: 8, 1: 8, 8: 8, 5: 6, 6: 6, 2: 2, 4: 4, 7: 7}
 
 
-@pytest.mark.parametrize("width", [8, 1024])
-def test_concurrency(spark, width):
-    rows = _frags(4, 25)
+@pytest.mark.parametrize("seed,many", [(4, 25), (9, 120)])
+def test_concurrency(spark, seed, many):
+    rows = _frags(seed, many)
     df = spark.createDataFrame(rows, SCHEMA)
     for r in graph.max_concurrent(df, ["video_id"]).collect():
         mine = [x for x in rows if x[0] == r.video_id]
@@ -135,7 +135,7 @@ def test_concurrency(spark, width):
     for n in (1, 3):
         cap = df.select("video_id").distinct().withColumn("n_keep", F.lit(n))
         got = {}
-        for r in graph.select_concurrent(df, ["video_id"], "track_id", cap, width=width).collect():
+        for r in graph.select_concurrent(df, ["video_id"], "track_id", cap).collect():
             got.setdefault(r.video_id, set()).add(r.track_id)
         for v in ("p", "q"):
             mine = [x for x in rows if x[0] == v]
@@ -147,6 +147,21 @@ def test_concurrency(spark, width):
             assert got[v] == best[1]
 
 
+def test_alive_counts(spark):
+    """Counts and sums at listed frames equal a direct count; a span of 10^9 frames costs two deltas; uncovered frames are absent."""
+    rows = _frags(5, 60) + [("p", 900, 0, 10**9, *_frags(5, 1)[0][4:])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = [(v, f) for v in ("p", "q", "none") for f in (-5, 0, 3, 40, 77, 10**9, 10**9 + 1)]
+    got = {(r.video_id, r.frame): (r.n_alive, r.n_rows) for r in
+           graph.alive_counts(df, spark.createDataFrame(asked, "video_id string, frame long"), ["video_id"], ["n_rows"]).collect()}
+    want = {}
+    for v, f in asked:
+        live = [x for x in rows if x[0] == v and x[2] <= f <= x[3]]
+        if live:
+            want[v, f] = (len(live), sum(x[8] for x in live))
+    assert got == want
+
+
 def test_classify(spark):
     f = spark.createDataFrame([("v", i, 10 * i) for i in range(5)], "video_id string, track_id long, start_frame long")
     e = spark.createDataFrame([("v", 0, 1), ("v", 2, 3), ("v", 2, 4)], "video_id string, a long, b long")

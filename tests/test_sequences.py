@@ -118,6 +118,16 @@ def test_runs(spark):
     assert none.longest_run_s == 0.0
 
 
+def test_peak_bends(spark):
+    """Two turns of a sine over 60 valid samples at 10 a second; gaps are squeezed out; fewer than 10 samples give NULL."""
+    t = np.arange(60)
+    rows = [("v", 1, int(2 * i), int(i), float(np.sin(2 * np.pi * (i + 3) / 20))) for i in t]
+    rows += [("v", 1, 1, 500, None), ("v", 3, 0, 600, None)] + [("v", 2, int(i), 700 + int(i), float(i % 2)) for i in range(9)]
+    df = spark.createDataFrame(rows, "video_id string, track_id long, frame long, row_id long, e double")
+    got = {r.track_id: r.bends_30s for r in tracks.peak_bends(df, "e", 10.0, 0.3).collect()}
+    assert got == {1: pytest.approx(6 / 2 * 30 / 6.0), 2: None, 3: None}
+
+
 def test_diameter_and_sample(spark):
     rng = np.random.default_rng(2)
     xy = rng.normal(size=(300, 2)) * 50

@@ -133,8 +133,7 @@ FROM spans s JOIN fr ON fr.video_id = s.video_id AND fr.frame BETWEEN s.start_fr
 def alive_at_frame(spark, sf):
     s = _kept_frags(spark, sf)
     fr = s.select("video_id", F.col("start_frame").alias("frame")).distinct()
-    return (G.alive_at(s, fr, ["video_id"]).groupBy("video_id", "frame")
-            .agg(F.count(F.lit(1)).alias("n_alive"), F.sum("n_rows").alias("rows_alive")))
+    return G.alive_counts(s, fr, ["video_id"], ["n_rows"]).withColumnRenamed("n_rows", "rows_alive")
 
 
 @query("max_concurrent", "G3", sql("v_fragments", _SPANS + """,

@@ -306,10 +306,13 @@ hc AS (SELECT d.video_id, d.track_id, d.frame, CASE WHEN hypot0 >= 0.1 AND hypot
     LEFT JOIN ve b ON b.video_id = d.video_id AND b.track_id = d.track_id AND b.frame = d.frame + 5) d)"""
 
 
-def _dense(spark, sf):
+def _thinned(spark, sf):
     p = A.track_points(spark, sf).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    p = p.withColumn("frame", F.floor(F.col("frame") / 24))
-    return axis.densify(axis.last_per_frame(p, KEYS, ["x", "y"]), KEYS, ["x", "y"])
+    return axis.last_per_frame(p.withColumn("frame", F.floor(F.col("frame") / 24)), KEYS, ["x", "y"])
+
+
+def _dense(spark, sf):
+    return axis.densify(_thinned(spark, sf), KEYS, ["x", "y"])
 
 
 @query("densify", "W8", sql("v_track_points", _DENSE + """
@@ -351,7 +354,7 @@ ev AS (SELECT video_id, track_id, frame, angle, CASE WHEN angle >= 140 THEN 'rev
 @query("turn_events", "W11", sql("v_track_points", _EVENTS + """
 SELECT video_id, track_id, frame, round(angle, 4) AS angle, event FROM ev"""))
 def turn_events(spark, sf):
-    e = W.turn_events(_dense(spark, sf), FPS, F.lit(0.1))
+    e = W.turn_events(W.motion_frames(_thinned(spark, sf), FPS), FPS, F.lit(0.1))
     return e.select(*KEYS, "frame", rnd("angle", 4).alias("angle"), "event")
 
 
@@ -362,7 +365,7 @@ SELECT video_id, track_id, coalesce(r, 0) AS arrow_reversal_count, coalesce(t, 0
   round(coalesce(r, 0) / nullif(n / 600.0::DOUBLE, 0), 6) AS arrow_reversal_rate_per_min, round(coalesce(t, 0) / nullif(n / 600.0::DOUBLE, 0), 6) AS turn_rate_per_min
 FROM o LEFT JOIN c USING (video_id, track_id)"""))
 def turn_rates(spark, sf):
-    d = _dense(spark, sf)
+    d = W.motion_frames(_thinned(spark, sf), FPS)
     e = W.turn_events(d, FPS, F.lit(0.1))
     return _r(W.turn_rates(e, W.velocity(d, FPS), FPS), ["arrow_reversal_rate_per_min", "turn_rate_per_min"])
 
@@ -390,6 +393,34 @@ def phase_rotations(spark, sf):
     return _r(W.phase_rotations(s, "eig1", "eig2", FPS), ["rotations_30s", "path_bends_30s"])
 
 
+def _peaks_of(value, prominence):
+    """The peak CTEs for another signal of the track series."""
+    return _PEAKS.replace("(x - 50) / 50 AS angle", f"{value} AS angle").replace("v_track_points WHERE x IS NOT NULL", f"v_track_series WHERE ({value}) IS NOT NULL").replace(
+        "prom >= 0.3", f"prom >= {prominence}")
+
+
+def _peak_bends_sql(value, prominence):
+    return _peaks_of(value, prominence) + f""",
+n AS (SELECT video_id, track_id, count({value}) AS n FROM v_track_series GROUP BY 1, 2),
+h AS (SELECT video_id, track_id, count(*) AS hb FROM pk GROUP BY 1, 2)
+SELECT video_id, track_id, round(CASE WHEN n >= 10 THEN coalesce(hb, 0) / 2.0::DOUBLE * 30 / (n / 10.0::DOUBLE) END, 6) AS bends_30s FROM n LEFT JOIN h USING (video_id, track_id)"""
+
+
+@query("curvature_bends", "W16", sql("v_track_series", _peak_bends_sql("speed / 50", 0.25)))
+def curvature_bends(spark, sf):
+    s = A.track_series(spark, sf).withColumn("curvature", F.col("speed") / 50)
+    return _r(T.peak_bends(s, "curvature", FPS, 0.25), ["bends_30s"])
+
+
+_EIG = "CASE WHEN was_skeletonized = 1 THEN eig1 END"
+
+
+@query("eigen_bends", "W16", sql("v_track_series", _peak_bends_sql(_EIG, 0.4)))
+def eigen_bends(spark, sf):
+    s = A.track_series(spark, sf).withColumn("eig", F.when(F.col("was_skeletonized") == 1, F.col("eig1")))
+    return _r(T.peak_bends(s, "eig", FPS, 0.4), ["bends_30s"])
+
+
 # --- diagnostics ---------------------------------------------------------------------
 
 @query("fragment_validity", "A30", sql("v_track_series v_track_points", """

@@ -128,14 +128,22 @@ def last_per_frame(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
 
 
 def densify(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-            frame: str = "frame", width: int = WIDTH) -> DataFrame:
+            frame: str = "frame", width: int = WIDTH, reach: int | None = None) -> DataFrame:
     """Contiguous frame axis from first to last frame; gap frames carry NULLs.
 
-    Input has one row per frame. Every row emits itself and the gap behind it, so
-    no array is longer than one gap and no join is needed.
+    Input has one row per frame. Every row emits itself and the gap behind it, in pieces of
+    `width` frames, so no array is as long as a long gap and no join is needed. With `reach`
+    only gap frames at most that far from a row are made: enough where a step looks no
+    farther, and a gap of any length costs 2 * reach rows.
     """
     d = with_next(df, keys, {"_nf": F.col(frame)}, order=(frame,), width=width)
-    last = F.coalesce(F.col("_nf") - 1, F.col(frame))
-    d = d.withColumn("_f", F.explode(F.sequence(F.col(frame), last)))
+    own, last = F.col(frame), F.coalesce(F.col("_nf") - 1, F.col(frame))
+    if reach is None:
+        d = d.withColumn("_a", F.explode(F.sequence(own, last, F.lit(width).cast("long"))))
+        d = d.withColumn("_f", F.explode(F.sequence("_a", F.least(last, F.col("_a") + (width - 1)))))
+    else:
+        head, tail = F.least(last, own + reach), F.greatest(own + reach + 1, last - reach + 1)
+        none = F.array().cast("array<bigint>")
+        d = d.withColumn("_f", F.explode(F.concat(F.sequence(own, head), F.when(tail <= last, F.sequence(tail, last)).otherwise(none))))
     filled = [F.when(F.col("_f") == F.col(frame), F.col(c)).alias(c) for c in cols]
     return d.select(*keys, F.col("_f").alias(frame), *filled)

@@ -109,23 +109,46 @@ def max_concurrent(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     return run.groupBy(*keys).agg(F.max("alive").alias("max_concurrent"))
 
 
-def alive_at(spans: DataFrame, frames: DataFrame, keys: Sequence[str], width: int = 1024) -> DataFrame:
-    """Spans alive at each listed frame: range join through time buckets."""
-    w = F.lit(width)
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_frame") / w),
-                                                    F.floor(F.col("end_frame") / w))))
-    f = frames.withColumn("_b", F.floor(F.col("frame") / w))
-    return (s.join(f, [*keys, "_b"])
-            .where(F.col("frame").between(F.col("start_frame"), F.col("end_frame"))).drop("_b"))
-
-
-def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit: DataFrame,
-                      width: int = 1024) -> DataFrame:
+def alive_counts(spans: DataFrame, frames: DataFrame, keys: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """(keys, frame, n_alive, and each of `sums` over the spans alive) at each listed frame that some span covers.
+
+    One sweep of +/-1 deltas with the listed frames as marks: no span meets a frame, so work grows with spans plus frames.
+    """
+    keys = list(keys)
+    cols = {"n_alive": F.lit(1).cast("long")} | {c: F.col(c) for c in sums}
+    ends = [(F.col("start_frame"), 1), (F.col("end_frame") + 1, -1)]
+    deltas = [spans.select(*keys, at.cast("long").alias("frame"), *((c * sign).alias(n) for n, c in cols.items()), F.lit(False).alias("_ask")) for at, sign in ends]
+    asked = frames.select(*keys, F.col("frame").cast("long").alias("frame"), *(F.lit(0).cast("long").alias(n) for n in cols), F.lit(True).alias("_ask"))
+    per = deltas[0].unionByName(deltas[1]).unionByName(asked).groupBy(*keys, "frame").agg(
+        *(F.sum(n).alias(f"_{n}") for n in cols), F.bool_or("_ask").alias("_ask"))
+    run = axis.with_running(per, keys, {n: F.col(f"_{n}") for n in cols}, order=("frame",))
+    return run.where(F.col("_ask") & (F.col("n_alive") > 0)).select(*keys, "frame", *cols)
+
+
+def _frames_of(level):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int"))
+
+
+def _stretches(start, end, levels):
+    """The few aligned stretches (level, place) of 2^level frames that make up start..end, at most two a level."""
+    def at(level):
+        size = _frames_of(level)
+        lo, hi = F.ceil(start / size).cast("long"), F.floor((end + 1) / size).cast("long")
+        odd = F.pmod(lo, F.lit(2)) == 1
+        inner = lo + odd.cast("long")
+        return F.array_compact(F.array(
+            F.when((lo < hi) & odd, F.struct(level.alias("level"), lo.alias("place"))),
+            F.when((lo < hi) & (F.pmod(hi, F.lit(2)) == 1) & (hi - 1 >= inner), F.struct(level.alias("level"), (hi - 1).alias("place")))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), levels), at))
+
+
+def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit: DataFrame) -> DataFrame:
     """Keep the N spans that share a frame and have the largest total length.
 
-    `limit` carries `n_keep` per key. A span that covers a whole time
-    bucket can only matter there if it is among the `n_keep` longest that do, so the
-    others are left out of that bucket before the range join: the join stays linear
+    `limit` carries `n_keep` per key. A span is cut into its aligned stretches of frames, two a level at most. Only the
+    `n_keep` longest spans of a stretch can matter at a frame inside it, so the others are left out there, and a frame
+    meets the spans left in the stretches around it, one a level: work grows with spans plus frames, times the levels,
     however many spans overlap. Ties: longer span, then smaller id; then smallest frame.
     """
     keys = list(keys)
@@ -135,18 +158,17 @@ def select_concurrent(spans: DataFrame, keys: Sequence[str], id_col: str, limit:
     hard = s.where(F.col("_have") > F.col("n_keep"))
     best_first = (F.desc("n_rows"), F.asc(id_col))
 
-    w = F.lit(width)
-    lo, hi = F.floor(F.col("start_frame") / w), F.floor(F.col("end_frame") / w)
-    cut = hard.withColumn("_b", F.explode(F.sequence(lo, hi)))
-    whole = ((F.col("start_frame") <= F.col("_b") * w) & (F.col("end_frame") >= (F.col("_b") + 1) * w - 1))
-    full = cut.where(whole).withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*keys, "_b").orderBy(*best_first))).where(F.col("_rn") <= F.col("n_keep")).drop("_rn")
-    part = cut.where(~whole)
+    length = hard.agg(F.max(F.col("end_frame") - F.col("start_frame") + 1)).first()[0]
+    levels = F.lit(int(length or 1).bit_length())
+    cut = hard.withColumn("_s", F.explode(_stretches(F.col("start_frame"), F.col("end_frame"), levels))).select("*", "_s.*").drop("_s")
+    for salt in ([F.pmod(F.xxhash64(id_col), F.lit(64))], []):                      # a crowded stretch is thinned in parts first
+        longest = Window.partitionBy(*keys, "level", "place", *salt).orderBy(*best_first)
+        cut = cut.withColumn("_rn", F.row_number().over(longest)).where(F.col("_rn") <= F.col("n_keep")).drop("_rn")
     frames = (hard.select(*keys, F.col("start_frame").alias("frame")).unionByName(
         hard.select(*keys, F.col("end_frame").alias("frame"))).distinct()
-        .withColumn("_b", F.floor(F.col("frame") / w)))
-    alive = (full.unionByName(part).join(frames, [*keys, "_b"])
-             .where(F.col("frame").between(F.col("start_frame"), F.col("end_frame"))))
+        .withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
+        .withColumn("place", F.floor(F.col("frame") / _frames_of(F.col("level"))).cast("long")))
+    alive = cut.join(frames, [*keys, "level", "place"])
     at = Window.partitionBy(*keys, "frame").orderBy(*best_first)
     top = alive.withColumn("_rn", F.row_number().over(at)).where(F.col("_rn") <= F.col("n_keep"))
     score = top.groupBy(*keys, "frame", "n_keep").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import ratio
-from . import axis
+from . import axis, peaks, windows
 from .grouped import key_types, map_groups
 from .ranking import column_quantiles, quantiles, value_ranks
 
@@ -139,6 +139,19 @@ def interval_cv(peaks: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> Dat
         (F.col("n_peaks") >= 3) & (F.col("_m") >= 1e-9), F.col("_s") / F.col("_m")).alias("bend_interval_cv"))
 
 
+def peak_bends(series: DataFrame, value: str, fps: float, prominence: float, keys: Sequence[str] = KEYS, name: str = "bends_30s") -> DataFrame:
+    """Bends per 30 s of valid samples: half the peaks of both signs of the detrended signal (body curvature, first eigen projection).
+
+    A row per key; NULL where fewer than 10 samples are valid.
+    """
+    k = list(keys)
+    d = windows.detrend(series, value, fps, k)
+    halves = peaks.find_peaks(d, k, "detrended", prominence).groupBy(*k).agg(F.count(F.lit(1)).alias("_half"))
+    n = series.groupBy(*k).agg(F.count(value).alias("_n"))
+    rate = F.coalesce("_half", F.lit(0)) / F.lit(2.0) * F.lit(30.0) / (F.col("_n") / F.lit(fps))
+    return n.join(halves, k, "left").select(*k, F.when(F.col("_n") >= 10, rate).alias(name))
+
+
 # --- diameter --------------------------------------------------------------------
 
 def _corners(xy: np.ndarray) -> np.ndarray:

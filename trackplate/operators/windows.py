@@ -153,6 +153,12 @@ def motion_windows(fps: float) -> dict[str, int]:
             "gap": max(1, round(0.5 * fps)), "hold": max(1, round(0.25 * fps))}
 
 
+def motion_frames(points: DataFrame, fps: float, cols: Sequence[str] = ("x", "y"), keys: Sequence[str] = KEYS) -> DataFrame:
+    """Measured frames and the gap frames around them at which velocity and heading can have a value; the rest of a gap is left out."""
+    w = motion_windows(fps)
+    return axis.densify(points, keys, cols, reach=w["step"] + w["look"])
+
+
 def velocity(dense: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Centred difference over +-step frames on the dense axis: vx, vy per frame."""
     s = motion_windows(fps)["step"]
@@ -202,7 +208,7 @@ def turn_events(dense: DataFrame, fps: float, min_speed: Column, turn_deg: float
     w = motion_windows(fps)
     d = axis.halo(dense, "frame", w["step"] + w["look"] + w["hold"])
     d = _turning(_velocity(d, w["step"], keys), w["look"], min_speed, keys)
-    near = Window.partitionBy(*keys, "_chunk").orderBy("frame").rowsBetween(-w["hold"], w["hold"] - 1)
+    near = Window.partitionBy(*keys, "_chunk").orderBy("frame").rangeBetween(-w["hold"], w["hold"] - 1)
     d = axis.home_rows(d.withColumn("_top", F.max("angle").over(near)))
     c = d.where((F.col("angle") >= turn_deg) & (F.col("angle") >= F.col("_top"))).select(*keys, "frame", "angle")
     out = spaced(c, w["gap"], keys)

@@ -59,7 +59,7 @@ def crawling(points: DataFrame, series: DataFrame, fps: float = 30.0, max_dist:
     lengths = ends.select(*GROUP, "track_duration_s").join(kin.select(*GROUP, "mean_length_px"), GROUP, "left")
     plate = settle(tracks.plate_mean_length(lengths))
     good = p.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    dense = axis.densify(axis.last_per_frame(good, GROUP, ["x", "y"]), GROUP, ["x", "y"]).join(plate, v, "left")
+    dense = windows.motion_frames(axis.last_per_frame(good, GROUP, ["x", "y"]), fps, keys=GROUP).join(plate, v, "left")
     slow = F.when(F.col("plate_mean_length_px") > 0, F.lit(0.001) * F.col("plate_mean_length_px")).otherwise(F.lit(0.1))
     dense = written(dense.withColumn("_slow", slow).select(*GROUP, "frame", "x", "y", "_slow"), "dense")
     events = windows.turn_events(dense, fps, F.col("_slow"), keys=GROUP)
