@@ -38,6 +38,8 @@ HELD = 300_000                #: distinct words that a task counts before it pas
 BLOCK = 1 << 24               #: bytes of text in a block, about
 SLICE = 1 << 19               #: tokens handled at once
 GROUP = 64                    #: first words of bigrams that lie in one row
+PIECE = 1 << 18               #: dictionary entries that a task holds before it passes them on by block
+ENTRY = np.dtype([("number", "<i4"), ("cls", "u1"), ("n", "<i8")])
 
 END, OTHER = CLASSES, CLASSES + 1            #: classes of the end of a text, and of a word outside the core or unknown
 WIDE = CLASSES + 2
@@ -261,7 +263,7 @@ def exchange(bigrams: DataFrame, n_core: int, rounds: int = ROUNDS) -> tuple[np.
 
 
 def other_words(blocks: DataFrame, classes: np.ndarray, matrix: np.ndarray) -> DataFrame:
-    """(block, number, cls, n, word): class and training count of each dictionary entry; word only in one row per word.
+    """Rows (block, packed) with class and training count of dictionary entries, as ENTRY, and a row (word, cls, n) per training word.
 
     A word goes to the class in which the classes before and after it are likeliest, weighed by their
     counts; a word that no training text has gets the class OTHER and n = 0.
@@ -293,17 +295,34 @@ def other_words(blocks: DataFrame, classes: np.ndarray, matrix: np.ndarray) -> D
                                                       around.slice(k, m)], ["word", "block", "number", "around"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value[1]
+        weights, names = shared.value[1], ["block", "packed", "word", "cls", "n"]
         word, sums, held = None, np.zeros(2 * WIDE), []             # the last word so far: its sums and its rows
 
+        waiting: list[list[np.ndarray]] = []
+
         def out(words, table, rows, group):
-            n = table[:, :WIDE].sum(1)
-            cls = np.where(n > 0, (table @ weights).argmax(1), OTHER)
-            once = np.zeros(len(group), bool)
-            once[np.unique(group, return_index=True)[1]] = True
-            return pa.RecordBatch.from_arrays([
-                pa.array(rows[0]), pa.array(rows[1]), pa.array(cls[group].astype(np.int32)), pa.array(n[group].astype(np.int64)),
-                pa.array([words[g] if o else None for g, o in zip(group.tolist(), once.tolist())], pa.binary())], ["block", "number", "cls", "n", "word"])
+            n = table[:, :WIDE].sum(1).astype(np.int64)
+            cls = np.where(n > 0, (table @ weights).argmax(1), OTHER).astype(np.int32)
+            waiting.append([rows[0], rows[1], cls[group], n[group]])
+            own = np.flatnonzero(n > 0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()), pa.array([words[k] for k in own], pa.binary()),
+                                              pa.array(cls[own]), pa.array(n[own])], names)
+            if sum(len(w[0]) for w in waiting) >= PIECE:
+                yield from pieces()
+
+        def pieces():
+            if not waiting:
+                return
+            block, *values = (np.concatenate(c) for c in zip(*waiting))
+            waiting.clear()
+            order = np.argsort(block, kind="stable")
+            block, entries = block[order], np.empty(len(block), ENTRY)
+            for name, v in zip(ENTRY.names, values):
+                entries[name] = v[order]
+            cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+            k = len(cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array([e.tobytes() for e in np.split(entries, cuts[1:])], pa.binary()),
+                                              pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names)
 
         def rest():
             rows = [np.concatenate([h[k] for h in held]) for k in (0, 1)]
@@ -320,26 +339,27 @@ def other_words(blocks: DataFrame, classes: np.ndarray, matrix: np.ndarray) -> D
             flat = np.frombuffer(b"".join(around.to_pylist()), np.uint8).astype(np.int64)
             slot = flat + WIDE * (np.arange(len(flat)) % 2) + np.repeat(group, lengths) * 2 * WIDE
             table = np.bincount(slot, minlength=(group[-1] + 1) * 2 * WIDE).reshape(-1, 2 * WIDE).astype(float)
-            names = [words[k] for k in np.flatnonzero(new)]
-            if held and word == names[0]:
+            first = [words[k] for k in np.flatnonzero(new)]
+            if held and word == first[0]:
                 table[0] += sums
             elif held:
-                yield rest()
+                yield from rest()
                 held = []
             last = int(np.flatnonzero(new)[-1])
-            if len(names) > 1:
+            if len(first) > 1:
                 k = last
                 rows = [np.concatenate([*(h[x] for h in held), v[:k]]) for x, v in ((0, block), (1, number))]
-                yield out(names, table, rows, np.concatenate([np.zeros(len(rows[0]) - k, np.int64), group[:k]]))
+                yield from out(first[:-1], table[:-1], rows, np.concatenate([np.zeros(len(rows[0]) - k, np.int64), group[:k]]))
                 held = []
-            word, sums = names[-1], table[-1]
+            word, sums = first[-1], table[-1]
             held.append((block[last:], number[last:]))
         if held:
-            yield rest()
+            yield from rest()
+        yield from pieces()
 
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = blocks.select("block", "learned", "stream", "others", "words").mapInArrow(seen, "word binary, block long, number int, around binary")
-    return rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(judge, "block long, number int, cls int, n long, word binary")
+    return rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(judge, "block long, packed binary, word binary, cls int, n long")
 
 
 class Numbers:
@@ -353,7 +373,7 @@ class Numbers:
         self.size, self.words = np.zeros(WIDE), np.zeros(WIDE)
         np.add.at(self.size, classes[:n_core], core_n)
         np.add.at(self.words, classes[:n_core], 1)
-        for r in others.where(F.col("word").isNotNull() & (F.col("n") > 0)).groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
+        for r in others.where("word is not null").groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
             self.size[r["cls"]] += r["n"]
             self.words[r["cls"]] += r["k"]
         self.size[END], self.words[END] = self.texts, min(1, self.texts)
@@ -385,9 +405,9 @@ def sequences(blocks: DataFrame, others: DataFrame, classes: np.ndarray, core_n:
                 of = np.append(classes[:n_core], [OTHER, END if texts else OTHER]).astype(np.uint8)
                 n = np.concatenate([core_n, [0, texts]]).astype(np.int64)
                 if dictionary.is_valid:
-                    number, d_cls, d_n = (dictionary.values.field(k).to_numpy() for k in range(3))
-                    order = np.argsort(number)
-                    of, n = np.concatenate([of, d_cls[order].astype(np.uint8)]), np.concatenate([n, d_n[order]])
+                    entries = np.frombuffer(b"".join(dictionary.as_py()), ENTRY)
+                    order = np.argsort(entries["number"])
+                    of, n = np.concatenate([of, entries["cls"][order]]), np.concatenate([n, entries["n"][order]])
                 emit = np.where(n > 0, np.log10(np.maximum(n - discount, 1e-300) / np.maximum(1, size[of])), 0.0)
                 base, k = np.log10((n + 1) / room), np.frombuffer(other.as_py(), np.int32)
                 seq, used = np.empty(len(s), np.uint8), 0
@@ -406,7 +426,7 @@ def sequences(blocks: DataFrame, others: DataFrame, classes: np.ndarray, core_n:
                     pa.array([seq.tobytes()], pa.binary()), *(pa.ListArray.from_arrays([0, len(starts)], pa.array(v)) for v in (lengths, *sums))],
                     ["ids", "learned", "seq", "n_tokens", "n_known", "base", "emitted"])
 
-    found = others.groupBy("block").agg(F.collect_list(F.struct("number", "cls", "n")).alias("dictionary"))
+    found = others.where("block is not null").groupBy("block").agg(F.collect_list("packed").alias("dictionary"))
     ids = blocks.schema["ids"].dataType.simpleString()
     return (blocks.drop("words").join(found, "block", "left").select("ids", "learned", "stream", "others", "dictionary")
             .mapInArrow(run, f"ids {ids}, learned array<boolean>, seq binary, n_tokens array<long>, n_known array<long>, base array<double>, emitted array<double>"))
@@ -452,7 +472,7 @@ class Fit:
         self.sequences = written(sequences(blocks, others, classes, core_n, self.numbers), "brown-sequences")
         self.transitions = self.numbers.transitions(class_bigrams(self.sequences))
         named = docs.sparkSession.createDataFrame([(w.decode("utf-8", "replace"), int(classes[k]), n) for k, (w, n) in enumerate(core)], "word string, cls int, n long")
-        self.words = named.unionByName(others.where(F.col("word").isNotNull() & (F.col("n") > 0)).select(F.col("word").cast("string"), "cls", "n"))
+        self.words = named.unionByName(others.where("word is not null").select(F.col("word").cast("string"), "cls", "n"))
 
 
 def class_scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
