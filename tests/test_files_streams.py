@@ -206,3 +206,26 @@ def test_streams_over_many_batches_with_late_and_repeated_items(spark, tmp_path)
     r = jobs.latest_counts(spark, str(tmp_path / "c")).first()
     assert (r.n_images, r.n_animals) == (len(keys), 2 * len(keys))
     assert not any(p.name == "seen" for p in tmp_path.rglob("*"))
+
+
+def test_training_names_beyond_four_digits(spark, tmp_path):
+    """Files beyond the 9999th of a folder keep names of their own; the query cuts the number as its SQL does."""
+    import datetime
+
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__ as contract
+    from trackplate.operators.datasets import training_names
+
+    k = 2 + 924 * np.arange(10_050)
+    o = pd.DataFrame({"o_orderkey": k, "o_custkey": 0, "o_orderdate": datetime.datetime(1996, 1, 2)}).astype({"o_orderdate": "datetime64[us]"})
+    o.to_parquet(tmp_path / "orders.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = db.sql(contract.oracle_sql()["training_names"]).fetchall()
+    got = [tuple(r) for r in contract.queries()["training_names"](spark, str(tmp_path)).select("png", "file_id").collect()]
+    assert len(got) == 9999 and sorted(got) == sorted(want)
+    paths = spark.createDataFrame([(int(i), f"N2 J/plate3/{i:06}.png") for i in range(10_050)], "file_id long, path string")
+    names = {r.file_id: r.png for r in training_names(paths, "L1").collect()}
+    assert len(names) == 10_050 and names[10_049] == "N2_L1_J_p03_10050.png"

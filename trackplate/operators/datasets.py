@@ -9,7 +9,7 @@ from .ranking import ordered_prefix
 
 
 def training_names(files: DataFrame, stage: str) -> DataFrame:
-    """condition/plate/file paths to strain_stage_cohort_pNN_NNNN.png; first file keeps a name.
+    """condition/plate/file paths to (png, file_id, path), png strain_stage_cohort_pNN_NNNN.png; first file keeps a name.
 
     The index counts the sorted image files of a plate folder; other paths get no name.
     """
@@ -25,4 +25,4 @@ def training_names(files: DataFrame, stage: str) -> DataFrame:
     d = d.where((F.col("strain") != "") & (F.col("cohort") != "") & (F.col("_n") != ""))
     d = ordered_prefix(d, ["_dir"], ["path", "file_id"]).withColumn("idx", F.col("rank_no").cast("int"))
     name = F.format_string("%s_%s_%s_p%02d_%04d.png", "strain", F.lit(stage), "cohort", F.col("_n").cast("int"), F.col("idx"))
-    return d.withColumn("png", name).groupBy("png").agg(F.min_by("file_id", F.struct("path", "file_id")).alias("file_id"))
+    return d.withColumn("png", name).groupBy("png").agg(F.min(F.struct("path", "file_id")).alias("_f")).select("png", "_f.file_id", "_f.path")
