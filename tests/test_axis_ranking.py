@@ -105,3 +105,19 @@ def test_value_ranks_and_ordered_prefix(spark):
     assert got == {1: (0, 1, 6), 2: (1, 3, 6), 5: (4, 1, 6), 9: (5, 1, 6)}
     for r in ranking.ordered_prefix(df, ["k"], ["n"], {"before": "s"}).collect():
         assert (r.rank_no, r.before) == ("abcdef".index(r.n) + 1, sum(pdf["s"][pdf["n"] < r.n]))
+
+
+def test_group_tables_do_not_move_rows(spark):
+    """Rows of few groups are joined to their group's row where they lie."""
+    from trackplate.operators import sizes
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")        # below the size of the rows
+    try:
+        df = spark.range(0, 3000, 1, 8).select((F.col("id") % 3).alias("g"), (F.col("id") * 1.0).alias("v"))
+        for d in (ranking.quantiles(df, ["g"], "v", {"m": 0.5}), sizes.optical_density(df, ["g"], "v")):
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert {r.g: r.m for r in ranking.quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == {0: 1498.5, 1: 1499.5, 2: 1500.5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -22,12 +22,21 @@ MARGIN = 0.001                #: of a group's rows on each side of a wanted rank
 FEW = 2_000                   #: a group of so many values lies between its edges as a whole
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per group to the rows.
+
+    The table of groups is written, so its size is known when the join is planned: while it is
+    small no row moves, whatever share of them a group holds.
+    """
+    return df.join(written(groups, "groups"), list(keys))
+
+
 def _binned(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add `_bin`, ascending with the value: its place among the sketch's edges, looked up in two steps."""
     v, n = F.col(value).cast("double"), COARSE * FINE
     edges = df.groupBy(*keys).agg(F.percentile_approx(v, [k / n for k in range(1, n)], SKETCH).alias("_edges"))
     if keys:
-        d = df.join(edges, list(keys))
+        d = join_groups(df, edges, keys)
     else:
         d = df.withColumn("_edges", edges.scalar())
     at = lambda lo, k: F.size(F.filter(F.slice("_edges", lo, k), lambda e: e <= v))
@@ -98,7 +107,7 @@ def column_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Ma
         sketch.append(F.struct(F.count(q).alias("n"), F.percentile_approx(q, sides, SKETCH).alias("at")).alias(f"{q}_s"))
     edges = d.groupBy(*keys).agg(*sketch)
     if keys:
-        d = d.join(edges, keys)
+        d = join_groups(d, edges, keys)
     else:
         all_ = edges.select(F.struct(*(f"{q}_s" for q in cols.values())).alias("s")).scalar()
         d = d.withColumn("_all", all_).withColumns({f"{q}_s": F.col("_all")[f"{q}_s"] for q in cols.values()})

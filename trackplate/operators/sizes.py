@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import settle
-from .ranking import quantiles
+from .ranking import join_groups, quantiles
 
 GRID = 150
 
@@ -70,7 +70,7 @@ def kde_log(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     stat = stat.select(*keys, (width * F.greatest("_sd", F.lit(1e-6))).alias("_bw"))
     grid = settle(log_grid(df, value))
     # in units of the bandwidth from the first grid point: the value, and the step between points
-    d = _with_grid(d.join(stat, list(keys)), grid).select(
+    d = _with_grid(join_groups(d, stat, keys), grid).select(
         *keys, ((lv - F.col("_g.g0")) / F.col("_bw")).alias("_v"), ((F.col("_g.g1") - F.col("_g.g0")) / F.lit(GRID - 1) / F.col("_bw")).alias("_step"))
 
     def add(batches):
@@ -119,7 +119,7 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str, scale: float = 1.0, byt
         b = F.floor(v)
     else:
         span = d.groupBy(*k).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")).where(F.col("_hi") > 0)
-        d = d.join(span, k).withColumn("_w", (F.col("_hi") - F.col("_lo")) / 256.0)
+        d = join_groups(d, span, k).withColumn("_w", (F.col("_hi") - F.col("_lo")) / 256.0)
         b = F.least(F.coalesce(F.floor(F.try_divide(v - F.col("_lo"), F.col("_w"))), F.lit(0)), F.lit(255))
     h = d.groupBy(*k, "_lo", "_w", b.cast("long").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,7 +144,7 @@ def contrast_stats(samples: DataFrame, file: Sequence[str], value: str) -> DataF
     q = quantiles(samples, f, value, {"p1": 0.01, "p99": 0.99})
     v = F.col(value).cast("double")
     fg = F.when(v > F.col("threshold"), v)
-    g = samples.join(t, f).groupBy(*f, "threshold").agg(
+    g = join_groups(samples, t, f).groupBy(*f, "threshold").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_pop(v).alias("std"), (F.avg((v >= 254).cast("double")) * 100).alias("sat_pct"),
         (F.count(fg) / F.count(F.lit(1)) * 100).alias("fg_frac"),
         F.when(F.count(fg) > 1, F.stddev_pop(fg)).otherwise(F.lit(0.0)).alias("fg_std"))
@@ -162,4 +162,4 @@ def optical_density(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """max(0, -log10((v + 1) / (p95 + 1))) with the 95th percentile of the group."""
     q = quantiles(df, keys, value, {"_i0": 0.95})
     od = -F.log10((F.col(value) + 1.0) / (F.col("_i0") + 1.0))
-    return df.join(q, list(keys)).withColumn("od", F.greatest(F.lit(0.0), od)).drop("_i0")
+    return join_groups(df, q, keys).withColumn("od", F.greatest(F.lit(0.0), od)).drop("_i0")
