@@ -161,3 +161,17 @@ def test_otsu_two_levels(spark):
     df = spark.createDataFrame([("a", 0.0)] * 50 + [("a", 10.0)] * 50 + [("z", 0.0)] * 3, "g string, v double")
     t = {r.g: r.threshold for r in sizes.otsu(df, ["g"], "v").collect()}
     assert set(t) == {"a"} and 0 < t["a"] < 10
+
+
+def test_folder_capture_time_parses_names_once(spark):
+    """The step that reads the names groups them by stamp; ranks and counts start from there."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(i):
+        calls.add(1)
+        return f"a_202401{i % 9 + 10}T075438"
+
+    names = spark.range(100).select((F.col("id") % 2).alias("folder_id"), name.asNondeterministic()("id").alias("stem"))
+    got = {r.folder_id: (r.n_stamped, r.n_images) for r in assay.folder_capture_time(names).collect()}
+    assert got == {0: (50, 50), 1: (50, 50)} and calls.value == 100

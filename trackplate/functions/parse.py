@@ -82,11 +82,17 @@ def quadrant(stem_col: Column) -> Column:
 
 
 def capture_time(stem_col: Column) -> Column:
-    """Zone-free capture stamp in the name; NULL when absent or not a date."""
-    raw = _some(F.regexp_extract(stem_col, STAMP, 1))
-    year, month, day, hour, minute, second = (
-        F.substring(raw, at, n).cast("int") for at, n in ((1, 4), (5, 2), (7, 2), (10, 2), (12, 2), (14, 2)))
-    return F.when(second < 60, F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)")))
+    """Zone-free capture stamp in the name; NULL when absent or not a date.
+
+    The array of one binds the stamp, so that a name is searched once and not for every part.
+    """
+    def at_time(found: Column) -> Column:
+        raw = _some(found)
+        year, month, day, hour, minute, second = (
+            F.substring(raw, at, n).cast("int") for at, n in ((1, 4), (5, 2), (7, 2), (10, 2), (12, 2), (14, 2)))
+        return F.when(second < 60, F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)")))
+
+    return F.get(F.transform(F.array(F.regexp_extract(stem_col, STAMP, 1)), at_time), F.lit(0))
 
 
 def is_image(path: Column, depth: int = 3, extensions=IMAGE_EXTENSIONS) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import null_safe_eq
+from ..core import null_safe_eq, written
 from ..functions import parse as P
 from .ranking import value_ranks
 
@@ -149,10 +149,11 @@ def counts_with_zeros(images: DataFrame, counts: DataFrame, classes: Sequence[st
 # --- timepoints -----------------------------------------------------------------------
 
 def folder_capture_time(names: DataFrame, folder: str = "folder_id", stem: str = "stem") -> DataFrame:
-    """Upper median capture stamp, stamped and total counts per folder."""
+    """Upper median capture stamp, stamped and total counts per folder; names are parsed once."""
     d = names.select(folder, F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), P.capture_time(F.col(stem))).alias("_t"))
-    n = d.groupBy(folder).agg(F.count(F.lit(1)).alias("n_images"), F.count("_t").alias("n_stamped"))
-    r, at = value_ranks(d, [folder], "_t"), F.floor(F.col("rank_n") / 2)
+    d = written(d.groupBy(folder, "_t").agg(F.count(F.lit(1)).alias("_c")), "stamps")
+    n = d.groupBy(folder).agg(F.sum("_c").alias("n_images"), F.sum(F.when(F.col("_t").isNotNull(), F.col("_c")).otherwise(0)).alias("n_stamped"))
+    r, at = value_ranks(d, [folder], "_t", "_c"), F.floor(F.col("rank_n") / 2)
     mid = r.where((F.col("rank_from") <= at) & (at < F.col("rank_from") + F.col("c"))).select(folder, F.col("v").alias("capture_s"))
     return n.join(mid, folder, "left")
 

@@ -46,15 +46,17 @@ def _binned(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         "_bin", (F.col("_coarse") * FINE + at(F.col("_coarse") * FINE + 1, FINE - 1)).cast("long")).drop("_edges", "_coarse")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, count: str | None = None) -> DataFrame:
     """Distinct values with their count and position: keys, v, c, rank_from (0-based), rank_n.
 
+    A row stands for `count` equal ones where that column is given.
+
     Equal values are merged before anything is ordered, so a value that fills a third
     of the rows is one row here.
     """
     keys = list(keys)
     v = (df.where(F.col(value).isNotNull())
-         .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+         .groupBy(*keys, F.col(value).alias("v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("c")))
     b = _binned(v, keys, "v")
     per_bin = b.groupBy(*keys, "_bin").agg(F.sum("c").alias("_n"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
