@@ -1,5 +1,7 @@
 """Peaks, runs, reversals and events against brute force, for several chunk sizes."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -147,3 +149,11 @@ def test_trimmed_mean_fallback(spark):
     df = spark.createDataFrame(rows, "video_id string, mean_length_px double, track_duration_s double")
     got = {r.video_id: r.plate_mean_length_px for r in tracks.plate_mean_length(df).collect()}
     assert got == {"v": pytest.approx(np.mean(np.arange(2, 18))), "w": 7.0}
+
+
+def test_detrended_rows_go_by_chunk(spark):
+    """A signal's rows are spread over its buckets and chunks, not held in one task."""
+    df = spark.range(0, 2_000_000, 1, 4).select(F.lit("v").alias("video_id"), (F.col("id") % 2).alias("track_id"), F.col("id").alias("frame"),
+                                                F.col("id").alias("row_id"), F.sin("id").alias("angle"))
+    plan = windows.detrend(df, "angle", 10.0)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\([^)]*_bucket#", plan) and re.search(r"hashpartitioning\([^)]*_chunk#", plan)

@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import written
 from .grouped import key_types, map_groups
+from .ranking import join_groups
 
 CHUNK = 65536
 
@@ -176,9 +178,9 @@ def spectrum(samples: DataFrame, keys: Sequence[str], value: str, fps: float,
     per frequency with a distributed aggregate, so no signal must fit one task.
     """
     keys = list(keys)
-    d = samples.select(*keys, "ord", F.col(value).cast("double").alias("value"))
+    d = written(samples.select(*keys, "ord", F.col(value).cast("double").alias("value")), "samples")
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"))
-    d = d.join(n, keys)
+    d = join_groups(d, n, keys)
     types = key_types(d, keys)
 
     def fft(rows, starts):
@@ -191,7 +193,7 @@ def spectrum(samples: DataFrame, keys: Sequence[str], value: str, fps: float,
             owner.extend([a] * len(amp))
         return pd.concat([rows[keys].iloc[owner].reset_index(drop=True), pd.concat(parts, ignore_index=True)], axis=1)
 
-    short = map_groups(d.where(F.col("n") <= small), keys, ["ord"], fft, f"{types}, k bigint, freq double, amplitude double")
+    short = map_groups(d.where(F.col("n") <= small).drop("n", "_mean"), keys, ["ord"], fft, f"{types}, k bigint, freq double, amplitude double")
     turn = F.lit(-2 * np.pi) * F.pmod(F.col("k") * (F.col("ord") - 1), F.col("n")) / F.col("n")
     long = (d.where(F.col("n") > small)
             .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))

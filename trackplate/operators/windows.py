@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import axis
 from .grouped import key_types, map_groups
+from .ranking import join_groups
 
 KEYS = ("video_id", "track_id")
 
@@ -74,7 +75,7 @@ def detrend(df: DataFrame, value: str, fps: float, keys: Sequence[str] = KEYS, n
     b = odd_window(fps, base_s, 5) // 2
     valid = df.where(F.col(value).isNotNull())
     enough = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid")).where(F.col("n_valid") >= min_valid)
-    d = axis.with_ordinal(valid.join(enough, list(keys)), keys)
+    d = axis.with_ordinal(join_groups(valid, enough, keys), keys)        # rows go on by bucket, not by signal
     d = axis.halo(d, "ord", a + b)
     d = d.withColumn("_smooth", F.avg(value).over(_rows(keys, a, a)))
     d = d.withColumn(name, F.col("_smooth") - F.avg("_smooth").over(_rows(keys, b, b)))
