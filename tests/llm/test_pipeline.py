@@ -1,8 +1,11 @@
 """The corpus pipeline's stages on a table with odd rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.helpers import odd_documents, prose, words
-from trackplate.llm import mixing
+from trackplate.llm import bpe, mixing
+from trackplate.llm.catalog import vocabulary_file
 
 
 def test_stages_keep_columns_and_whole_texts(spark):
@@ -50,6 +53,14 @@ def test_mixture_keeps_texts_whole(spark):
         assert abs(n - target[s]) <= max(len(words(t)) for _, t in texts[s]) / 2 + 1
 
 
+def test_last_stage_decodes(spark):
+    """Each row carries the text its ids decode to, as the operator's digest has it."""
+    docs = odd_documents(spark).select("doc_id", "text")
+    got = corpus_pipeline.encoded(spark, docs, "").select("text", F.sha2("decoded", 256).alias("h"), "n_tokens")
+    want = bpe.encode_digests(docs, vocabulary_file()).select("text", "decoded_sha256", "n_tokens")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
 def test_empty_table(spark):
     docs = odd_documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
