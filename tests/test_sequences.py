@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackplate.operators import peaks, tracks, windows
+from trackplate.plans import motility
 
 
 def brute_peaks(x, p):
@@ -157,3 +158,32 @@ def test_detrended_rows_go_by_chunk(spark):
                                                 F.col("id").alias("row_id"), F.sin("id").alias("angle"))
     plan = windows.detrend(df, "angle", 10.0)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\([^)]*_bucket#", plan) and re.search(r"hashpartitioning\([^)]*_chunk#", plan)
+
+
+def test_flicker_from_segments(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(40):
+        bad = rng.random(int(rng.integers(1, 30))) < rng.choice([0.0, 0.3, 0.9, 1.0])
+        rows += [("v", k, i, i, bool(b)) for i, b in enumerate(bad)]
+        runs = re.findall("b+|g+", "".join("b" if b else "g" for b in bad))
+        want[k] = (int(bad.sum()), sum(r[0] == "b" for r in runs), len(bad), max([len(r) for r in runs if r[0] == "g"], default=0) / 10.0)
+    marked = windows.segments(spark.createDataFrame(rows, "video_id string, track_id long, frame long, row_id long, bad boolean"))
+    got = {r["track_id"]: tuple(r)[2:] for r in windows.flicker_of(marked, 10.0).collect()}
+    assert got == want
+
+
+def test_motility_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = [("v", t, f, t * 1000 + f, float(f), float(t), 40.0, float(np.sin(f / 3)), 40.0 + f % 3, 1.0, 0.8) for t in range(2) for f in range(60)]
+    cols = ("video_id string, track_id long, frame long, row_id long, x double, y double, skeleton_length double, angle double, "
+            "length double, speed double, solidity double")
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    m = motility.motility(spark.createDataFrame(rows, cols).mapInPandas(count, cols), motility.Settings(fps=10.0, min_obs_s=1.0))
+    assert m.units.count() > 0
+    assert made.value == len(rows)

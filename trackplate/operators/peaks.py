@@ -23,15 +23,19 @@ from .ranking import join_groups
 CHUNK = 65536
 
 
-def _lows(e: np.ndarray):
-    """Lowest value back to the nearest strictly higher one, and whether there is one."""
-    low, bounded, stack = e.copy(), np.zeros(len(e), bool), []
-    for j, v in enumerate(e):
-        while stack and e[stack[-1]] <= v:
-            low[j] = min(low[j], low[stack.pop()])
-        bounded[j] = bool(stack)
+def _lows(e: np.ndarray, head: np.ndarray):
+    """Lowest value back to the nearest strictly higher one of the signal, and whether there is one; `head` marks first values."""
+    values, low, bounded, stack = e.tolist(), [], [], []
+    for j, (v, new) in enumerate(zip(values, head.tolist())):
+        least = v
+        if new:
+            stack.clear()
+        while stack and values[stack[-1]] <= v:
+            least = min(least, low[stack.pop()])
+        low.append(least)
+        bounded.append(bool(stack))
         stack.append(j)
-    return low, bounded
+    return np.array(low, float), np.array(bounded, bool)
 
 
 def _records(e: np.ndarray):
@@ -41,50 +45,71 @@ def _records(e: np.ndarray):
     return e[at], np.minimum.reduceat(e, at)
 
 
-def _scan_chunk(order, frame, value, prominence, sign, chunk, whole, out):
+def _tops(v: np.ndarray, starts: np.ndarray, prominence: float):
+    """Runs of equal values of signals that lie one behind the other, and what is known of each maximum.
+
+    (first and last position of a run, values of all turning and end runs, the maxima's runs, lowest values
+    to both sides, whether those suffice, whether a higher value bounds each side).
+    """
+    new = np.zeros(len(v), bool)
+    new[starts] = True
+    cut = new.copy()
+    cut[1:] |= np.diff(v) != 0
+    first = np.flatnonzero(cut)
+    last = np.r_[first[1:], len(v)] - 1
+    rv, head = v[first], new[first]
+    tail = np.r_[head[1:], True]
+    before, after = np.r_[rv[:1], rv[:-1]], np.r_[rv[1:], rv[-1:]]
+    inner = ~head & ~tail
+    up = inner & (rv > before) & (rv > after)
+    turning = up | ~inner | (inner & (rv < before) & (rv < after))
+    at = np.flatnonzero(turning)
+    e, mark = rv[at], up[at]
+    left, left_ok = _lows(e, head[at])
+    right, right_ok = (x[::-1] for x in _lows(e[::-1], tail[at][::-1]))
+    up, left, right = at[mark], left[mark], right[mark]
+    return first, last, e, up, left, right, rv[up] - left >= prominence, rv[up] - right >= prominence, left_ok[mark], right_ok[mark]
+
+
+def _whole_signals(order, frame, value, chunk, starts, prominence):
+    """Rows of _COLS for the peaks of whole signals, and the position each lies at."""
+    parts, owner = [], []
+    for sign in (1, -1):
+        first, last, _, up, left, right, lo_pass, hi_pass, _, _ = _tops(sign * value, starts, prominence)
+        good = lo_pass & hi_pass                 # an open side ends at the end of the signal
+        up, left, right = up[good], left[good], right[good]
+        mid = (first[up] + last[up]) // 2
+        parts.append(pd.DataFrame({
+            "grp": 1 + chunk[mid], "kind": "peak", "sign": sign, "chunk": chunk[mid], "lo": order[mid], "hi": order[mid], "value": sign * value[mid],
+            "lmin": left, "rmin": right, "lok": True, "rok": True, "at": frame[mid], "frames": None}))
+        owner.append(mid)
+    return pd.concat(parts, ignore_index=True), np.concatenate(owner)
+
+
+def _scan_chunk(order, frame, value, prominence, sign, chunk, out):
+    """Rows of _COLS of one chunk of a longer signal: its peaks, what is open, and its outline."""
     v = sign * value
-    cut = np.flatnonzero(np.diff(v) != 0) + 1
-    first, last = np.r_[0, cut], np.r_[cut, len(v)] - 1
+    first, last, e, up, left, right, lo_pass, hi_pass, left_ok, right_ok = _tops(v, np.array([0]), prominence)
     rv, m = v[first], len(first)
-    up = np.zeros(m, bool)
-    down = np.zeros(m, bool)
-    if m > 2:
-        mid = rv[1:-1]
-        up[1:-1] = (mid > rv[:-2]) & (mid > rv[2:])
-        down[1:-1] = (mid < rv[:-2]) & (mid < rv[2:])
+    for j in np.flatnonzero((lo_pass | ~left_ok) & (hi_pass | ~right_ok)):
+        done = bool(lo_pass[j] and hi_pass[j])
+        mid = (first[up[j]] + last[up[j]]) // 2
+        out.append((1 + chunk if done else 0, "peak" if done else "open", sign, chunk, int(order[mid]), int(order[mid]), float(rv[up[j]]),
+                    float(left[j]), float(right[j]), bool(lo_pass[j]), bool(hi_pass[j]), int(frame[mid]), None))
     edge = np.unique(np.clip([0, 1, m - 2, m - 1], 0, m - 1))
-    turning = up | down
-    turning[edge] = True
-    at = np.flatnonzero(turning)
-    e = rv[at]
-    left, left_ok = _lows(e)
-    right, right_ok = (a[::-1] for a in _lows(e[::-1]))
-    for j in np.flatnonzero(up[at]):
-        lo_pass, hi_pass = e[j] - left[j] >= prominence, e[j] - right[j] >= prominence
-        if (not lo_pass and left_ok[j]) or (not hi_pass and right_ok[j]):
-            continue
-        done = lo_pass and hi_pass
-        if whole and not done:      # an open side ends at the end of the signal
-            continue
-        mid = (first[at[j]] + last[at[j]]) // 2
-        out.append((1 + chunk if done else 0, "peak" if done else "open", sign, chunk, int(order[mid]),
-                    int(order[mid]), float(e[j]), float(left[j]), float(right[j]), bool(lo_pass), bool(hi_pass),
-                    [int(frame[mid])]))
-    if whole:
-        return
     for side, seq in (("right", e), ("left", e[::-1])):
         for i, (top, low) in enumerate(zip(*_records(seq))):
-            out.append((0, side, sign, chunk, i, i, float(top), float(low), 0.0, False, False, None))
+            out.append((0, side, sign, chunk, i, i, float(top), float(low), 0.0, False, False, None, None))
     for r in edge:
         outer = r in (0, m - 1)
         frames = frame[first[r]:last[r] + 1].tolist() if outer else None
         out.append((0, "edge", sign, chunk, int(order[first[r]]), int(order[last[r]]), float(rv[r]),
-                    0.0, 0.0, bool(r == 0), bool(r == m - 1), frames))
+                    0.0, 0.0, bool(r == 0), bool(r == m - 1), int(frame[(first[r] + last[r]) // 2]), frames))
 
 
-_COLS = ["grp", "kind", "sign", "chunk", "lo", "hi", "value", "lmin", "rmin", "lok", "rok", "frames"]
+_COLS = ["grp", "kind", "sign", "chunk", "lo", "hi", "value", "lmin", "rmin", "lok", "rok", "at", "frames"]
 _TYPES = ("grp bigint, kind string, sign int, chunk bigint, lo bigint, hi bigint, value double, "
-          "lmin double, rmin double, lok boolean, rok boolean, frames array<bigint>")
+          "lmin double, rmin double, lok boolean, rok boolean, at bigint, frames array<bigint>")
 
 
 def _finish(rows: pd.DataFrame, prominence: float):
@@ -107,7 +132,7 @@ def _finish(rows: pd.DataFrame, prominence: float):
     for r in rows[rows["kind"] == "open"].itertuples():
         if ((r.lok or reaches("left", r.chunk - 1, -1, r.value, r.lmin))
                 and (r.rok or reaches("right", r.chunk + 1, 1, r.value, r.rmin))):
-            yield r.lo, r.frames[0], r.value
+            yield r.lo, int(r.at), r.value
     runs = []
     for r in rows[rows["kind"] == "edge"].sort_values("lo").itertuples():
         outer = r.lok or r.rok
@@ -142,17 +167,26 @@ def find_peaks(samples: DataFrame, keys: Sequence[str], value: str, prominence:
     def first_pass(rows, starts):
         order, frame, val = (rows[c].to_numpy() for c in ("ord", "frame", "value"))
         chunks, total = rows["chunk"].to_numpy(), rows["n_valid"].to_numpy()
+        size = np.diff(np.r_[starts, len(rows)])
+        whole = size == total[starts]
+        own = np.repeat(whole, size)
+        at = np.flatnonzero(own)
+        begins = np.cumsum(size[whole]) - size[whole]
+        found, owner = _whole_signals(order[at], frame[at], val[at], chunks[at], begins, prominence) if len(at) else (None, at)
+        parts = [] if found is None else [pd.concat([rows[keys].iloc[at[owner]].reset_index(drop=True), found], axis=1)]
         out, owner = [], []
-        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+        for a, n in zip(starts[~whole], size[~whole]):
             for sign in (1, -1):
-                _scan_chunk(order[a:b], frame[a:b], val[a:b], prominence, sign, int(chunks[a]), b - a == total[a], out)
+                _scan_chunk(order[a:a + n], frame[a:a + n], val[a:a + n], prominence, sign, int(chunks[a]), out)
             owner.extend([a] * (len(out) - len(owner)))
-        found = pd.DataFrame(out, columns=_COLS)
-        return pd.concat([rows[keys].iloc[owner].reset_index(drop=True), found], axis=1)
+        if out:
+            found = pd.DataFrame(out, columns=_COLS).astype({"at": "Int64"})
+            parts.append(pd.concat([rows[keys].iloc[owner].reset_index(drop=True), found], axis=1))
+        return pd.concat(parts, ignore_index=True)
 
     def second_pass(rows, starts):
         done = rows[rows["grp"] > 0]
-        parts = [done[keys].assign(sign=done["sign"], ord=done["lo"], frame=[f[0] for f in done["frames"]],
+        parts = [done[keys].assign(sign=done["sign"], ord=done["lo"], frame=done["at"],
                                    height=done["sign"] * done["value"])]
         grp = rows["grp"].to_numpy()
         for a, b in zip(starts, np.r_[starts[1:], len(rows)]):

@@ -39,10 +39,14 @@ def flicker_mask(df: DataFrame, length: str, fps: float, std_limit: float = 20.0
     return d.withColumn("bad", F.col(length).isNull() | (F.col("rolling_std") > std_limit))
 
 
+def segments(masked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """All rows with `segment`: a bad row opens one, the good rows behind it share it."""
+    return axis.islands(masked, keys, F.col("bad"), "segment")
+
+
 def clean_segments(masked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Good rows with `segment`, an id shared by neighbouring good rows."""
-    d = axis.islands(masked, keys, F.col("bad"), "segment")
-    return d.where(~F.col("bad"))
+    return segments(masked, keys).where(~F.col("bad"))
 
 
 def clean_spans(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -53,29 +57,42 @@ def clean_spans(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def flicker_stats(masked: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Flagged rows, flagged stretches, longest clean span in seconds, per track."""
-    d = axis.with_previous(masked, keys, {"_pb": F.col("bad")})
-    opens = F.col("bad") & ~F.coalesce("_pb", F.lit(False))
-    flags = d.groupBy(*keys).agg(
-        F.sum(F.col("bad").cast("long")).alias("flicker_frames"),
-        F.sum(opens.cast("long")).alias("flicker_stretches"), F.count(F.lit(1)).alias("total_frames"))
-    best = clean_spans(clean_segments(masked, keys), keys).groupBy(*keys).agg(
-        (F.max("n_rows") / F.lit(fps)).alias("_best"))
-    return flags.join(best, list(keys), "left").select(
-        *keys, "flicker_frames", "flicker_stretches", "total_frames",
-        F.coalesce("_best", F.lit(0.0)).alias("longest_clean_s"))
+    return flicker_of(segments(masked, keys), fps, keys)
+
+
+def flicker_of(marked: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same from rows that carry their `segment`, in two aggregates.
+
+    A flagged stretch begins at the first flagged row, and behind every segment with good
+    rows that a further one follows.
+    """
+    per = marked.groupBy(*keys, "segment").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((~F.col("bad")).cast("long")).alias("_good"))
+    opened, good = F.col("segment") > 0, F.col("_good")
+    d = per.groupBy(*keys).agg(
+        F.sum(F.col("_n") - good).alias("flicker_frames"), F.sum("_n").alias("total_frames"), F.max(good).alias("_best"),
+        F.sum((opened & (good > 0)).cast("long")).alias("_followed"), F.max(opened).alias("_any"), F.max_by(good, "segment").alias("_last"))
+    stretches = F.when(F.col("_any"), F.col("_followed") + F.when(F.col("_last") > 0, 0).otherwise(1)).otherwise(0).cast("long")
+    return d.select(*keys, "flicker_frames", stretches.alias("flicker_stretches"), "total_frames", (F.col("_best") / F.lit(fps)).alias("longest_clean_s"))
+
+
+def valid_counts(df: DataFrame, value: str, keys: Sequence[str] = KEYS, min_valid: int = 10) -> DataFrame:
+    """`n_valid` of the signals with enough valid samples."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid")).where(F.col("n_valid") >= min_valid)
 
 
 def detrend(df: DataFrame, value: str, fps: float, keys: Sequence[str] = KEYS, name: str = "detrended",
-            smooth_s: float = 0.3, base_s: float = 2.0, min_valid: int = 10) -> DataFrame:
+            smooth_s: float = 0.3, base_s: float = 2.0, min_valid: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """Smooth minus slow baseline over valid samples only (gaps squeezed out).
 
-    Adds `ord` among valid samples; signals with fewer than `min_valid` are dropped.
+    Adds `ord` among valid samples; signals with fewer than `min_valid` are dropped. `counts`
+    is a written table of `valid_counts`, where the caller has one.
     """
     a = odd_window(fps, smooth_s, 3) // 2
     b = odd_window(fps, base_s, 5) // 2
     valid = df.where(F.col(value).isNotNull())
-    enough = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid")).where(F.col("n_valid") >= min_valid)
-    d = axis.with_ordinal(join_groups(valid, enough, keys), keys)        # rows go on by bucket, not by signal
+    valid = valid.join(counts, list(keys)) if counts is not None else join_groups(valid, valid_counts(df, value, keys, min_valid), keys)
+    d = axis.with_ordinal(valid, keys)        # rows go on by bucket, not by signal
     d = axis.halo(d, "ord", a + b)
     d = d.withColumn("_smooth", F.avg(value).over(_rows(keys, a, a)))
     d = d.withColumn(name, F.col("_smooth") - F.avg("_smooth").over(_rows(keys, b, b)))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..core import ratio, rnd, settle, written
 from ..operators import assay, fragments, graph, peaks, tracks, windows
-from ..operators.ranking import quantiles
+from ..operators.ranking import join_groups, quantiles
 
 UNIT = ["video_id", "group_id", "unit_track", "unit_segment"]
 SUB = ["video_id", "track_id", "segment"]
+KEPT = ["video_id", "track_id", "frame", "row_id", "x", "y", "angle"]
+READ = [*KEPT, "skeleton_length", "length", "speed", "solidity"]
 
 
 @dataclass(frozen=True)
@@ -38,28 +40,31 @@ class Motility:
     drops: DataFrame        # one row per dropped track with its reason
     groups: DataFrame       # fragment -> group
     flicker: DataFrame      # flicker counts per fragment
+    frames: DataFrame       # the rows read, as written
 
 
-def _segments(frames: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+def _segments(frames: DataFrame, s: Settings) -> DataFrame:
     masked = windows.flicker_mask(frames, "skeleton_length", s.fps, s.flicker_std, s.flicker_s)
-    masked = written(masked.select("video_id", "track_id", "frame", "row_id", "x", "y", "angle", "bad"), "masked")
-    return masked, windows.clean_segments(masked)
+    masked = written(masked.select(*KEPT, "bad"), "masked")
+    return written(windows.segments(masked).select(*SUB, "frame", "row_id", "x", "y", "angle", "bad"), "segments")
 
 
 def motility(frames: DataFrame, s: Settings = Settings()) -> Motility:
     """frames: video_id, track_id, frame, row_id, x, y, skeleton_length, angle, length, speed, solidity.
 
     Row-level work happens in the flicker mask, the bend count, the diameter and the
-    shape metrics; everything between works on one row per fragment or clean span.
+    shape metrics; everything between works on one row per fragment or clean span. The
+    rows are written once, whatever made them, as each of these steps reads them.
     """
     fps, v = s.fps, ["video_id"]
+    frames = written(frames.select(*READ), "frames")
     frags = settle(fragments.fragment_summary(frames))
     adj = settle(fragments.neighbours(frags, min_gap=0, max_gap=int(s.gap_s * fps), max_dist=s.max_dist))
     comp = graph.number_components(graph.connected_components(frags, adj))
     groups = settle(comp.join(graph.classify_components(frags, adj, comp), [*v, "component"]))
 
-    masked, rows = _segments(frames, s)
-    rows = written(rows.select(*SUB, "frame", "row_id", "x", "y", "angle"), "clean_rows")
+    marked = _segments(frames, s)
+    rows = marked.where(~F.col("bad")).drop("bad")
     spans = settle(windows.clean_spans(rows).join(groups.select(
         *v, "track_id", "group_id", "classification"), [*v, "track_id"]))
 
@@ -96,10 +101,11 @@ def motility(frames: DataFrame, s: Settings = Settings()) -> Motility:
     of_crowd = crowd_units.select(*v, F.col("unit_track").alias("track_id"), F.col("unit_segment").alias("segment"),
                                   "group_id", "unit_track", "unit_segment")
     feeds = settle(of_chain.unionByName(of_crowd))
-    used = rows.join(feeds, SUB)
+    used = join_groups(rows, feeds, SUB)
 
-    signal = windows.detrend(used, "angle", fps, keys=SUB)
-    valid = signal.groupBy(*SUB).agg(F.max("n_valid").alias("n_valid"))
+    # one table of signal lengths for the signals and for the animals' counts
+    valid = written(windows.valid_counts(used, "angle", SUB), "valid")
+    signal = windows.detrend(used, "angle", fps, keys=SUB, counts=valid)
     bends = settle(peaks.find_peaks(signal, SUB, "detrended", s.prominence))
     by_unit = bends.join(feeds, SUB)
     half = by_unit.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("half_bends"))
@@ -110,8 +116,8 @@ def motility(frames: DataFrame, s: Settings = Settings()) -> Motility:
     whole = groups.where("classification = 'chain'").select(*v, "track_id", "group_id", F.lit(-1).cast("long").alias("unit_track"),
                                                              F.lit(-1).cast("long").alias("unit_segment"))
     belongs = belongs.where("unit_track >= 0").unionByName(whole.join(chain_units.select(*gk), gk, "left_semi").select(*belongs.columns))
-    shape = tracks.shape_metrics(frames.select(*v, "track_id", "length", "speed", "solidity").join(belongs, [*v, "track_id"]), UNIT)
-    total_frames = frames.groupBy(*v).agg(F.greatest(F.max("frame") + 1, F.lit(1)).alias("_total"))
+    shape = tracks.shape_metrics(join_groups(frames.select(*v, "track_id", "length", "speed", "solidity"), belongs, [*v, "track_id"]), UNIT)
+    total_frames = frags.groupBy(*v).agg(F.greatest(F.max("end_frame") + 1, F.lit(1)).alias("_total"))
 
     d = units
     for part in (half, n_valid, cv, disp, shape):
@@ -139,7 +145,7 @@ def motility(frames: DataFrame, s: Settings = Settings()) -> Motility:
         *v, F.col("sub.track_id").alias("track_id"), "group_id", F.lit("collision_too_short").alias("reason"), F.lit(None).cast("string").alias("debris_rule")))
     drops = drops.unionByName(out.where(F.col("debris_rule").isNotNull()).select(
         *v, F.col("repr_track_id").alias("track_id"), "group_id", F.lit("debris").alias("reason"), "debris_rule"))
-    return Motility(out, drops, groups, windows.flicker_stats(masked, fps))
+    return Motility(out, drops, groups, windows.flicker_of(marked, fps), frames)
 
 
 def kept(m: Motility) -> DataFrame:
@@ -195,27 +201,38 @@ def funnel(m: Motility) -> DataFrame:
     # one drop per group for whole-group reasons, one per animal otherwise
     whole = m.drops.where(F.col("reason").isin("curl_too_short", "flicker_killed_track")).select(*v, "group_id", "reason").distinct()
     rest = m.drops.where(~F.col("reason").isin("curl_too_short", "flicker_killed_track")).select(*v, "group_id", "reason")
+    flicker = settle(m.flicker.select(*v, "flicker_frames"))
     extracted = (m.units.where("classification = 'collision'").groupBy(*v, "group_id").agg(F.count(F.lit(1)).alias("k")))
     parts = [
         count(m.groups, "input_tracks", F.lit("all")), count(first, "groups", F.col("classification")),
         count(first, "fragments_per_group", F.col("fragment_count").cast("string")), count(whole.unionByName(rest), "dropped", F.col("reason")),
         count(extracted, "animals_per_cluster", F.col("k").cast("string")), count(extracted.where("k > 1"), "multi_clusters", F.lit("all")),
-        count(m.flicker.where("flicker_frames > 0"), "tracks_with_flicker", F.lit("all")),
-        m.flicker.groupBy(*v, F.lit("flicker_frames").alias("section"), F.lit("all").alias("name")).agg(F.sum("flicker_frames").alias("n"))]
+        count(flicker.where("flicker_frames > 0"), "tracks_with_flicker", F.lit("all")),
+        flicker.groupBy(*v, F.lit("flicker_frames").alias("section"), F.lit("all").alias("name")).agg(F.sum("flicker_frames").alias("n"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def pipeline_metrics(m: Motility, videos: DataFrame) -> DataFrame:
-    """Sweep comparison row per video: flicker share, survivors and their bends; all NULL where `videos` carries an `error`."""
+def _measures(m: Motility) -> tuple[DataFrame, DataFrame]:
+    """Per video: flicker counts, and survivors with their bends."""
     v = ["video_id"]
     fl = m.flicker.groupBy(*v).agg(F.count(F.lit(1)).alias("_n"), F.sum("flicker_frames").alias("total_flicker_frames"),
                                    F.sum((F.col("flicker_frames") > 0).cast("long")).alias("tracks_with_any_flicker"))
     k = kept(m)
     s = k.groupBy(*v).agg(F.count(F.lit(1)).alias("_k"), F.avg("bpm").alias("bpm_mean_surviving"))
-    d = videos.join(fl, v, "left").join(s, v, "left").join(quantiles(k, v, "bpm", {"bpm_median_surviving": 0.5}), v, "left")
+    return settle(fl), settle(s.join(quantiles(k, v, "bpm", {"bpm_median_surviving": 0.5}), v, "left"))
+
+
+def pipeline_metrics(m: Motility, videos: DataFrame) -> DataFrame:
+    """Sweep comparison row per video: flicker share, survivors and their bends; all NULL where `videos` carries an `error`."""
+    return _per_video(_measures(m), videos)
+
+
+def _per_video(measures: tuple[DataFrame, DataFrame], videos: DataFrame) -> DataFrame:
+    v = ["video_id"]
+    d = videos.join(measures[0], v, "left").join(measures[1], v, "left")
     d = d.withColumns({"tracks_with_any_flicker_frac": rnd(ratio(F.col("tracks_with_any_flicker"), F.greatest("_n", F.lit(1))), 4),
                           "pipeline_surviving_tracks": F.coalesce("_k", F.lit(0))}).drop("_n", "_k")
     if "error" not in d.columns:
@@ -235,7 +252,9 @@ class Run:
 
 
 def sweep_comparison(runs: Sequence[Run]) -> DataFrame:
-    """One row per (run, video): run_id, param_changed, param_value, the metrics and `error`."""
-    rows = [pipeline_metrics(r.result, r.videos).withColumns({
+    """One row per (run, video): run_id, param_changed, param_value, the metrics and `error`. A result that several runs share is measured once."""
+    measures = {id(r.result): r.result for r in runs}
+    measures = {k: _measures(m) for k, m in measures.items()}
+    rows = [_per_video(measures[id(r.result)], r.videos).withColumns({
         "run_id": F.lit(r.run_id), "param_changed": F.lit(r.param), "param_value": F.lit(r.value)}) for r in runs]
     return functools.reduce(DataFrame.unionByName, rows)
