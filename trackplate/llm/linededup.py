@@ -7,9 +7,9 @@ rarest tokens of their sets (prefix filter); pairs that fail the length, positio
 parity bound are not formed, the others are verified on the whole sets, whose texts are
 read again.
 
-Classes that share a frequent prefix token are first held against the earliest class of
-their piece of the token's list: a group of near copies goes with one comparison per member.
-Only what remains is compared pair by pair.
+Classes that share two of their rarest tokens are first held against the earliest class of
+that pair: a group of near copies goes with a few comparisons per member. What remains is
+then compared with every earlier class of its tokens' lists, removed or not, pair by pair.
 
 Rarity comes from word counts of the whole corpus in a table of fixed size, indexed by
 hash; any common order keeps the join exact, a better one only makes lists shorter.
@@ -17,31 +17,47 @@ hash; any common order keeps the join exact, a better one only makes lists short
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import written
-from .common import SPACES, fresh, with_twin, words
+from .common import SPACES, fresh, with_twin
 
 ABOVE, BELOW = 4, 5           #: JACCARD = 4/5
 TABLE_BITS, ROW_BITS = 22, 11  #: of the count table: 4M counters in 2,048 rows
-FILTER_BITS = 20              #: of the bitmap of documents whose lines are compared
-ONCE, LONG = 16, 128          #: levels of one occurrence, and of 255: lists from there on are held against their first class
-PIECES = 16                   #: of a token's list, each with a first class of its own
+FILTER_BITS = 24              #: of the bitmaps of documents and lines that are compared
+ONCE, LONG = 16, 128          #: levels of one occurrence, and of 255: pairs of tokens from there on have several first classes
+PIECES = 16                   #: of such a pair's list, each with a first class of its own
+LEADING = ((0, 1), (1, 2), (0, 2))  #: pairs of a class's rarest tokens that find it a first class
+
+
+def plain_lines(text: str) -> Column:
+    """The \\n-split lines in lower case, with the blank as their only white space."""
+    low = F.lower(F.col(text))
+    return F.split(F.when(F.col(text).rlike(r"[\t\x0b\f\r]"), F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low), "\n")
+
+
+def line_words(t: Column) -> Column:
+    return F.array_remove(F.split(t, " "), "")
+
+
+def word_hashes(t: Column) -> Column:
+    return F.array_distinct(F.transform(line_words(t), lambda w: F.xxhash64(w)))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, line, h): the \\n-split lines that have a word, numbered from 0, as hashes of their distinct lower-cased words."""
-    hashes = F.transform(F.split(F.lower(F.col(text)), "\n"), lambda t: F.array_distinct(F.transform(words(t), lambda w: F.xxhash64(w))))
-    return docs.select(F.col(doc_id).alias("doc"), F.posexplode(hashes).alias("line", "h")).where(F.size("h") > 0)
+    """(doc, line, h): the lines that have a word, numbered from 0, as hashes of their distinct words."""
+    return docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.transform(plain_lines(text), word_hashes)).alias("line", "h")).where(F.size("h") > 0)
 
 
-def rarity_levels(lines: DataFrame) -> DataFrame:
-    """One row, one column: array of rows of counters, 16 * log2(1 + count) of each hash slot."""
-    slots = (lines.select(F.explode("h").alias("h"))
+def rarity_levels(docs: DataFrame, text: str) -> DataFrame:
+    """One row, one column: array of rows of counters, 16 * log2(1 + count) of each hash slot's words."""
+    slots = (docs.select(F.explode(plain_lines(text)).alias("t")).select(F.explode(line_words(F.col("t"))).alias("w")).select(F.xxhash64("w").alias("h"))
              .select((F.col("h").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
     level = F.round(16 * F.log2(1.0 + F.coalesce("n", F.lit(0)))).cast("smallint")
-    dense = lines.sparkSession.range(1 << TABLE_BITS).withColumnRenamed("id", "slot").join(slots, "slot", "left")
+    dense = docs.sparkSession.range(1 << TABLE_BITS).withColumnRenamed("id", "slot").join(slots, "slot", "left")
     rows = (dense.groupBy(F.shiftright("slot", ROW_BITS).alias("row"))
             .agg(F.sort_array(F.collect_list(F.struct("slot", level.alias("v")))).alias("v"))
             .select("row", F.col("v.v").alias("v")))
@@ -73,12 +89,17 @@ def line_classes(sets: DataFrame) -> DataFrame:
             .select("at.doc", "at.line", "n", "b", "p"))
 
 
-def _may_match(x: str, y: str) -> str:
-    """Length, positional and parity bounds on the overlap of two sets that share a token at k."""
-    both = f"({x}.n + {y}.n)"
-    return (f"{BELOW} * least({x}.n, {y}.n) >= {ABOVE} * greatest({x}.n, {y}.n)"
-            f" and {ABOVE + BELOW} * least({x}.left, {y}.left) >= {ABOVE} * {both}"
-            f" and {ABOVE + BELOW} * ({both} - bit_count({x}.b ^ {y}.b)) >= {2 * ABOVE} * {both}")
+def _may_match(x: str, y: str, positional: bool = False) -> str:
+    """Parity, length and positional bounds on the overlap of two sets that share a token (at k, where positional)."""
+    n = lambda k: f"({k}_line_n & 4294967295)"
+    both = f"({n(x)} + {n(y)})"
+    return (f"{ABOVE + BELOW} * ({both} - bit_count({x}_b ^ {y}_b)) >= {2 * ABOVE} * {both}"
+            f" and {BELOW} * least({n(x)}, {n(y)}) >= {ABOVE} * greatest({n(x)}, {n(y)})"
+            + (f" and {ABOVE + BELOW} * least({x}_left, abs({y}_left)) >= {ABOVE} * {both}" if positional else ""))
+
+
+def _earlier(y: str, x: str) -> str:
+    return f"({y}_doc < {x}_doc or {y}_doc <=> {x}_doc and shiftright({y}_line_n, 32) < shiftright({x}_line_n, 32))"
 
 
 def _level(token: str) -> Column:
@@ -89,36 +110,34 @@ def _sided(lists: DataFrame, k: str) -> DataFrame:
     return lists.select("token", *(F.col(c).alias(f"{k}_{c}") for c in lists.columns[1:]))
 
 
-def _whole(k: str) -> Column:
-    """The packed columns of one side as a struct; packed, a shuffled row has one word less."""
-    packed = F.col(f"{k}_line_n")
-    return F.struct(F.col(f"{k}_doc").alias("doc"), F.shiftright(packed, 32).cast("int").alias("line"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"),
-                    F.col(f"{k}_b").alias("b"), F.col(f"{k}_left").alias("left")).alias(k)
-
+def _pairs(found: DataFrame) -> DataFrame:
+    """(y_doc, y_line, doc, line) of pairs of an earlier class y and a later one x, each once."""
+    line = lambda k: F.shiftright(F.col(f"{k}_line_n"), 32).cast("int")
+    return found.select("y_doc", line("y").alias("y_line"), F.col("x_doc").alias("doc"), line("x").alias("line")).distinct()
 
-def _opened(lists: DataFrame) -> DataFrame:
-    packed = F.col("line_n")
-    return lists.select("token", "doc", F.shiftright(packed, 32).cast("int").alias("line"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"), "b", "left")
 
-
-def _wanted_only(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """`docs` without most documents that are not in wanted (doc): a bitmap of hashed ids, 64 bits a word."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bits = (wanted.select(slot(F.col("doc")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("row"))
+def _marked(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for every hash in keys (at) and few others: a bitmap, 64 bits a word."""
+    slot = lambda at: F.pmod(at, F.lit(1 << FILTER_BITS))
+    bits = (keys.select(slot(F.col("at")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("row"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")))
-    dense = docs.sparkSession.range(1 << FILTER_BITS - 6).withColumnRenamed("id", "row").join(bits, "row", "left")
+    dense = keys.sparkSession.range(1 << FILTER_BITS - 6).withColumnRenamed("id", "row").join(bits, "row", "left")
     table = written(dense.agg(F.sort_array(F.collect_list(F.struct("row", F.coalesce("v", F.lit(0)).alias("v"))))["v"].alias("bits")), "line-filter")
-    at = slot(F.col(doc_id))
-    word = table.scalar()[F.shiftright(at, 6).cast("int")]
-    return docs.where(F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+    def test(at: Column) -> Column:
+        word = table.scalar()[F.shiftright(slot(at), 6).cast("int")]
+        return F.call_function("shiftrightunsigned", word, slot(at).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, line) of the later lines of `pairs` (y_doc, y_line, doc, line) that reach the similarity; their texts are read again."""
     wanted = written(pairs.select("doc", "line").union(pairs.select("y_doc", "y_line")).distinct(), "line-wanted")
-    some = _wanted_only(docs, doc_id, wanted.select("doc").distinct())
-    sets = written(line_rows(some, doc_id, text).alias("l").join(wanted.alias("w"), F.expr("l.doc <=> w.doc and l.line = w.line"), "left_semi"),
-                   "line-sets")
+    has_doc, has_line = _marked(wanted.select(F.xxhash64("doc").alias("at"))), _marked(wanted.select(F.xxhash64("doc", "line").alias("at")))
+    some = (docs.where(has_doc(F.xxhash64(doc_id))).select(F.col(doc_id).alias("doc"), F.posexplode(plain_lines(text)).alias("line", "t"))
+            .where(has_line(F.xxhash64("doc", "line"))).select("doc", "line", word_hashes(F.col("t")).alias("h")))
+    sets = written(some.alias("l").join(wanted.alias("w"), F.expr("l.doc <=> w.doc and l.line = w.line"), "left_semi"), "line-sets")
     x, y = sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("h").alias("hx")), sets.select(
         F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("h").alias("hy"))
     near = F.expr(f"{ABOVE + BELOW} * size(array_intersect(hx, hy)) >= {ABOVE} * (size(hx) + size(hy))")
@@ -140,24 +159,31 @@ def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
 
 def _kept_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, line) of the lines that stay; `doc_id` names one text."""
-    lines = line_rows(docs, doc_id, text)
-    levels = written(rarity_levels(lines), "line-levels")
-    classes = written(line_classes(token_sets(lines, levels.scalar())), "line-classes")
-    # `left` counts a class's tokens from k on; tokens whose slot has one occurrence have no partner
-    lists = (classes.select(F.posexplode("p").alias("k", "token"), "doc", "line", "n", "b")
-             .select("token", "doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n")).alias("line_n"), "b", (F.col("n") - F.col("k")).alias("left"))
-             .where(_level("token") > ONCE))
-    # pieces of a token's list, so that no list is one task's
-    led = Window.partitionBy("token", F.pmod(F.xxhash64("doc", "line"), F.lit(PIECES))).orderBy(F.col("doc").asc_nulls_first(), "line")
-    lead = (_opened(lists.where(_level("token") >= LONG)).withColumn("y", F.first(F.struct("doc", "line", "n", "left", "b")).over(led)).alias("x")
-            .where(F.expr("(x.doc, x.line) > (x.y.doc, x.y.line) and " + _may_match("x", "x.y")))
-            .select(F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line"), "doc", "line").distinct())
-    gone = written(_verified(written(lead, "line-led"), docs, doc_id, text), "line-gone")
-    pairs = (_sided(lists, "y").join(_sided(lists, "x"), "token").select(_whole("y"), _whole("x"))
-             .where(F.expr("(y.doc, y.line) < (x.doc, x.line) and " + _may_match("x", "y")))
-             .select(F.col("y.doc").alias("y_doc"), F.col("y.line").alias("y_line"), F.col("x.doc").alias("doc"), F.col("x.line").alias("line")).distinct())
-    rest = written(pairs.alias("p").join(gone.alias("g"), F.expr("p.doc <=> g.doc and p.line = g.line"), "left_anti"), "line-pairs")
-    gone = gone.union(_verified(rest, docs, doc_id, text))
+    levels = written(rarity_levels(docs, text), "line-levels")
+    classes = written(line_classes(token_sets(line_rows(docs, doc_id, text), levels.scalar())), "line-classes")
+    # tokens whose slot has one occurrence have no partner
+    line_n = F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n")).alias("line_n")
+    rare = F.slice(F.filter("p", lambda t: _level(t) > ONCE), 1, 1 + max(j for _, j in LEADING))
+    piece = F.pmod(F.xxhash64("doc", "line"), F.lit(PIECES))
+
+    def keys(r: Column) -> Column:
+        many = lambda *at: F.when(F.greatest(F.lit(0), *(_level(r[k]) for k in at)) >= LONG, piece).otherwise(F.lit(0))
+        return F.array_compact(F.array(F.when(F.size(r) == 1, F.xxhash64(r[0], many(0))),
+                                       *(F.when(F.size(r) > j, F.xxhash64(r[i], r[j], many(i, j))) for i, j in LEADING)))
+
+    # an array of one, so that the tokens are picked once
+    led = (classes.select(F.explode(F.transform(F.array(rare), keys)[0]).alias("key"), F.col("doc").alias("x_doc"), line_n.alias("x_line_n"), F.col("b").alias("x_b"))
+           .withColumn("y", F.first(F.struct("x_doc", "x_line_n", "x_b")).over(Window.partitionBy("key").orderBy("x_doc", "x_line_n")))
+           .select("x_doc", "x_line_n", "x_b", *(F.col(f"y.x_{c}").alias(f"y_{c}") for c in ("doc", "line_n", "b"))))
+    lead = written(_pairs(led.where(_may_match("x", "y") + " and " + _earlier("y", "x"))), "line-led")
+    gone = written(_verified(lead, docs, doc_id, text), "line-gone")
+    # `left` counts a class's tokens from k on; a class that is gone still stands for later ones, and has a negative
+    # `left`, as a filter on it would go below the exchange and part the two sides' common one
+    marked = classes.join(gone.select(F.col("doc").alias("g_doc"), F.col("line").alias("g_line")), F.expr("doc <=> g_doc and line = g_line"), "left")
+    lists = (marked.select(F.posexplode("p").alias("k", "token"), "doc", line_n, "b", F.when(F.col("g_line").isNull(), F.col("n") - F.col("k")).otherwise(F.col("k") - F.col("n")).alias("left"))
+             .drop("k").where(_level("token") > ONCE))
+    found = _sided(lists, "y").join(_sided(lists, "x"), "token").where(_may_match("x", "y", positional=True) + " and " + _earlier("y", "x"))
+    gone = gone.union(_verified(written(_pairs(found), "line-pairs"), docs, doc_id, text))
     return classes.select("doc", "line").alias("c").join(gone.alias("g"), F.expr("c.doc <=> g.doc and c.line = g.line"), "left_anti")
 
 
