@@ -68,6 +68,17 @@ def test_parities_bound_the_difference():
         assert jaccard.may_be_similar(one(jaccard.parities(a)), one(jaccard.parities(b)), one(len(a)), one(len(b)))[0]
 
 
+def test_shingles_keep_few_words_and_take_slices():
+    """A task holds a bounded number of words and of texts, whatever a batch brings."""
+    import pyarrow as pa
+
+    memo = jaccard.WordHash()
+    a = jaccard.shingle_set(" ".join(f"w{i}" for i in range(jaccard.MEMO + 100)), memo)
+    assert len(memo) <= jaccard.MEMO and (a == jaccard.shingle_set(" ".join(f"w{i}" for i in range(jaccard.MEMO + 100)), jaccard.WordHash())).all()
+    got = [b.num_rows for b in jaccard.slices(iter([pa.RecordBatch.from_pydict({"t": [str(k) for k in range(1300)]})]))]
+    assert sum(got) == 1300 and max(got) <= jaccard.SLICE
+
+
 def plain_dedup(rows):
     """Lines that stay, by definition: no earlier line has a word set of similarity 4/5."""
     lines = [(i, k, frozenset(words(t.lower()))) for i, text in rows for k, t in enumerate((text or "").split("\n"))]
@@ -81,6 +92,22 @@ def test_line_dedup_equals_definition(spark):
     assert {tuple(r) for r in linededup.kept_lines(df).collect()} == plain_dedup(rows)
 
 
+def test_near_copies_of_a_line_meet_their_first_one(spark, monkeypatch):
+    """A group of near copies takes a few comparisons per member, not one per pair of members."""
+    rows = [(k, " ".join(f"word{i}" for i in range(40) if i != k % 30) + f" own{k}") for k in range(60)] + [(60 + k, prose(k, 40)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, write = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda t, name: (made.append(w.count() if name in ("line-led", "line-pairs") else 0), w)[1] if (w := write(t, name)) else w)
+    assert {tuple(r) for r in linededup.kept_lines(df).collect()} == plain_dedup(rows)
+    assert sum(made) < 8 * len(rows)
+
+
+def test_white_space_of_lines(spark):
+    rows = [(0, "a\tb\x0bc\x0cd e"), (1, "A b\r c  d\te\r\nf \xa0 g h i"), (2, "\t \r\n\x0b"), (3, "f\t\xa0\x0bg h i x\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in linededup.kept_lines(df).collect()} == plain_dedup(rows)
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark):
     """Rows of one id, or of none, keep each their own lines: nothing found once is lost, nothing found twice stays."""
     lone = "found nowhere else at all"

@@ -41,6 +41,7 @@ SPLIT = 1 << 15               #: marks, beside the size step, entries of a split
 STEPS = 512                   #: size steps per doubling
 REACH = 214                   #: steps between sizes that may match: 512 * log2(4/3) and rounding
 SMALL_MOST = 256              #: sizes that may be called small
+SLICE, MEMO = 512, 1 << 16    #: rows of a batch taken at a time, and words whose hashes a task keeps
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 U = np.uint64
@@ -55,13 +56,25 @@ def mix(h: np.ndarray, tag: int = 0) -> np.ndarray:
 
 
 class WordHash(dict):
+    """Hashes of words, kept while there are at most MEMO."""
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
+        if len(self) >= MEMO:
+            self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE rows, so that no more texts than that are Python strings at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE):
+            yield b.slice(k, SLICE)
+    pa.default_memory_pool().release_unused()
+
+
 FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
 
 
@@ -135,9 +148,9 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     parts = 1 << SLOT_BITS - PART_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.uint32)
-        for b in batches:
-            memo, ids, rows = WordHash(), b.column(0), []
+        total, memo = np.zeros(1 << SLOT_BITS, np.uint32), WordHash()
+        for b in slices(batches):
+            ids, rows = b.column(0), []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, memo)
                 rows.append((len(s), *(digest(s) if len(s) else (None, None))))
@@ -197,9 +210,9 @@ def list_entries(docs: DataFrame, doc_id: str, text: str, order, small: int) ->
     """Packed (key, set digest, set size) of subset keys of small sets and prefix keys of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = order.value
-        for b in batches:
-            memo, seen, parts, keys, sets, sizes = WordHash(), set(), [], [], [], []
+        o, memo = order.value, WordHash()
+        for b in slices(batches):
+            seen, parts, keys, sets, sizes = set(), [], [], [], []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, memo)
                 if not len(s):
@@ -275,8 +288,13 @@ def scan_lists(entries: DataFrame) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, "list long, a long, b long")
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64)))
+
+
 def fetch_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(d, p, n, s): name, parities, size and packed set of the documents named in wanted (doc).
+    """(d, p, n, s): name, parities, size and set of the documents named in wanted (doc).
 
     A bitmap of hashed ids lets the shingling pass skip other documents. Those that pass by a
     clash, and rows that repeat an id, only give sets that nobody asks for or that are equal.
@@ -293,20 +311,19 @@ def fetch_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = shared.value
-        for b in batches:
+        marked, memo = shared.value, WordHash()
+        for b in slices(batches):
             at = b.column(1).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            memo = WordHash()
             own = b.take(pa.array(hit))
             sets = [shingle_set(t, memo) for t in own.column(2).to_pylist()]
             keep = [k for k, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digest(sets[k])[0] for k in keep], pa.int64()), pa.array([parities(sets[k]) for k in keep], pa.binary()),
-                 pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["d", "p", "n", "s"])
+                 pa.array([len(sets[k]) for k in keep], pa.int64()), _lists([sets[k] for k in keep])], ["d", "p", "n", "s"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).where("doc is not null")
-    return rows.select("doc", slot.alias("slot"), "t").mapInArrow(run, "d long, p binary, n long, s binary")
+    return rows.select("doc", slot.alias("slot"), "t").mapInArrow(run, "d long, p binary, n long, s array<long>")
 
 
 def may_be_similar(a: pd.Series, b: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
@@ -321,24 +338,15 @@ def may_be_similar(a: pd.Series, b: pd.Series, m: pd.Series, n: pd.Series) -> pd
     return pd.Series([one(*row) for row in zip(a, b, m + n)], dtype=bool)
 
 
-def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> bool:
-        u, v = np.frombuffer(x, U), np.frombuffer(y, U)
-        both = np.sort(np.concatenate([u, v]))
-        same = int((both[1:] == both[:-1]).sum())
-        return 100 * same >= 75 * (len(u) + len(v) - same)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of 3/4 or more; parities sort most others out first."""
     side = lambda k, *cols: sets.select(F.col("d").alias(k), *(F.col(c).alias(c + k) for c in cols))
     near = (pairs.join(side("b", "p", "n"), "b").join(side("a", "p", "n"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
             .where(F.pandas_udf(may_be_similar, "boolean")("pa", "pb", "na", "nb")).select("a", "b").distinct())
     near = written(near, "jaccard-near")
-    return (near.join(side("b", "s"), "b").join(side("a", "s"), "a").where(F.pandas_udf(similar, "boolean")("sa", "sb"))
-            .select("a", "b"))
+    # sets are long: compared where they lie, not sent to Python by the thousand
+    return (near.join(side("b", "s"), "b").join(side("a", "s"), "a")
+            .where("175 * size(array_intersect(sa, sb)) >= 75L * (size(sa) + size(sb))").select("a", "b"))
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
