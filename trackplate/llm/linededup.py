@@ -79,21 +79,22 @@ def token_sets(lines: DataFrame, levels: Column) -> DataFrame:
 
 
 def line_classes(sets: DataFrame) -> DataFrame:
-    """(doc, line, n, p, b): a row per distinct set, at its first line, with its prefix tokens and parity bits."""
+    """(doc, line, n, b, c, p): a row per distinct set, at its first line, with its prefix tokens and 128 parity bits."""
     n = F.size("codes")
     prefix = (n - F.ceil(F.lit(ABOVE) * n / F.lit(BELOW)) + 1).cast("int")
-    parity = F.expr("aggregate(codes, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
+    parity = lambda half: F.expr(f"aggregate(codes, 0L, (a, x) -> if((x & 64) = {half}, a ^ shiftleft(1L, cast(x & 63 as int)), a))")
     return (sets.select("doc", "line", n.alias("n"), F.xxhash64("codes").alias("s"), F.hash("codes").alias("s2"),
-                        parity.alias("b"), F.slice("codes", F.lit(1), prefix).alias("p"))
-            .groupBy("s", "s2", "n", "b").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("p").alias("p"))
-            .select("at.doc", "at.line", "n", "b", "p"))
+                        parity(0).alias("b"), parity(64).alias("c"), F.slice("codes", F.lit(1), prefix).alias("p"))
+            .groupBy("s", "s2", "n", "b", "c").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("p").alias("p"))
+            .select("at.doc", "at.line", "n", "b", "c", "p"))
 
 
 def _may_match(x: str, y: str, positional: bool = False) -> str:
-    """Parity, length and positional bounds on the overlap of two sets that share a token (at k, where positional)."""
+    """Parity, length and positional bounds on the overlap of two sets that share a token; positional where it is at k, with all parities."""
     n = lambda k: f"({k}_line_n & 4294967295)"
     both = f"({n(x)} + {n(y)})"
-    return (f"{ABOVE + BELOW} * ({both} - bit_count({x}_b ^ {y}_b)) >= {2 * ABOVE} * {both}"
+    odd = f"bit_count({x}_b ^ {y}_b)" + (f" - bit_count({x}_c ^ {y}_c)" if positional else "")
+    return (f"{ABOVE + BELOW} * ({both} - {odd}) >= {2 * ABOVE} * {both}"
             f" and {BELOW} * least({n(x)}, {n(y)}) >= {ABOVE} * greatest({n(x)}, {n(y)})"
             + (f" and {ABOVE + BELOW} * least({x}_left, abs({y}_left)) >= {ABOVE} * {both}" if positional else ""))
 
@@ -180,7 +181,7 @@ def _kept_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # `left` counts a class's tokens from k on; a class that is gone still stands for later ones, and has a negative
     # `left`, as a filter on it would go below the exchange and part the two sides' common one
     marked = classes.join(gone.select(F.col("doc").alias("g_doc"), F.col("line").alias("g_line")), F.expr("doc <=> g_doc and line = g_line"), "left")
-    lists = (marked.select(F.posexplode("p").alias("k", "token"), "doc", line_n, "b", F.when(F.col("g_line").isNull(), F.col("n") - F.col("k")).otherwise(F.col("k") - F.col("n")).alias("left"))
+    lists = (marked.select(F.posexplode("p").alias("k", "token"), "doc", line_n, "b", "c", F.when(F.col("g_line").isNull(), F.col("n") - F.col("k")).otherwise(F.col("k") - F.col("n")).alias("left"))
              .drop("k").where(_level("token") > ONCE))
     found = _sided(lists, "y").join(_sided(lists, "x"), "token").where(_may_match("x", "y", positional=True) + " and " + _earlier("y", "x"))
     gone = gone.union(_verified(written(_pairs(found), "line-pairs"), docs, doc_id, text))
