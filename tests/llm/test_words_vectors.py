@@ -1,6 +1,7 @@
 """Spelling variants, class-based scores and hard negatives, against brute force on small tables."""
 
 import collections
+import itertools
 import math
 import os
 import random
@@ -68,6 +69,18 @@ def test_variants_equal_brute_force(spark, monkeypatch, tile):
     assert got == want and any(x[1] for x in want.values()) and any(want[x[1]][1] for x in want.values() if x[1])
 
 
+def test_lists_of_words_are_never_broadcast(spark):
+    """Whatever a table of word lists takes on disk, a join by broadcast holds it, and its copies for the blocks met, in the driver."""
+    vocab = spark.createDataFrame([(w, 3) for w in set(some_words(4, 20))], "word string, n long")
+    lines = variants.near_words(vocab)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:|+-]*", x)[0]) for x in lines]
+    assert any("words" in x for x in lines)
+    for k, x in enumerate(lines):
+        if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x:
+            under = itertools.takewhile(lambda j: depth[j] > depth[k], range(k + 1, len(lines)))
+            assert not any("words" in lines[j] for j in under), x
+
+
 def test_variants_of_odd_words(spark):
     long = "ab" * 2500
     words = (["aaaaa"] * 3 + ["aaaaaa"] * 6 + ["aaaaaaa"] * 12 + ["tiess"] * 4 + ["tiesa"] * 8 + ["tiesb"] * 8 + ["short"] * 2 + ["four"] * 9

@@ -115,13 +115,29 @@ def tiles(vocab: DataFrame) -> DataFrame:
             .select("block", "tile", F.col("c.word").alias("words"), F.col("c.n").alias("counts")))
 
 
+def dealt_tiles(t: DataFrame) -> DataFrame:
+    """(at, lt, guest, words, counts): every tile, and after it the tiles it meets, in order in one partition; from tiles().
+
+    Which tiles meet is found from their numbers alone; words only go along. Their joins are merged, not broadcast: the size
+    of a table of lists on disk does not tell what its rows take, and copies for the blocks met are not in Spark's estimate.
+    """
+    homes = t.groupBy("block").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))
+    asks = homes.select("block", F.explode(F.array(*map(F.lit, MEETS))).alias("step")).withColumn("at", F.col("block") - F.col("step"))
+    visits = (asks.join(homes.select(F.col("block").alias("at"), "tiles"), "at").groupBy("block")
+              .agg(F.collect_list(F.struct("at", "step", "tiles")).alias("visits")))
+    hosts = t.select(F.col("block").alias("at"), F.col("tile").alias("lt"), F.lit(False).alias("guest"), "words", "counts")
+    guests = (t.hint("merge").join(visits, "block").select("tile", F.explode("visits").alias("v"), "words", "counts")
+              .select("tile", F.col("v.at").alias("at"), F.col("v.step").alias("step"), F.explode("v.tiles").alias("lt"), "words", "counts")
+              .where((F.col("step") != 0) | (F.col("lt") < F.col("tile")))
+              .select("at", "lt", F.lit(True).alias("guest"), "words", "counts"))
+    # few rows of much work each: dealt evenly
+    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hosts.unionByName(guests).repartition(4 * n, "at", "lt").sortWithinPartitions("at", "lt", "guest")
+
+
 def near_words(vocab: DataFrame) -> DataFrame:
     """(word, other, n): every word of (word, n) with each word one edit away and that one's n; words are distinct."""
-    t = written(tiles(vocab), "variant-tiles")
-    left = t.select(F.col("block").alias("at"), F.col("tile").alias("lt"), F.col("words").alias("lw"), F.col("counts").alias("ln"))
-    right = (t.select("*", F.explode(F.array(*map(F.lit, MEETS))).alias("step"))
-             .select((F.col("block") - F.col("step")).alias("at"), "step", F.col("tile").alias("rt"), F.col("words").alias("rw"), F.col("counts").alias("rn")))
-    pairs = left.join(right, "at").where((F.col("step") != 0) | (F.col("lt") <= F.col("rt")))
+    dealt = dealt_tiles(written(tiles(vocab), "variant-tiles"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -132,21 +148,19 @@ def near_words(vocab: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y]), pa.string()), pa.array(np.concatenate([y, x]), pa.string()),
                                                pa.array(np.concatenate([yn, xn]))], ["word", "other", "n"])
 
-        last, a = None, None
+        a, an = None, None
         for b in batches:
-            columns = [b.column(k) for k in range(8)]
+            guests, words, counts = b.column(2), b.column(3), b.column(4)
             for k in range(b.num_rows):
-                at, lt, step, rt = (columns[c][k].as_py() for c in (0, 1, 2, 3))
-                if last != (at, lt):
-                    last, a = (at, lt), Tile(columns[4][k].as_py())
-                    an = columns[5][k].values.to_numpy()
-                same = step == 0 and lt == rt
-                c = a if same else Tile(columns[6][k].as_py())
+                c, cn = Tile(words[k].as_py()), counts[k].values.to_numpy()
+                same = not guests[k].as_py()
+                if same:
+                    a, an = c, cn
                 i, j = near(a, c)
                 if same:
                     i, j = i[i < j], j[i < j]
                 if len(i):
-                    held.append((np.array(a.words, object)[i], an[i], np.array(c.words, object)[j], columns[7][k].values.to_numpy()[j]))
+                    held.append((np.array(a.words, object)[i], an[i], np.array(c.words, object)[j], cn[j]))
                     size += len(i)
                 if size > 20_000:
                     yield out()
@@ -154,9 +168,6 @@ def near_words(vocab: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    # the pairs are few rows of much work each: dealt evenly, left tiles together
-    n = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.select("at", "lt", "step", "rt", "lw", "ln", "rw", "rn").repartition(4 * n, "at", "lt").sortWithinPartitions("at", "lt")
     return dealt.mapInArrow(compare, "word string, other string, n long")
 
 
