@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import odd_documents
 from trackplate.llm import brown, catalog, hardneg, variants
@@ -262,6 +263,23 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, bucket):
     assert got == plain_negatives(rows, 10) and len(got) > 500
 
 
+def test_hard_negatives_keep_a_vector_a_row(spark, monkeypatch):
+    """Readers and aggregates hold thousands of rows at once, so none may be a whole bucket."""
+    longest, kept = [], hardneg.written
+
+    def watched(df, name):
+        out = kept(df, name)
+        lists = [c for c, kind in out.dtypes if kind == "array<int>"]
+        longest.extend(out.select(F.max(F.size(c))).head()[0] for c in lists)
+        return out
+
+    monkeypatch.setattr(hardneg, "written", watched)
+    rows = vectors(5, 300)
+    df = spark.createDataFrame(rows, "vec_id long, label int, vector array<int>")
+    assert sorted(map(tuple, hardneg.hard_negatives(df, df["vec_id"] % 10 == 0).collect())) == plain_negatives(rows, 10)
+    assert longest and max(longest) == len(rows[0][2])
+
+
 def test_hard_negatives_of_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, 1, [1.0, 0.5]), (1, 1, [0.9, 0.4]), (2, 2, [0.5, 0.4]), (3, None, [1.0, 1.0]), (4, 1, None), (5, 2, [None, 1.0]), (6, 2, [inf, 1.0]), (7, 2, [nan, 1.0]),

@@ -8,8 +8,9 @@ the rows in range on the FOCUS largest coordinates of q are intersected and veri
 integer products. The score to reach rises while the buckets of a slab go by, longest first.
 
 Two searches: the positives of every anchor, then its negatives inside the windows that the
-positives' scores open. Anchors and rows are dealt as (anchor chunk, slab of buckets), so all
-of a task's state is one anchor chunk, one bucket and the best rows so far.
+positives' scores open. Anchors and rows are dealt as (anchor chunk, slab of rows); the rows of a
+slab come one by one, longest first, and are cut into buckets where they are searched, so all of
+a task's state is one anchor chunk, one bucket and the best rows so far.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from ..core import written
 
-BUCKET = 2048                 #: rows of a bucket, about
-SLAB = 8                      #: buckets that a task goes through in order, about
-ANCHORS = 1024                #: anchors of a chunk, about
+BUCKET = 2048                 #: rows of a bucket at most
+SLAB = 8                      #: buckets that a task goes through in order, at least, if there are as many
+ANCHORS = 8192                #: anchors of a chunk, about
+CHUNK = 1 << 22               #: components of the anchors of a chunk, about
 FOCUS = 3                     #: coordinates whose ranges are intersected
 WIDTH = 1.1                   #: lengths in a bucket differ by this factor at most
 LARGEST = 1 << 26             #: components saturate here, so that scores fit a long up to 2,047 dimensions
@@ -118,64 +120,85 @@ class Search:
                     self.low[k] = max(self.low[k], float(s[first[-1]]))
 
 
-def dealt_rows(rows: DataFrame, n_anchors: int) -> DataFrame:
-    """(chunk, slab, longest, ids, labels, q): the rows as buckets, a copy for every anchor chunk."""
-    sized = rows.withColumn("width", F.ceil(F.log(WIDTH, F.greatest(F.lit(1.0), "length"))))
-    parts = sized.groupBy("dim", "width").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
-    spread = F.xxhash64("row")
-    buckets = (sized.join(parts, ["dim", "width"]).groupBy("dim", "width", F.pmod(spread, F.col("parts")).alias("part"), F.ceil(F.col("parts") / SLAB).alias("slabs"))
-               .agg(F.collect_list(F.struct("vec_id", "label", "q")).alias("c"), F.max("length").alias("longest")))
-    chunks = max(1, -(-n_anchors // ANCHORS))
-    return buckets.select(
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.col("dim").alias("dim"), F.pmod("part", "slabs").alias("slab"),
-        F.col("longest"), F.col("c.vec_id").alias("ids"), F.col("c.label").alias("labels"), F.flatten("c.q").alias("q"))
+def dealing(rows: DataFrame) -> DataFrame:
+    """(dim, chunks, slabs) of the dimensions that have anchors: chunks by what a task may hold, slabs to give every partition work."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = F.greatest(F.lit(1), F.least(F.lit(ANCHORS), F.floor(F.lit(CHUNK) / F.greatest(F.lit(1), "dim"))))
+    slabs = F.least(F.ceil(F.lit(n) / F.col("chunks")), F.ceil(F.col("n") / (SLAB * BUCKET)))
+    return (rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("anchor").alias("anchors")).where(F.col("anchors") > 0)
+            .withColumn("chunks", F.ceil(F.col("anchors") / held).cast("int")).select("dim", "chunks", slabs.cast("int").alias("slabs")))
 
 
-def searched(rows: DataFrame, anchors: DataFrame, n_anchors: int, k: int, same: bool) -> DataFrame:
+def searched(rows: DataFrame, anchors: DataFrame, dealt: DataFrame, k: int, same: bool) -> DataFrame:
     """(row, window, id, score): for each anchor and window the first k rows of every slab.
 
-    `rows` are (row, vec_id, label, dim, length, q); `anchors` are the same with lists `low` and `high`.
+    `rows` are (row, vec_id, label, dim, length, q); `anchors` are the same with lists `low` and `high`; `dealt` is of dealing().
     """
-    chunks = max(1, -(-n_anchors // ANCHORS))
-    data = written(dealt_rows(rows, n_anchors), "negative-buckets")
-    slabs = data.select("dim", "slab").distinct()
-    packed = (anchors.groupBy(F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), "dim")
-              .agg(F.collect_list(F.struct("row", "vec_id", "label", "q", "low", "high")).alias("a")))
-    empty = F.lit(None)
-    sides = packed.join(slabs, "dim").select("chunk", "dim", "slab", F.lit(float("inf")).alias("longest"), "a", *(
-        empty.cast(t).alias(c) for c, t in (("ids", "array<long>"), ("labels", "array<int>"), ("q", "array<int>")))).unionByName(
-        data.select("chunk", "dim", "slab", "longest", empty.cast(packed.schema["a"].dataType).alias("a"), "ids", "labels", "q"))
+    def numbers(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    def home(of: str) -> Column:
+        return F.pmod(F.xxhash64("row"), F.col(of)).cast("int")
+
+    empty = F.lit(None).cast("array<double>")
+    sides = anchors.join(dealt, "dim").select(home("chunks").alias("chunk"), "dim", numbers("slabs").alias("slab"), F.lit(float("inf")).alias("length"),
+                                              "row", "vec_id", "label", "q", "low", "high").unionByName(
+        rows.join(dealt, "dim").select(numbers("chunks").alias("chunk"), "dim", home("slabs").alias("slab"), "length",
+                                       "row", "vec_id", "label", "q", empty.alias("low"), empty.alias("high")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, open_ = None, []
+        key, open_, held, size, longest = None, [], [], 0, 0.0
+
+        def see():
+            nonlocal held, size
+            if held and open_:
+                bucket = Bucket(*map(np.concatenate, zip(*held)))
+                for s in open_:
+                    s.see(bucket)
+            held, size = [], 0
 
         def out():
-            found = [(s.row, w, i, x) for s in open_ for w, (xs, is_) in enumerate(s.best) for x, i in zip(xs.tolist(), is_.tolist())]
-            for at in range(0, len(found), 50_000):
-                part = list(zip(*found[at:at + 50_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())],
-                                                 ["row", "window", "id", "score"])
+            for at in range(0, len(open_), 512):
+                found = [(s.row, w, is_, xs) for s in open_[at:at + 512] for w, (xs, is_) in enumerate(s.best) if len(xs)]
+                if found:
+                    n = [len(f[3]) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], n), pa.int64()), pa.array(np.repeat([f[1] for f in found], n), pa.int32()),
+                                                      *(pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in (2, 3))], ["row", "window", "id", "score"])
 
         for b in batches:
-            for n in range(b.num_rows):
-                now = tuple(b.column(c)[n].as_py() for c in range(3))
+            keys = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
+            length, row, ids, labels = (b.column(c).to_numpy() for c in (3, 4, 5, 6))
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            values, first = b.column(7).flatten().to_numpy(), 0
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                now = tuple(keys[x].tolist())
                 if now != key:
+                    see()
                     yield from out()
                     key, open_ = now, []
-                a = b.column(4)[n]
-                if a.is_valid:
-                    open_ += [Search(x["row"], x["vec_id"], x["label"], np.array(x["q"], np.int64), np.array(x["low"], float), np.array(x["high"], float), k, same)
-                              for x in a.as_py()]
-                    continue
-                ids = b.column(5)[n].values.to_numpy()
-                bucket = Bucket(ids, b.column(6)[n].values.to_numpy(), b.column(7)[n].values.to_numpy().astype(np.int64).reshape(len(ids), -1))
-                for s in open_:
-                    s.see(bucket)
+                q = values[first:first + (y - x) * now[1]].reshape(y - x, now[1])
+                first += (y - x) * now[1]
+                rows_at = x + int(np.isinf(length[x:y]).sum())                # anchors come first
+                for n in range(x, rows_at):
+                    open_.append(Search(int(row[n]), int(ids[n]), int(labels[n]), q[n - x].astype(np.int64), np.array(b.column(8)[n].as_py(), float),
+                                        np.array(b.column(9)[n].as_py(), float), k, same))
+                while rows_at < y:
+                    if not size:
+                        longest = length[rows_at]
+                    end = min(y, rows_at + BUCKET - size)
+                    end = rows_at + int(np.searchsorted(-length[rows_at:end], -longest / WIDTH, "right"))
+                    if end > rows_at:
+                        held.append((ids[rows_at:end], labels[rows_at:end], q[rows_at - x:end - x].astype(np.int64)))
+                        size += end - rows_at
+                    if size >= BUCKET or end < y:
+                        see()
+                    rows_at = end
+        see()
         yield from out()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = sides.select("chunk", "dim", "slab", "longest", "a", "ids", "labels", "q").repartition(n, "chunk", "dim", "slab").sortWithinPartitions(
-        "chunk", "dim", "slab", F.desc("longest"))
+    order = sides.select("chunk", "dim", "slab", "length", "row", "vec_id", "label", "q", "low", "high").repartition(n, "chunk", "dim", "slab").sortWithinPartitions(
+        "chunk", "dim", "slab", F.desc("length"))
     return order.mapInArrow(search, "row long, window int, id long, score long")
 
 
@@ -194,16 +217,16 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, vec_id: str = "vec_id"
         F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"),
         q.alias("q"), F.size(q).alias("dim"), F.sqrt(squared).alias("length"), F.coalesce(is_anchor, F.lit(False)).alias("anchor")), "negative-rows")
     anchors = rows.where("anchor")
-    n = anchors.count()
+    dealt = written(dealing(rows), "negative-dealing")
     any_score = F.array(F.lit(-float("inf"))), F.array(F.lit(float("inf")))
     first = Window.partitionBy("row").orderBy(F.desc("score"), "id")
-    found = searched(rows, anchors.select("*", any_score[0].alias("low"), any_score[1].alias("high")), n, n_positives, True)
+    found = searched(rows, anchors.select("*", any_score[0].alias("low"), any_score[1].alias("high")), dealt, n_positives, True)
     positives = written(found.withColumn("window", F.row_number().over(first) - 1).where(F.col("window") < n_positives), "negative-positives")
     lists = positives.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("window", "score"))).alias("p"))
     ranged = (anchors.join(lists, "row")
               .withColumn("low", F.transform("p", lambda x: F.ceil(x["score"] * least / 100).cast("double")))
               .withColumn("high", F.transform("p", lambda x: F.floor(x["score"] * most / 100).cast("double"))).drop("p"))
-    near = searched(rows, ranged, n, n_negatives, False)
+    near = searched(rows, ranged, dealt, n_negatives, False)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("row", "window").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n_negatives)
     own = positives.select("row", "window", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return (ranked.join(own, ["row", "window"]).join(anchors.select("row", F.col("vec_id").alias("anchor_id")), "row")
